@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import hmm, linededup, mixing, simhash, toxicity
+from folioflow.llm import hmm, linededup, mixing, simhash, toxicity, winnowing
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_line_windows": linededup.op4_line_windows,
         "op5_text_cnn": toxicity.op5_text_cnn,
         "op6_pivotal_mix": mixing.op6_pivotal_mix,
+        "op7_winnowing": winnowing.op7_winnowing,
         "op10_simhash_balls": simhash.op10_simhash_balls,
     }
 
