@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import hmm, linededup, mixing, simhash, toxicity, winnowing
+from folioflow.llm import hmm, linededup, mixing, simhash, toxicity, urlfilter, winnowing
 
 
 def queries() -> dict:
@@ -12,9 +12,10 @@ def queries() -> dict:
         "op5_text_cnn": toxicity.op5_text_cnn,
         "op6_pivotal_mix": mixing.op6_pivotal_mix,
         "op7_winnowing": winnowing.op7_winnowing,
+        "op8_url_lm": urlfilter.op8_url_lm,
         "op10_simhash_balls": simhash.op10_simhash_balls,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_line_windows": linededup.SQL}
+    return {"op4_line_windows": linededup.SQL, "op8_url_lm": urlfilter.SQL}
