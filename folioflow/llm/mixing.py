@@ -132,12 +132,13 @@ def mix(docs: DataFrame, seed: int = 7, block: int = 512, fan_in: int = 64) -> D
 
 def take(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it."""
-    mixed = written(mix(docs, **how).where("copies > 0").groupBy("doc_id", "source", "text_key").agg(F.collect_list("copies").alias("all")))
-    mixed = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_key"), F.col("all").alias("_all"))
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    keyed = keyed.withColumn("_one", F.row_number().over(Window.partitionBy("doc_id", "source", "_text_key").orderBy("doc_id")))
-    out = keyed.join(mixed, keyed.doc_id.eqNullSafe(mixed["_id"]) & keyed.source.eqNullSafe(mixed["_source"]) & (keyed["_text_key"] == mixed["_key"]))
-    return out.withColumn("_times", F.get("_all", F.col("_one") - 1)).where("_times > 0").select(*docs.columns, F.explode(F.expr("sequence(1, cast(_times as int))")).alias("_copy")).drop("_copy")
+    mixed = mix(docs, **how).where("copies > 0").groupBy("doc_id", "source", "text_key").agg(F.collect_list("copies").alias("_all"))
+    mixed = written(mixed.select(F.xxhash64("doc_id", "source", "text_key").alias("_row"), F.col("text_key").alias("_key"), "_all"))
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = keyed.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), "_key"))
+    out = keyed.join(mixed, ["_row", "_key"]).withColumn("_one", F.row_number().over(Window.partitionBy("_row", "_key").orderBy("_row")))
+    out = out.withColumn("_times", F.get("_all", F.col("_one") - 1)).where("_times > 0")
+    return out.select(*docs.columns, F.explode(F.expr("sequence(1, cast(_times as int))")).alias("_copy")).drop("_copy")
 
 
 def op6_pivotal_mix(spark, sf_dir: str) -> DataFrame:

@@ -115,11 +115,11 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     in id and text count as one document and one of them stays.
     """
     near = near_duplicates(docs, shingle).where("doc_id <=> component_id")
-    kept = written(near.groupBy("root", "component_id").agg(F.min("text_key").alias("_key")).select(F.col("component_id").alias("_id"), "_key").distinct())
-    out = docs.withColumn("_text_key", text_key())
-    out = out.join(kept, out.doc_id.eqNullSafe(kept["_id"]) & (out["_text_key"] == kept["_key"]), "left_semi")
-    once = F.row_number().over(Window.partitionBy("doc_id", "_text_key").orderBy("doc_id"))
-    return out.withColumn("_copy", once).where("_copy = 1").drop("_copy", "_text_key")
+    kept = near.groupBy("root", "component_id").agg(F.min("text_key").alias("_key"))
+    kept = written(kept.select(F.xxhash64("component_id", "_key").alias("_row"), "_key").distinct())
+    out = docs.withColumn("_key", text_key()).withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "_key"))
+    once = F.row_number().over(Window.partitionBy("_row", "_key").orderBy("_row"))
+    return out.join(kept, ["_row", "_key"], "left_semi").withColumn("_copy", once).where("_copy = 1").select(*docs.columns)
 
 
 def op10_simhash_balls(spark, sf_dir: str) -> DataFrame:
