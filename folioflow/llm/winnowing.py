@@ -12,8 +12,8 @@ down, below: the least of a window is then the rightmost of its least hashes. Al
 DataFrame expressions inside one row, linear in the text's length.
 
 ``with_next`` puts each row beside the next by descending id without sorting the table in
-one task: ids are dealt to ranges by quantiles, each range is a window, and the last row of
-a range is joined with the first of the range below. Rows without an id come last; rows
+one task: ids are dealt to ranges by quantiles, each range is a window, and the first row of
+a range is dealt to the range above as well. Rows without an id come last; rows
 with equal ids are ordered by text. Null texts are empty.
 """
 
@@ -22,11 +22,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import table, written
+from folioflow.llm.common import table
 
 K, W = 5, 16
 PRIME, BASE = 2147483647, 1_000_003
 POSITIONS = 1 << 31
+MOST_RANGES = 65_536
 
 
 def fingerprint(text):
@@ -76,10 +77,11 @@ def _range_of(rows: DataFrame, per_range: int):
     n, lo, hi = rows.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
     if not n or lo == hi:
         return F.lit(0).cast("long")
+    per_range = max(per_range, -(-n // MOST_RANGES))
     q = min(256, max(1, n // per_range))
     inner = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / q for i in range(1, q)] or [0.5], 10_000)).first()[0]))
     edges = [lo, *(x for x in inner if lo < x <= hi)]
-    parts = max(1, -(-n // (len(edges) * per_range)))
+    parts = max(1, n // (len(edges) * per_range))
     at = F.size(F.filter(F.array(*(F.lit(x).cast("long") for x in edges)), lambda e: e <= F.col("doc_id")))
     ends = F.array(*(F.lit(x).cast("long") for x in [*edges, hi + 1]))
     low, high = F.get(ends, at - 1), F.get(ends, at)
@@ -88,19 +90,24 @@ def _range_of(rows: DataFrame, per_range: int):
 
 
 def with_next(rows: DataFrame, per_range: int = 400) -> DataFrame:
-    """``rows`` (doc_id, text and others) and ``next``: a struct of the next row by descending doc_id; the last row has the first's."""
+    """``rows`` (doc_id, text and others) and ``next``: a struct of the next row by descending doc_id; the last row has the first's.
+
+    Texts are shuffled once: the first row of each range is dealt to the range above too, after that one's own rows.
+    """
     names = [c for c in rows.columns if c != "doc_id"]
     ids = rows.select("doc_id")
-    ranged = rows.withColumn("range", _range_of(ids, per_range))
-    order = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    w = ranged.select("doc_id", "range", F.struct(*names).alias("own"), F.lead(F.struct(*names)).over(order).alias("next"), F.row_number().over(order).alias("n"))
-    inner = w.where("next is not null").select("doc_id", "own", "next")
-    used = written(ids.select(_range_of(ids, per_range).alias("range")).groupBy("range").count())
-    down = Window.orderBy(F.desc("range"))
-    below = used.select("range", F.coalesce(F.lead("range").over(down), F.max("range").over(down)).alias("below"))
-    heads = w.where("n = 1").select(F.col("range").alias("below"), F.col("own").alias("next"))
-    last = w.where("next is null").select("doc_id", "own", "range").join(below, "range").join(heads, "below").select("doc_id", "own", "next")
-    out = inner.unionByName(last)
+    in_range = _range_of(ids, per_range)
+    heads = ids.select("doc_id", in_range.alias("range")).groupBy("range").agg(F.max("doc_id").alias("head"))
+    up = Window.orderBy("range")
+    # at most MOST_RANGES + 1 rows of three longs
+    heads = F.broadcast(heads.select("head", F.coalesce(F.lead("range").over(up), F.first("range").over(up)).alias("above")))
+    ranged = rows.select("doc_id", F.struct(*names).alias("own"), in_range.alias("range")).join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    places = F.when(F.col("above").isNull(), F.array(F.struct(F.col("range").alias("at"), F.lit(False).alias("extra")))).otherwise(
+        F.array(F.struct(F.col("range").alias("at"), F.lit(False).alias("extra")), F.struct(F.col("above").alias("at"), F.lit(True).alias("extra")))
+    )
+    dealt = ranged.select("doc_id", "own", F.inline(places))
+    order = Window.partitionBy("at").orderBy("extra", F.col("doc_id").desc_nulls_last(), "own.text")
+    out = dealt.withColumn("next", F.lead("own").over(order)).where("not extra")
     return out.select("doc_id", *(F.col(f"own.{c}").alias(c) for c in names), "next")
 
 
