@@ -52,7 +52,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with later occurrences removed from ``text``, and _n_lines and _removed."""
     gone = written(covered(docs)).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "gone")
     keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    out = keyed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
+    # always by a shuffle, so that a run behaves alike at every size
+    out = keyed.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.expr("transform(array(split(text, '\n', -1)), l -> array_join(transform(_kept, i -> l[i]), '\n'))[0]"))
