@@ -41,7 +41,7 @@ _CHUNKS = re.compile(r" *[^ \n]+| +|\n+")
 
 
 class Encoder:
-    def __init__(self, path: str = MODEL, dropout: float = 0.1, seed: int = 1, variants: int = 4, memo_rows: int = 80_000):
+    def __init__(self, path: str = MODEL, dropout: float = 0.1, seed: int = 1, variants: int = 4, memo_rows: int = 160_000):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
