@@ -37,6 +37,7 @@ MODEL = os.environ.get("FOLIOFLOW_PIECES", "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = "▁", "￿▁"
 #: Odd multipliers that spread a candidate's place over 64 bits.
 MIX, MASK = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD), 2**64 - 1
+NO_PIECE, NEVER, LONG = 0xFFFF, 1 << 62, 64
 _CHUNKS = re.compile(r" *[^ \n]+| +|\n+")
 
 
@@ -59,12 +60,46 @@ class Encoder:
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.rank):
             raise ValueError("a piece spans words or lines")
+        ids = {p: i for p, (_, i) in self.rank.items()}
+        self.of_char = {(" " if p == SPACE else p): i for p, i in ids.items() if len(p) == 1}
+        order = {p: n for n, p in enumerate(sorted(self.rank, key=lambda p: self.rank[p][0]))}
+        #: Two pieces, to the order of the piece that they make, and that piece. Scores are distinct, or equal by their pieces' order of id.
+        if len(self.bytes_of) >= NO_PIECE:
+            raise ValueError("the model has too many pieces")
+        self.pairs = {ids[p[:k]] << 16 | ids[p[k:]]: order[p] << 16 | i for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
         # a memo for each variant, and the one before it, from which what is still used moves over
         self.memos: list[dict[str, bytes]] = [{} for _ in range(variants)]
         self.older: list[dict[str, bytes]] = [{} for _ in range(variants)]
 
     def cut(self, chunk: str, variant: int) -> list[int]:
-        """Ids of one chunk by the agenda."""
+        """Ids of one chunk. A short chunk's agenda is a list: its least entry, leftmost among equals, comes next."""
+        if len(chunk) > LONG:
+            return self.cut_long(chunk, variant)
+        ids, pairs, drop = list(map(self.of_char.get, chunk)), self.pairs, self.dropout
+        if None in ids:
+            ids = [NO_PIECE if i is None else i for i in ids]
+        place = list(range(len(ids) + 1))
+        agenda = [pairs.get(a << 16 | b, NEVER) for a, b in zip(ids, ids[1:])]
+        key = xxhash.xxh64_intdigest(f"{variant}|{chunk}", self.seed) if drop else 0
+        while agenda:
+            if (best := min(agenda)) == NEVER:
+                break
+            i = agenda.index(best)
+            if drop and (key ^ (place[i] * MIX[0] + (place[i + 2] - place[i]) * MIX[1])) * MIX[2] & MASK < drop:
+                agenda[i] = NEVER
+                continue
+            ids[i] = best & 0xFFFF
+            del ids[i + 1], place[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = pairs.get(ids[i] << 16 | ids[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = pairs.get(ids[i - 1] << 16 | ids[i], NEVER)
+        if NO_PIECE not in ids:
+            return ids
+        return [x for i, at in zip(ids, place) for x in ([i] if i != NO_PIECE else [self.byte[b] for b in chunk[at].encode("utf-8", "surrogatepass")])]
+
+    def cut_long(self, chunk: str, variant: int) -> list[int]:
+        """Ids of one chunk by a heap, for chunks of any length."""
         s: list = [SPACE if c == " " else LITERAL if c == SPACE else c for c in chunk]
         n, rank, digest, drop = len(s), self.rank, xxhash.xxh64_intdigest, self.dropout
         before, after, agenda = list(range(-1, n - 1)), list(range(1, n + 1)), []
@@ -99,18 +134,18 @@ class Encoder:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        parts, memos, v = [], self.memos, self.variants
+        chunks, v = _CHUNKS.findall(" " + text), self.variants
         at = xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass"), self.seed)
-        for chunk in _CHUNKS.findall(" " + text):
-            at += 1
-            if (ids := memos[at % v].get(chunk)) is None:
-                ids = self.missed(chunk, at % v)
-            parts.append(ids)
+        parts: list = [None] * len(chunks)
+        for k in range(min(v, len(chunks))):
+            parts[k::v] = map(self.memos[(at + k) % v].get, chunks[k::v])
+        if None in parts:
+            parts = [self.missed(chunks[k], (at + k) % v) if p is None else p for k, p in enumerate(parts)]
         return np.frombuffer(b"".join(parts), np.int32)
 
     def missed(self, chunk: str, variant: int) -> bytes:
         """The ids of a chunk that the newer memo doesn't have, as bytes."""
-        if (ids := self.older[variant].get(chunk)) is None:
+        if (ids := self.memos[variant].get(chunk) or self.older[variant].get(chunk)) is None:
             ids = array("i", self.cut(chunk, variant)).tobytes()
         if len(chunk) <= 32:
             if len(self.memos[variant]) >= self.memo_rows:
