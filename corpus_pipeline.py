@@ -8,7 +8,6 @@ read again as the next one's ``docs``. All but the last return the columns of do
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folioflow.llm import linededup, mixing, pieces, simhash, toxicity
 from folioflow.llm.common import table, written
@@ -21,8 +20,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without later occurrences of repeated three-line windows; ``n_chars`` follows the text."""
-    out = linededup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return linededup.dedup_lines(docs)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

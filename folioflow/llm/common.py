@@ -40,6 +40,11 @@ def written(df: DataFrame, *keys: str) -> DataFrame:
     return out.select(*keys) if keys else out
 
 
+def own(df: DataFrame):
+    """All columns of ``df`` as one struct, so that names of our own beside it can't clash with theirs."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("own")
+
+
 def ascii_lower(text):
     """Lower-cases A-Z alone."""
     return F.translate(text, UPPER, LOWER)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import table, written
+from folioflow.llm.common import own, table, written
 
 SIZE = 3
 _KEYED = "struct(isnull(doc_id) as no_id, doc_id as id, text_key, p0, p2)"
@@ -48,23 +48,31 @@ def covered(docs: DataFrame) -> DataFrame:
     return spans.select("doc_id", "text_key", F.expr("array_distinct(flatten(transform(spans, s -> sequence(s.lo, s.hi))))").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with later occurrences removed from ``text``, and _n_lines and _removed."""
-    gone = written(covered(docs)).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "gone")
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """own (a struct of the row), text, n_lines and removed for each row of ``docs``; ``text`` without later occurrences."""
+    gone = written(covered(docs)).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "gone")
+    keyed = docs.select(own(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     # always by a shuffle, so that a run behaves alike at every size
-    out = keyed.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
+    out = keyed.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.expr("transform(array(split(text, '\n', -1)), l -> array_join(transform(_kept, i -> l[i]), '\n'))[0]"))
-    out = out.withColumn("_kept", kept).withColumn("_n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))).withColumn("_removed", F.coalesce(F.size("gone"), F.lit(0)))
-    return out.withColumn("text", text).select(*docs.columns, "_n_lines", "_removed")
+    joined = F.transform(F.array(F.struct(lines.alias("l"), kept.alias("k"))), lambda s: F.array_join(F.transform(s.k, lambda i: F.get(s.l, i)), "\n"))[0]
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(joined)
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
+    return out.select("own", text.alias("text"), n.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed"))
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with later occurrences removed from ``text``; a column ``n_chars`` follows a changed text."""
+    out = deduplicated(docs)
+    changed = {"text": F.col("text"), "n_chars": F.when(F.col("removed") > 0, F.length("text").cast("long")).otherwise(F.col("own.n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    return out.select(*(changed[c].alias(c) if c in changed else F.col(f"own.`{c}`") for c in docs.columns))
 
 
 def op4_line_windows(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, removed and the text that stays, for all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_removed").cast("long").alias("removed"), "text")
+    return deduplicated(docs).select("own.doc_id", "n_lines", "removed", "text")
 
 
 SQL = r"""

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import WORD, table, written
+from folioflow.llm.common import WORD, own, table, written
 
 CAP = 3
 #: With more sources than this their table is joined by a shuffle.
@@ -132,13 +132,13 @@ def mix(docs: DataFrame, seed: int = 7, block: int = 512, fan_in: int = 64) -> D
 
 def take(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it."""
-    mixed = mix(docs, **how).where("copies > 0").groupBy("doc_id", "source", "text_key").agg(F.collect_list("copies").alias("_all"))
-    mixed = written(mixed.select(F.xxhash64("doc_id", "source", "text_key").alias("_row"), F.col("text_key").alias("_key"), "_all"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    keyed = keyed.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), "_key"))
-    out = keyed.join(mixed, ["_row", "_key"]).withColumn("_one", F.row_number().over(Window.partitionBy("_row", "_key").orderBy("_row")))
-    out = out.withColumn("_times", F.get("_all", F.col("_one") - 1)).where("_times > 0")
-    return out.select(*docs.columns, F.explode(F.expr("sequence(1, cast(_times as int))")).alias("_copy")).drop("_copy")
+    mixed = mix(docs, **how).where("copies > 0").groupBy("doc_id", "source", "text_key").agg(F.collect_list("copies").alias("all"))
+    mixed = written(mixed.select(F.xxhash64("doc_id", "source", "text_key").alias("row"), F.col("text_key").alias("key"), "all"))
+    keyed = docs.select(own(docs), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
+    keyed = keyed.select("own", "key", F.xxhash64("doc_id", "source", "key").alias("row"))
+    out = keyed.join(mixed, ["row", "key"]).withColumn("one", F.row_number().over(Window.partitionBy("row", "key").orderBy("row")))
+    out = out.select("own", F.get("all", F.col("one") - 1).alias("times")).where("times > 0")
+    return out.select("own", F.explode(F.expr("sequence(1, cast(times as int))")).alias("copy")).select("own.*")
 
 
 def op6_pivotal_mix(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import table, written
+from folioflow.llm.common import own, table, written
 
 BITS = 64
 RADIUS = 2
@@ -115,11 +115,11 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     in id and text count as one document and one of them stays.
     """
     near = near_duplicates(docs, shingle).where("doc_id <=> component_id")
-    kept = near.groupBy("root", "component_id").agg(F.min("text_key").alias("_key"))
-    kept = written(kept.select(F.xxhash64("component_id", "_key").alias("_row"), "_key").distinct())
-    out = docs.withColumn("_key", text_key()).withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "_key"))
-    once = F.row_number().over(Window.partitionBy("_row", "_key").orderBy("_row"))
-    return out.join(kept, ["_row", "_key"], "left_semi").withColumn("_copy", once).where("_copy = 1").select(*docs.columns)
+    kept = near.groupBy("root", "component_id").agg(F.min("text_key").alias("key"))
+    kept = written(kept.select(F.xxhash64("component_id", "key").alias("row"), "key").distinct())
+    out = docs.select(own(docs), F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key")).withColumn("row", F.xxhash64("doc_id", "key"))
+    once = F.row_number().over(Window.partitionBy("row", "key").orderBy("row"))
+    return out.join(kept, ["row", "key"], "left_semi").withColumn("copy", once).where("copy = 1").select("own.*")
 
 
 def op10_simhash_balls(spark, sf_dir: str) -> DataFrame:
