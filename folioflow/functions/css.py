@@ -120,3 +120,87 @@ def border_shorthand(sides: Column) -> Column:
     names = ("top", "right", "bottom", "left")
     same = F.size(F.array_distinct(sides)) == 1
     return F.when(same, F.concat(F.lit("border:"), F.get(sides, F.lit(0)))).otherwise(F.concat_ws(";", *(F.concat(F.lit(f"border-{n}:"), F.get(sides, F.lit(i))) for i, n in enumerate(names))))
+
+
+# Stroke styles and numbering formats of the source format and their CSS.
+STROKES = {"Solid": "solid", "Dashed": "dashed", "Dotted": "dotted", "Canned Dotted": "dotted", "Japanese Dots": "dotted", "ThickThick": "double", "ThinThin": "double", "ThickThin": "double", "ThinThick": "double"}
+NUMBERING = {"1, 2, 3, 4...": "decimal", "01, 02, 03, 04...": "decimal-leading-zero", "A, B, C, D...": "upper-alpha", "a, b, c, d...": "lower-alpha", "I, II, III, IV...": "upper-roman", "i, ii, iii, iv...": "lower-roman"}
+LIST_TAG = {"NumberedList": "ol", "BulletList": "ul"}
+VERTICAL = {"TopAlign": "vertical-align:top", "CenterAlign": "vertical-align:middle", "BottomAlign": "vertical-align:bottom"}
+
+
+def family_and_style(family: Column, style: Column) -> Column:
+    """A quoted font of family and style; without a family, the weight or slant; D2."""
+    family, style = F.coalesce(family, F.lit("")), F.coalesce(style, F.lit(""))
+    plain = F.when(F.contains(family, F.lit(" ")), F.concat(F.lit("font-family:'"), family, F.lit("'"))).otherwise(F.concat(F.lit("font-family:"), family))
+    styled = F.concat(F.lit("font-family:'"), family, F.lit(" "), style, F.lit("'"))
+    return F.when(family != "", F.when(style.isin("", "Regular"), plain).otherwise(styled)).when(style == "Bold", "font-weight:bold").when(style == "Italic", "font-style:italic")
+
+
+def underline_background(underline: Column, color: Column, offset: Column) -> Column:
+    """A coloured underline as a background; D5."""
+    return F.when(underline & F.startswith(color, F.lit("Color")) & offset.isNotNull(), F.concat(F.lit("background-color:"), color))
+
+
+def ligatures(on: Column) -> Column:
+    """D13."""
+    return F.when(on, "text-rendering:optimizeLegibility;font-variant-ligatures:common-ligatures").otherwise("text-rendering:optimizeSpeed;font-variant-ligatures:none")
+
+
+def skew(own: Column, *inherited: Column) -> Column:
+    """Any tilt, the nearest style's first, is italic; D14."""
+    return F.when(F.coalesce(own, *inherited, F.lit(0)) != 0, "font-style:italic")
+
+
+def first_line(indent: Column) -> Column:
+    """D15."""
+    return F.when(indent != 0, F.format_string("text-indent:%.1fpx", F.round(indent, 1)))
+
+
+def paragraph_padding(before: Column, after: Column) -> Column:
+    """Space before and after, not under 0; D17."""
+    return F.format_string("padding-top:%dpx;padding-bottom:%dpx", *(F.greatest(F.round(x), F.lit(0)).cast("int") for x in (before, after)))
+
+
+def hyphens(on: Column) -> Column:
+    """D18."""
+    return F.when(on == "false", "-webkit-hyphens:none").otherwise("-webkit-hyphens:auto")
+
+
+def bullet(code: Column) -> Column:
+    """The escape of a bullet's code point; D19."""
+    return F.concat(F.lit('content:"\\'), F.lower(F.lpad(F.hex(code), 4, "0")), F.lit('"'))
+
+
+def text_wrap(mode: Column, side: Column, page_side: Column) -> Column:
+    """The float of a wrapped object; sides about the spine depend on the page; D20."""
+    spine = F.when(side == "SideTowardsSpine", F.when(page_side == "left", "float:right").otherwise("float:left")).when(side == "SideAwayFromSpine", F.when(page_side == "left", "float:left").otherwise("float:right"))
+    return F.coalesce(spine, F.when(mode == "None", None).when(side == "LeftSide", "float:right").when(side.isin("BothSides", "RightSide"), "float:left"))
+
+
+def fill(color: Column, enabled: Column) -> Column:
+    """D23."""
+    return F.when(~enabled, "background-color:transparent").when(F.startswith(color, F.lit("linear-gradient")), F.concat(F.lit("background:"), color)).otherwise(F.concat(F.lit("background-color:"), color))
+
+
+def stroke(weight: Column, kind: Column, color: Column, alignment: Column) -> Column:
+    """A border, or a shadow for a stroke outside its box; D24, C18."""
+    px = F.concat(F.round(weight).cast("int").cast("string"), F.lit("px"))
+    style = mapped(F.regexp_replace(kind, r"^StrokeStyle/\$ID/", ""), STROKES, "solid")
+    return F.when(weight <= 0, "border:none").when(alignment == "OutsideAlignment", F.concat(F.lit("box-shadow:0 0 0 "), px, F.lit(" "), color)).otherwise(F.concat(F.lit("border:"), px, F.lit(" "), style, F.lit(" "), color))
+
+
+def layer(z: Column, visible: Column) -> Column:
+    """D34."""
+    return F.concat(F.lit("z-index:"), z.cast("string"), F.when(visible, "").otherwise(";display:none"))
+
+
+def text_shadow(mode: Column, x: Column, y: Column, size: Column, color: Column) -> Column:
+    """D28."""
+    return F.when(mode == "Drop", F.concat(F.format_string("text-shadow:%dpx %dpx %dpx ", x.cast("int"), y.cast("int"), size.cast("int")), color))
+
+
+def rule_text(name: Column, props: Column) -> Column:
+    """``.name { key:value; }`` with the keys in order; K10."""
+    entries = F.transform(F.array_sort(F.map_entries(props)), lambda e: F.concat(e.key, F.lit(":"), e.value, F.lit(";")))
+    return F.concat(F.lit("."), name, F.lit(" { "), F.array_join(entries, " "), F.lit(" }"))

@@ -1,3 +1,3 @@
 """Queries over the driver's tables; importing a module registers its queries."""
 
-from folioflow.plans import flow, html, layout, scalars  # noqa: F401
+from folioflow.plans import flow, html, layout, properties, scalars  # noqa: F401
