@@ -87,9 +87,8 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = F.broadcast(known)
     keyed = rows.select("doc_id", F.xxhash64("text").alias("text_key"), digest(F.col("text")).alias("digest"))
-    # most lines are no notice: those without a word of one are not digested
     line = rows.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(F.split("text", "\n", -1)).alias("line"))
-    line = line.where("lower(line) rlike 'licen[cs]|released|permission|copyright|warrant'").select("doc_id", "text_key", digest(F.col("line")).alias("digest"))
+    line = line.select("doc_id", "text_key", digest(F.col("line")).alias("digest"))
     named = line.join(known, "digest").groupBy("doc_id", "text_key").agg(F.array_join(F.array_sort(F.collect_set("license")), " ").alias("notices"))
     named = named.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "notices")
     out = keyed.join(known, "digest", "left")
@@ -112,7 +111,7 @@ def _sql() -> str:
     quoted = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
     return f"""
 with k as (select {form("t")} as digest, min(n) as license from (values {quoted}) as v(n, t) group by 1),
-l as (select distinct doc_id, k.license from (select doc_id, unnest(string_split(text, chr(10))) as l from documents) x join k on k.digest = {form("l")} where lower(l) similar to '.*(licen[cs]|released|permission|copyright|warrant).*'),
+l as (select distinct doc_id, k.license from (select doc_id, unnest(string_split(text, chr(10))) as l from documents) x join k on k.digest = {form("l")}),
 n as (select doc_id, string_agg(license, ' ' order by license) as notices from l group by 1)
 select d.doc_id, {form("d.text")} as digest, k.license, n.notices from documents d left join k on k.digest = {form("d.text")} left join n on n.doc_id = d.doc_id
 """
