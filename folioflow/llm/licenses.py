@@ -73,7 +73,8 @@ def canonical(text):
 
 
 def digest(text):
-    return F.sha2(F.encode(canonical(text), "UTF-8"), 256)
+    # never null, and said so: else a join on it computes it once more to filter nulls out
+    return F.coalesce(F.sha2(F.encode(canonical(text), "UTF-8"), 256), F.lit(""))
 
 
 def known_digests(spark, known=None) -> DataFrame:
