@@ -64,12 +64,15 @@ def link_kinds(spark, sf_dir):
     return markup.links(pages(spark, sf_dir)).groupBy("page_id", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-_RULES = f"(select page_id, ord, trim(rule, ' ') as rule from {_matches_sql('([a-z.#][^{}<>;]*[{][^}]*[}])', {'rule': 1})})"
+_RULE = "([a-z.#][^{}]*[{][^}]*[}])"
+_RULES = f"""(select page_id, trim(unnest(regexp_extract_all(regexp_extract(html, '(?s)<style>(.*?)</style>', 1), '{_RULE}', 1)), ' ') as rule from pages)"""
 
 
 @query("A5_css_rules", f"select rule, md5(rule) as sig, min(page_id) as first_page, count(*) as uses from {_RULES} group by rule")
 def css_rules(spark, sf_dir):
-    rules = markup.matches(pages(spark, sf_dir), "([a-z.#][^{}<>;]*[{][^}]*[}])", {"rule": 1}).withColumn("rule", F.trim("rule"))
+    # rules are looked for in the style element alone: over a whole page the pattern takes quadratic time
+    sheets = pages(spark, sf_dir).select("page_id", F.regexp_extract("html", "(?s)<style>(.*?)</style>", 1).alias("html"))
+    rules = markup.matches(sheets, _RULE, {"rule": 1}).withColumn("rule", F.trim("rule"))
     return rules.groupBy("rule", F.md5(F.col("rule").cast("binary")).alias("sig")).agg(F.min("page_id").alias("first_page"), F.count("*").alias("uses"))
 
 
