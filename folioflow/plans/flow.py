@@ -50,7 +50,7 @@ def banding(spark, sf_dir):
     return runs.banding(events(spark, sf_dir), _KEYS, _ORDER).select("user_id", "event_id", "band")
 
 
-@query("W11_tab_widths", f"select user_id, event_id, event_id - coalesce(lag(event_id) over {_W}, 0.0) as width, lead(event_id) over {_W} as next_stop from events")
+@query("W11_tab_widths", f"select user_id, event_id, cast(event_id - coalesce(lag(event_id) over {_W}, 0) as double) as width, lead(event_id) over {_W} as next_stop from events")
 def tab_widths(spark, sf_dir):
     return runs.tab_widths(events(spark, sf_dir), _KEYS, _ORDER, "event_id").select("user_id", "event_id", "width", "next_stop")
 

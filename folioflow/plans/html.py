@@ -32,7 +32,7 @@ def headlines(spark, sf_dir):
     return markup.blocks(pages(spark, sf_dir)).where("tag like 'h_'")
 
 
-@query("W9_tag_depth", f"select page_id, max(d) as deepest, arg_max(d, ord) as open_at_end from (select *, sum(case when slash = '' then 1 else -1 end) over (partition by page_id order by ord) as d from {_TAGS}) group by page_id")
+@query("W9_tag_depth", f"select page_id, cast(max(d) as bigint) as deepest, cast(arg_max(d, ord) as bigint) as open_at_end from (select *, sum(case when slash = '' then 1 else -1 end) over (partition by page_id order by ord) as d from {_TAGS}) group by page_id")
 def tag_depth(spark, sf_dir):
     rows = runs.depth(markup.tags(pages(spark, sf_dir)), ["page_id"], ["ord"], F.col("slash") == "", F.col("slash") == "/")
     return rows.groupBy("page_id").agg(F.max("depth").alias("deepest"), F.max_by("depth", "ord").alias("open_at_end"))
@@ -98,13 +98,13 @@ def page_text(spark, sf_dir):
     return rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda s: s.text), "").alias("text"))
 
 
-@query("W4_merged_runs", f"select page_id, run, any_value(tag) as style, string_agg(text, '' order by ord) as text from (select *, sum(new) over (partition by page_id order by ord) as run from (select *, case when lag(tag) over (partition by page_id order by ord) = tag then 0 else 1 end as new from {_BLOCKS})) group by page_id, run")
+@query("W4_merged_runs", f"select page_id, cast(run as bigint) as run, any_value(tag) as style, string_agg(text, '' order by ord) as text from (select *, sum(new) over (partition by page_id order by ord) as run from (select *, case when lag(tag) over (partition by page_id order by ord) = tag then 0 else 1 end as new from {_BLOCKS})) group by page_id, run")
 def merged_runs(spark, sf_dir):
     rows = markup.matches(pages(spark, sf_dir), markup.BLOCKS, {"tag": 1, "text": 2})
     return runs.merged(rows, ["page_id"], ["ord"], F.col("tag"), F.col("text"))
 
 
-@query("W5_list_groups", f"select page_id, island, any_value(tag) as tag, count(*) as items from (select *, sum(new) over (partition by page_id order by ord) as island from (select *, case when lag(tag) over (partition by page_id order by ord) = tag then 0 else 1 end as new from {_BLOCKS})) where tag = 'p' group by page_id, island")
+@query("W5_list_groups", f"select page_id, cast(island as bigint) as island, any_value(tag) as tag, count(*) as items from (select *, sum(new) over (partition by page_id order by ord) as island from (select *, case when lag(tag) over (partition by page_id order by ord) = tag then 0 else 1 end as new from {_BLOCKS})) where tag = 'p' group by page_id, island")
 def list_groups(spark, sf_dir):
     rows = markup.matches(pages(spark, sf_dir), markup.BLOCKS, {"tag": 1, "text": 2})
     return runs.islands(rows, ["page_id"], ["ord"], F.col("tag")).where("tag = 'p'").groupBy("page_id", "island").agg(F.first("tag").alias("tag"), F.count("*").alias("items"))

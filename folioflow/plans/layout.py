@@ -197,7 +197,7 @@ def css_per_page(spark, sf_dir):
     return used.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("p")), " ").alias("css"))
 
 
-@query("A11_merged_maps", "select p_partkey, to_json(case when p_size % 2 = 0 then {'color': p_brand, 'size': p_size::varchar} else {'color': p_brand, 'size': p_type} end) as props from part")
+@query("A11_merged_maps", "select p_partkey, cast(to_json(case when p_size % 2 = 0 then {'color': p_brand, 'size': p_size::varchar} else {'color': p_brand, 'size': p_type} end) as varchar) as props from part")
 def merged_maps(spark, sf_dir):
     over = F.map_filter(F.create_map(F.lit("color"), F.col("p_brand"), F.lit("size"), F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string"))), lambda k, v: v.isNotNull())
     both = styles.merged(over, F.create_map(F.lit("color"), F.lit("none"), F.lit("size"), F.col("p_type")))

@@ -47,4 +47,4 @@ scalar("C41_object_kind", _PART, lambda: css.mapped(_choose(["TextFrame", "Recta
 scalar("C43_reflowable_size", _PART, lambda: c("a") + F.when(_choose(["Group", "Rectangle", "Story"], "b").isin("Group", "Rectangle"), c("n") * 2).otherwise(0), "a + case when b % 3 < 2 then n * 2 else 0 end")
 scalar("C40_left_biased", _PART, lambda: F.coalesce(F.when(c("n") % 2 == 0, c("brand")), c("type")), "case when n % 2 = 0 then brand else type end")
 scalar("P6_div_lines", _PAGES, lambda: F.regexp_replace(c("html"), "(</?div[^>]*>)", "\n$1\n"), "regexp_replace(html, '(</?div[^>]*>)', chr(10) || '\\1' || chr(10), 'g')")
-scalar("S17_info_lines", _DOCS, lambda: F.size(F.filter(F.split(c("text"), "\n"), lambda x: F.contains(x, F.lit(":")))), "len(list_filter(string_split(text, chr(10)), lambda x: contains(x, ':')))")
+scalar("S17_info_lines", _DOCS, lambda: F.size(F.filter(F.split(c("text"), "\n"), lambda x: F.contains(x, F.lit(":")))).cast("long"), "len(list_filter(string_split(text, chr(10)), lambda x: contains(x, ':')))")

@@ -21,6 +21,7 @@ def scalar(name: str, base: str, column, sql: str) -> None:
         rows = spark.read.parquet(f"{sf_dir}/{_TABLE[base]}.parquet").selectExpr(*_split(shaped))
         return rows.select("id", column().alias("value"))
 
+    sql = f"cast({sql} as varchar)" if sql.startswith("to_json(") else sql
     query(name, f"select id, {sql} as value from ({base})")(run)
 
 
