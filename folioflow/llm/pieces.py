@@ -75,25 +75,27 @@ class Encoder:
         """Ids of one chunk. A short chunk's agenda is a list: its least entry, leftmost among equals, comes next."""
         if len(chunk) > LONG:
             return self.cut_long(chunk, variant)
-        ids, pairs, drop = list(map(self.of_char.get, chunk)), self.pairs, self.dropout
+        ids, merged, drop = list(map(self.of_char.get, chunk)), self.pairs.get, self.dropout
         if None in ids:
             ids = [NO_PIECE if i is None else i for i in ids]
         place = list(range(len(ids) + 1))
-        agenda = [pairs.get(a << 16 | b, NEVER) for a, b in zip(ids, ids[1:])]
+        agenda = [merged(a << 16 | b, NEVER) for a, b in zip(ids, ids[1:])]
+        at_place, at_length, spread = MIX
         key = xxhash.xxh64_intdigest(f"{variant}|{chunk}", self.seed) if drop else 0
         while agenda:
             if (best := min(agenda)) == NEVER:
                 break
             i = agenda.index(best)
-            if drop and (key ^ (place[i] * MIX[0] + (place[i + 2] - place[i]) * MIX[1])) * MIX[2] & MASK < drop:
+            here = place[i]
+            if drop and (key ^ (here * at_place + (place[i + 2] - here) * at_length)) * spread & MASK < drop:
                 agenda[i] = NEVER
                 continue
-            ids[i] = best & 0xFFFF
+            ids[i] = made = best & 0xFFFF
             del ids[i + 1], place[i + 1], agenda[i]
             if i < len(agenda):
-                agenda[i] = pairs.get(ids[i] << 16 | ids[i + 1], NEVER)
+                agenda[i] = merged(made << 16 | ids[i + 1], NEVER)
             if i:
-                agenda[i - 1] = pairs.get(ids[i - 1] << 16 | ids[i], NEVER)
+                agenda[i - 1] = merged(ids[i - 1] << 16 | made, NEVER)
         if NO_PIECE not in ids:
             return ids
         return [x for i, at in zip(ids, place) for x in ([i] if i != NO_PIECE else [self.byte[b] for b in chunk[at].encode("utf-8", "surrogatepass")])]
@@ -153,8 +155,12 @@ class Encoder:
             self.memos[variant][chunk] = ids
         return ids
 
+    def decoded(self, ids) -> bytes:
+        """The UTF-8 bytes of the text that was encoded."""
+        return b"".join(map(self.bytes_of.__getitem__, np.asarray(ids).tolist()))[1:]
+
     def decode(self, ids) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, np.asarray(ids).tolist()))[1:].decode("utf-8", "surrogatepass")
+        return self.decoded(ids).decode("utf-8", "surrogatepass")
 
 
 _held: dict = {}
@@ -179,9 +185,9 @@ def _encode(how: dict, columns: int):
                 for t in part.column(columns):
                     text = t.as_py() or ""
                     ids.append(i := enc.encode(text))
-                    back = enc.decode(i)
-                    whole.append(back == text)
-                    sha.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
+                    back = enc.decoded(i)
+                    whole.append(back == text.encode("utf-8", "surrogatepass"))
+                    sha.append(hashlib.sha256(back).hexdigest())
                 offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
                 yield pa.RecordBatch.from_arrays(
