@@ -70,12 +70,10 @@ _TREE = "(select p_partkey as node, case when p_partkey > 0 then p_partkey // 4
 )
 def has_descendant(spark, sf_dir):
     nodes = _t(spark, sf_dir, "part").selectExpr("p_partkey as node", "if(p_partkey > 0, p_partkey div 4, null) as parent", "p_size % 7 = 0 as hit")
-    # hits climb: in each round a node learns of hits in twice as many generations below it
-    have = nodes.select("node", "parent", F.lit(False).alias("has"), F.col("hit").alias("sends"))
-    for _ in range(12):  # more than the depth of a tree of fan-out 4 with 10 million nodes
-        up = have.where("sends and parent is not null").select(F.col("parent").alias("p")).distinct()
-        have = have.join(up, have.node == up.p, "left").select("node", "parent", (F.col("has") | F.col("p").isNotNull()).alias("has"), (F.col("sends") | F.col("p").isNotNull()).alias("sends"))
-    return have.select("node", "has")
+    # a node's path of ancestors comes with it, so hits reach all of them in one shuffle
+    path = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(14)), lambda i: F.floor(F.col("node") / F.pow(F.lit(4.0), i)).cast("long")))
+    above = nodes.where("hit and node > 0").select(F.explode(path).alias("above")).distinct()
+    return nodes.join(above, nodes.node == above.above, "left").select("node", F.col("above").isNotNull().alias("has"))
 
 
 @query("A19_book_structure", f"select user_id, event_id, event_type, max(case when event_type = 'signup' then event_id end) over (partition by user_id order by event_id) as chapter, row_number() over (partition by user_id, event_type order by event_id) as sequence from events where event_type in ('signup', 'view')")
