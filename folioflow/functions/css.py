@@ -204,3 +204,62 @@ def rule_text(name: Column, props: Column) -> Column:
     """``.name { key:value; }`` with the keys in order; K10."""
     entries = F.transform(F.array_sort(F.map_entries(props)), lambda e: F.concat(e.key, F.lit(":"), e.value, F.lit(";")))
     return F.concat(F.lit("."), name, F.lit(" { "), F.array_join(entries, " "), F.lit(" }"))
+
+
+# Alignments that the source format names, and the turns of a cell's text.
+ALIGN = {"CenterAlign": "center", "RightAlign": "right", "LeftAlign": "left", "LeftJustified": "left", "CenterJustified": "center", "RightJustified": "right", "FullyJustified": "justify"}
+TEXT_TURN = {"tbRl": "transform:rotate(90deg);float:right;display:inline-block", "btLr": "transform:rotate(270deg);float:left;display:inline-block"}
+FRAME_VERTICAL = {"BottomAlign": "bottom", "CenterAlign": "middle"}
+
+
+def binding_alignment(value: Column, page_side: Column) -> Column:
+    """Alignment, where the binding's side is that of the page's other edge; C19, D16."""
+    left = page_side == "left"
+    bound = F.when(value == "AwayFromBindingSide", F.when(left, "left").otherwise("right")).when(value == "ToBindingSide", F.when(left, "right").otherwise("left"))
+    return F.coalesce(bound, mapped(value, ALIGN, "left"))
+
+
+def unit(name: Column) -> Column:
+    """C19."""
+    return F.when(name == "pixel", "px").otherwise("pt")
+
+
+def text_turn(direction: Column) -> Column:
+    """Declarations of a cell's turned text, none for upright text; C44."""
+    return mapped(direction, TEXT_TURN, "")
+
+
+def frame_vertical(value: Column) -> Column:
+    """Declarations for the blocks inside a text frame, none at the top; D22."""
+    at = mapped(value, FRAME_VERTICAL, F.lit(None).cast("string"))
+    return F.coalesce(F.concat(F.lit("> div{position:relative;display:table-cell;vertical-align:"), at, F.lit("}")), F.lit(""))
+
+
+def side_stroke(side: str, weight: Column, kind: Column, color: Column) -> Column:
+    """The border of one side of a table or cell; missing parts are 1, solid and black; D29, D30."""
+    px = F.coalesce(weight, F.lit(1.0))
+    style = mapped(F.regexp_replace(F.coalesce(kind, F.lit("Solid")), r"^StrokeStyle/\$ID/", ""), STROKES, "solid")
+    drawn = F.concat(F.lit(f"border-{side}:"), F.round(px).cast("int").cast("string"), F.lit("px "), style, F.lit(" "), F.coalesce(color, F.lit("#000000")))
+    return F.when(px <= 0, f"border-{side}:none").otherwise(drawn)
+
+
+def cell_padding(top: Column, right: Column, bottom: Column, left: Column) -> Column:
+    """Insets of a cell, 0 where missing; D31."""
+    return insets(*(F.coalesce(x, F.lit(0.0)) for x in (top, right, bottom, left)))
+
+
+def clip(on: Column) -> Column:
+    """D33."""
+    return F.when(on == "true", "overflow:hidden")
+
+
+def svg_color(reference: Column, resolved: Column, default: str) -> Column:
+    """A shape's colour; the default for none, and for a gradient, which its parent paints; D35."""
+    nothing = (F.split_part(reference, F.lit("/"), F.lit(-1)) == "None") | F.startswith(reference, F.lit("Gradient/"))
+    return F.when(nothing, default).otherwise(resolved)
+
+
+def padded_rule(selector: Column, declarations: Column) -> Column:
+    """A rule with a line for each entry of ``declarations`` (structs of key and value), keys padded or cut to 26; K11."""
+    lines = F.transform(declarations, lambda d: F.concat(F.lit("\t"), F.rpad(d.key, 26, " "), F.lit(" : "), d.value, F.lit(";")))
+    return F.concat(selector, F.lit(" {\n"), F.array_join(F.concat(lines, F.array(F.lit("}"))), "\n"))

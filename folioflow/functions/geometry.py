@@ -52,3 +52,35 @@ def capped(width: Column, height: Column, pixels: int = 3_100_000) -> Column:
     """A size scaled down so that it has at most ``pixels``; C26."""
     rate = F.least(F.sqrt(F.lit(float(pixels)) / (width * height)), F.lit(1.0))
     return F.struct(F.floor(width * rate).alias("width"), F.floor(height * rate).alias("height"))
+
+
+def size_and_center(b: Column) -> Column:
+    """C21."""
+    return F.struct((b.right - b.left).alias("width"), (b.bottom - b.top).alias("height"), ((b.left + b.right) / 2).alias("x"), ((b.top + b.bottom) / 2).alias("y"))
+
+
+def moved(b: Column, x: Column, y: Column) -> Column:
+    """A box seen from an origin at ``x`` and ``y``; C21."""
+    return box(b.top - y, b.left - x, b.bottom - y, b.right - x)
+
+
+def on_page(b: Column, page: Column, border: Column) -> Column:
+    """left and top of a box within its page, rounded, without its border; C24."""
+    return F.struct((F.round(b.left - page.left) - border).alias("left"), (F.round(b.top - page.top) - border).alias("top"))
+
+
+def _number(v: Column) -> Column:
+    """A number without a useless fraction."""
+    return F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(v.cast("string"))
+
+
+def vertex_points(vertices: Column, b: Column, stroke: Column) -> Column:
+    """Points of a closed shape (structs of x and y) within its box, moved by the stroke; C37."""
+    return F.array_join(F.transform(vertices, lambda v: F.concat(_number(v.x - b.left + stroke), F.lit(","), _number(v.y - b.top + stroke))), " ")
+
+
+def path_points(vertices: Column, b: Column) -> Column:
+    """Path of an open shape (structs of x, y and the left handle lx, ly) within its box; C37."""
+    at = lambda x, y: F.concat(_number(x - b.left), F.lit(","), _number(y - b.top))
+    steps = F.transform(vertices, lambda v, i: F.when(i == 0, F.concat(F.lit("M"), at(v.x, v.y))).otherwise(F.concat(F.lit("Q"), at(v.lx, v.ly), F.lit(" "), at(v.x, v.y))))
+    return F.array_join(steps, " ")

@@ -30,3 +30,77 @@ def tags(pages: DataFrame) -> DataFrame:
 def links(pages: DataFrame) -> DataFrame:
     """page_id, ord, href."""
     return matches(pages, r'href="([^"]*)"', {"href": 1})
+
+
+# Attributes of table elements and the declarations that replace them.
+TABLE_CSS = {"width": "max-width: ", "border": "border: ", "cellpadding": "padding: ", "cellspacing": "border-collapse: separate; border-spacing: "}
+MATHML, XHTML = "http://www.w3.org/1998/Math/MathML", "http://www.w3.org/1999/xhtml"
+#: Elements that mean something though empty.
+KEPT_EMPTY = ("head", "body", "col", "td", "img")
+_PIECES = r"(?i)<(?:table|tbody|thead|tr|td)\b[^>]*>|[^<]+|<"
+_EMPTY = r'(?i)<(?!(?:%s)\b)(?!span\b[^>]*style="[^"]*\b(?:width|height)\s*:\s*0*[1-9])([a-z][a-z0-9]*)(?:\s[^>]*)?></\1>' % "|".join(KEPT_EMPTY)
+#: A rule of a numbered style; its selector ends at the first brace, so that no rule takes in the next one.
+RULES = r"[\n\r]+\.((?:text|common_span|common)_style\d+)[^\d{}]*\{[^}]*\}"
+#: Classes that keep an editor's item in the output.
+KEEPERS = ("chaucer-widget-item", "chaucer-shape-item", "chaucer-img-item", "chaucer-video-item", "chaucer-audio-item")
+
+
+def _attribute(tag, name: str):
+    """An attribute's trimmed value, null if it isn't there."""
+    found = rf'(?i)\s{name}\s*=\s*"([^"]*)"'
+    return F.when(tag.rlike(found), F.trim(F.regexp_extract(tag, found, 1)))
+
+
+def table_styles(html):
+    """Attributes of table elements become declarations after those of their style; P3."""
+
+    def styled(tag):
+        added = [F.concat(F.lit(css), F.nullif(_attribute(tag, name), F.lit(""))) for name, css in TABLE_CSS.items()]
+        style = F.concat_ws("; ", F.nullif(_attribute(tag, "style"), F.lit("")), *added)
+        bare = F.regexp_replace(tag, r'(?i)\s(?:%s)\s*=\s*"[^"]*"' % "|".join([*TABLE_CSS, "style"]), "")
+        end = F.regexp_replace(bare, r"\s*/?>$", "")
+        return F.when(F.length(style) > 3, F.concat(end, F.lit(' style="'), style, F.lit('">'))).otherwise(F.concat(end, F.lit(">")))
+
+    changes = lambda p: p.rlike(r'(?i)^<[^>]*\s(?:%s)\s*=\s*"' % "|".join(TABLE_CSS))
+    return F.array_join(F.transform(F.regexp_extract_all(html, F.lit(_PIECES), F.lit(0)), lambda p: F.when(changes(p), styled(p)).otherwise(p)), "")
+
+
+def math_namespace(html):
+    """A MathML prefix becomes a namespace attribute of its elements; without one, ``math`` gets it; P4.
+
+    Elements inside an XHTML annotation get XHTML's namespace.
+    """
+    declared = rf'(?i)(<html\b[^>]*?)\s+xmlns:([A-Za-z]\w*)="{MATHML}"'
+    prefix = F.regexp_extract(html, declared, 2)
+    bare = F.regexp_replace(F.regexp_replace(html, declared, "$1"), F.concat(F.lit("</"), prefix, F.lit(":")), F.lit("</"))
+    named = F.regexp_replace(bare, F.concat(F.lit("<"), prefix, F.lit(r":([A-Za-z][\w-]*)")), F.lit(f'<$1 xmlns="{MATHML}"'))
+    out = F.when(prefix != "", named).otherwise(F.regexp_replace(html, r"<math\b(?![^>]*\sxmlns=)", f'<math xmlns="{MATHML}"'))
+    parts = F.split(out, r"(?=<annotation-xml\b)|(?<=</annotation-xml>)")
+    inner = lambda p: F.regexp_replace(p, r"<(?!annotation-xml\b)([A-Za-z][\w-]*)(?![^>]*\sxmlns=)", f'<$1 xmlns="{XHTML}"')
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r'^<annotation-xml\b[^>]*encoding="application/xhtml\+xml"'), inner(p)).otherwise(p)), "")
+
+
+def pruned(html):
+    """Without elements that have no content, from the inside out until none is left; F12.
+
+    A span with a width or height stays, as do the elements of ``KEPT_EMPTY``. A round that finds nothing ends the
+    work: later ones only pass the text on.
+    """
+    start = F.struct(html.alias("h"), F.lit(True).alias("more"))
+    rounds = F.regexp_count(html, F.lit(r"></")) + 1
+    step = lambda s, _: F.when(s.more & s.h.rlike(_EMPTY), F.struct(F.regexp_replace(s.h, _EMPTY, "").alias("h"), F.lit(True).alias("more"))).otherwise(F.struct(s.h.alias("h"), F.lit(False).alias("more")))
+    return F.aggregate(F.sequence(F.lit(1), rounds), start, step, lambda s: s.h)
+
+
+def used_rules(css, html):
+    """The rules of numbered styles whose class a division of the page has, in order; F13, A7."""
+    lists = F.regexp_extract_all(html, F.lit(r'<div\b[^>]*\bclass="([^"]*)"'), F.lit(1))
+    used = F.array_distinct(F.flatten(F.transform(lists, lambda c: F.split(F.trim(c), r"\s+"))))
+    rules = F.regexp_extract_all(css, F.lit(RULES), F.lit(0))
+    return F.array_join(F.filter(rules, lambda r: F.array_contains(used, F.regexp_extract(r, RULES, 1))), "")
+
+
+def is_artefact(classes):
+    """Whether a class list is that of an editor's item that isn't kept; F14."""
+    names = F.split(F.coalesce(classes, F.lit("")), r"\s+")
+    return F.array_contains(names, "chaucer-item") & ~F.arrays_overlap(names, F.array(*(F.lit(k) for k in KEEPERS)))

@@ -40,7 +40,7 @@ scalar("F4_markup_tag", _PART, lambda: F.when(c("n") % 2 == 0, F.regexp_replace(
 scalar("F6_visibility", _PART, lambda: F.lower(_choose(["true", "False", "TRUE", "n"])) == "true", "a % 4 in (0, 2)")
 scalar("F10_degenerate_shape", _PART, lambda: F.size(F.sequence(F.lit(0), c("n") % 4)) >= 2, "n % 4 >= 1")
 scalar("F21_numbered_paragraph", _PART, lambda: F.coalesce((c("a") % 3 > 0) & (c("b") % 4 >= 1), F.lit(False)), "a % 3 > 0 and b % 4 >= 1")
-scalar("F22_toc_cell", _DOCS, lambda: F.trim(F.regexp_replace(F.substring(c("text"), 1, 3), "</?b>|</?i>|<br ?/?>", "")) != "", "trim(regexp_replace(left(text, 3), '</?b>|</?i>|<br ?/?>', '', 'g'), ' ') <> ''")
+scalar("F22_toc_cell", _DOCS, lambda: F.trim(F.regexp_replace(c("text"), "</?b>|</?i>|<br ?/?>", "")) != "", "trim(regexp_replace(text, '</?b>|</?i>|<br ?/?>', '', 'g'), ' ') <> ''")
 scalar("C2_escape", _DOCS, lambda: text.escape(F.concat(c("source"), F.lit(" & <b> &amp;"))), "source || ' &amp; &lt;b&gt; &amp;'")
 scalar("C29_tag_parts", _PART, lambda: F.concat_ws("|", *(F.regexp_extract(F.concat(F.lit("p."), c("brand"), F.lit('{"a":1}#'), c("n").cast("string")), r"^([^.{]*)\.([^{]*)(\{.*\})#([0-9]+)$", i) for i in (1, 2, 3, 4))), "'p|' || brand || '|{\"a\":1}|' || n")
 scalar("C41_object_kind", _PART, lambda: css.mapped(_choose(["TextFrame", "Rectangle", "Group", "Oval"]), {"TextFrame": "text frame", "Rectangle": "rectangle", "Group": "group"}, "unknown"), _case(_pick(["TextFrame", "Rectangle", "Group", "Oval"]), {"TextFrame": "text frame", "Rectangle": "rectangle", "Group": "group"}, "'unknown'"))
