@@ -24,8 +24,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the least id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates, of five words and a similarity of 0.8: that with the least id."""
+    return simhash.keep_one_similar(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,13 @@ least member alone (checked by its Hamming distance), which keeps components who
 without all pairs of a group. A ball holds at most 65 distinct fingerprints, whatever
 the number of documents, because equal fingerprints are merged before the shuffle.
 
+Texts of a given similarity differ in more bits than a ball of 64-bit variants can reach.
+``similar`` therefore hashes balls of several short fingerprints of word pairs, and then
+verifies every colliding pair: the shared part of both texts' sets of word shingles, all of
+them. A fingerprint's texts are linked to one of them, and the (at most ``TABLE_BITS + 1``)
+fingerprints of a ball to one of these, chosen anew by a hash in every table and ball, so
+no group is expanded into pairs and a large group still has many links.
+
 Null and blank texts have fingerprint zero and are linked like any other. Repeated
 rows share a fingerprint. A null ``doc_id`` is ignored as a component's least id; a
 component with no other id has a null ``component_id``.
@@ -27,6 +34,7 @@ from folioflow.llm.common import own, table, written
 
 BITS = 64
 RADIUS = 2
+TABLES, TABLE_BITS = 5, 32
 _WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
@@ -108,13 +116,98 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return rows.join(written(of), "fp").select("doc_id", "fp", "text_key", "root", "component_id")
 
 
+def table_fingerprints(text: str | None, tables: int = TABLES, shingle: int = 2) -> list[int]:
+    """A fingerprint of ``TABLE_BITS`` bits for each table, from the distinct word pairs of a text."""
+    words = _WORDS.findall((text or "").encode("utf-8", "surrogatepass").lower())
+    if not words:
+        return [0] * tables
+    grams = list({b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))})
+    seeds, counts = range(-(-tables * TABLE_BITS // 128)), []
+    for seed in seeds:
+        count = np.zeros(128, np.int64)
+        for at in range(0, len(grams), 1 << 14):
+            h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(g, seed) for g in grams[at : at + (1 << 14)]), np.uint8)
+            count += np.unpackbits(h.reshape(-1, 16), axis=1).sum(0, dtype=np.int64)
+        counts.append(count)
+    return np.packbits(np.concatenate(counts) * 2 > len(grams)).view("<u4")[:tables].astype(np.int64).tolist()
+
+
+def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's word shingles; that of the whole text where it has fewer words; none for no words."""
+    words = _WORDS.findall((text or "").encode("utf-8", "surrogatepass").lower())
+    grams = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else ()
+    return np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), np.uint64, len(grams)).view(np.int64)
+
+
+def _list_batches(of, keys: int):
+    """Adds a list of longs, ``of`` the text that is the last column, to the first ``keys`` columns."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                lists = pa.array([of(t.as_py()) for t in part.column(keys)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:keys], lists], [*part.schema.names[:keys], "list"])
+
+    return run
+
+
+def candidate_links(texts: DataFrame) -> DataFrame:
+    """u, v with u > v: texts that share a ball, for ``texts(text_key, list)``, the fingerprints in ``list``."""
+    seats = texts.select("text_key", F.posexplode("list").alias("t", "fp")).select("text_key", F.expr("shiftleft(cast(t as long), 40) | fp").alias("seat"))
+    seats = written(seats)
+    heads = written(seats.groupBy("seat").agg(F.min_by("text_key", F.xxhash64("text_key", "seat")).alias("head")))
+    within = seats.join(heads, "seat").select(F.col("text_key").alias("a"), F.col("head").alias("b"))
+    balls = heads.select("head", F.explode(F.expr(f"array_append(transform(sequence(0, {TABLE_BITS - 1}), i -> seat ^ shiftleft(1L, i)), seat)")).alias("ball"))
+    top = F.first("head").over(Window.partitionBy("ball").orderBy(F.xxhash64("head", "ball"), "head"))
+    between = balls.select(F.col("head").alias("a"), top.alias("b"))
+    return within.union(between).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = TABLES) -> DataFrame:
+    """doc_id, text_key, root, component_id for each row of ``docs``: groups of texts linked at ``similarity`` or more.
+
+    Similarity is the Jaccard coefficient of the sets of ``shingle`` words. Equal texts are one; blank ones are alike.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
+    rows = written(texts.mapInArrow(_list_batches(lambda t: table_fingerprints(t, tables), 2), "doc_id long, text_key long, list array<long>"))
+    least = written(rows.groupBy("text_key").agg(F.min("doc_id").alias("least_id"), F.first("list").alias("list")))
+    pairs = written(candidate_links(least.select("text_key", "list")))
+    # only texts with a candidate are read again, one row of each
+    asked = pairs.select(F.col("u").alias("text_key")).union(pairs.select(F.col("v").alias("text_key"))).distinct()
+    asked = written(least.join(asked, "text_key").select(F.col("least_id").alias("_id"), F.col("text_key").alias("_key")))
+    wanted = texts.join(asked, (texts.text_key == F.col("_key")) & texts.doc_id.eqNullSafe(F.col("_id")), "left_semi").select("text_key", "text")
+    sets = written(wanted.mapInArrow(_list_batches(lambda t: shingle_hashes(t, shingle), 1), "text_key long, list array<long>"))
+    sets = sets.groupBy("text_key").agg(F.first("list").alias("list"))
+    both = pairs.join(sets.select(F.col("text_key").alias("u"), F.col("list").alias("su")), "u").join(sets.select(F.col("text_key").alias("v"), F.col("list").alias("sv")), "v")
+    shared = both.select("u", "v", F.size("su").alias("nu"), F.size("sv").alias("nv"), F.size(F.array_intersect("su", "sv")).alias("n"))
+    edges = written(shared.where(F.expr(f"n >= {similarity} * (nu + nv - n)")).select("u", "v"))
+    ids = least.select("text_key", "least_id")
+    if edges.isEmpty():
+        return rows.select("doc_id", "text_key").join(ids.select("text_key", F.col("text_key").alias("root"), F.col("least_id").alias("component_id")), "text_key")
+    of = ids.join(components(edges), F.col("text_key") == F.col("node"), "left").select("text_key", "least_id", F.coalesce("root", "text_key").alias("root"))
+    of = written(of)
+    whole = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = written(of.join(whole, "root").select("text_key", "root", "component_id"))
+    return rows.select("doc_id", "text_key").join(named, "text_key")
+
+
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """The rows of ``docs`` with one document for each group of near-duplicates: that with the least id.
 
     Where several rows of the group have that id (or none has one), the least ``text_key`` decides; rows equal
     in id and text count as one document and one of them stays.
     """
-    near = near_duplicates(docs, shingle).where("doc_id <=> component_id")
+    return _kept(docs, near_duplicates(docs, shingle))
+
+
+def keep_one_similar(docs: DataFrame, **how) -> DataFrame:
+    """As ``keep_one``, for the groups of ``similar``."""
+    return _kept(docs, similar(docs, **how))
+
+
+def _kept(docs: DataFrame, near: DataFrame) -> DataFrame:
+    near = near.where("doc_id <=> component_id")
     kept = near.groupBy("root", "component_id").agg(F.min("text_key").alias("key"))
     kept = written(kept.select(F.xxhash64("component_id", "key").alias("row"), "key").distinct())
     out = docs.select(own(docs), F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key")).withColumn("row", F.xxhash64("doc_id", "key"))

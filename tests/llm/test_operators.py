@@ -436,3 +436,50 @@ def test_simhash_odd(spark, odd, none):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and sorted((r.doc_id or 0 for r in kept.collect())) == sorted({0 if r.component_id is None else r.component_id for r in got})
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
+
+
+def test_similar_groups_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for n in (8, 40, 90, 200, 400):
+        for _ in range(6):
+            base = [rng.choice(vocabulary) for _ in range(n)]
+            texts.append(" ".join(base))
+            for edits in (1, 1, 2):
+                near = list(base)
+                for _ in range(edits * max(1, n // 90)):
+                    near[rng.randrange(n)] = rng.choice(vocabulary)
+                texts.append(" ".join(near))
+    texts += [texts[0], texts[0].upper(), "", " ", None, "one two", "one  two"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [set(simhash.shingle_hashes(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if not sets[i] and not sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    assert set(got) == set(range(len(texts)))
+    # no text joins one that it isn't linked to, and nearly all links are found
+    assert all(find(i) == find(got[i]) for i in got)
+    linked = [i for i in got if find(i) != i]
+    assert len(linked) > 40 and sum(got[i] == find(i) for i in linked) >= 0.9 * len(linked)
+    assert {r.doc_id for r in simhash.keep_one_similar(docs).collect()} == set(got.values())
+
+
+def test_similar_handles_nulls_repeats_and_empty_tables(spark):
+    odd = spark.createDataFrame([(None, None, 1), (None, "", 2), (1, "a b c", 3), (1, "a b c", 3), (1, "d e f", 4)], "doc_id long, text string, root long")
+    kept = simhash.keep_one_similar(odd)
+    assert kept.columns == odd.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (1, "a b c"), (1, "d e f")]
+    none = odd.where("false")
+    assert simhash.similar(none).count() == 0 and simhash.keep_one_similar(none).count() == 0
