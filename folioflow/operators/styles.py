@@ -38,3 +38,17 @@ def flattened(styles: DataFrame, levels: int = 64) -> DataFrame:
         have = have.join(up, have.up == up.up_style, "left").select("style", F.when(F.col("up_style").isNull(), F.col("props")).otherwise(merged(F.col("props"), F.col("up_props"))).alias("props"), F.col("up_up").alias("up"))
         seen *= 2
     return have.select("style", "props")
+
+
+def ancestry(nodes: DataFrame, levels: int = 64) -> DataFrame:
+    """node, styles: the applied styles from each node to its root, the node's own first; D37.
+
+    ``nodes``: node, parent, style (null for none). Doubled like ``flattened``.
+    """
+    have = nodes.select("node", F.array_compact(F.array("style")).alias("styles"), F.col("parent").alias("up"))
+    seen = 1
+    while seen < levels:
+        up = have.select(F.col("node").alias("_n"), F.col("styles").alias("_s"), F.col("up").alias("_u"))
+        have = have.join(up, have.up == up["_n"], "left").select("node", F.concat("styles", F.coalesce("_s", F.array().cast("array<string>"))).alias("styles"), F.col("_u").alias("up"))
+        seen *= 2
+    return have.select("node", "styles")

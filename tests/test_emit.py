@@ -1,9 +1,10 @@
 """Edge cases of markup that is written, rewritten and cleaned."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import word
-from folioflow.operators import emit, markup
+from folioflow.operators import emit, filters, markup
 
 
 def one(spark, column, **values):
@@ -49,3 +50,9 @@ def test_styles_that_are_not_there(spark):
     assert one(spark, word.style(F.col("x")), x="") == ""
     assert one(spark, word.style(F.col("x")), x="<w:style><w:rPr><w:bCs/></w:rPr></w:style>") == "margin-top:0px;margin-bottom:0px"
     assert one(spark, word.borders(F.col("x")), x="<w:tcBorders/>") == ""
+
+
+def test_another_source_type_ends_the_job(spark):
+    rows = spark.createDataFrame([("epub",), (None,)], "kind string")
+    with pytest.raises(Exception, match="expected a source of type idml"):
+        filters.checked_type(rows, F.col("kind"), "idml").collect()
