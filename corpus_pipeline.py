@@ -28,6 +28,11 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.keep_one(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of ``simhash_stage``'s documents those that are also the least of their group of five words and a similarity of 0.8."""
+    return simhash.keep_one_of_both(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix of sources takes it."""
     return mixing.take(docs)
@@ -41,7 +46,7 @@ def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [
     ("toxicity", toxicity_stage),
     ("line_dedup", line_stage),
-    ("simhash", simhash_stage),
+    ("simhash", near_stage),
     ("mixing", mixing_stage),
     ("pieces", pieces_stage),
 ]

@@ -10,10 +10,11 @@ the number of documents, because equal fingerprints are merged before the shuffl
 
 Texts of a given similarity differ in more bits than a ball of 64-bit variants can reach.
 ``similar`` therefore hashes balls of several short fingerprints of word pairs, and then
-verifies every colliding pair: the shared part of both texts' sets of word shingles, all of
-them. A fingerprint's texts are linked to one of them, and the (at most ``TABLE_BITS + 1``)
+verifies colliding pairs: the shared part of both texts' sets of word shingles, all of
+them. A fingerprint's texts are compared to one of them, and the (at most ``TABLE_BITS + 1``)
 fingerprints of a ball to one of these, chosen anew by a hash in every table and ball, so
-no group is expanded into pairs and a large group still has many links.
+a large group isn't expanded into pairs. Where that leaves texts of one ball in different
+groups, all pairs of the ball across those groups are verified too, so no link is lost.
 
 Null and blank texts have fingerprint zero and are linked like any other. Repeated
 rows share a fingerprint. A null ``doc_id`` is ignored as a component's least id; a
@@ -152,18 +153,54 @@ def _list_batches(of, keys: int):
     return run
 
 
-def candidate_links(texts: DataFrame) -> DataFrame:
-    """u, v with u > v: texts that share a ball, for ``texts(text_key, list)``, the fingerprints in ``list``."""
-    seats = texts.select("text_key", F.posexplode("list").alias("t", "fp")).select("text_key", F.expr("shiftleft(cast(t as long), 40) | fp").alias("seat"))
-    seats = written(seats)
+def text_seats(texts: DataFrame) -> DataFrame:
+    """text_key, seat for ``texts(text_key, list)``: each fingerprint in ``list`` with its table's number above it."""
+    return texts.select("text_key", F.posexplode("list").alias("t", "fp")).select("text_key", F.expr("shiftleft(cast(t as long), 40) | fp").alias("seat"))
+
+
+def _in_balls(seats: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and ball: each row of ``seats`` in all balls of its seat."""
+    return seats.select(*keep, F.explode(F.expr(f"array_append(transform(sequence(0, {TABLE_BITS - 1}), i -> seat ^ shiftleft(1L, i)), seat)")).alias("ball"))
+
+
+def candidate_links(seats: DataFrame) -> DataFrame:
+    """u, v with u > v: the texts of ``seats(text_key, seat)`` with the heads of their seats, and these with the heads of their balls."""
     heads = written(seats.groupBy("seat").agg(F.min_by("text_key", F.xxhash64("text_key", "seat")).alias("head")))
     within = seats.join(heads, "seat").select(F.col("text_key").alias("a"), F.col("head").alias("b"))
-    balls = heads.select("head", F.explode(F.expr(f"array_append(transform(sequence(0, {TABLE_BITS - 1}), i -> seat ^ shiftleft(1L, i)), seat)")).alias("ball"))
+    balls = _in_balls(heads, "head")
     top = F.first("head").over(Window.partitionBy("ball").orderBy(F.xxhash64("head", "ball"), "head"))
     between = balls.select(F.col("head").alias("a"), top.alias("b"))
     return within.union(between).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
+def links_across(seats: DataFrame, edges: DataFrame) -> DataFrame:
+    """u, v with u > v: all pairs of texts that share a ball and that ``edges(u, v)`` leaves in different groups."""
+    if edges.isEmpty():
+        rooted = seats.withColumn("root", F.col("text_key"))
+    else:
+        rooted = seats.join(components(edges), F.col("text_key") == F.col("node"), "left").select("text_key", "seat", F.coalesce("root", "text_key").alias("root"))
+    rooted = written(rooted)
+    balls = _in_balls(rooted.groupBy("seat").agg(F.min("root").alias("low"), F.max("root").alias("high")), "seat", "low", "high")
+    mixed = balls.groupBy("ball").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("ball")
+    members = written(_in_balls(rooted, "text_key", "root").join(written(mixed), "ball").distinct())
+    a, b = (members.select("ball", F.col("text_key").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv")
+    return a.join(b, "ball").where("u > v and root_u <> root_v").select("u", "v").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(u, v)`` whose ``sets(text_key, list)`` have a Jaccard coefficient of ``similarity`` or more."""
+    both = pairs.join(sets.select(F.col("text_key").alias("u"), F.col("list").alias("su")), "u").join(sets.select(F.col("text_key").alias("v"), F.col("list").alias("sv")), "v")
+    shared = both.select("u", "v", F.size("su").alias("nu"), F.size("sv").alias("nv"), F.size(F.array_intersect("su", "sv")).alias("n"))
+    return shared.where(F.expr(f"n >= {similarity} * (nu + nv - n)")).select("u", "v")
+
+
+def all_links(seats: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """u, v: verified links of texts that share a ball, which hold every group together; ``pairs`` are their ``candidate_links``."""
+    first = written(verified(pairs, sets, similarity))
+    more = links_across(seats, first).join(pairs, ["u", "v"], "left_anti")
+    return written(first.union(verified(more, sets, similarity)))
+
+
 def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = TABLES) -> DataFrame:
     """doc_id, text_key, root, component_id for each row of ``docs``: groups of texts linked at ``similarity`` or more.
 
@@ -172,16 +209,15 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
     rows = written(texts.mapInArrow(_list_batches(lambda t: table_fingerprints(t, tables), 2), "doc_id long, text_key long, list array<long>"))
     least = written(rows.groupBy("text_key").agg(F.min("doc_id").alias("least_id"), F.first("list").alias("list")))
-    pairs = written(candidate_links(least.select("text_key", "list")))
+    seats = written(text_seats(least.select("text_key", "list")))
+    pairs = written(candidate_links(seats))
     # only texts with a candidate are read again, one row of each
     asked = pairs.select(F.col("u").alias("text_key")).union(pairs.select(F.col("v").alias("text_key"))).distinct()
     asked = written(least.join(asked, "text_key").select(F.col("least_id").alias("_id"), F.col("text_key").alias("_key")))
     wanted = texts.join(asked, (texts.text_key == F.col("_key")) & texts.doc_id.eqNullSafe(F.col("_id")), "left_semi").select("text_key", "text")
     sets = written(wanted.mapInArrow(_list_batches(lambda t: shingle_hashes(t, shingle), 1), "text_key long, list array<long>"))
     sets = sets.groupBy("text_key").agg(F.first("list").alias("list"))
-    both = pairs.join(sets.select(F.col("text_key").alias("u"), F.col("list").alias("su")), "u").join(sets.select(F.col("text_key").alias("v"), F.col("list").alias("sv")), "v")
-    shared = both.select("u", "v", F.size("su").alias("nu"), F.size("sv").alias("nv"), F.size(F.array_intersect("su", "sv")).alias("n"))
-    edges = written(shared.where(F.expr(f"n >= {similarity} * (nu + nv - n)")).select("u", "v"))
+    edges = all_links(seats, pairs, sets, similarity)
     ids = least.select("text_key", "least_id")
     if edges.isEmpty():
         return rows.select("doc_id", "text_key").join(ids.select("text_key", F.col("text_key").alias("root"), F.col("least_id").alias("component_id")), "text_key")
@@ -206,13 +242,19 @@ def keep_one_similar(docs: DataFrame, **how) -> DataFrame:
     return _kept(docs, similar(docs, **how))
 
 
-def _kept(docs: DataFrame, near: DataFrame) -> DataFrame:
-    near = near.where("doc_id <=> component_id")
-    kept = near.groupBy("root", "component_id").agg(F.min("text_key").alias("key"))
-    kept = written(kept.select(F.xxhash64("component_id", "key").alias("row"), "key").distinct())
+def keep_one_of_both(docs: DataFrame, **how) -> DataFrame:
+    """The rows that both ``keep_one`` and ``keep_one_similar`` keep: of texts linked by either, the least always stays."""
+    return _kept(docs, near_duplicates(docs), similar(docs, **how))
+
+
+def _kept(docs: DataFrame, *nears: DataFrame) -> DataFrame:
     out = docs.select(own(docs), F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key")).withColumn("row", F.xxhash64("doc_id", "key"))
+    for near in nears:
+        kept = near.where("doc_id <=> component_id").groupBy("root", "component_id").agg(F.min("text_key").alias("key"))
+        kept = written(kept.select(F.xxhash64("component_id", "key").alias("row"), "key").distinct())
+        out = out.join(kept, ["row", "key"], "left_semi")
     once = F.row_number().over(Window.partitionBy("row", "key").orderBy("row"))
-    return out.join(kept, ["row", "key"], "left_semi").withColumn("copy", once).where("copy = 1").select("own.*")
+    return out.withColumn("copy", once).where("copy = 1").select("own.*")
 
 
 def op10_simhash_balls(spark, sf_dir: str) -> DataFrame:

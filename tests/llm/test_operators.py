@@ -483,3 +483,24 @@ def test_similar_handles_nulls_repeats_and_empty_tables(spark):
     assert kept.columns == odd.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (1, "a b c"), (1, "d e f")]
     none = odd.where("false")
     assert simhash.similar(none).count() == 0 and simhash.keep_one_similar(none).count() == 0
+
+
+def test_similar_links_texts_that_are_no_heads(spark):
+    # two pairs of like texts in one seat, two in the seats of one ball: no head is in more than one pair
+    sets = {k: list(range(100 * (k // 2), 100 * (k // 2) + 20)) for k in range(8)}
+    texts = spark.createDataFrame([(k, [7 if k < 4 else 1 << 20 | k % 2]) for k in sets], "text_key long, list array<long>")
+    seats = simhash.text_seats(texts)
+    lists = spark.createDataFrame(list(sets.items()), "text_key long, list array<long>")
+    links = simhash.all_links(seats, simhash.candidate_links(seats), lists, 0.8)
+    assert {(r.u, r.v) for r in links.collect()} == {(1, 0), (3, 2), (5, 4), (7, 6)}
+
+
+def test_pipeline_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    words = [f"word{i}" for i in range(200)]
+    edited = [w if i not in (60, 140) else "other" for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited)), (3, "something else"), (4, " ".join(words))], "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["simhash"]
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {1, 2, 3}
+    assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == [1, 3]
