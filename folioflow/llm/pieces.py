@@ -2,16 +2,17 @@
 
 The pieces and their scores are read from a trained model file; nothing is trained. An agenda
 holds the candidate merges of neighbouring symbols; the best score, then the leftmost, comes
-first. Each candidate is skipped with probability ``dropout`` by a hash of the seed, the
-chunk's variant, the chunk and the candidate's place, so equal keys give equal segmentations
-anywhere and at any time. Characters without a piece become bytes, and a literal U+2581
+first. Each candidate that comes is skipped with probability ``dropout``, by a hash of the
+seed, the whole text, the chunk's number and how many skips came before in the chunk: the
+hash gives the number of candidates up to the next skip. So equal texts have equal
+segmentations anywhere and at any time, and each occurrence of a word has its own skips.
+Characters without a piece become bytes, and a literal U+2581
 becomes bytes too, so every text decodes to itself.
 
 No piece has a space after another character, so merges never cross from a word into the
 next one's spaces: a text is cut there (and at line ends, which have no piece) into chunks
-without changing the result, and short chunks are kept in a bounded memo. A chunk's variant
-comes from a hash of the whole text and the chunk's number, modulo ``variants``; one word is
-thus cut in several ways within a text.
+without changing the result. A chunk's segmentation depends on nothing but the chunk and which
+of its candidates are skipped, so short chunks are kept by these in a bounded memo.
 
 Null texts are encoded as the empty text, which has no tokens. One row at a time, without a
 shuffle. The model's path is a parameter and must be there on every executor.
@@ -24,6 +25,7 @@ import heapq
 import os
 import re
 from array import array
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +37,23 @@ from folioflow.llm.common import table
 
 MODEL = os.environ.get("FOLIOFLOW_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE, LITERAL = "▁", "￿▁"
-#: Odd multipliers that spread a candidate's place over 64 bits.
+#: Odd multipliers that spread a chunk's number and a skip's over 64 bits.
 MIX, MASK = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD), 2**64 - 1
-NO_PIECE, NEVER, LONG = 0xFFFF, 1 << 62, 64
+NO_PIECE, NEVER, LONG, SHORT, KEPT_SKIPS = 0xFFFF, 1 << 62, 64, 32, 2
 _CHUNKS = re.compile(r" *[^ \n]+| +|\n+")
 
 
 class Encoder:
-    def __init__(self, path: str = MODEL, dropout: float = 0.1, seed: int = 1, variants: int = 4, memo_rows: int = 160_000):
+    def __init__(self, path: str = MODEL, dropout: float = 0.1, seed: int = 1, memo_rows: int = 400_000):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
-        self.dropout, self.seed, self.variants, self.memo_rows = int(dropout * 2**64), seed, variants, memo_rows
+        self.seed, self.memo_rows = seed, memo_rows
+        #: Ascending shares of 2**64: a hash below n of them stands for n candidates that aren't skipped before one that is.
+        self.drops, ahead = 1 - dropout < 1, np.empty(0, np.uint64)
+        if self.drops and dropout < 1:
+            ahead = (2.0**64 * (1 - dropout) ** np.arange(int(-64 * np.log(2) / np.log1p(-dropout)), 0, -1)).astype(np.uint64)
+        self.ahead, self.ahead_list = ahead, ahead.tolist()
         self.rank, self.byte, self.bytes_of = {}, [0] * 256, []
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
@@ -67,28 +74,51 @@ class Encoder:
         if len(self.bytes_of) >= NO_PIECE:
             raise ValueError("the model has too many pieces")
         self.pairs = {ids[p[:k]] << 16 | ids[p[k:]]: order[p] << 16 | i for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
-        # a memo for each variant, and the one before it, from which what is still used moves over
-        self.memos: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.older: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        # [ids as bytes, candidates, {next skip: the like} or None] of chunks without a skip; and the memo before, from which what is still used moves over
+        self.memo: dict[str, list] = {}
+        self.older: dict[str, list] = {}
+        self.held = 0
 
-    def cut(self, chunk: str, variant: int) -> list[int]:
-        """Ids of one chunk. A short chunk's agenda is a list: its least entry, leftmost among equals, comes next."""
+    def gaps(self, keys: np.ndarray, skip: int) -> np.ndarray:
+        """For each key, the number of candidates that aren't skipped between a chunk's skips ``skip - 1`` and ``skip``."""
+        x = keys + np.uint64((skip + 1) * MIX[1] & MASK)
+        x = (x ^ x >> np.uint64(33)) * np.uint64(MIX[2])
+        x = (x ^ x >> np.uint64(33)) * np.uint64(MIX[0])
+        return len(self.ahead) - np.searchsorted(self.ahead, x ^ x >> np.uint64(33), "right")
+
+    def gap(self, key: int, skip: int) -> int:
+        """``gaps`` of one key."""
+        x = key + (skip + 1) * MIX[1] & MASK
+        x = (x ^ x >> 33) * MIX[2] & MASK
+        x = (x ^ x >> 33) * MIX[0] & MASK
+        return len(self.ahead_list) - bisect_right(self.ahead_list, x ^ x >> 33)
+
+    def cut(self, chunk: str, key: int) -> list[int]:
+        """Ids of one chunk with the skips of ``key``."""
+        return self.agenda(chunk, key, self.gap(key, 0) if self.drops else NEVER)[0]
+
+    def agenda(self, chunk: str, key: int, skip: int) -> tuple[list[int], int, list[int]]:
+        """Ids of one chunk, how many candidates came, and which were skipped; the first to be skipped is ``skip``.
+
+        A short chunk's agenda is a list: its least entry, leftmost among equals, comes next.
+        """
         if len(chunk) > LONG:
-            return self.cut_long(chunk, variant)
-        ids, merged, drop = list(map(self.of_char.get, chunk)), self.pairs.get, self.dropout
+            return self.heap(chunk, key, skip)
+        ids, merged = list(map(self.of_char.get, chunk)), self.pairs.get
         if None in ids:
             ids = [NO_PIECE if i is None else i for i in ids]
         place = list(range(len(ids) + 1))
         agenda = [merged(a << 16 | b, NEVER) for a, b in zip(ids, ids[1:])]
-        at_place, at_length, spread = MIX
-        key = xxhash.xxh64_intdigest(f"{variant}|{chunk}", self.seed) if drop else 0
+        came, skipped = 0, []
         while agenda:
             if (best := min(agenda)) == NEVER:
                 break
             i = agenda.index(best)
-            here = place[i]
-            if drop and (key ^ (here * at_place + (place[i + 2] - here) * at_length)) * spread & MASK < drop:
+            came += 1
+            if came > skip:
                 agenda[i] = NEVER
+                skipped.append(skip)
+                skip += 1 + self.gap(key, len(skipped))
                 continue
             ids[i] = made = best & 0xFFFF
             del ids[i + 1], place[i + 1], agenda[i]
@@ -96,25 +126,32 @@ class Encoder:
                 agenda[i] = merged(made << 16 | ids[i + 1], NEVER)
             if i:
                 agenda[i - 1] = merged(ids[i - 1] << 16 | made, NEVER)
-        if NO_PIECE not in ids:
-            return ids
-        return [x for i, at in zip(ids, place) for x in ([i] if i != NO_PIECE else [self.byte[b] for b in chunk[at].encode("utf-8", "surrogatepass")])]
+        if NO_PIECE in ids:
+            ids = [x for i, at in zip(ids, place) for x in ([i] if i != NO_PIECE else [self.byte[b] for b in chunk[at].encode("utf-8", "surrogatepass")])]
+        return ids, came, skipped
 
-    def cut_long(self, chunk: str, variant: int) -> list[int]:
-        """Ids of one chunk by a heap, for chunks of any length."""
+    def cut_long(self, chunk: str, key: int) -> list[int]:
+        """As ``cut``, by a heap."""
+        return self.heap(chunk, key, self.gap(key, 0) if self.drops else NEVER)[0]
+
+    def heap(self, chunk: str, key: int, skip: int) -> tuple[list[int], int, list[int]]:
+        """As ``agenda``, by a heap, for chunks of any length."""
         s: list = [SPACE if c == " " else LITERAL if c == SPACE else c for c in chunk]
-        n, rank, digest, drop = len(s), self.rank, xxhash.xxh64_intdigest, self.dropout
+        n, rank = len(s), self.rank
         before, after, agenda = list(range(-1, n - 1)), list(range(1, n + 1)), []
         for i in range(n - 1):
             if (r := rank.get(s[i] + s[i + 1])) is not None:
                 agenda.append((r[0], i, i + 1, s[i] + s[i + 1]))
         heapq.heapify(agenda)
-        key = digest(f"{variant}|{chunk}", self.seed) if drop else 0
+        came, skipped = 0, []
         while agenda:
             _, i, j, merged = heapq.heappop(agenda)
             if s[i] is None or s[j] is None or after[i] != j or s[i] + s[j] != merged:
                 continue
-            if drop and (key ^ (i * MIX[0] + len(merged) * MIX[1])) * MIX[2] & MASK < drop:
+            came += 1
+            if came > skip:
+                skipped.append(skip)
+                skip += 1 + self.gap(key, len(skipped))
                 continue
             s[i], s[j] = merged, None
             k = after[i] = after[j]
@@ -131,29 +168,66 @@ class Encoder:
                     out.append(r[1])
                 else:
                     out.extend(self.byte[b] for b in (SPACE if x == LITERAL else x).encode("utf-8", "surrogatepass"))
-        return out
+        return out, came, skipped
+
+    def keys(self, text: str, n: int) -> np.ndarray:
+        """The keys of a text's ``n`` chunks."""
+        at = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed)
+        return np.uint64(at) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(MIX[0])
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        chunks, v = _CHUNKS.findall(" " + text), self.variants
-        at = xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass"), self.seed)
-        parts: list = [None] * len(chunks)
-        for k in range(min(v, len(chunks))):
-            parts[k::v] = map(self.memos[(at + k) % v].get, chunks[k::v])
-        if None in parts:
-            parts = [self.missed(chunks[k], (at + k) % v) if p is None else p for k, p in enumerate(parts)]
+        chunks = _CHUNKS.findall(" " + text)
+        keys = self.keys(text, len(chunks))
+        at = self.gaps(keys, 0) if self.drops else np.full(len(chunks), NEVER)
+        found = list(map(self.memo.get, chunks))
+        if None in found:
+            found = [self.missed(chunks[k], int(keys[k]), int(at[k])) if x is None else x for k, x in enumerate(found)]
+        parts = [x[0] for x in found]
+        if self.drops:
+            # those with another skip before their last candidate go on to what is kept for it
+            open_ = np.flatnonzero(at < np.fromiter([x[1] for x in found], np.int64, len(found)))
+            at = at[open_]
+            for skip in range(KEPT_SKIPS + 1):
+                if not len(open_):
+                    break
+                first, nodes = at if not skip else first[more], []
+                for k, a, f in zip(open_.tolist(), at.tolist(), first.tolist()):
+                    if not (below := found[k][2]) or (x := below.get(a)) is None:
+                        x = self.kept(chunks[k], int(keys[k]), f, found[k], skip + 1, a)
+                    found[k], parts[k] = x, x[0]
+                    nodes.append(x[1])
+                at = at + 1 + self.gaps(keys[open_], skip + 1)
+                more = at < np.array(nodes)
+                open_, at = open_[more], at[more]
         return np.frombuffer(b"".join(parts), np.int32)
 
-    def missed(self, chunk: str, variant: int) -> bytes:
-        """The ids of a chunk that the newer memo doesn't have, as bytes."""
-        if (ids := self.memos[variant].get(chunk) or self.older[variant].get(chunk)) is None:
-            ids = array("i", self.cut(chunk, variant)).tobytes()
-        if len(chunk) <= 32:
-            if len(self.memos[variant]) >= self.memo_rows:
-                self.older[variant], self.memos[variant] = self.memos[variant], {}
-            self.memos[variant][chunk] = ids
-        return ids
+    def missed(self, chunk: str, key: int, first: int) -> list:
+        """What the newer memo doesn't have: the chunk without a skip, or, closed by no candidates, with all skips of ``key``."""
+        if (x := self.memo.get(chunk)) is not None:
+            return x
+        if (x := self.older.get(chunk)) is None:
+            ids, came, skipped = self.agenda(chunk, key, first)
+            x = [array("i", ids).tobytes(), 0 if skipped else came, None]
+            if skipped or len(chunk) > SHORT:
+                return x
+        if self.held >= self.memo_rows:
+            self.older, self.memo, self.held = self.memo, {}, 0
+        self.memo[chunk] = x
+        self.held += 1 + sum(1 + len(y[2] or ()) for y in (x[2] or {}).values())
+        return x
+
+    def kept(self, chunk: str, key: int, first: int, above: list, skips: int, at: int) -> list:
+        """As ``missed``, for a chunk whose skip ``skips`` comes at ``at``; ``above`` is what is kept without that one."""
+        ids, came, skipped = self.agenda(chunk, key, first)
+        x = [array("i", ids).tobytes(), 0 if len(skipped) > skips else came, None]
+        if len(skipped) == skips <= KEPT_SKIPS and len(chunk) <= SHORT:
+            if above[2] is None:
+                above[2] = {}
+            above[2][at] = x
+            self.held += 1
+        return x
 
     def decoded(self, ids) -> bytes:
         """The UTF-8 bytes of the text that was encoded."""

@@ -373,6 +373,23 @@ def test_pieces_are_lossless_and_varied(docs):
     assert e.encode("same text").tolist() == pieces.Encoder(dropout=0.3).encode("same text").tolist()
 
 
+def test_pieces_vary_each_occurrence_of_a_word():
+    e, word = pieces.Encoder(), " unbelievably"
+    texts = [f"text {i}:" + word * 40 for i in range(100)]
+    whole, cuts, came, skipped = e.agenda(word, 0, pieces.NEVER)[0], set(), 0, 0
+    for t in texts:
+        chunks = pieces._CHUNKS.findall(" " + t)
+        keys = e.keys(t, len(chunks)).tolist()
+        # the memo changes nothing
+        assert e.encode(t).tolist() == [i for c, k in zip(chunks, keys) for i in e.cut(c, k)]
+        for k in keys[-40:]:
+            ids, n, gone = e.agenda(word, k, e.gap(k, 0))
+            cuts.add(tuple(ids))
+            came, skipped = came + n, skipped + len(gone)
+    assert tuple(whole) in cuts and len(cuts) > 20
+    assert abs(skipped / came - 0.1) < 0.01
+
+
 def test_pieces_odd(spark, odd, none):
     got = pieces.encode(odd).collect()
     assert len(got) == len(ODD) and all(r.lossless and r.n_tokens == len(r.tokens) for r in got)
