@@ -9,10 +9,11 @@ The states' tables have a proven bound and are broadcast; counts of rare words a
 joined by a shuffle, and as no rare word is among the most frequent, no key of that join
 is hot.
 
-Training. The states start from a few iterations on a bounded sample of texts
-(``sample``); then each of ``passes`` Baum-Welch passes runs the scaled forward-backward
-recursion on every training text, sums the expected counts in each partition, then across
-partitions, and re-estimates. Word counts cover all training texts.
+Training. The states start from a few iterations on a bounded sample of distinct texts
+(``sample``); then each Baum-Welch pass runs the scaled forward-backward recursion on
+every training text, sums the expected counts in each partition, then across partitions,
+and re-estimates. Passes go on until one finds the likelihood less than ``settled`` (log10
+a token) above the last one's. Word counts cover all training texts.
 
 Texts are tokenised once, to a table in the shared folder: symbols, and the rare words.
 Null texts are empty: their one token is the end. Without training rows all counts are
@@ -69,6 +70,11 @@ def forward(b: Batch, start, trans, emit) -> np.ndarray:
 
 def expected(b: Batch, start, trans, emit):
     """Expected counts of first states, of transitions, and of states by symbol (symbols x states)."""
+    return expected_and_likelihood(b, start, trans, emit)[:3]
+
+
+def expected_and_likelihood(b: Batch, start, trans, emit):
+    """As ``expected``, and the log10 likelihood of all sequences."""
     k = len(start)
     alpha, scale = np.empty((len(b.flat), k), np.float32), np.empty(len(b.flat), np.float32)
     a = None
@@ -89,7 +95,7 @@ def expected(b: Batch, start, trans, emit):
             new[: len(beta)] = w @ back
         beta = new
         alpha[at] *= beta  # now the posterior
-    return alpha[b.starts].sum(0, dtype=float), pairs * trans, np.stack([np.bincount(b.flat, alpha[:, j], len(emit)) for j in range(k)], 1)
+    return alpha[b.starts].sum(0, dtype=float), pairs * trans, np.stack([np.bincount(b.flat, alpha[:, j], len(emit)) for j in range(k)], 1), float(np.log10(scale).sum(dtype=float))
 
 
 def batches_of(seqs, most: int = 600_000):
@@ -162,22 +168,49 @@ def _expect(model):
     def run(batches):
         start, trans, emit = model.value
         k = len(start)
-        first, pairs, by = np.zeros(k), np.zeros((k, k)), np.zeros_like(emit)
+        first, pairs, by, likelihood, n = np.zeros(k), np.zeros((k, k)), np.zeros_like(emit), np.zeros((1, k)), np.zeros((1, k))
         seqs = (np.frombuffer(s.as_buffer(), "<u2") for b in batches for s in b.column(0))
         for part in batches_of(seqs):
-            f, p, s = expected(Batch(part), start, trans, emit)
+            f, p, s, got = expected_and_likelihood(Batch(part), start, trans, emit)
+            likelihood[0, 0] += got
+            n[0, 0] += sum(map(len, part))
             first += f
             pairs += p
             by += s
         seen = np.flatnonzero(by.any(1))
-        rows = np.concatenate([by[seen], first[None], pairs])
-        keys = np.concatenate([seen, [-1], -2 - np.arange(k)])
+        rows = np.concatenate([by[seen], first[None], pairs, likelihood, n])
+        keys = np.concatenate([seen, [-1], -2 - np.arange(k + 2)])
         for at in range(0, len(keys), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 20_000], pa.int32()), *(pa.array(rows[at : at + 20_000, j].copy()) for j in range(k))], ["symbol", *(f"s{j}" for j in range(k))])
 
     return run
 
 
+def start_texts(train: DataFrame, sample: int) -> list[np.ndarray]:
+    """The symbols of ``sample`` distinct texts of ``train(symbols)``, those with the least hashes."""
+    keyed = train.select("symbols", F.xxhash64("symbols").alias("key"))
+    keys = [r.key for r in keyed.select("key").distinct().orderBy("key").limit(sample).collect()]
+    some = keyed.where(F.col("key").isin(keys)).groupBy("key").agg(F.first("symbols").alias("symbols")).orderBy("key").collect()
+    return [np.frombuffer(r.symbols, "<u2") for r in some]
+
+
+def baum_welch(train: DataFrame, model, share: np.ndarray, settled: float):
+    """The model after passes over all of ``train(symbols)`` until the likelihood settles, and the log10 likelihood a token that each pass found."""
+    sc, k, found = train.sparkSession.sparkContext, len(model[0]), []
+    names = [f"s{j}" for j in range(k)]
+    while len(found) < 2 or found[-1] - found[-2] >= settled:
+        sent = sc.broadcast(model)
+        got = train.mapInArrow(_expect(sent), "symbol int, " + ", ".join(f"{n} double" for n in names))
+        got = got.groupBy("symbol").agg(*(F.sum(n).alias(n) for n in names)).toPandas().set_index("symbol").sort_index()
+        sent.unpersist()
+        by = np.zeros((len(share), k))
+        known = got[got.index >= 0]
+        by[known.index] = known.to_numpy()
+        model = reestimate(got.loc[-1].to_numpy(), got.loc[[-2 - j for j in range(k)]].to_numpy(), by, share)
+        found.append(got.loc[-2 - k, "s0"] / got.loc[-3 - k, "s0"])
+    return model, found
+
+
 def _score(model, tables):
     def run(batches):
         start, trans, emit = model.value
@@ -198,7 +231,7 @@ def _score(model, tables):
     return run
 
 
-def score_texts(docs: DataFrame, held_out, states: int = 8, top: int = 48_000, classes: int = 512, sample: int = 300, warm: int = 10, passes: int = 1, seed: int = 11) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, states: int = 8, top: int = 48_000, classes: int = 512, sample: int = 300, warm: int = 10, settled: float = 0.002, seed: int = 11) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``.
 
     ``held_out``: a column over ``docs``; rows where it is false train. ``top + classes`` is under 65,536.
@@ -230,20 +263,12 @@ def score_texts(docs: DataFrame, held_out, states: int = 8, top: int = 48_000, c
 
     tokens = written(rows.mapInArrow(_symbols(sc.broadcast(vocab), classes), "row long, doc_id long, held_out boolean, n_tokens long, symbols binary, rare array<binary>"))
     train = tokens.where("not held_out").select("symbols")
-    some = tokens.where("not held_out").select("symbols", F.xxhash64("symbols").alias("key")).orderBy("key").limit(sample).select("symbols").collect()
     model = begin(states, share, seed)
-    if some:
-        some = Batch([np.frombuffer(r.symbols, "<u2") for r in some])
+    if some := start_texts(train, sample):
+        some = Batch(some)
         for _ in range(warm):
             model = reestimate(*expected(some, *model), share)
-        names = [f"s{j}" for j in range(states)]
-        for _ in range(passes):
-            got = train.mapInArrow(_expect(sc.broadcast(model)), "symbol int, " + ", ".join(f"{n} double" for n in names))
-            got = got.groupBy("symbol").agg(*(F.sum(n).alias(n) for n in names)).toPandas().set_index("symbol").sort_index()
-            by = np.zeros((len(share), states))
-            known = got[got.index >= 0]
-            by[known.index] = known.to_numpy()
-            model = reestimate(got.loc[-1].to_numpy(), got.loc[[-2 - j for j in range(states)]].to_numpy(), by, share)
+        model, _ = baum_welch(train, model, share, settled)
     scored = tokens.select("row", "doc_id", "held_out", "symbols", "n_tokens").mapInArrow(
         _score(sc.broadcast(model), sc.broadcast((base, minus))), "row long, doc_id long, held_out boolean, n_tokens long, own double, logp double"
     )

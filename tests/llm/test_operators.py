@@ -161,6 +161,17 @@ def test_hmm_odd(spark, odd, none):
     assert all(r.n_known == 0 for r in hmm.score_texts(odd, F.lit(True)).collect())
 
 
+def test_hmm_starts_from_distinct_texts_and_trains_until_settled(spark):
+    rng = np.random.default_rng(5)
+    texts = [np.where(np.arange(30) % 2, rng.integers(1, 10, 30), rng.integers(10, 20, 30)).astype("<u2").tobytes() for _ in range(50)]
+    train = spark.createDataFrame([(t,) for t in [texts[0]] * 500 + texts], "symbols binary")
+    assert {s.tobytes() for s in hmm.start_texts(train, 40)} <= set(texts) and len(hmm.start_texts(train, 40)) == 40
+    share = np.full(20, 0.05)
+    _, found = hmm.baum_welch(train, hmm.begin(2, share, 1), share, 0.002)
+    gains = np.diff(found)
+    assert len(found) > 2 and (gains[:-1] >= 0.002).all() and gains[-1] < 0.002
+
+
 def test_hmm_shares_sum_to_one():
     """Over all seen words, an unseen one of each class and the end, one-token probabilities add up to 1."""
     emit = hmm.begin(3, np.full(20, 0.05), 1)[2]
