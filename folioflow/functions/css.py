@@ -71,9 +71,14 @@ def word_spacing(percent: Column) -> Column:
     return F.when(percent == 100, "word-spacing:normal").otherwise(F.concat(F.lit("word-spacing:"), percent.cast("string"), F.lit("%")))
 
 
+def number(value: Column) -> Column:
+    """A number as text, without a fraction of zero."""
+    return F.regexp_replace(value.cast("double").cast("string"), r"\.0$", "")
+
+
 def tracking(thousandths: Column) -> Column:
     """D10."""
-    return F.when(thousandths == 0, "letter-spacing:normal").otherwise(F.format_string("letter-spacing:%.3fem", thousandths / 1000.0))
+    return F.when(thousandths == 0, "letter-spacing:normal").otherwise(F.concat(F.lit("letter-spacing:"), number(thousandths / 1000.0), F.lit("em")))
 
 
 def baseline(shift: Column) -> Column:
@@ -83,7 +88,7 @@ def baseline(shift: Column) -> Column:
 
 def opacity(percent: Column) -> Column:
     """D26."""
-    return F.format_string("opacity:%.1f", F.round(percent / 100.0, 1))
+    return F.concat(F.lit("opacity:"), number(F.round(percent / 100.0, 1)))
 
 
 def insets(top: Column, right: Column, bottom: Column, left: Column, name: str = "padding") -> Column:
@@ -104,15 +109,38 @@ def leading(size: Column, value: Column, auto: Column) -> Column:
     return F.when(value == "Auto", F.concat(F.lit("line-height:"), F.coalesce(auto, F.lit(120)).cast("string"), F.lit("%"))).otherwise(F.concat(F.lit("line-height:"), value, F.lit("px")))
 
 
-def shadow(x: Column, y: Column, spread: Column, color: Column, inner: bool = False) -> Column:
-    """D27."""
-    blur = F.pow(100.0 - spread, F.lit(0.25))
-    return F.concat(F.lit("box-shadow:" + "inset " * inner), F.format_string("%dpx %dpx %.2fpx ", x.cast("int"), y.cast("int"), blur), color)
+def shadow(drop: Column, inner: Column, x: Column, y: Column, angle: Column, size: Column, spread: Column, rgb: Column) -> Column:
+    """A drop shadow, or else an inner one, null where neither is on; D27.
+
+    ``drop`` is the mode Drop or None, ``inner`` true or false. Offsets are 7, size and blur 5 and the colour black where
+    null; a positive ``angle`` turns the offsets round. A higher spread blurs less.
+    """
+    turn = F.when(F.coalesce(angle, F.lit(0)) > 0, -1).otherwise(1)
+    place = lambda v: F.concat((F.coalesce(v.cast("int"), F.lit(7)) * turn).cast("string"), F.lit("px "))
+    blur = F.coalesce(number(F.round(F.pow(100.0 - spread, F.lit(0.25)), 13)), F.lit("5"))
+    color = F.concat(F.lit("rgba("), F.array_join(F.coalesce(rgb.cast("array<string>"), F.array(*[F.lit("0")] * 3)), ","), F.lit(",0.75) "))
+    out = F.concat(F.lit("box-shadow:"), place(x), place(y), blur, F.lit("px "), F.coalesce(number(size), F.lit("5")), F.lit("px "), color)
+    return F.when(drop == "Drop", out).when(inner == "true", F.concat(out, F.lit("inset")))
+
+
+CORNERS = ("top-left", "top-right", "bottom-left", "bottom-right")
+
 
+def corners(options: list[Column], radii: list[Column], option: Column, radius: Column) -> Column:
+    """The radii of a box's corners; D25.
 
-def corner(option: Column, radius: Column) -> Column:
-    """D25."""
-    return F.when(option.isin("None", "Square"), F.lit(0.0)).otherwise(radius)
+    ``options`` and ``radii`` are of the corners as in ``CORNERS``, Square and 0 where null; where all four agree in both,
+    the general ``option`` and ``radius`` hold instead. Any option but Square and None rounds a corner; a general Square does too.
+    """
+    options, radii = [F.coalesce(o, F.lit("Square")) for o in options], [F.round(F.coalesce(r, F.lit(0.0)), 2) for r in radii]
+    agree = lambda xs: (xs[0] == xs[1]) & (xs[1] == xs[2]) & (xs[2] == xs[3])
+    square = [o.isin("Square", "None") for o in options]
+    px = [F.concat(number(r), F.lit("px")) for r in radii]
+    radius = F.round(F.coalesce(radius, F.lit(0.0)), 2)
+    general = F.when((radius != 0) & (F.coalesce(option, F.lit("Square")) != "None"), F.concat(F.lit("border-radius:"), number(radius), F.lit("px")))
+    short = F.concat(F.lit("border-radius:"), F.concat_ws(" ", px[0], px[1], px[3], px[2]))
+    each = F.concat_ws(";", *(F.concat(F.lit(f"border-{n}-radius:"), F.when(s, "0").otherwise(p)) for n, s, p in zip(CORNERS, square, px)))
+    return F.when(agree(options) & agree(radii), general).when(~(square[0] | square[1] | square[2] | square[3]), short).otherwise(each)
 
 
 def border_shorthand(sides: Column) -> Column:
@@ -154,7 +182,7 @@ def skew(own: Column, *inherited: Column) -> Column:
 
 def first_line(indent: Column) -> Column:
     """D15."""
-    return F.when(indent != 0, F.format_string("text-indent:%.1fpx", F.round(indent, 1)))
+    return F.when(indent != 0, F.concat(F.lit("text-indent:"), number(F.round(indent, 1)), F.lit("px")))
 
 
 def paragraph_padding(before: Column, after: Column) -> Column:
@@ -172,10 +200,19 @@ def bullet(code: Column) -> Column:
     return F.concat(F.lit('content:"\\'), F.lower(F.lpad(F.hex(code), 4, "0")), F.lit('"'))
 
 
-def text_wrap(mode: Column, side: Column, page_side: Column) -> Column:
-    """The float of a wrapped object; sides about the spine depend on the page; D20."""
+def text_wrap(mode: Column, side: Column, page_side: Column, *offsets: Column) -> Column:
+    """The float of a wrapped object, sides about the spine by the page, and the margins of others; D20.
+
+    ``offsets``: top, left, bottom, right, as written, 0 where null; four equal ones are one margin.
+    """
     spine = F.when(side == "SideTowardsSpine", F.when(page_side == "left", "float:right").otherwise("float:left")).when(side == "SideAwayFromSpine", F.when(page_side == "left", "float:left").otherwise("float:right"))
-    return F.coalesce(spine, F.when(mode == "None", None).when(side == "LeftSide", "float:right").when(side.isin("BothSides", "RightSide"), "float:left"))
+    floats = F.when(mode == "None", None).when(side == "LeftSide", "float:right").when(side.isin("BothSides", "RightSide"), "float:left")
+    if offsets:
+        px = [F.concat(F.coalesce(o, F.lit("0")), F.lit("px")) for o in offsets]
+        same = (px[0] == px[1]) & (px[1] == px[2]) & (px[2] == px[3])
+        margins = F.when(same, F.concat(F.lit("margin:"), px[0])).otherwise(F.concat_ws(";", *(F.concat(F.lit(f"margin-{n}:"), p) for n, p in zip(("top", "left", "bottom", "right"), px))))
+        floats = F.concat(floats, F.lit(";"), margins)
+    return F.coalesce(spine, floats)
 
 
 def fill(color: Column, enabled: Column) -> Column:
@@ -196,8 +233,8 @@ def layer(z: Column, visible: Column) -> Column:
 
 
 def text_shadow(mode: Column, x: Column, y: Column, size: Column, color: Column) -> Column:
-    """D28."""
-    return F.when(mode == "Drop", F.concat(F.format_string("text-shadow:%dpx %dpx %dpx ", x.cast("int"), y.cast("int"), size.cast("int")), color))
+    """Lengths as they are written; D28."""
+    return F.when(mode == "Drop", F.concat(F.lit("text-shadow:"), x, F.lit("px "), y, F.lit("px "), size, F.lit("px "), color))
 
 
 def rule_text(name: Column, props: Column) -> Column:
@@ -263,3 +300,13 @@ def padded_rule(selector: Column, declarations: Column) -> Column:
     """A rule with a line for each entry of ``declarations`` (structs of key and value), keys padded or cut to 26; K11."""
     lines = F.transform(declarations, lambda d: F.concat(F.lit("\t"), F.rpad(d.key, 26, " "), F.lit(" : "), d.value, F.lit(";")))
     return F.concat(selector, F.lit(" {\n"), F.array_join(F.concat(lines, F.array(F.lit("}"))), "\n"))
+
+
+def indent_em(size: Column, base: int = 18, step: float = 9.0) -> Column:
+    """Indentation of a nested list in em, by how much its size differs from the base; W19."""
+    return F.when(size == base, 0).otherwise(F.round((size - base) / step + 2).cast("int"))
+
+
+def indent_px(width: Column, columns: Column) -> Column:
+    """Indentation in hundredths of a quarter of a column; null for no columns; W19."""
+    return (width / F.nullif(columns, F.lit(0)) / 4.0 * 100).cast("long")

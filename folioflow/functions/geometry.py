@@ -84,3 +84,8 @@ def path_points(vertices: Column, b: Column) -> Column:
     at = lambda x, y: F.concat(_number(x - b.left), F.lit(","), _number(y - b.top))
     steps = F.transform(vertices, lambda v, i: F.when(i == 0, F.concat(F.lit("M"), at(v.x, v.y))).otherwise(F.concat(F.lit("Q"), at(v.lx, v.ly), F.lit(" "), at(v.x, v.y))))
     return F.array_join(steps, " ")
+
+
+def reflowable_size(own: Column, kind: Column, extent: Column) -> Column:
+    """A flowing page's size with an element: shapes and groups add their extent, text none; C43."""
+    return own + F.when(kind.isin("Group", "Rectangle"), extent).otherwise(0)

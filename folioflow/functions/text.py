@@ -92,3 +92,19 @@ def attributes(pairs: Column) -> Column:
     """Serialises a map's non-empty entries by name; C38."""
     kept = F.filter(F.array_sort(F.map_entries(pairs)), lambda e: F.coalesce(e.value, F.lit("")) != "")
     return F.array_join(F.transform(kept, lambda e: F.concat(e.key, F.lit('="'), e.value, F.lit('"'))), " ")
+
+
+def tag_parts(tag: Column) -> Column:
+    """name, class, attributes and number of a tag like ``p.quote{"a":1}#12``, empty where it is no such tag; C29."""
+    part = lambda i: F.regexp_extract(tag, r"^([^.{]*)\.([^{]*)(\{.*\})#([0-9]+)$", i)
+    return F.struct(part(1).alias("name"), part(2).alias("class"), part(3).alias("attributes"), part(4).alias("number"))
+
+
+def kept_attribute(value: Column, allowed: Column, other: Column) -> Column:
+    """An attribute's value where it isn't empty and is ``allowed``, else the ``other``; A22."""
+    return F.when((F.coalesce(value, F.lit("")) != "") & allowed, value).otherwise(other)
+
+
+def progress(done: Column, all_: Column) -> Column:
+    """The share of work that is done, 1 at most; C42."""
+    return F.least(done / all_, F.lit(1.0))

@@ -17,9 +17,14 @@ def parsable(tag: Column) -> Column:
     return tag.isin(*PARSABLE)
 
 
+def is_type(kind: Column, expected: str) -> Column:
+    """Whether a source is of the type ``expected``; none is of no type; F2."""
+    return kind.eqNullSafe(F.lit(expected))
+
+
 def checked_type(rows: DataFrame, kind: Column, expected: str) -> DataFrame:
     """``rows``; a row of another source type than ``expected`` ends the job; F2."""
-    right = F.when(kind.eqNullSafe(F.lit(expected)), True).otherwise(F.raise_error(F.concat(F.lit(f"expected a source of type {expected}, not "), F.coalesce(kind, F.lit("none")))).cast("boolean"))
+    right = F.when(is_type(kind, expected), True).otherwise(F.raise_error(F.concat(F.lit(f"expected a source of type {expected}, not "), F.coalesce(kind, F.lit("none")))).cast("boolean"))
     return rows.where(right)
 
 
@@ -64,3 +69,33 @@ def instruction(kind: Column, page: Column, fixed: Column) -> Column:
 def crop(offset: Column, ppi: Column) -> Column:
     """Points to pixels of an image; K13."""
     return F.round(offset * ppi / 72.0)
+
+
+def markup_tag(applied: Column) -> Column:
+    """The tag's name of an applied markup tag, null for none; F4."""
+    return F.regexp_extract(F.when(applied.rlike("^XMLTag/."), applied), "^XMLTag/(.*)$", 1)
+
+
+def is_visible(value: Column) -> Column:
+    """Whether an attribute of visibility says true, in any case; F6."""
+    return F.lower(value) == "true"
+
+
+def unchanged(rows: DataFrame, kind: Column, dropped: tuple[str, ...]) -> DataFrame:
+    """Without the rows of tracked changes of the kinds ``dropped``; a row without a kind stays; F7."""
+    return rows.where(~F.coalesce(kind.isin(*dropped), F.lit(False)))
+
+
+def drawable(points: Column) -> Column:
+    """Whether a shape has two points or more; F10."""
+    return F.coalesce(F.size(points), F.lit(0)) >= 2
+
+
+def is_numbered(list_id: Column, level: Column) -> Column:
+    """Whether a paragraph belongs to a list: it has one, and a level in it; F21."""
+    return F.coalesce((list_id > 0) & (level >= 0), F.lit(False))
+
+
+def has_entry(cell: Column) -> Column:
+    """Whether a contents cell has more than formatting and breaks; F22."""
+    return F.trim(F.regexp_replace(cell, "</?b>|</?i>|<br ?/?>", "")) != ""

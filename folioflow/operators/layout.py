@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.operators import closure, lookup
+
 
 def first_match(left: DataFrame, right: DataFrame, on: Column, keys: list[str], order: list) -> DataFrame:
     """Each left row with the first right row that matches; J1, J2, J19."""
@@ -40,18 +42,42 @@ def filled(rows: DataFrame, more: DataFrame, key: str, columns: list[str]) -> Da
     return out.select(*(c for c in rows.columns if c not in columns), *(F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"_{c}")).alias(c) for c in columns))
 
 
-def ancestors(nodes: DataFrame, keep: Column, levels: int = 64) -> DataFrame:
-    """node, ancestor: the nearest proper ancestor for which ``keep`` holds, null if none; J16.
+def ancestors(nodes: DataFrame, keep: Column, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """``keys``, node, ancestor: the nearest proper ancestor for which ``keep`` holds, null if none; J16.
+
+    ``nodes``: ``keys``, node, parent and what ``keep`` reads.
+    """
+    return closure.above(nodes, F.when(keep, F.col("node")), F.coalesce, "ancestor", keys)
+
+
+def translations(nodes: DataFrame, shift: Column, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """``keys``, node, shift: the sum of the shifts of each node and its ancestors; C23."""
+    return closure.folded(nodes, shift, lambda a, b: a + b, "shift", keys)
+
+
+def master_chain(pages: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """``keys``, node, masters, base: how many masters a page is based on, and the last of them; J10.
 
-    ``nodes``: node, parent and what ``keep`` reads. Pointers to kept parents stay; others are
-    doubled until they reach one or the root.
+    ``pages``: ``keys``, node, parent (the master a page or master is based on).
     """
-    rows = nodes.select("node", "parent", F.coalesce(keep, F.lit(False)).alias("kept"))
-    parents = rows.select(F.col("node").alias("p"), F.col("kept").alias("p_kept"), F.col("parent").alias("p_parent"))
-    have = rows.join(parents, rows.parent == parents.p, "left").select("node", F.col("p").alias("at"), F.coalesce("p_kept", F.col("p").isNull()).alias("done"))
-    seen = 1
-    while seen < levels:
-        hop = have.select(F.col("node").alias("h"), F.col("at").alias("h_at"), F.col("done").alias("h_done"))
-        have = have.join(hop, (have.at == hop.h) & ~have.done, "left").select("node", F.when(F.col("done"), F.col("at")).otherwise(F.col("h_at")).alias("at"), F.coalesce(F.col("done") | F.col("h_done"), F.lit(True)).alias("done"))
-        seen *= 2
-    return have.select("node", F.col("at").alias("ancestor"))
+    both = lambda a, b: F.struct((a.n + b.n).alias("n"), b.base.alias("base"))
+    chain = closure.folded(pages, F.struct(F.lit(1).cast("long").alias("n"), F.col("node").alias("base")), both, "_chain", keys)
+    return chain.select(*keys, "node", (F.col("_chain.n") - 1).alias("masters"), F.col("_chain.base").alias("base"))
+
+
+def bounds(rows: DataFrame, keys: list[str], top: Column, left: Column, bottom: Column, right: Column) -> DataFrame:
+    """``keys`` and the box around the boxes of a group; A2, A3."""
+    return rows.groupBy(*keys).agg(F.min(top).alias("top"), F.min(left).alias("left"), F.max(bottom).alias("bottom"), F.max(right).alias("right"))
+
+
+def cell_place(name: Column) -> Column:
+    """A cell's column and row number, of a name like 2:5; J17."""
+    part = lambda i: F.split_part(name, F.lit(":"), F.lit(i)).cast("int")
+    return F.struct(part(1).alias("col_no"), part(2).alias("row_no"))
+
+
+def frame_stories(frames: DataFrame, items: DataFrame, on: dict[str, str], order: str) -> DataFrame:
+    """``frames`` with items and last_item of the story that each holds; J11."""
+    (story,) = on.values()
+    per = items.groupBy(story).agg(F.count("*").alias("items"), F.max(order).alias("last_item"))
+    return lookup.looked_up(frames, per, on, {"items": 0, "last_item": None})

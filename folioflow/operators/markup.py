@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCKS = r"<(p|li|h1|h2|h3|h4|h5|h6)\b[^>]*>([^<]+)"
+#: Parts of a page that aren't text, and elements that don't end a block of text.
+SILENT = r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->"
+INLINE = r"(?i)</?(?:a|abbr|b|big|cite|code|dfn|em|font|i|kbd|mark|q|s|samp|small|span|strike|strong|sub|sup|tt|u|var)(?:\s[^>]*)?/?>"
+BREAK = r"(?i)<br\s*/?>"
+#: A tag and the text up to the next one, in what ``flowing`` leaves.
+BLOCKS = r"<(/?[A-Za-z][A-Za-z0-9]*)[^>]*>([^<]+)"
 TAGS = r"<(/?)([A-Za-z][A-Za-z0-9]*)[^>]*>"
 VOID = ("br", "meta", "img", "hr", "input", "link")
 
@@ -17,9 +22,41 @@ def matches(pages: DataFrame, pattern: str, groups: dict[str, int]) -> DataFrame
     return rows.select("page_id", F.col("ord").cast("long").alias("ord"), *(F.col(f"m.{n}").alias(n) for n in groups))
 
 
+def flowing(html):
+    """A page without scripts, styles and comments, and without the tags of inline elements, so that each block's text is whole; a line break is a space."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, SILENT, ""), BREAK, " "), INLINE, "")
+
+
+def block_rows(pages: DataFrame) -> DataFrame:
+    """page_id, ord, tag, text: each run of text between the tags of blocks, with the tag before it (an end tag's with a slash)."""
+    return matches(pages.withColumn("html", flowing(F.col("html"))), BLOCKS, {"tag": 1, "text": 2})
+
+
 def blocks(pages: DataFrame) -> DataFrame:
-    """page_id, ord, tag, text: the text that starts each block element."""
-    return matches(pages, BLOCKS, {"tag": 1, "text": 2}).withColumn("text", F.trim("text")).where("text <> ''")
+    """The ``block_rows`` that aren't blank, trimmed."""
+    return block_rows(pages).withColumn("text", F.trim("text")).where("text <> ''")
+
+
+def without_font_faces(html):
+    """Without the font-face rules of style sheets; A8."""
+    return F.regexp_replace(html, r".@font-face *[{][^}]*[}]", "")
+
+
+def without_empty_spans(html):
+    """Without inline elements that hold nothing but spaces; F11."""
+    return F.regexp_replace(html, "<(b|span|i)( [^>]*)?>[ ]*</(b|span|i)>", "")
+
+
+def div_lines(html):
+    """Each tag of a division on a line of its own; P6."""
+    return F.regexp_replace(html, "(</?div[^>]*>)", "\n$1\n")
+
+
+def toc_parts(cells):
+    """The number (first), page (last but one) and description (the others) of the cells of a contents line; W18."""
+    n = F.size(cells)
+    rest = F.filter(cells, lambda x, i: (i > 0) & (i != n - 2))
+    return F.struct(F.get(cells, F.lit(0)).alias("number"), F.when(n > 1, F.get(cells, n - 2)).alias("page"), F.array_join(rest, " ").alias("description"))
 
 
 def tags(pages: DataFrame) -> DataFrame:
@@ -41,8 +78,6 @@ _PIECES = r"(?i)<(?:table|tbody|thead|tr|td)\b[^>]*>|[^<]+|<"
 _EMPTY = r'(?i)<(?!(?:%s)\b)(?!span\b[^>]*style="[^"]*\b(?:width|height)\s*:\s*0*[1-9])([a-z][a-z0-9]*)(?:\s[^>]*)?></\1>' % "|".join(KEPT_EMPTY)
 #: A rule of a numbered style; its selector ends at the first brace, so that no rule takes in the next one.
 RULES = r"[\n\r]+\.((?:text|common_span|common)_style\d+)[^\d{}]*\{[^}]*\}"
-#: Classes that keep an editor's item in the output.
-KEEPERS = ("chaucer-widget-item", "chaucer-shape-item", "chaucer-img-item", "chaucer-video-item", "chaucer-audio-item")
 
 
 def _attribute(tag, name: str):
@@ -100,7 +135,7 @@ def used_rules(css, html):
     return F.array_join(F.filter(rules, lambda r: F.array_contains(used, F.regexp_extract(r, RULES, 1))), "")
 
 
-def is_artefact(classes):
-    """Whether a class list is that of an editor's item that isn't kept; F14."""
+def is_artefact(classes, item: str, kept: tuple[str, ...]):
+    """Whether a class list is that of an editor's ``item``, and of none that is ``kept``; F14."""
     names = F.split(F.coalesce(classes, F.lit("")), r"\s+")
-    return F.array_contains(names, "chaucer-item") & ~F.arrays_overlap(names, F.array(*(F.lit(k) for k in KEEPERS)))
+    return F.array_contains(names, item) & ~F.arrays_overlap(names, F.array(*(F.lit(k) for k in kept)))

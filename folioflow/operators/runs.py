@@ -9,6 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Delimiters of nested styles by name; of the units, each match is one.
+DELIMITERS = {
+    "AnyCharacter": r".", "AnyWord": r"\s*\S+", "Sentence": r"\s*[^.!?]*[.!?]+", "Digits": r"\d", "Letters": r"\p{L}", "Tabs": "\t", "ForcedLineBreak": "\u2028",
+    "EmSpace": "\u2003", "EnSpace": "\u2002", "NonbreakingSpace": "\u00a0", "EndNestedStyle": "\u0003", "IndentHereTab": "\u0007", "InlineGraphic": "\ufffc",
+}
+UNITS = ("AnyCharacter", "AnyWord", "Sentence")
+
 
 def _window(keys: list[str], order: list):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -86,3 +93,33 @@ def numbered(rows: DataFrame, keys: list[str], order: list, name: str, start: in
 def depth(tokens: DataFrame, keys: list[str], order: list, opens: Column, closes: Column) -> DataFrame:
     """How many tags are open after each token; W9."""
     return tokens.withColumn("depth", F.sum(opens.cast("int") - closes.cast("int")).over(_window(keys, order)))
+
+
+def until_nth(text: Column, delimiter: str, n: int, inclusive: bool = True) -> Column:
+    """The part of a text that a nested style covers: up to its ``n``-th ``delimiter``, or all of it where there are fewer; W12.
+
+    ``delimiter`` is a character or one of the names in ``DELIMITERS``. Words and sentences end before what separates them.
+    """
+    pattern = DELIMITERS.get(delimiter) or "".join(f"\\u{ord(c):04x}" for c in delimiter)
+    unit = rf"(?s)^(?:{pattern}){{{n}}}" if delimiter in UNITS else rf"(?s)^(?:.*?{pattern}){{{n}}}"
+    held = F.regexp_extract(text, unit, 0)
+    if not inclusive and delimiter not in UNITS:
+        held = F.regexp_replace(held, rf"(?s){pattern}$", "")
+    return F.when(text.rlike(unit), held).otherwise(text)
+
+
+def nested_styles(text: Column, rules: list[tuple[str, str, int, bool]]) -> Column:
+    """(style, text) of each part of a paragraph: rules (style, delimiter, n, inclusive) take parts in turn, the rest has no style; W12."""
+    parts, rest = [], text
+    for style, delimiter, n, inclusive in rules:
+        part = until_nth(rest, delimiter, n, inclusive)
+        parts.append(F.struct(F.lit(style).alias("style"), part.alias("text")))
+        rest = F.substr(rest, F.length(part) + 1)
+    parts.append(F.struct(F.lit(None).cast("string").alias("style"), rest.alias("text")))
+    return F.filter(F.array(*parts), lambda p: p.text != "")
+
+
+def slice_of_stack(rows: DataFrame, keys: list[str], order: str, name: str, start: int, n: int) -> DataFrame:
+    """``keys`` and parents: ``n`` names of an ordered stack from place ``start`` (from 1); O8."""
+    names = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("n")))), lambda s: s.n)
+    return rows.groupBy(*keys).agg(F.slice(names, start, n).alias("parents"))

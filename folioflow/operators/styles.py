@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.operators import closure, lookup
+
 
 def merged(over: Column, under: Column) -> Column:
     """Two maps' union in which ``over`` wins; A11, C40."""
@@ -24,31 +26,52 @@ def deduplicated(rows: DataFrame, keys: list[str], order: list[str], sig: str, p
     return first.withColumn("name", F.concat(F.lit(prefix), n.cast("string")))
 
 
-def flattened(styles: DataFrame, levels: int = 64) -> DataFrame:
-    """style, props: each style's own and inherited properties, the nearest winning; A12.
+def flattened(styles: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """``keys``, style, props: each style's own and inherited properties, the nearest winning; A12.
 
-    ``styles``: style, based_on, props. Ancestors are doubled at each step: after the k-th, a row
-    has the properties of 2^k generations, so a chain of n takes log n joins. Chains that
-    never end (cycles) stop after ``levels`` generations.
+    ``styles``: ``keys``, style, based_on, props. A chain may be of any length; one that comes back to itself is an error.
     """
-    have = styles.select("style", "props", F.col("based_on").alias("up"))
-    seen = 1
-    while seen < levels:
-        up = have.select(F.col("style").alias("up_style"), F.col("props").alias("up_props"), F.col("up").alias("up_up"))
-        have = have.join(up, have.up == up.up_style, "left").select("style", F.when(F.col("up_style").isNull(), F.col("props")).otherwise(merged(F.col("props"), F.col("up_props"))).alias("props"), F.col("up_up").alias("up"))
-        seen *= 2
-    return have.select("style", "props")
+    nodes = styles.withColumnsRenamed({"style": "node", "based_on": "parent"})
+    return closure.folded(nodes, F.col("props"), merged, "props", keys).withColumnRenamed("node", "style")
 
 
-def ancestry(nodes: DataFrame, levels: int = 64) -> DataFrame:
-    """node, styles: the applied styles from each node to its root, the node's own first; D37.
+def ancestry(nodes: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """``keys``, node, styles: the applied styles from each node to its root, the node's own first; D37.
 
-    ``nodes``: node, parent, style (null for none). Doubled like ``flattened``.
+    ``nodes``: ``keys``, node, parent, style (null for none).
     """
-    have = nodes.select("node", F.array_compact(F.array("style")).alias("styles"), F.col("parent").alias("up"))
-    seen = 1
-    while seen < levels:
-        up = have.select(F.col("node").alias("_n"), F.col("styles").alias("_s"), F.col("up").alias("_u"))
-        have = have.join(up, have.up == up["_n"], "left").select("node", F.concat("styles", F.coalesce("_s", F.array().cast("array<string>"))).alias("styles"), F.col("_u").alias("up"))
-        seen *= 2
-    return have.select("node", "styles")
+    return closure.folded(nodes, F.array_compact(F.array("style")), F.concat, "styles", keys)
+
+
+def sorted_signature(entries: Column) -> Column:
+    """A hash of declarations in the order of their text; O3."""
+    return F.md5(F.concat_ws(";", F.array_sort(entries)).cast("binary"))
+
+
+def united(*lists: Column) -> Column:
+    """The attributes' words of several lists as one, in order; A20."""
+    return F.array_join(F.flatten(F.array(*(F.filter(F.split(F.coalesce(x, F.lit("")), r"\s+"), lambda w: w != "") for x in lists))), " ")
+
+
+def rule_union(*tables: DataFrame) -> DataFrame:
+    """The rules of all tables, by name of their columns; O6."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def used_names(rows: DataFrame, keys: list[str], *applied: Column) -> DataFrame:
+    """``keys`` and used: the names that rows of a group apply, each once, the first of ``applied`` that a row has; A21."""
+    return rows.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set(F.coalesce(*applied))), " ").alias("used"))
+
+
+def page_sheets(used: DataFrame, declared: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``keys`` and css: the declared names that each page uses, each once; A7."""
+    rows = lookup.named_in(used.select(*keys, name).distinct(), declared, {name: name})
+    return rows.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(name)), " ").alias("css"))
+
+
+def digest(*names: str) -> Column:
+    """A hash of several columns of a node; J25."""
+    return F.md5(F.concat_ws(".", *names).cast("binary"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioflow.functions import css, geometry, text, word
-from folioflow.operators import emit, markup
+from folioflow.operators import emit, lookup, markup, styles
 from folioflow.plans.flow import events
 from folioflow.plans.scalars import _DOCS, _PAGES, _PART, _case, _choose, _pick, c, scalar
 from folioflow.registry import query
@@ -82,9 +82,9 @@ scalar("P11_toc_row", _PART, lambda: emit.toc_row(_s("id"), F.repeat(c("name"),
 scalar("P17_anchor", _PART, lambda: emit.anchor(_s("id"), F.when(c("n") % 2 == 0, F.concat(F.lit("#"), _s("a"))), c("name")), """case when n % 2 = 0 then '<a href="#' || a || '">' else '<a id="Hyperlink_' || id || '">' end || name || '</a>'""")
 scalar("P20_image", _PART, lambda: emit.image(F.concat(c("brand"), F.lit("&1.png")), c("n") % 2 == 0), """case when n % 2 = 0 then '<image xlink:href="' || brand || '&amp;1.png" />' else '<img src="' || brand || '&amp;1.png" style="width:100%; height:100%;" />' end""")
 scalar("P21_tab", _PART, lambda: emit.tab(F.when(c("n") % 3 > 0, c("a") / 4.0)), """case when n % 3 > 0 then '<span style="display:inline-block;width:' || cast(round(a / 4.0::double) as int) || 'px"></span>' else chr(9) end""")
-scalar("F14_artefacts", _PART, lambda: markup.is_artefact(F.concat(F.when(c("n") % 2 == 0, "chaucer-item ").otherwise(""), F.when(c("a") % 3 == 0, "chaucer-img-item ").otherwise(""), c("brand"))), "n % 2 = 0 and a % 3 > 0")
-scalar("O3_sorted_signature", _PART, lambda: F.md5(F.concat_ws(";", F.array_sort(F.array(F.concat(F.lit("w:"), _s("n")), F.concat(F.lit("a:"), _s("a")), F.concat(F.lit("m:"), c("brand"))))).cast("binary")), "md5('a:' || a || ';m:' || brand || ';w:' || n)")
-scalar("A22_kept_attribute", _PART, lambda: F.when((F.coalesce(_s("n"), F.lit("")) != "") & (c("n") % 4 != 0), _s("n")).otherwise(c("brand")), "case when n % 4 <> 0 then n::varchar else brand end")
+scalar("F14_artefacts", _PART, lambda: markup.is_artefact(F.concat(F.when(c("n") % 2 == 0, "editor-item ").otherwise(""), F.when(c("a") % 3 == 0, "editor-picture ").otherwise(""), c("brand")), "editor-item", ("editor-picture", "editor-sound")), "n % 2 = 0 and a % 3 > 0")
+scalar("O3_sorted_signature", _PART, lambda: styles.sorted_signature(F.array(F.concat(F.lit("w:"), _s("n")), F.concat(F.lit("a:"), _s("a")), F.concat(F.lit("m:"), c("brand")))), "md5('a:' || a || ';m:' || brand || ';w:' || n)")
+scalar("A22_kept_attribute", _PART, lambda: text.kept_attribute(_s("n"), c("n") % 4 != 0, c("brand")), "case when n % 4 <> 0 then n::varchar else brand end")
 
 # --- rewrites of pages ---
 _TABLE = '<table class="t" width="50%" border="1" cellpadding="" style="color:red"><tr cellspacing="2"><td>x</td></tr></table>'
@@ -184,33 +184,32 @@ def counters(spark, sf_dir):
 
 @query("F8_empty_pages", "select o_custkey from orders group by o_custkey having bool_or(o_orderkey % 3 = 0)")
 def empty_pages(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy("o_custkey").agg(F.bool_or(F.col("o_orderkey") % 3 == 0).alias("full")).where("full").select("o_custkey")
+    return lookup.present(spark.read.parquet(f"{sf_dir}/orders.parquet"), ["o_custkey"], F.col("o_orderkey") % 3 == 0)
 
 
 @query("F9_first_frames", "select o_orderkey from (select *, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as prev from orders) where prev is null")
 def first_frames(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey")).select("o_orderkey")
+    return lookup.first_of(spark.read.parquet(f"{sf_dir}/orders.parquet"), ["o_custkey"], ["o_orderkey"], ["o_orderkey"]).select("o_orderkey")
 
 
 @query("J7_rewritten_hrefs", f"select o_orderkey, coalesce(p_brand || '.xhtml', 'k' || (o_orderkey % 5000)) as href from orders left join part on p_partkey = o_orderkey % 5000")
 def rewritten_hrefs(spark, sf_dir):
     orders, part = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "part"))
     links = orders.select("o_orderkey", (F.col("o_orderkey") % 5000).alias("key"))
-    return links.join(part, links.key == part.p_partkey, "left").select("o_orderkey", F.coalesce(F.concat("p_brand", F.lit(".xhtml")), F.concat(F.lit("k"), F.col("key").cast("string"))).alias("href"))
+    names = part.select("p_partkey", F.concat("p_brand", F.lit(".xhtml")).alias("href"))
+    return lookup.looked_up(links, names, {"key": "p_partkey"}, {"href": F.concat(F.lit("k"), F.col("key").cast("string"))}).drop("key")
 
 
 @query("J21_bookmark_numbers", "select o_orderkey, regexp_extract(p_name || p_size, '[0-9.]+', 0) as number from orders join part on 'b' || p_partkey = 'b' || (o_custkey % 700)")
 def bookmark_numbers(spark, sf_dir):
     orders, part = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "part"))
-    marks = part.select(F.concat(F.lit("b"), F.col("p_partkey").cast("string")).alias("mark"), F.regexp_extract(F.concat("p_name", F.col("p_size").cast("string")), "[0-9.]+", 0).alias("number"))
+    marks = part.select(F.concat(F.lit("b"), F.col("p_partkey").cast("string")).alias("at"), F.regexp_extract(F.concat("p_name", F.col("p_size").cast("string")), "[0-9.]+", 0).alias("number"))
     probes = orders.select("o_orderkey", F.concat(F.lit("b"), (F.col("o_custkey") % 700).cast("string")).alias("mark"))
-    return probes.join(marks, "mark").select("o_orderkey", "number")
+    return lookup.looked_up(probes, marks, {"mark": "at"}, {"number": None}, inner=True).select("o_orderkey", "number")
 
 
 @query("J25_nodes_by_hash", "select coalesce(case when p_size % 3 = 0 then 'h' || p_size end, md5(p_brand || '.' || p_type)) as hash, min(p_partkey) as node, count(*) as uses from part group by 1")
 def nodes_by_hash(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    key = F.coalesce(F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("h"), F.col("p_size").cast("string"))), F.md5(F.concat_ws(".", "p_brand", "p_type").cast("binary")))
-    return part.groupBy(key.alias("hash")).agg(F.min("p_partkey").alias("node"), F.count("*").alias("uses"))
+    key = F.coalesce(F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("h"), F.col("p_size").cast("string"))), styles.digest("p_brand", "p_type"))
+    return lookup.counted_first(part.select(key.alias("hash"), F.col("p_partkey").alias("node")), ["hash"], "node")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioflow.operators import runs
+from folioflow.functions import css
+from folioflow.operators import lookup, markup, runs
 from folioflow.registry import query
 
 
@@ -74,38 +75,36 @@ def page_numbers(spark, sf_dir):
 
 @query("W18_toc_entries", "select conv_id, t[1] as number, case when len(t) > 1 then t[len(t) - 1] end as page, array_to_string(list_filter(t, lambda x, i: i > 1 and i <> len(t) - 1), ' ') as description from (select conv_id, list(role || turn order by turn) as t from conversations group by conv_id)")
 def toc_entries(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: F.concat(s.role, s.turn.cast("string"))).alias("t"))
-    rest = F.filter("t", lambda x, i: (i > 0) & (i != F.size("t") - 2))
-    return rows.select("conv_id", F.get("t", F.lit(0)).alias("number"), F.when(F.size("t") > 1, F.get("t", F.size("t") - 2)).alias("page"), F.array_join(rest, " ").alias("description"))
+    rows = lookup.gathered(spark.read.parquet(f"{sf_dir}/conversations.parquet"), ["conv_id"], "turn", F.concat("role", F.col("turn").cast("string")), "cells")
+    return rows.select("conv_id", markup.toc_parts(F.col("cells")).alias("t")).select("conv_id", "t.number", "t.page", "t.description")
 
 
 @query("W19_indentation", "select p_partkey, case when p_size = 18 then 0 else cast(round((p_size - 18) / 9.0::double + 2) as int) end as em, cast(trunc(p_partkey / nullif(p_size % 4, 0) / 4.0::double * 100) as bigint) as px from part")
 def indentation(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    em = F.when(F.col("p_size") == 18, 0).otherwise(F.round((F.col("p_size") - 18) / 9.0 + 2).cast("int"))
-    px = (F.col("p_partkey") / F.nullif(F.col("p_size") % 4, F.lit(0)) / 4.0 * 100).cast("long")
-    return part.select("p_partkey", em.alias("em"), px.alias("px"))
+    return part.select("p_partkey", css.indent_em(F.col("p_size")).alias("em"), css.indent_px(F.col("p_partkey"), F.col("p_size") % 4).alias("px"))
 
 
 @query("O4_first_only", "select user_id, arg_min(event_type, event_id) as first_type from events group by user_id")
 def first_only(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_type"))
+    return lookup.first_of(events(spark, sf_dir).withColumn("first_type", F.col("event_type")), ["user_id"], ["event_id"], ["first_type"])
 
 
 @query("A15_child_counts", "select user_id, count(*) filter (event_type = 'view') as views, count(*) filter (event_type = 'click') as clicks, count(*) as children from events group by user_id")
 def child_counts(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("user_id").agg(F.count_if(F.col("event_type") == "view").alias("views"), F.count_if(F.col("event_type") == "click").alias("clicks"), F.count("*").alias("children"))
+    return lookup.child_counts(events(spark, sf_dir), ["user_id"], "event_type", {"view": "views", "click": "clicks"})
 
 
 @query("A9_first_dimensions", "select user_id, arg_min(event_id, event_id) filter (event_type = 'purchase') as first_id from events group by user_id")
 def first_dimensions(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("first_id"))
+    rows = events(spark, sf_dir).withColumn("first_id", F.col("event_id"))
+    return lookup.first_of(rows, ["user_id"], ["event_id"], ["first_id"], F.col("event_type") == "purchase")
 
 
 @query("A13_repeated_keys", "select user_id, event_type, string_agg(event_id::varchar, ',' order by event_id) as ids from events group by user_id, event_type")
 def repeated_keys(spark, sf_dir):
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ",")
-    return events(spark, sf_dir).groupBy("user_id", "event_type").agg(ids.alias("ids"))
+    rows = lookup.gathered(events(spark, sf_dir), ["user_id", "event_type"], "event_id", F.col("event_id").cast("string"), "ids")
+    return rows.select("user_id", "event_type", F.array_join("ids", ",").alias("ids"))
 
 
 @query("S31_unique_keys", f"select user_id, event_id, case when n = 1 then event_type else event_type || n end as key from (select *, row_number() over (partition by user_id, event_type order by event_id) as n from events)")

@@ -12,13 +12,14 @@ def pages(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
-def _matches_sql(pattern: str, groups: dict[str, int]) -> str:
-    lists = ", ".join(f"regexp_extract_all(html, '{pattern}', {i}) as {n}s" for n, i in groups.items())
+def _matches_sql(pattern: str, groups: dict[str, int], html: str = "html") -> str:
+    lists = ", ".join(f"regexp_extract_all({html}, '{pattern}', {i}) as {n}s" for n, i in groups.items())
     out = ", ".join(f"unnest({n}s) as {n}" for n in groups)
     return f"(select page_id, cast(unnest(range(0, len({next(iter(groups))}s))) as bigint) as ord, {out} from (select page_id, {lists} from pages))"
 
 
-_BLOCKS = _matches_sql(markup.BLOCKS, {"tag": 1, "text": 2})
+_FLOWING = f"regexp_replace(regexp_replace(regexp_replace(html, '{markup.SILENT}', '', 'g'), '{markup.BREAK}', ' ', 'g'), '{markup.INLINE}', '', 'g')"
+_BLOCKS = _matches_sql(markup.BLOCKS, {"tag": 1, "text": 2}, _FLOWING)
 _TAGS = f"(select * from {_matches_sql(markup.TAGS, {'slash': 1, 'tag': 2})} where lower(tag) not in {markup.VOID})"
 
 
@@ -78,13 +79,13 @@ def css_rules(spark, sf_dir):
 
 @query("F11_empty_elements", "select page_id, regexp_replace(html, '<(b|span|i)( [^>]*)?>[ ]*</(b|span|i)>', '', 'g') as html from pages")
 def empty_elements(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", F.regexp_replace("html", "<(b|span|i)( [^>]*)?>[ ]*</(b|span|i)>", "").alias("html"))
+    return pages(spark, sf_dir).select("page_id", markup.without_empty_spans(F.col("html")).alias("html"))
 
 
 @query("A8_font_faces", "select page_id, regexp_replace(replace(html, '<style>', '<style> @font-face {src:url(a.otf)}'), '.@font-face *[{][^}]*[}]', '', 'g') as html from pages")
 def font_faces(spark, sf_dir):
     html = F.replace("html", F.lit("<style>"), F.lit("<style> @font-face {src:url(a.otf)}"))
-    return pages(spark, sf_dir).select("page_id", F.regexp_replace(html, ".@font-face *[{][^}]*[}]", "").alias("html"))
+    return pages(spark, sf_dir).select("page_id", markup.without_font_faces(html).alias("html"))
 
 
 @query("A6_used_tags", f"select page_id, string_agg(tag, ' ' order by tag) as tags from (select distinct page_id, lower(tag) as tag from {_TAGS}) group by page_id")
@@ -94,24 +95,24 @@ def used_tags(spark, sf_dir):
 
 @query("A10_page_text", f"select page_id, string_agg(text, '' order by ord) as text from {_BLOCKS} group by page_id")
 def page_text(spark, sf_dir):
-    rows = markup.matches(pages(spark, sf_dir), markup.BLOCKS, {"tag": 1, "text": 2})
+    rows = markup.block_rows(pages(spark, sf_dir))
     return rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda s: s.text), "").alias("text"))
 
 
 @query("W4_merged_runs", f"select page_id, cast(run as bigint) as run, any_value(tag) as style, string_agg(text, '' order by ord) as text from (select *, sum(new) over (partition by page_id order by ord) as run from (select *, case when lag(tag) over (partition by page_id order by ord) = tag then 0 else 1 end as new from {_BLOCKS})) group by page_id, run")
 def merged_runs(spark, sf_dir):
-    rows = markup.matches(pages(spark, sf_dir), markup.BLOCKS, {"tag": 1, "text": 2})
+    rows = markup.block_rows(pages(spark, sf_dir))
     return runs.merged(rows, ["page_id"], ["ord"], F.col("tag"), F.col("text"))
 
 
 @query("W5_list_groups", f"select page_id, cast(island as bigint) as island, any_value(tag) as tag, count(*) as items from (select *, sum(new) over (partition by page_id order by ord) as island from (select *, case when lag(tag) over (partition by page_id order by ord) = tag then 0 else 1 end as new from {_BLOCKS})) where tag = 'p' group by page_id, island")
 def list_groups(spark, sf_dir):
-    rows = markup.matches(pages(spark, sf_dir), markup.BLOCKS, {"tag": 1, "text": 2})
+    rows = markup.block_rows(pages(spark, sf_dir))
     return runs.islands(rows, ["page_id"], ["ord"], F.col("tag")).where("tag = 'p'").groupBy("page_id", "island").agg(F.first("tag").alias("tag"), F.count("*").alias("items"))
 
 
-@query("A4_style_signatures", f"select sig, 'cls_' || (row_number() over (order by p, o) - 1) as name, uses from (select md5('tag:' || tag || ';width:' || w) as sig, min(page_id) as p, arg_min(ord, (page_id, ord)) as o, count(*) as uses from (select *, cast(length(text) % 7 as varchar) as w from {_BLOCKS}) group by 1)")
+@query("A4_style_signatures", f"select page_id, sig, 'cls_' || (row_number() over (partition by page_id order by o) - 1) as name, uses from (select page_id, md5('tag:' || tag || ';width:' || w) as sig, min(ord) as o, count(*) as uses from (select *, cast(length(text) % 7 as varchar) as w from {_BLOCKS}) group by page_id, sig)")
 def style_signatures(spark, sf_dir):
-    rows = markup.matches(pages(spark, sf_dir), markup.BLOCKS, {"tag": 1, "text": 2})
+    rows = markup.block_rows(pages(spark, sf_dir))
     rows = rows.withColumn("sig", styles.signature(F.create_map(F.lit("width"), (F.length("text") % 7).cast("string"), F.lit("tag"), F.col("tag"), F.lit("color"), F.lit(""))))
-    return styles.deduplicated(rows, [], ["page_id", "ord"], "sig").select("sig", "name", "uses")
+    return styles.deduplicated(rows, ["page_id"], ["ord"], "sig").select("page_id", "sig", "name", "uses")

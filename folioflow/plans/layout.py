@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioflow.operators import layout, styles
+from folioflow.operators import filters, layout, lookup, styles
 from folioflow.registry import query
 
 
@@ -37,18 +37,18 @@ def pages_of_elements(spark, sf_dir):
 
 @query("J1_spine_manifest", "select o_orderkey, arg_min(p_partkey, (p_retailprice, p_partkey)) as item from orders join part on p_size = o_orderkey % 60 group by o_orderkey")
 def spine_manifest(spark, sf_dir):
-    orders, part = _t(spark, sf_dir, "orders").select("o_orderkey"), _t(spark, sf_dir, "part")
+    spine = _t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 60).alias("idref"))
     # the manifest's first row of a key is found before the join, which is then one to one
-    first = part.groupBy("p_size").agg(F.min_by("p_partkey", F.struct("p_retailprice", "p_partkey")).alias("item"))
-    return orders.join(first, orders.o_orderkey % 60 == first.p_size).select("o_orderkey", "item")
+    manifest = lookup.first_of(_t(spark, sf_dir, "part"), ["p_size"], ["p_retailprice", "p_partkey"], ["p_partkey"]).withColumnRenamed("p_partkey", "item")
+    return lookup.looked_up(spine, manifest, {"idref": "p_size"}, {"item": None}, inner=True).select("o_orderkey", "item")
 
 
-@query("J2_font_rules", "select n_name, min(p_partkey) as rule from nation join part on contains(lower(p_name || ' ' || n_name), lower(n_name)) and p_size = n_nationkey group by n_name")
+@query("J2_font_rules", "select p_partkey, (select arg_min(c_name, c_custkey) from customer where c_nationkey = p_size % 25 and contains('url(../fonts/' || (c_custkey % 60) || '.otf)', 'fonts/' || (p_partkey % 40) || '.otf')) as family from part")
 def font_rules(spark, sf_dir):
-    part = _t(spark, sf_dir, "part")
-    nation = F.broadcast(_t(spark, sf_dir, "nation"))  # a fixed table of 25 rows
-    hits = part.join(nation, F.contains(F.lower(F.concat_ws(" ", "p_name", "n_name")), F.lower("n_name")) & (part.p_size == nation.n_nationkey))
-    return hits.groupBy("n_name").agg(F.min("p_partkey").alias("rule"))
+    fonts = _t(spark, sf_dir, "part").selectExpr("p_size % 25 as book", "p_partkey", "'fonts/' || (p_partkey % 40) || '.otf' as path")
+    rules = _t(spark, sf_dir, "customer").selectExpr("c_nationkey as book", "c_custkey as ord", "c_name as family", "'url(../fonts/' || (c_custkey % 60) || '.otf)' as src")
+    found = lookup.containing(fonts.select("book", "path").distinct(), rules, ["book"], "path", "src", ["ord"], ["family"])
+    return lookup.looked_up(fonts, found, {"book": "book", "path": "path"}, {"family": None}).select("p_partkey", "family")
 
 
 @query(
@@ -64,50 +64,53 @@ def resolved_links(spark, sf_dir):
 
 @query("J6_last_frame", "select o_custkey, arg_max(o_orderkey, o_orderkey) as frame from orders group by o_custkey")
 def last_frame(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("frame"))
+    orders = _t(spark, sf_dir, "orders").withColumn("frame", F.col("o_orderkey"))
+    return lookup.last_of(orders, ["o_custkey"], ["o_orderkey"], ["frame"])
 
 
 @query("J8_style_fallback", "select o_orderkey, coalesce(case when o_orderkey % 3 = 0 then o_orderpriority end, case when c_custkey % 2 = 0 then c_mktsegment end, n_name, 'default') as style from orders left join customer on c_custkey = o_custkey left join nation on n_nationkey = c_nationkey")
 def style_fallback(spark, sf_dir):
     orders, customer, nation = (_t(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
-    rows = orders.join(customer, orders.o_custkey == customer.c_custkey, "left").join(nation, customer.c_nationkey == nation.n_nationkey, "left")
-    style = F.coalesce(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")), "n_name", F.lit("default"))
-    return rows.select("o_orderkey", style.alias("style"))
+    own = orders.select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey")).alias("own"))
+    frames = customer.where("c_custkey % 2 = 0").select("c_custkey", "c_mktsegment")
+    places = lookup.looked_up(customer.select("c_custkey", "c_nationkey"), nation, {"c_nationkey": "n_nationkey"}, {"n_name": None}).select(F.col("c_custkey").alias("place"), "n_name")
+    declared = orders.select(F.col("o_orderkey").alias("applied"), "o_orderpriority")
+    probes = [(declared, "applied", "o_orderpriority", "own"), (frames, "c_custkey", "c_mktsegment", "o_custkey"), (places, "place", "n_name", "o_custkey")]
+    return lookup.first_found(own, probes, "style", "default").select("o_orderkey", "style")
 
 
 @query("J9_tint_base", "select p_partkey, coalesce(r_name, 'black') as base from part left join region on r_regionkey = p_size % 8")
 def tint_base(spark, sf_dir):
-    part, region = _t(spark, sf_dir, "part"), F.broadcast(_t(spark, sf_dir, "region"))  # a fixed table of 5 rows
-    return part.join(region, part.p_size % 8 == region.r_regionkey, "left").select("p_partkey", F.coalesce("r_name", F.lit("black")).alias("base"))
+    tints = _t(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 8).alias("color"))
+    colors = F.broadcast(_t(spark, sf_dir, "region").withColumnRenamed("r_name", "base"))  # a fixed table of 5 rows
+    return lookup.looked_up(tints, colors, {"color": "r_regionkey"}, {"base": "black"}).select("p_partkey", "base")
 
 
 @query("J11_frame_story", "select c_custkey, count(o_orderkey) as items, max(o_orderkey) as last_item from customer left join orders on o_custkey = c_custkey group by c_custkey")
 def frame_story(spark, sf_dir):
-    orders = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last_item"))
-    customer = _t(spark, sf_dir, "customer").select("c_custkey")
-    return customer.join(orders, customer.c_custkey == orders.o_custkey, "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("items"), "last_item")
+    return layout.frame_stories(_t(spark, sf_dir, "customer").select("c_custkey"), _t(spark, sf_dir, "orders"), {"c_custkey": "o_custkey"}, "o_orderkey")
 
 
 @query("J12_hidden_elements", "select o_orderkey from orders where o_custkey not in (select c_custkey from customer where c_acctbal < 0)")
 def hidden_elements(spark, sf_dir):
-    hidden = _t(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    return _t(spark, sf_dir, "orders").join(hidden, "o_custkey", "left_anti").select("o_orderkey")
+    hidden = _t(spark, sf_dir, "customer").where("c_acctbal < 0")
+    return lookup.without(_t(spark, sf_dir, "orders"), hidden, {"o_custkey": "c_custkey"}).select("o_orderkey")
 
 
 @query("J13_master_overrides", "select s_suppkey, n_nationkey from supplier join nation on n_regionkey = s_suppkey % 5 where not exists (select 1 from customer where c_custkey = s_suppkey and c_nationkey = n_nationkey)")
 def master_overrides(spark, sf_dir):
     supplier, nation = _t(spark, sf_dir, "supplier"), F.broadcast(_t(spark, sf_dir, "nation"))  # a fixed table of 25 rows
     items = supplier.join(nation, supplier.s_suppkey % 5 == nation.n_regionkey).select("s_suppkey", "n_nationkey")
-    overrides = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_nationkey").alias("n_nationkey"))
-    return items.join(overrides, ["s_suppkey", "n_nationkey"], "left_anti")
+    return lookup.without(items, _t(spark, sf_dir, "customer"), {"s_suppkey": "c_custkey", "n_nationkey": "c_nationkey"})
 
 
 @query("J15_numbering_levels", "select o_orderkey, r_name as level from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey")
 def numbering_levels(spark, sf_dir):
     orders, customer, nation, region = (_t(spark, sf_dir, n) for n in ("orders", "customer", "nation", "region"))
-    levels = F.broadcast(nation.join(region, nation.n_regionkey == region.r_regionkey))  # at most 25 rows
-    rows = orders.join(customer, orders.o_custkey == customer.c_custkey).join(levels, customer.c_nationkey == levels.n_nationkey)
-    return rows.select("o_orderkey", F.col("r_name").alias("level"))
+    levels = region.withColumnRenamed("r_name", "level")
+    abstract = F.broadcast(lookup.looked_up(nation.select("n_nationkey", "n_regionkey"), levels, {"n_regionkey": "r_regionkey"}, {"level": None}, inner=True))  # at most 25 rows
+    numbers = lookup.looked_up(customer.select("c_custkey", "c_nationkey"), abstract, {"c_nationkey": "n_nationkey"}, {"level": None}, inner=True)
+    return lookup.looked_up(orders.select("o_orderkey", "o_custkey"), numbers, {"o_custkey": "c_custkey"}, {"level": None}, inner=True).select("o_orderkey", "level")
 
 
 _TREE = "(select p_partkey as node, case when p_partkey > 0 then p_partkey // 3 end as parent, p_size as size from part)"
@@ -119,22 +122,21 @@ _TREE = "(select p_partkey as node, case when p_partkey > 0 then p_partkey // 3
 )
 def nearest_ancestor(spark, sf_dir):
     nodes = _t(spark, sf_dir, "part").selectExpr("p_partkey as node", "if(p_partkey > 0, p_partkey div 3, null) as parent", "p_size as size")
-    out = layout.ancestors(nodes, F.col("size") % 4 == 0, 16)
-    kept = nodes.where("size % 4 = 0").select(F.col("node").alias("k"))
-    return out.join(kept, out.ancestor == kept.k, "left").select("node", F.col("k").alias("ancestor"))
+    return layout.ancestors(nodes, F.col("size") % 4 == 0)
 
 
 @query("J17_cell_rows", "select p_partkey, cast(split_part(c, ':', 1) as int) as col_no, cast(split_part(c, ':', 2) as int) as row_no from (select p_partkey, (p_size % 5) || ':' || (p_partkey % 7) as c from part)")
 def cell_rows(spark, sf_dir):
-    part = _t(spark, sf_dir, "part").select("p_partkey", F.expr("(p_size % 5) || ':' || (p_partkey % 7)").alias("c"))
-    return part.select("p_partkey", F.split_part("c", F.lit(":"), F.lit(1)).cast("int").alias("col_no"), F.split_part("c", F.lit(":"), F.lit(2)).cast("int").alias("row_no"))
+    part = _t(spark, sf_dir, "part").select("p_partkey", layout.cell_place(F.expr("(p_size % 5) || ':' || (p_partkey % 7)")).alias("place"))
+    return part.select("p_partkey", "place.col_no", "place.row_no")
 
 
 @query("J20_image_rename", "select p_partkey, '../images/' || coalesce(s_name, 'image' || p_partkey || '.png') as src from part left join supplier on s_suppkey = p_partkey")
 def image_rename(spark, sf_dir):
-    part, names = _t(spark, sf_dir, "part"), _t(spark, sf_dir, "supplier")
-    src = F.concat(F.lit("../images/"), F.coalesce("s_name", F.concat(F.lit("image"), F.col("p_partkey").cast("string"), F.lit(".png"))))
-    return part.join(names, part.p_partkey == names.s_suppkey, "left").select("p_partkey", src.alias("src"))
+    names = _t(spark, sf_dir, "supplier").withColumnRenamed("s_name", "name")
+    images = _t(spark, sf_dir, "part").select("p_partkey")
+    default = F.concat(F.lit("image"), F.col("p_partkey").cast("string"), F.lit(".png"))
+    return lookup.looked_up(images, names, {"p_partkey": "s_suppkey"}, {"name": default}).select("p_partkey", F.concat(F.lit("../images/"), "name").alias("src"))
 
 
 @query("J23_filled_metadata", "select c_custkey, coalesce(nullif(case when c_custkey % 3 = 0 then '' else c_mktsegment end, ''), n_name) as publisher from customer left join nation on n_nationkey = c_nationkey")
@@ -147,8 +149,8 @@ def filled_metadata(spark, sf_dir):
 
 @query("J26_class_of_style", "select o_orderkey, coalesce(replace(p_brand, '#', ''), '') as class from orders left join part on p_partkey = o_orderkey")
 def class_of_style(spark, sf_dir):
-    orders, part = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "part")
-    return orders.join(part, orders.o_orderkey == part.p_partkey, "left").select("o_orderkey", F.coalesce(F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("")).alias("class"))
+    classes = _t(spark, sf_dir, "part").select("p_partkey", F.replace("p_brand", F.lit("#"), F.lit("")).alias("class"))
+    return lookup.looked_up(_t(spark, sf_dir, "orders").select("o_orderkey"), classes, {"o_orderkey": "p_partkey"}, {"class": ""})
 
 
 @query(
@@ -161,8 +163,7 @@ def class_of_style(spark, sf_dir):
 def flattened_styles(spark, sf_dir):
     props = "map_filter(map('size', if(p_size % 3 = 0, cast(p_size as string), null), 'brand', if(p_size % 2 = 0, p_brand, null)), (k, v) -> v is not null)"
     declared = _t(spark, sf_dir, "part").selectExpr("p_partkey as style", "if(p_partkey > 0, p_partkey div 4, null) as based_on", f"{props} as props")
-    out = styles.flattened(declared, 16)
-    return out.select("style", F.try_element_at("props", F.lit("size")).alias("size"), F.try_element_at("props", F.lit("brand")).alias("brand"))
+    return styles.flattened(declared).select("style", F.try_element_at("props", F.lit("size")).alias("size"), F.try_element_at("props", F.lit("brand")).alias("brand"))
 
 
 @query(
@@ -170,31 +171,26 @@ def flattened_styles(spark, sf_dir):
     "with recursive t as (select p_partkey as node, case when p_partkey > 0 then p_partkey // 4 end as up, p_size as tx from part), w as (select node, up as at, tx from t union all select w.node, t.up, t.tx from w join t on t.node = w.at) select node, cast(sum(tx) as bigint) as tx from w group by node",
 )
 def cumulative_translation(spark, sf_dir):
-    have = _t(spark, sf_dir, "part").selectExpr("p_partkey as node", "if(p_partkey > 0, p_partkey div 4, null) as at", "cast(p_size as bigint) as tx")
-    for _ in range(4):  # 16 generations; a tree of fan-out 4 has fewer up to a billion nodes
-        up = have.select(F.col("node").alias("u"), F.col("at").alias("u_at"), F.col("tx").alias("u_tx"))
-        have = have.join(up, have.at == up.u, "left").select("node", F.col("u_at").alias("at"), (F.col("tx") + F.coalesce("u_tx", F.lit(0))).alias("tx"))
-    return have.select("node", "tx")
+    nodes = _t(spark, sf_dir, "part").selectExpr("p_partkey as node", "if(p_partkey > 0, p_partkey div 4, null) as parent", "cast(p_size as bigint) as tx")
+    return layout.translations(nodes, F.col("tx")).select("node", F.col("shift").alias("tx"))
 
 
 @query("A1_page_total", "select n_name, cast(sum(c) as bigint) as pages from (select c_nationkey, count(*) as c from orders join customer on c_custkey = o_custkey group by c_nationkey) join nation on n_nationkey = c_nationkey group by n_name")
 def page_total(spark, sf_dir):
     orders, customer, nation = (_t(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
-    per = orders.join(customer, orders.o_custkey == customer.c_custkey).groupBy("c_nationkey").agg(F.count("*").alias("pages"))
-    return per.join(F.broadcast(nation), per.c_nationkey == nation.n_nationkey).select("n_name", "pages")
+    books = lookup.looked_up(customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), F.broadcast(nation), {"c_nationkey": "n_nationkey"}, {"n_name": None}, inner=True)
+    return lookup.page_totals(orders, books, {"o_custkey": "o_custkey"}, ["n_name"])
 
 
 @query("A2_bounding_box", f'select spread, min(y) as "top", min(x) as "left", max(y) as bottom, max(x) as "right" from {_ELEMENTS} group by spread')
 def bounding_box(spark, sf_dir):
-    return _elements(spark, sf_dir).groupBy("spread").agg(F.min("y").alias("top"), F.min("x").alias("left"), F.max("y").alias("bottom"), F.max("x").alias("right"))
+    return layout.bounds(_elements(spark, sf_dir), ["spread"], F.col("y"), F.col("x"), F.col("y"), F.col("x"))
 
 
 @query("A7_css_per_page", "select o_custkey, string_agg(p, ' ' order by p) as css from (select distinct o_custkey, o_orderpriority as p from orders where o_orderpriority in (select o_orderpriority from orders group by 1 having count(*) > 10)) group by o_custkey")
 def css_per_page(spark, sf_dir):
     orders = _t(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderpriority").alias("p"))
-    declared = orders.groupBy("p").count().where("count > 10").select("p")
-    used = orders.distinct().join(declared, "p", "left_semi")
-    return used.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("p")), " ").alias("css"))
+    return styles.page_sheets(orders, orders.groupBy("p").count().where("count > 10"), ["o_custkey"], "p")
 
 
 @query("A11_merged_maps", "select p_partkey, cast(to_json(case when p_size % 2 = 0 then {'color': p_brand, 'size': p_size::varchar} else {'color': p_brand, 'size': p_type} end) as varchar) as props from part")
@@ -206,14 +202,14 @@ def merged_maps(spark, sf_dir):
 
 @query("O7_used_and_declared", "select c_nationkey as k from customer intersect select s_nationkey from supplier except select n_nationkey from nation where n_regionkey = 0")
 def used_and_declared(spark, sf_dir):
-    used, declared = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
-    return used.intersect(declared).exceptAll(_t(spark, sf_dir, "nation").where("n_regionkey = 0").select("n_nationkey"))
+    used, declared, other = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).distinct(), _t(spark, sf_dir, "supplier"), _t(spark, sf_dir, "nation").where("n_regionkey = 0")
+    return lookup.without(lookup.named_in(used, declared, {"k": "s_nationkey"}), other, {"k": "n_nationkey"})
 
 
 @query("O6_union_rules", "select n_name as name, 'nation' as kind from nation union all select r_name, 'region' from region")
 def union_rules(spark, sf_dir):
     a = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.lit("nation").alias("kind"))
-    return a.unionAll(_t(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.lit("region").alias("kind")))
+    return styles.rule_union(a, _t(spark, sf_dir, "region").select(F.lit("region").alias("kind"), F.col("r_name").alias("name")))
 
 
 @query("K4_asset_routes", "select p_partkey, case when ext in ('png', 'jpg', 'svg') then 'images/' when ext in ('otf', 'ttf') then 'fonts/' when ext = 'mp3' then 'audio/' when ext = 'mp4' then 'video/' end as route from (select p_partkey, ['png', 'svg', 'otf', 'PNG', 'mp3', 'mp4', 'exe', 'ttf', 'jpg'][p_size % 9 + 1] as ext from part)")
@@ -234,11 +230,10 @@ def valid_sources(spark, sf_dir):
 
 @query("F7_tracked_changes", "select event_id, event_type from events where event_type in ('view', 'click', 'purchase')")
 def tracked_changes(spark, sf_dir):
-    return _t(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click", "purchase")).select("event_id", "event_type")
+    return filters.unchanged(_t(spark, sf_dir, "events"), F.col("event_type"), ("signup", "error")).select("event_id", "event_type")
 
 
 @query("F16_content_presence", "select c_custkey, exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000) as has_content from customer")
 def content_presence(spark, sf_dir):
-    kinds = _t(spark, sf_dir, "orders").where("o_totalprice > 300000").select("o_custkey").distinct().withColumn("has", F.lit(True))
-    customer = _t(spark, sf_dir, "customer")
-    return customer.join(kinds, customer.c_custkey == kinds.o_custkey, "left").select("c_custkey", F.coalesce("has", F.lit(False)).alias("has_content"))
+    kinds = _t(spark, sf_dir, "orders").where("o_totalprice > 300000")
+    return lookup.marked(_t(spark, sf_dir, "customer").select("c_custkey"), kinds, {"c_custkey": "o_custkey"}, "has_content")

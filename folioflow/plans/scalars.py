@@ -126,7 +126,7 @@ scalar("C27_dimension_class", _PART, lambda: css.dimension_class(c("price"), c("
 scalar("C32_line_spacing", _PART, lambda: css.line_spacing(c("n") * 20), "case when n * 20 = 240 then 100 else n * 20 - 140 end")
 scalar("C35_heading", _PART, lambda: css.heading(F.concat(F.lit("heading "), (c("n") % 8).cast("string"))), "case when n % 8 between 1 and 6 then 'h' || (n % 8) else 'h1' end")
 scalar("C36_script_tag", _PART, lambda: css.script_tag(c("n") % 5), "case n % 5 when 2 then 'sup' when 3 then 'sub' else 'span' end")
-scalar("C42_progress", _PART, lambda: F.least(c("a") / 50.0, F.lit(1.0)), "least(a / 50.0::double, 1)")
+scalar("C42_progress", _PART, lambda: text.progress(c("a"), F.lit(50.0)), "least(a / 50.0::double, 1)")
 scalar("D3_leading", _PART, lambda: css.leading(F.lit(None).cast("double"), F.when(c("n") % 2 == 0, "Auto").otherwise(c("n").cast("string")), F.when(c("n") % 4 == 0, c("n"))), "case when n % 2 = 0 then 'line-height:' || (case when n % 4 = 0 then n else 120 end) || '%' else 'line-height:' || n || 'px' end")
 scalar("D4_decoration", _PART, lambda: css.decoration(c("n") % 2 == 0, c("n") % 3 == 0, F.when(c("n") % 4 == 0, "Color/Red")), "case when n % 3 = 0 then 'text-decoration:line-through' when n % 2 = 0 and n % 4 <> 0 then 'text-decoration:underline' else 'text-decoration:none' end")
 _POSITIONS = ["Superscript", "Subscript", "Normal"]
@@ -135,7 +135,7 @@ _CAPS = ["SmallCaps", "AllCaps", "Normal", "CapToSmallCap"]
 scalar("D7_capitalization", _PART, lambda: css.mapped(_choose(_CAPS), css.CAPITALIZATION, "text-transform:none"), _case(_pick(_CAPS), css.CAPITALIZATION, "'text-transform:none'"))
 scalar("D8_letter_spacing", _PART, lambda: css.letter_spacing(c("n") % 4), "case when n % 4 = 0 then 'letter-spacing:normal' else 'letter-spacing:' || (n % 4) || '%' end")
 scalar("D9_word_spacing", _PART, lambda: css.word_spacing(c("a")), "case when a = 100 then 'word-spacing:normal' else 'word-spacing:' || a || '%' end")
-scalar("D10_tracking", _PART, lambda: css.tracking(c("n") - 10), "case when n = 10 then 'letter-spacing:normal' else printf('letter-spacing:%.3fem', (n - 10) / 1000.0::double) end")
+scalar("D10_tracking", _PART, lambda: css.tracking(c("n") - 10), "case when n = 10 then 'letter-spacing:normal' else 'letter-spacing:' || regexp_replace(cast((n - 10) / 1000.0::double as varchar), '[.]0$', '') || 'em' end")
 scalar("D12_baseline", _PART, lambda: css.baseline(c("n") % 3), "case when n % 3 = 0 then 'vertical-align:normal' else 'vertical-align:' || (n % 3) || 'px' end")
 _JUSTIFIED = [*css.JUSTIFICATION]
 scalar("D16_justification", _PART, lambda: css.mapped(_choose(_JUSTIFIED), css.JUSTIFICATION, "text-align:left"), _case(_pick(_JUSTIFIED), css.JUSTIFICATION, "'text-align:left'"))
@@ -144,9 +144,19 @@ scalar(
     "D21_insets", _PART, lambda: css.insets(*(F.when(c("n") % 3 == 0, F.lit(4.2)).otherwise(c(x) / 10.0) for x in "abcn")),
     f"case when {_inset('a')} = {_inset('b')} and {_inset('b')} = {_inset('c')} and {_inset('c')} = {_inset('n')} then 'padding:' || {_inset('a')} || 'px' else 'padding:' || {_inset('a')} || 'px ' || {_inset('b')} || 'px ' || {_inset('c')} || 'px ' || {_inset('n')} || 'px' end",
 )
-scalar("D25_corner", _PART, lambda: css.corner(_choose(["None", "Square", "Rounded"]), c("price")), "case when a % 3 < 2 then 0.0::double else price end")
-scalar("D26_opacity", _PART, lambda: css.opacity(c("a")), "printf('opacity:%.1f', round(a / 100.0::double, 1))")
-scalar("D27_box_shadow", _PART, lambda: css.shadow(c("n"), c("b"), c("a") % 100, F.lit("#000000")), "printf('box-shadow:%dpx %dpx %.2fpx #000000', n, b, pow(100.0::double - a % 100, 0.25))")
+_CORNER = ["None", "Square", "Rounded"]
+scalar(
+    "D25_corners", _PART, lambda: css.corners([_choose(_CORNER), _choose(_CORNER, "b"), _choose(_CORNER, "c"), F.when(c("n") % 2 == 0, "Rounded")], [F.when(c("n") % 5 > 0, c("price") / 7.0), c("a") / 8.0, c("b") / 8.0, c("c") / 8.0], F.lit("Rounded"), c("a") / 4.0),
+    f"""(with r as (select unnest([case when n % 5 > 0 then round(price / 7.0::double, 2) else 0 end, round(a / 8.0::double, 2), round(b / 8.0::double, 2), round(c / 8.0::double, 2)]) as r, unnest([{_pick(_CORNER)}, {_pick(_CORNER, 'b')}, {_pick(_CORNER, 'c')}, case when n % 2 = 0 then 'Rounded' else 'Square' end]) as o, unnest(['top-left', 'top-right', 'bottom-left', 'bottom-right']) as k, unnest([0, 1, 3, 2]) as s, unnest([0, 1, 2, 3]) as l)
+    select case when count(distinct r) = 1 and count(distinct o) = 1 then case when a > 0 then 'border-radius:' || regexp_replace(cast(round(a / 4.0::double, 2) as varchar), '[.]0$', '') || 'px' end when bool_and(o = 'Rounded') then 'border-radius:' || string_agg(regexp_replace(cast(r as varchar), '[.]0$', '') || 'px', ' ' order by s)
+    else string_agg('border-' || k || '-radius:' || case when o = 'Rounded' then regexp_replace(cast(r as varchar), '[.]0$', '') || 'px' else '0' end, ';' order by l) end from r)""",
+)
+scalar("D26_opacity", _PART, lambda: css.opacity(c("a")), "'opacity:' || regexp_replace(cast(round(a / 100.0::double, 1) as varchar), '[.]0$', '')")
+scalar(
+    "D27_box_shadow", _PART, lambda: css.shadow(_choose(["Drop", "None"]), _choose(["true", "false"], "b"), F.when(c("n") % 3 > 0, c("price")), c("b"), c("c") - 50, F.when(c("n") % 2 == 0, c("a") / 4.0), F.when(c("n") % 5 > 0, c("a") % 100), F.when(c("n") % 4 > 0, F.array(c("a"), c("b"), c("c")))),
+    """case when a % 2 = 0 or b % 2 = 0 then 'box-shadow:' || case when c > 50 then -1 else 1 end * coalesce(case when n % 3 > 0 then cast(trunc(price) as int) end, 7) || 'px ' || case when c > 50 then -1 else 1 end * b || 'px ' || case when n % 5 > 0 then regexp_replace(cast(round(pow(100.0::double - a % 100, 0.25), 13) as varchar), '[.]0$', '') else '5' end || 'px '
+    || case when n % 2 = 0 then regexp_replace(cast(a / 4.0::double as varchar), '[.]0$', '') else '5' end || 'px rgba(' || case when n % 4 > 0 then a || ',' || b || ',' || c else '0,0,0' end || ',0.75) ' || case when a % 2 = 0 then '' else 'inset' end end""",
+)
 scalar(
     "A14_border_shorthand", _PART, lambda: css.border_shorthand(F.array(*(F.when(c("n") % 2 == 0, F.lit("1px solid")).otherwise(F.concat(c(x).cast("string"), F.lit("px solid"))) for x in ("a", "b", "c", "n")))),
     "case when n % 2 = 0 or (a = b and b = c and c = n) then 'border:' || (case when n % 2 = 0 then '1' else a::varchar end) || 'px solid' else 'border-top:' || a || 'px solid;border-right:' || b || 'px solid;border-bottom:' || c || 'px solid;border-left:' || n || 'px solid' end",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from folioflow.operators import layout, runs
+from folioflow.operators import closure, layout, lookup, runs, styles
 from folioflow.registry import query
 
 
@@ -23,8 +23,7 @@ def break_split(spark, sf_dir):
 
 @query("W12_nth_delimiter", "select doc_id, case when len(w) > 3 then array_to_string(w[1:3], ' ') else text end as styled from (select doc_id, text, string_split(text, ' ') as w from documents)")
 def nth_delimiter(spark, sf_dir):
-    w = F.split("text", " ", -1)
-    return _t(spark, sf_dir, "documents").select("doc_id", F.when(F.size(w) > 3, F.array_join(F.slice(w, 1, 3), " ")).otherwise(F.col("text")).alias("styled"))
+    return _t(spark, sf_dir, "documents").select("doc_id", runs.until_nth(F.col("text"), " ", 3, inclusive=False).alias("styled"))
 
 
 @query("W16_image_numbers", "select p_partkey, row_number() over (partition by p_brand order by p_partkey) as image_no from part")
@@ -45,20 +44,21 @@ def page_file_order(spark, sf_dir):
 
 @query("O5_top_most_match", "select user_id, arg_max(event_type, event_id) filter (event_type in ('click', 'view')) as top from events group by user_id")
 def top_most_match(spark, sf_dir):
-    match = F.col("event_type").isin("click", "view")
-    return _t(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by(F.when(match, F.col("event_type")), F.when(match, F.col("event_id"))).alias("top"))
+    events = _t(spark, sf_dir, "events").withColumn("top", F.col("event_type"))
+    return lookup.last_of(events, ["user_id"], ["event_id"], ["top"], F.col("event_type").isin("click", "view"))
 
 
 @query("O8_stack_slice", "select conv_id, array_to_string(list_slice(list(role order by turn), 2, 3), '/') as parents from conversations group by conv_id")
 def stack_slice(spark, sf_dir):
-    roles = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: s.role)
-    return _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.slice(roles, 2, 2), "/").alias("parents"))
+    rows = runs.slice_of_stack(_t(spark, sf_dir, "conversations"), ["conv_id"], "turn", "role", 2, 2)
+    return rows.select("conv_id", F.array_join("parents", "/").alias("parents"))
 
 
 @query("A3_group_bounds", "select o_custkey, min(o_orderkey % 97) as left_edge, max(o_orderkey % 97 + case when o_orderstatus = 'F' then 10 else 5 end) as right_edge from orders group by o_custkey")
 def group_bounds(spark, sf_dir):
-    edge = F.col("o_orderkey") % 97
-    return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(edge).alias("left_edge"), F.max(edge + F.when(F.col("o_orderstatus") == "F", 10).otherwise(5)).alias("right_edge"))
+    edge, zero = F.col("o_orderkey") % 97, F.lit(0)
+    rows = layout.bounds(_t(spark, sf_dir, "orders"), ["o_custkey"], zero, edge, zero, edge + F.when(F.col("o_orderstatus") == "F", 10).otherwise(5))
+    return rows.select("o_custkey", F.col("left").alias("left_edge"), F.col("right").alias("right_edge"))
 
 
 _TREE = "(select p_partkey as node, case when p_partkey > 0 then p_partkey // 4 end as parent, p_size % 7 = 0 as hit from part)"
@@ -70,10 +70,7 @@ _TREE = "(select p_partkey as node, case when p_partkey > 0 then p_partkey // 4
 )
 def has_descendant(spark, sf_dir):
     nodes = _t(spark, sf_dir, "part").selectExpr("p_partkey as node", "if(p_partkey > 0, p_partkey div 4, null) as parent", "p_size % 7 = 0 as hit")
-    # a node's path of ancestors comes with it, so hits reach all of them in one shuffle
-    path = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(14)), lambda i: F.floor(F.col("node") / F.pow(F.lit(4.0), i)).cast("long")))
-    above = nodes.where("hit and node > 0").select(F.explode(path).alias("above")).distinct()
-    return nodes.join(above, nodes.node == above.above, "left").select("node", F.col("above").isNotNull().alias("has"))
+    return closure.with_descendant(nodes, F.col("hit"))
 
 
 @query("A19_book_structure", f"select user_id, event_id, event_type, max(case when event_type = 'signup' then event_id end) over (partition by user_id order by event_id) as chapter, row_number() over (partition by user_id, event_type order by event_id) as sequence from events where event_type in ('signup', 'view')")
@@ -86,27 +83,29 @@ def book_structure(spark, sf_dir):
 
 @query("A20_attribute_union", "select p_partkey, p_brand || ' ' || p_type as class from part")
 def attribute_union(spark, sf_dir):
-    both = F.flatten(F.array(F.array("p_brand"), F.split("p_type", " ")))
-    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(both, " ").alias("class"))
+    return _t(spark, sf_dir, "part").select("p_partkey", styles.united(F.col("p_brand"), F.col("p_type")).alias("class"))
 
 
 @query("A21_used_styles", "select o_custkey, string_agg(distinct coalesce(nullif(o_orderstatus, 'O'), o_orderpriority), ' ' order by coalesce(nullif(o_orderstatus, 'O'), o_orderpriority)) as used from orders group by o_custkey")
 def used_styles(spark, sf_dir):
-    used = F.coalesce(F.nullif(F.col("o_orderstatus"), F.lit("O")), F.col("o_orderpriority"))
-    return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set(used)), " ").alias("used"))
+    return styles.used_names(_t(spark, sf_dir, "orders"), ["o_custkey"], F.nullif(F.col("o_orderstatus"), F.lit("O")), F.col("o_orderpriority"))
 
 
-@query("J10_master_pages", "with recursive m as (select p_partkey as page, p_partkey as up, 0 as d from part union all select page, up // 5, d + 1 from m where up > 0) select page, case when page > 0 then count(*) - 1 else 0 end as masters, arg_max(up, d) as base from m group by page")
+@query(
+    "J10_master_pages",
+    "with recursive t as (select p_partkey as page, case when p_partkey > 0 then p_partkey // 5 end as up from part), m as (select page, page as top, 0 as d from t union all select m.page, t.up, d + 1 from m join t on t.page = m.top where t.up in (select page from t)) "
+    "select page, cast(max(d) as bigint) as masters, arg_max(top, d) as base from m group by page",
+)
 def master_pages(spark, sf_dir):
-    chain = F.filter(F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: F.floor(F.col("p_partkey") / F.pow(F.lit(5.0), i)).cast("long")), lambda x: x > 0)
-    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), F.size(chain).cast("long").alias("masters"), F.lit(0).cast("long").alias("base"))
+    pages = _t(spark, sf_dir, "part").selectExpr("p_partkey as node", "if(p_partkey > 0, p_partkey div 5, null) as parent")
+    return layout.master_chain(pages).withColumnRenamed("node", "page")
 
 
 @query("J18_layers", "select o_orderkey, n_nationkey - 1 as z, coalesce(n_regionkey < 3, false) as visible from orders left join nation on n_nationkey = o_orderkey % 30")
 def layers(spark, sf_dir):
-    orders, nation = _t(spark, sf_dir, "orders").select("o_orderkey"), F.broadcast(_t(spark, sf_dir, "nation"))  # a fixed table of 25 rows
-    rows = orders.join(nation, orders.o_orderkey % 30 == nation.n_nationkey, "left")
-    return rows.select("o_orderkey", (F.col("n_nationkey") - 1).alias("z"), F.coalesce(F.col("n_regionkey") < 3, F.lit(False)).alias("visible"))
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 30).alias("layer"))
+    table = F.broadcast(_t(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") - 1).alias("z"), (F.col("n_regionkey") < 3).alias("visible")))  # a fixed table of 25 rows
+    return lookup.looked_up(orders, table, {"layer": "n_nationkey"}, {"z": None, "visible": False}).drop("layer")
 
 
 @query("J19_first_font", "select c_custkey, p_partkey as font from customer join (select p_size, min(p_partkey) as p_partkey from part group by p_size) on p_size = c_custkey % 60")
@@ -118,14 +117,13 @@ def first_font(spark, sf_dir):
 
 @query("J22_alternate_names", "select p_partkey, coalesce(a.s_suppkey, b.s_suppkey) as found from part left join supplier a on a.s_suppkey = p_partkey left join supplier b on b.s_suppkey = p_partkey % 200")
 def alternate_names(spark, sf_dir):
-    part, names = _t(spark, sf_dir, "part"), _t(spark, sf_dir, "supplier").select("s_suppkey")
-    exact, other = names.select(F.col("s_suppkey").alias("a")), names.select(F.col("s_suppkey").alias("b"))
-    rows = part.join(exact, part.p_partkey == exact.a, "left").join(other, part.p_partkey % 200 == other.b, "left")
-    return rows.select("p_partkey", F.coalesce("a", "b").alias("found"))
+    names = _t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_suppkey").alias("file"))
+    rows = _t(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 200).alias("other"))
+    return lookup.first_found(rows, [(names, "s_suppkey", "file", "p_partkey"), (names, "s_suppkey", "file", "other")], "found").drop("other")
 
 
 @query("J24_tag_rules", "select p_partkey, coalesce(a.n_name, b.r_name, 'span') as rule from part left join nation a on a.n_nationkey = p_size left join region b on b.r_regionkey = p_size % 10")
 def tag_rules(spark, sf_dir):
-    part, nation, region = _t(spark, sf_dir, "part"), F.broadcast(_t(spark, sf_dir, "nation")), F.broadcast(_t(spark, sf_dir, "region"))  # 25 and 5 rows
-    rows = part.join(nation, part.p_size == nation.n_nationkey, "left").join(region, part.p_size % 10 == region.r_regionkey, "left")
-    return rows.select("p_partkey", F.coalesce("n_name", "r_name", F.lit("span")).alias("rule"))
+    nation, region = F.broadcast(_t(spark, sf_dir, "nation")), F.broadcast(_t(spark, sf_dir, "region"))  # 25 and 5 rows
+    rows = _t(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("tag"), (F.col("p_size") % 10).alias("group"))
+    return lookup.first_found(rows, [(nation, "n_nationkey", "n_name", "tag"), (region, "r_regionkey", "r_name", "group")], "rule", "span").select("p_partkey", "rule")

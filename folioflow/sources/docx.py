@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.sources.xml import nodes
+from folioflow.functions import css as css_of
+from folioflow.operators import emit, lookup, runs
+from folioflow.sources.xml import nodes, owned
 
 
 def document_nodes(members: DataFrame) -> DataFrame:
     return nodes(members.where("member = 'word/document.xml'"))
 
 
-def _owned(tree: DataFrame, owner: str) -> DataFrame:
-    """Adds the node of tag ``owner`` at or above each node, null outside of any; owners don't nest; S13."""
-    w = Window.partitionBy("path").orderBy("node_id")
-    last = F.last(F.when(F.col("tag") == owner, F.struct("node_id", "depth")), ignorenulls=True).over(w)
-    within = (F.col("_last.node_id") == F.col("node_id")) | (F.col("depth") > F.col("_last.depth"))
-    return tree.withColumn("_last", last).withColumn(owner, F.when(within, F.col("_last.node_id"))).drop("_last")
-
-
 def paragraphs(members: DataFrame) -> DataFrame:
     """path, p (its node), style, num_id, level and text of each paragraph; F21."""
-    tree = _owned(document_nodes(members), "p").where("p is not null")
+    tree = owned(document_nodes(members), "p").where("p is not null")
     value = lambda tag: F.max(F.when(F.col("tag") == tag, F.col("attrs")["val"]))
     text = F.array_sort(F.collect_list(F.when(F.col("tag") == "t", F.struct("node_id", "text"))))
     out = tree.groupBy("path", "p").agg(value("pStyle").alias("style"), value("numId").cast("int").alias("num_id"), value("ilvl").cast("int").alias("level"), text.alias("t"))
@@ -31,15 +25,122 @@ def paragraphs(members: DataFrame) -> DataFrame:
 
 def lists(members: DataFrame) -> DataFrame:
     """path, list, level, items: neighbouring list paragraphs of one numbering; W5."""
-    from folioflow.operators.runs import islands
-
-    rows = islands(paragraphs(members), ["path"], ["p"], F.col("num_id"), "list").where("num_id >= 1")
+    rows = runs.islands(paragraphs(members), ["path"], ["p"], F.col("num_id"), "list").where("num_id >= 1")
     return rows.groupBy("path", "list", "num_id").agg(F.count("*").alias("items"))
 
 
+def _value(tag: str, key: str = "val") -> Column:
+    """An aggregate over a node's subtree: the attribute of its first element of a tag, null for none."""
+    at = F.col("tag") == tag
+    return F.min_by(F.when(at, F.try_element_at("attrs", F.lit(key))), F.when(at, F.col("node_id")))
+
+
+def _on(tag: str) -> Column:
+    """An aggregate: whether there is an element of a tag that isn't switched off."""
+    return F.coalesce(F.bool_or(F.when(F.col("tag") == tag, ~F.coalesce(F.try_element_at("attrs", F.lit("val")), F.lit("")).isin("0", "false", "none"))), F.lit(False))
+
+
+def _declarations() -> Column:
+    """An aggregate: the CSS of the run properties in a subtree; half points to points; C33."""
+    size, color = F.floor(_value("sz").try_cast("double") / 2).cast("string"), _value("color")
+    vertical = F.when(_value("vertAlign") == "superscript", "super").when(_value("vertAlign") == "subscript", "sub")
+    parts = [
+        F.concat(F.lit("font-family:"), _value("rFonts", "ascii")), F.concat(F.lit("color:#"), F.when(color == "auto", "000000").otherwise(color)), F.concat(F.lit("font-size:"), size, F.lit("pt")),
+        F.when(_on("b"), "font-weight:bold"), F.when(_on("i"), "font-style:italic"), F.when(_on("u"), "text-decoration:underline"), F.when(_on("caps"), "text-transform:uppercase"), F.concat(F.lit("vertical-align:"), vertical),
+    ]
+    return F.concat_ws(";", *parts)
+
+
+def _escaped(text: Column) -> Column:
+    out = F.replace(text, F.lit("&"), F.lit("&amp;"))
+    return F.replace(F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+
+
+def body_runs(members: DataFrame) -> DataFrame:
+    """path, p, r, css and html of each run of the body's paragraphs: its texts, tabs and breaks in order; S13, C4."""
+    tree = owned(owned(document_nodes(members), "p"), "r").where("p is not null and r is not null")
+    tag = F.col("tag")
+    piece = F.when(tag == "t", _escaped(F.col("text"))).when(tag == "tab", "\t").when(tag == "br", F.when(F.try_element_at("attrs", F.lit("type")) == "page", "").otherwise("<br />"))
+    held = F.array_sort(F.collect_list(F.when(piece.isNotNull(), F.struct("node_id", piece.alias("t")))))
+    return tree.groupBy("path", "p", "r").agg(_declarations().alias("css"), F.array_join(F.transform(held, lambda s: s.t), "").alias("html"))
+
+
+def body_paragraphs(members: DataFrame) -> DataFrame:
+    """path, p, tbl, tr, tc (the table, row and cell it is in, or null), style, num_id, level, breaks (whether a page starts in it) and html; P8.
+
+    Neighbouring runs of one style become one span; text without a style has none.
+    """
+    tree = document_nodes(members)
+    for owner in ("tbl", "tr", "tc", "p"):
+        tree = owned(tree, owner)
+    breaks = F.bool_or((F.col("tag") == "br") & (F.try_element_at("attrs", F.lit("type")) == "page"))
+    props = tree.where("p is not null").groupBy("path", "p").agg(
+        F.first("tbl").alias("tbl"), F.first("tr").alias("tr"), F.first("tc").alias("tc"), _value("pStyle").alias("style"), _value("numId").try_cast("int").alias("num_id"), _value("ilvl").try_cast("int").alias("level"),
+        F.coalesce(breaks, F.lit(False)).alias("breaks"),
+    )
+    merged = runs.merged(body_runs(members), ["path", "p"], ["r"], F.col("css"), F.col("html"))
+    span = F.when(F.col("style") == "", F.col("text")).otherwise(F.concat(F.lit('<span style="'), "style", F.lit('">'), "text", F.lit("</span>")))
+    held = F.array_sort(F.collect_list(F.struct("run", span.alias("t"))))
+    texts = merged.groupBy("path", "p").agg(F.array_join(F.transform(held, lambda s: s.t), "").alias("html"))
+    return lookup.looked_up(props, texts, {"path": "path", "p": "p"}, {"html": ""})
+
+
+def _joined(order: str, text: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda s: s.t), "")
+
+
+def body_tables(members: DataFrame, paras: DataFrame) -> DataFrame:
+    """path, tbl and html of each table of the body, cells spanning as their gridSpan says; P9. ``paras``: ``body_paragraphs``."""
+    inside = paras.where("tc is not null")
+    texts = inside.groupBy("path", "tbl", "tr", "tc").agg(_joined("p", "html").alias("text"))
+    spans = owned(document_nodes(members), "tc").where("tc is not null").groupBy("path", "tc").agg(F.coalesce(_value("gridSpan").try_cast("int"), F.lit(1)).alias("colspan"))
+    cells = lookup.looked_up(texts, spans, {"path": "path", "tc": "tc"}, {"colspan": 1})
+    cells = cells.select("path", "tbl", F.col("tr").alias("row"), F.col("tc").alias("col"), F.lit(1).alias("rowspan"), "colspan", "text")
+    return emit.tables(cells, ["path", "tbl"], 0, 0)
+
+
+def body_blocks(members: DataFrame) -> DataFrame:
+    """path, ord, kind, tag (of a heading or paragraph), breaks and html of each block of the body: headings, paragraphs, lists and tables; P8, W5.
+
+    Neighbouring list paragraphs of one numbering are one list, ordered unless its format is a bullet's.
+    """
+    paras = body_paragraphs(members)
+    flow = paras.where("tbl is null")
+    formats = lookup.first_of(numbering(members), ["path", "num_id"], ["level"], ["format"])
+    flow = lookup.looked_up(flow, formats, {"path": "path", "num_id": "num_id"}, {"format": "decimal"})
+    flow = runs.islands(flow, ["path"], ["p"], F.col("num_id"), "island")
+    names = lookup.first_of(style_table(members), ["path", "style"], ["name"], ["name"])
+    flow = lookup.looked_up(flow, names, {"path": "path", "style": "style"}, {"name": F.regexp_replace("style", "^Heading ?([1-6])$", "heading $1")})
+    heading = F.when(F.lower("name").rlike("^heading [1-6]$"), css_of.heading(F.lower("name")))
+    item = F.concat(F.lit("<li>"), "html", F.lit("</li>"))
+    listed = flow.where("num_id >= 1").withColumn("item", item).groupBy("path", "island").agg(F.min("p").alias("ord"), F.first("format").alias("format"), F.bool_or("breaks").alias("breaks"), _joined("p", "item").alias("items"))
+    tag = F.when(F.col("format") == "bullet", "ul").otherwise("ol")
+    listed = listed.select("path", "ord", F.lit("list").alias("kind"), F.lit(None).cast("string").alias("tag"), "breaks", F.concat(F.lit("<"), tag, F.lit(">"), "items", F.lit("</"), tag, F.lit(">")).alias("html"))
+    plain = flow.where("num_id is null or num_id < 1").withColumn("tag", F.coalesce(heading, F.lit("p")))
+    plain = plain.select("path", F.col("p").alias("ord"), F.when(F.col("tag") == "p", "paragraph").otherwise("heading").alias("kind"), "tag", "breaks", F.concat(F.lit("<"), "tag", F.lit(">"), "html", F.lit("</"), "tag", F.lit(">")).alias("html"))
+    tables = body_tables(members, paras).select("path", F.col("tbl").alias("ord"), F.lit("table").alias("kind"), F.lit(None).cast("string").alias("tag"), F.lit(False).alias("breaks"), "html")
+    return plain.unionByName(listed).unionByName(tables)
+
+
+def body_pages(members: DataFrame) -> DataFrame:
+    """path, page_no, title and html of each page of the body: a page starts at a heading of the first level or at a page break; P8, W6."""
+    blocks = runs.split_at(body_blocks(members), ["path"], ["ord"], (F.col("tag").eqNullSafe(F.lit("h1"))) | F.col("breaks"), "page")
+    first = F.min("page").over(Window.partitionBy("path"))
+    blocks = blocks.withColumn("page_no", F.col("page") - first + 1)
+    title = F.min_by(F.when(F.col("tag") == "h1", F.regexp_replace("html", "<[^>]*>", "")), F.when(F.col("tag") == "h1", F.col("ord")))
+    return blocks.groupBy("path", "page_no").agg(title.alias("title"), _joined("ord", "html").alias("html"))
+
+
+def style_properties(members: DataFrame) -> DataFrame:
+    """path, style, based_on, css: each declared style with its own run properties; S29, C33."""
+    tree = owned(nodes(members.where("member = 'word/styles.xml'")), "style").where("style is not null")
+    at = lambda key: F.max(F.when(F.col("tag") == "style", F.try_element_at("attrs", F.lit(key))))
+    return tree.groupBy("path", F.col("style").alias("node")).agg(at("styleId").alias("style"), _value("basedOn").alias("based_on"), _declarations().alias("css")).drop("node")
+
+
 def style_table(members: DataFrame) -> DataFrame:
     """path, style, based_on, name, type of each declared style; S29."""
-    tree = _owned(nodes(members.where("member = 'word/styles.xml'")), "style").where("style is not null")
+    tree = owned(nodes(members.where("member = 'word/styles.xml'")), "style").where("style is not null")
     at = lambda tag, key: F.max(F.when(F.col("tag") == tag, F.col("attrs")[key]))
     out = tree.groupBy("path", F.col("style").alias("node")).agg(at("style", "styleId").alias("style"), at("basedOn", "val").alias("based_on"), at("name", "val").alias("name"), at("style", "type").alias("type"))
     return out.drop("node")

@@ -45,7 +45,7 @@ def gathered(spark: SparkSession, folder: str, kind: str, least: int = 1) -> Dat
 def members(archives: DataFrame, permissive: bool = False) -> DataFrame:
     """path, member, content: each file of each zip archive in ``archives(path, content)``; S3, S4, S13.
 
-    A broken or empty archive is an error, or a row with a null member if ``permissive``.
+    A broken or empty archive is an error, or, after the members that can be read, a row with a null member if ``permissive``.
     """
 
     def run(batches):
@@ -53,15 +53,15 @@ def members(archives: DataFrame, permissive: bool = False) -> DataFrame:
             for path, content in zip(rows["path"], rows["content"]):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        found = [(path, n.filename, z.read(n)) for n in z.infolist() if not n.is_dir()]
-                    if not found:
-                        raise zipfile.BadZipFile("no members")
+                        names = [n for n in z.infolist() if not n.is_dir()]
+                        if not names:
+                            raise zipfile.BadZipFile("no members")
+                        for n in names:  # one member is held at a time
+                            yield pd.DataFrame([(path, n.filename, z.read(n))], columns=["path", "member", "content"])
                 except zipfile.BadZipFile as e:
                     if not permissive:
                         raise ValueError(f"{path}: {e}") from e
-                    found = [(path, None, None)]
-                for at in range(0, len(found), 64):
-                    yield pd.DataFrame(found[at : at + 64], columns=["path", "member", "content"])
+                    yield pd.DataFrame([(path, None, None)], columns=["path", "member", "content"])
 
     return archives.select("path", "content").mapInPandas(run, "path string, member string, content binary")
 

@@ -1,4 +1,4 @@
-"""XML members as flattened trees: one row for each node.
+"""XML members as flattened trees: one row for each element, in document order.
 
 Parsing is the one step that Spark's functions can't express for trees of any depth, so it
 runs in Python, a member at a time, in batches that are bounded by nodes.
@@ -9,41 +9,63 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-SCHEMA = "path string, member string, node_id int, parent_id int, ord int, depth int, tag string, attrs map<string,string>, text string"
+SCHEMA = "path string, member string, node_id int, parent_id int, ord int, depth int, last int, tag string, attrs map<string,string>, text string, pieces array<string>, content string, error string"
+_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def _local(name: str) -> str:
     return name.rpartition("}")[2]
 
 
-def nodes_of(content: bytes):
-    """(node, parent, place among its siblings, depth, local tag, local attributes, own text) in document order."""
-    try:
-        stack, n = [(ET.fromstring(content), -1, 0, 0)], 0
-    except ET.ParseError:
-        return
+def nodes_of(content: bytes, whole: tuple[str, ...] = ()):
+    """(node, parent, place among its siblings, depth, last node below, local tag, local attributes, own text, its pieces, all text) in document order.
+
+    Pieces are the texts before the first child and after each child. All text, that of the elements below
+    included, is read for the tags in ``whole`` alone.
+    """
+    root = ET.fromstring(content)
+    below = {}
+    for e in reversed(list(root.iter())):
+        below[e] = sum(below[c] + 1 for c in e)
+    stack, n = [(root, -1, 0, 0)], 0
     while stack:
         e, parent, place, depth = stack.pop()
-        yield n, parent, place, depth, _local(e.tag), {_local(k): v for k, v in e.attrib.items()}, "".join([e.text or "", *(c.tail or "" for c in e)])
-        stack.extend((c, n, k, depth + 1) for k, c in reversed(list(enumerate(e))) if isinstance(c.tag, str))
+        pieces, tag = [e.text or "", *(c.tail or "" for c in e)], _local(e.tag)
+        yield n, parent, place, depth, n + below[e], tag, {_local(k): v for k, v in e.attrib.items()}, "".join(pieces), pieces, "".join(e.itertext()) if tag in whole else None
+        stack.extend((c, n, k, depth + 1) for k, c in reversed(list(enumerate(e))))
         n += 1
 
 
-def nodes(members: DataFrame) -> DataFrame:
-    """The nodes of each XML member of ``members(path, member, content)``; a broken one has none."""
+def nodes(members: DataFrame, whole: tuple[str, ...] = ()) -> DataFrame:
+    """The nodes of each XML member of ``members(path, member, content)``; one that can't be read has a single row, of nulls and its ``error``."""
 
     def run(batches):
         for rows in batches:
             for path, member, content in zip(rows["path"], rows["member"], rows["content"]):
                 held = []
-                for node in nodes_of(bytes(content)):
-                    held.append((path, member, *node))
-                    if len(held) == 5000:
-                        yield pd.DataFrame(held, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-                        held = []
+                try:
+                    for node in nodes_of(bytes(content), whole):
+                        held.append((path, member, *node, None))
+                        if len(held) == 5000:
+                            yield pd.DataFrame(held, columns=_NAMES)
+                            held = []
+                except ET.ParseError as e:
+                    held = [(path, member, *[None] * (len(_NAMES) - 3), str(e))]
                 if held:
-                    yield pd.DataFrame(held, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                    out = pd.DataFrame(held, columns=_NAMES)
+                    yield out.astype({c: "Int32" for c in ("node_id", "parent_id", "ord", "depth", "last")})
 
     return members.where("content is not null").select("path", "member", "content").mapInPandas(run, SCHEMA)
+
+
+def owned(tree: DataFrame, owner: str, name: str | None = None, keys: tuple[str, ...] = ("path", "member")) -> DataFrame:
+    """Adds the outermost node of tag ``owner`` at or above each node, null outside of any."""
+    w = Window.partitionBy(*keys).orderBy("node_id")
+    end = F.max(F.when(F.col("tag") == owner, F.col("last"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    tree = tree.withColumn("_end", end)
+    opens = (F.col("tag") == owner) & (F.col("_end").isNull() | (F.col("node_id") > F.col("_end")))
+    tree = tree.withColumn("_own", F.last(F.when(opens, F.struct("node_id", "last")), ignorenulls=True).over(w))
+    return tree.withColumn(name or owner, F.when(F.col("node_id") <= F.col("_own.last"), F.col("_own.node_id"))).drop("_end", "_own")
