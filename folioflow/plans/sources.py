@@ -241,3 +241,57 @@ def archive_members(spark, sf_dir):
 
     archives = rows.groupBy("path").applyInPandas(packed, "path string, content binary")
     return files_of.members(archives).select("path", "member", F.decode("content", "UTF-8").alias("text"))
+
+
+@query(
+    "K12_pictures",
+    """select n_name as path, cast(row_number() over (partition by n_name order by c_custkey) as int) as ord, 'p' || c_custkey || ext as name, case when c_custkey % 3 = 0 then 'T' || case when c_custkey % 2 = 0 then ': D' else '' end when c_custkey % 2 = 0 then 'D' else '' end as alt,
+    case when ext = '.emf' then '<p>The picture p' || c_custkey || '.emf has a format that can''t be shown.</p>' else '<figure><img style="width: ' || regexp_replace(cast(round(c_custkey * 1000 / 914400.0::double, 4) as varchar), '[.]0$', '') || 'in; height: 2in; display: initial" src="../images/p' || c_custkey || '.png" alt="' ||
+    case when c_custkey % 3 = 0 then 'T' || case when c_custkey % 2 = 0 then ': D' else '' end when c_custkey % 2 = 0 then 'D' else '' end || '" title="' || case when c_custkey % 3 = 0 then 'T' || case when c_custkey % 2 = 0 then ': D' else '' end when c_custkey % 2 = 0 then 'D' else '' end || '" id="image_p' || c_custkey || '.png_' || row_number() over (partition by n_name order by c_custkey) || '"></figure>' end as html
+    from (select *, case when c_custkey % 7 = 0 then '.emf' else '.png' end as ext from customer) join nation on c_nationkey = n_nationkey""",
+)
+def pictures(spark, sf_dir):
+    customer, nation = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation")
+    key = F.col("c_custkey").cast("string")
+    ext = F.when(F.col("c_custkey") % 7 == 0, ".emf").otherwise(".png")
+    drawing = F.concat(
+        F.lit('<w:p><w:r><w:drawing><wp:extent cx="'), (F.col("c_custkey") * 1000).cast("string"), F.lit('" cy="1828800"/><wp:docPr'), F.when(F.col("c_custkey") % 3 == 0, ' title="T"').otherwise(""), F.when(F.col("c_custkey") % 2 == 0, ' descr="D"').otherwise(""),
+        F.lit('/><a:blip r:embed="r'), key, F.lit('"/></w:drawing></w:r></w:p>'),
+    )
+    link = F.concat(F.lit('<Relationship Id="r'), key, F.lit('" Target="media/p'), key, ext, F.lit('"/>'))
+    docs = customer.join(nation, customer.c_nationkey == nation.n_nationkey).groupBy(F.col("n_name").alias("path")).agg(_joined("c_custkey", drawing).alias("body"), _joined("c_custkey", link).alias("links"))
+    document = F.concat(F.lit(f'<w:document {_W} xmlns:wp="urn:p" xmlns:a="urn:a" xmlns:r="urn:r"><w:body>'), "body", F.lit("</w:body></w:document>"))
+    members = _member(docs, "word/document.xml", document).union(_member(docs, "word/_rels/document.xml.rels", F.concat(F.lit("<Relationships>"), "links", F.lit("</Relationships>"))))
+    return docx.pictures(members).select("path", "ord", "name", "alt", "html")
+
+
+@query("S16_page_files", "select 'out/' || (p_size % 5) || '/' as book, p_partkey::int as page_no, 'out/' || (p_size % 5) || '/page' || lpad(p_partkey::varchar, 6, '0') || '.html' as path from part where p_partkey % 4 > 0")
+def page_files(spark, sf_dir):
+    name = F.when(F.col("p_partkey") % 4 > 0, "page").otherwise("cover")
+    rows = _t(spark, sf_dir, "part").select(F.concat(F.lit("out/"), (F.col("p_size") % 5).cast("string"), F.lit("/"), name, F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit(".html")).alias("path"))
+    return files_of.page_files(rows)
+
+
+@query("S28_font_names", "select c_custkey::varchar as path, c_name as family, case when c_custkey % 3 = 1 then 'Bold' else '' end as variant, c_name || case when c_custkey % 3 = 1 then ' Bold' else '' end as full_name from customer")
+def font_names(spark, sf_dir):
+    import struct
+
+    import pandas as pd
+
+    from folioflow.sources import fonts as fonts_of
+
+    def made(batches):
+        for rows in batches:
+            out = []
+            for key, name in zip(rows["c_custkey"], rows["c_name"]):
+                texts = [(3, 1, name.encode("utf-16-be")), (1, 1, b"other"), (1, 2, [b"Regular", b"Bold", b""][key % 3])]
+                at, records, body = 0, b"", b""
+                for platform, ident, text in texts:
+                    records += struct.pack(">6H", platform, 0, 0, ident, len(text), at)
+                    at, body = at + len(text), body + text
+                table = struct.pack(">HHH", 0, len(texts), 6 + len(records)) + records + body
+                out.append((str(key), b"OTTO" + struct.pack(">4H", 1, 0, 0, 0) + struct.pack(">4sIII", b"name", 0, 28, len(table)) + table))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    made_of = _t(spark, sf_dir, "customer").select("c_custkey", "c_name").mapInPandas(made, "path string, content binary")
+    return fonts_of.names(made_of).select("path", fonts_of.layout_names().alias("n")).select("path", "n.family", "n.variant", "n.full_name")

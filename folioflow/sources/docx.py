@@ -156,3 +156,37 @@ def numbering(members: DataFrame) -> DataFrame:
     form = child.where("child = 'numFmt'").select("path", F.col("up").alias("l"), F.col("val").alias("format"))
     out = num.join(abstract, ["path", "abstract"]).join(level, ["path", "a"]).join(form, ["path", "l"])
     return out.select("path", F.col("num_id").cast("int").alias("num_id"), F.col("level").cast("int").alias("level"), "format")
+
+
+#: Kinds of pictures that browsers don't show.
+UNSHOWN = ("emf", "wmf", "pict")
+
+
+def pictures(members: DataFrame) -> DataFrame:
+    """path, p, ord (from 1 in a document), member, name, width and height (inches), alt and html of each picture of the body; K12, K14.
+
+    A picture names a relationship, which names the member with its bytes. Of one that can't be shown, html says so.
+    """
+    tree = owned(owned(document_nodes(members), "p"), "drawing").where("drawing is not null")
+    rows = tree.groupBy("path", "drawing").agg(
+        F.first("p").alias("p"), _value("blip", "embed").alias("rel"), _value("extent", "cx").try_cast("double").alias("cx"), _value("extent", "cy").try_cast("double").alias("cy"),
+        F.coalesce(_value("docPr", "title"), F.lit("")).alias("title"), F.coalesce(_value("docPr", "descr"), F.lit("")).alias("descr"),
+    )
+    links = nodes(members.where("member = 'word/_rels/document.xml.rels'")).where("tag = 'Relationship'")
+    links = links.select("path", F.try_element_at("attrs", F.lit("Id")).alias("rel"), F.concat(F.lit("word/"), F.try_element_at("attrs", F.lit("Target"))).alias("member"))
+    rows = lookup.looked_up(runs.numbered(rows.where("rel is not null"), ["path"], ["drawing"], "ord"), links, {"path": "path", "rel": "rel"}, {"member": None}, inner=True)
+    name = F.regexp_extract("member", "([^/]*)$", 1)
+    inches = lambda c: F.round(F.col(c) / 914400, 4)
+    alt = F.concat_ws(": ", F.nullif("title", F.lit("")), F.nullif("descr", F.lit("")))
+    rows = rows.select("path", "p", "ord", "member", name.alias("name"), inches("cx").alias("width"), inches("cy").alias("height"), alt.alias("alt"))
+    size = F.concat(F.lit("width: "), css_of.number(F.col("width")), F.lit("in; height: "), css_of.number(F.col("height")), F.lit("in; display: initial"))
+    ident = F.concat(F.lit("image_"), F.lower(F.replace("name", F.lit(" "), F.lit(""))), F.lit("_"), F.col("ord").cast("string"))
+    shown = F.concat(F.lit('<figure><img style="'), size, F.lit('" src="../images/'), _escaped(F.col("name")), F.lit('" alt="'), _escaped(F.col("alt")), F.lit('" title="'), _escaped(F.col("alt")), F.lit('" id="'), ident, F.lit('"></figure>'))
+    missing = F.concat(F.lit("<p>The picture "), _escaped(F.col("name")), F.lit(" has a format that can't be shown.</p>"))
+    return rows.withColumn("html", F.when(F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)).isin(*UNSHOWN), missing).otherwise(shown))
+
+
+def picture_files(members: DataFrame) -> DataFrame:
+    """path, name, content: the bytes of each picture that can be shown, once; K3, K14."""
+    used = pictures(members).where(~F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)).isin(*UNSHOWN)).select("path", "member", "name").distinct()
+    return members.join(used, ["path", "member"]).select("path", "name", "content")

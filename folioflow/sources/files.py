@@ -84,3 +84,10 @@ def pdf_info(text: Column) -> Column:
 def empty_book(spark: SparkSession) -> DataFrame:
     """One page for a book without sources; S20."""
     return spark.createDataFrame([(1, "Page 1", "")], "page_no int, title string, html string")
+
+
+def page_files(files: DataFrame) -> DataFrame:
+    """book, page_no, path of the pages in a PDF converter's output folders, ``files(path)``, by the number in the name; S16."""
+    number = F.regexp_extract("path", r"(?i)(?:^|/)page0*([0-9]+)\.x?html$", 1)
+    rows = files.select(F.regexp_extract("path", "^(.*/)?[^/]*$", 1).alias("book"), number.try_cast("int").alias("page_no"), "path")
+    return rows.where("page_no is not null")
