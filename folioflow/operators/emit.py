@@ -21,24 +21,19 @@ def _joined(order: Column, text: Column, between: str = "") -> Column:
 def serialized(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` and html of each tree of ``nodes``: pre, depth, tag, attrs (a map) and text in document order; K9.
 
-    A node's end tag comes after its last descendant: before the next node that isn't deeper. So each
-    row opens itself and closes what its successor leaves, without folding the tree level by level:
-    open nodes at a row are those of the path to it.
+    A node's end tag comes before the next node that isn't deeper, deeper nodes' first. That node is found for all
+    depths at once, by a window for each depth over the nodes at or above it, so the work is linear in nodes times depths.
     """
-    w = Window.partitionBy(*keys).orderBy("pre")
-    rows = nodes.withColumn("_next", F.coalesce(F.lead("depth").over(w), F.lit(0)))
+    deepest = F.max("depth").over(Window.partitionBy(*keys))
+    levels = nodes.select(*keys, "pre", "depth", "tag", deepest.alias("_deepest")).withColumn("_level", F.explode(F.sequence("depth", "_deepest")))
+    after = F.lead("pre").over(Window.partitionBy(*keys, "_level").orderBy("pre"))
+    ends = levels.withColumn("_after", after).where(F.col("_level") == F.col("depth"))
+    token = lambda at, rank, depth, text: F.struct(at.cast("long").alias("o"), F.lit(rank).alias("r"), depth.cast("int").alias("d"), text.alias("t")).alias("_token")
+    ends = ends.select(*keys, token(F.coalesce("_after", F.lit((1 << 63) - 1)), 0, -F.col("depth"), F.concat(F.lit("</"), F.col("tag"), F.lit(">"))))
     attrs = attributes(F.col("attrs"))
     opening = F.concat(F.lit("<"), F.col("tag"), F.when(attrs != "", F.concat(F.lit(" "), attrs)).otherwise(""), F.lit(">"), F.coalesce("text", F.lit("")))
-    entry = F.struct(F.col("pre").alias("o"), F.col("depth").alias("d"), F.col("_next").alias("n"), F.col("tag").alias("g"), opening.alias("t"))
-    held = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("path"))
-
-    def step(s, r):
-        path = F.concat(F.slice(s.path, 1, r.d), F.array(r.g))
-        closing = F.transform(F.reverse(F.slice(path, r.n + 1, F.greatest(F.size(path) - r.n, F.lit(0)))), lambda g: F.concat(F.lit("</"), g, F.lit(">")))
-        return F.struct(F.concat(s.out, F.array(F.concat(r.t, F.array_join(closing, "")))).alias("out"), path.alias("path"))
-
-    return held.select(*keys, F.aggregate("_rows", empty, step, lambda s: F.array_join(s.out, "")).alias("html"))
+    starts = nodes.select(*keys, token(F.col("pre"), 1, F.lit(0), opening))
+    return starts.union(ends).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_token")), lambda s: s.t), "").alias("html"))
 
 
 def paragraphs(content: DataFrame, keys: list[str], order: list, is_break: Column, style: Column, text: Column) -> DataFrame:
