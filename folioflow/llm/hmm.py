@@ -43,28 +43,35 @@ END = 0
 
 
 class Batch:
-    """Sequences laid end to end, longest first; at each step the sequences not yet over are a prefix."""
+    """Sequences side by side, longest first: ``flat`` holds all first symbols, then all second ones, and so on.
+
+    At step t the symbols are ``flat[off[t] : off[t] + active[t]]``; the sequences not yet over are a prefix.
+    """
 
     def __init__(self, seqs: list[np.ndarray]):
         lens = np.array([len(s) for s in seqs])
         self.order = np.argsort(-lens, kind="stable")
         lens = lens[self.order]
-        self.flat = np.concatenate([seqs[i] for i in self.order])
-        self.starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
         self.active = len(lens) - np.cumsum(np.bincount(lens, minlength=lens[0] + 1))[: lens[0]]
+        self.off = np.concatenate([[0], np.cumsum(self.active)])
+        step = np.arange(self.off[-1], dtype=np.int32) - np.repeat((np.cumsum(lens) - lens).astype(np.int32), lens)
+        self.flat = np.empty(self.off[-1], seqs[0].dtype)
+        self.flat[self.off[step] + np.repeat(np.arange(len(lens), dtype=np.int32), lens)] = np.concatenate([seqs[i] for i in self.order])
+
+    def steps(self):
+        return zip(self.off.tolist(), self.active.tolist())
 
 
 def forward(b: Batch, start, trans, emit) -> np.ndarray:
     """log10 likelihood of each sequence, in the order given; ``emit`` is symbols x states."""
-    total = np.zeros(len(b.starts))
-    a = None
-    for t, n in enumerate(b.active):
-        a = (start if a is None else a[:n] @ trans) * emit[b.flat[b.starts[:n] + t]]
-        c = a.sum(1)
+    e, scale, one, a = np.take(emit, b.flat, axis=0), np.empty(len(b.flat)), np.ones(len(start)), None
+    for o, n in b.steps():
+        a = (start if a is None else a[:n] @ trans) * e[o : o + n]
+        c = np.matmul(a, one, out=scale[o : o + n])
         a /= c[:, None]
-        total[:n] += np.log10(c)
-    out = np.empty_like(total)
-    out[b.order] = total
+    sequence = np.arange(len(b.flat)) - np.repeat(b.off[:-1], b.active)
+    out = np.empty(len(b.order))
+    out[b.order] = np.bincount(sequence, np.log10(scale), len(out))
     return out
 
 
@@ -74,36 +81,48 @@ def expected(b: Batch, start, trans, emit):
 
 
 def expected_and_likelihood(b: Batch, start, trans, emit):
-    """As ``expected``, and the log10 likelihood of all sequences."""
+    """As ``expected``, and the log10 likelihood of all sequences; in single precision, sums in double."""
+    start, trans, emit = (np.asarray(x, np.float32) for x in (start, trans, emit))
     k = len(start)
-    alpha, scale = np.empty((len(b.flat), k), np.float32), np.empty(len(b.flat), np.float32)
-    a = None
-    for t, n in enumerate(b.active):
-        at = b.starts[:n] + t
-        a = (start if a is None else a[:n] @ trans) * emit[b.flat[at]]
-        c = a.sum(1)
-        a /= c[:, None]
-        alpha[at], scale[at] = a, c
-    pairs, beta, back = np.zeros((k, k)), None, trans.T.copy()
-    for t in range(len(b.active) - 1, -1, -1):
-        n, at = b.active[t], b.starts[: b.active[t]] + t
-        new = np.ones((n, k))
-        if beta is not None:
-            after = at[: len(beta)] + 1
-            w = emit[b.flat[after]] * beta / scale[after][:, None]
-            pairs += alpha[at[: len(beta)]].T @ w
-            new[: len(beta)] = w @ back
-        beta = new
-        alpha[at] *= beta  # now the posterior
-    return alpha[b.starts].sum(0, dtype=float), pairs * trans, np.stack([np.bincount(b.flat, alpha[:, j], len(emit)) for j in range(k)], 1), float(np.log10(scale).sum(dtype=float))
-
-
-def batches_of(seqs, most: int = 600_000):
-    """Batches of about ``most`` symbols."""
+    e, alpha, scale, one = np.take(emit, b.flat, axis=0), np.empty((len(b.flat), k), np.float32), np.empty(len(b.flat), np.float32), np.ones(k, np.float32)
+    before = None
+    for o, n in b.steps():
+        a = alpha[o : o + n]
+        if before is None:
+            a[:] = start
+        else:
+            np.matmul(alpha[before : before + n], trans, out=a)
+        a *= e[o : o + n]
+        a /= np.matmul(a, one, out=scale[o : o + n])[:, None]
+        before = o
+    e /= scale[:, None]
+    pairs, back, after = np.zeros((k, k)), np.ascontiguousarray(trans.T), None
+    for o, n in reversed(list(b.steps())):
+        if after is not None:
+            # of the sequences that go on; beta of the others is 1
+            at, m = after
+            w, a = e[at : at + m], alpha[o : o + m]
+            if beta is not None:
+                w[: len(beta)] *= beta
+            pairs += a.T @ w
+            beta = w @ back
+            a *= beta  # now the posterior
+        else:
+            beta = None
+        after = o, n
+    by = np.zeros(len(emit) * k)
+    for at in range(0, len(b.flat), 1 << 18):
+        cell = b.flat[at : at + (1 << 18), None].astype(np.int64) * k + np.arange(k)
+        by += np.bincount(cell.ravel(), alpha[at : at + (1 << 18)].ravel(), len(by))
+    return alpha[: b.active[0]].sum(0, dtype=float), pairs * trans, by.reshape(-1, k), float(np.log10(scale).sum(dtype=float))
+
+
+def batches_of(seqs, most: int = 1_000_000):
+    """Positions of ``seqs`` in batches of about ``most`` symbols, longest first, so that long texts run side by side."""
     held, n = [], 0
-    for s in seqs:
-        held.append(s)
-        n += len(s)
+    for i in sorted(range(len(seqs)), key=lambda i: -len(seqs[i])):
+        held.append(i)
+        n += len(seqs[i])
         if n >= most:
             yield held
             held, n = [], 0
@@ -169,14 +188,15 @@ def _expect(model):
         start, trans, emit = model.value
         k = len(start)
         first, pairs, by, likelihood, n = np.zeros(k), np.zeros((k, k)), np.zeros_like(emit), np.zeros((1, k)), np.zeros((1, k))
-        seqs = (np.frombuffer(s.as_buffer(), "<u2") for b in batches for s in b.column(0))
-        for part in batches_of(seqs):
-            f, p, s, got = expected_and_likelihood(Batch(part), start, trans, emit)
-            likelihood[0, 0] += got
-            n[0, 0] += sum(map(len, part))
-            first += f
-            pairs += p
-            by += s
+        for b in batches:
+            seqs = [np.frombuffer(s.as_buffer(), "<u2") for s in b.column(0)]
+            for part in batches_of(seqs):
+                f, p, s, got = expected_and_likelihood(Batch([seqs[i] for i in part]), start, trans, emit)
+                likelihood[0, 0] += got
+                n[0, 0] += sum(len(seqs[i]) for i in part)
+                first += f
+                pairs += p
+                by += s
         seen = np.flatnonzero(by.any(1))
         rows = np.concatenate([by[seen], first[None], pairs, likelihood, n])
         keys = np.concatenate([seen, [-1], -2 - np.arange(k + 2)])
@@ -216,17 +236,13 @@ def _score(model, tables):
         start, trans, emit = model.value
         base, share = tables.value  # by symbol: log10(c + 1) of a word of its own; log10 of its class's denominator
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                seqs = [np.frombuffer(s.as_buffer(), "<u2") for s in part.column(3)]
-                logp = np.empty(len(seqs))
-                done = 0
-                for held in batches_of(seqs):
-                    logp[done : done + len(held)] = forward(Batch(held), start, trans, emit)
-                    done += len(held)
-                own = np.array([base[s].sum() for s in seqs])
-                minus = np.array([share[s].sum() for s in seqs])
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], part.column(4), pa.array(own), pa.array(logp - minus)], ["row", "doc_id", "held_out", "n_tokens", "own", "logp"])
+            seqs = [np.frombuffer(s.as_buffer(), "<u2") for s in b.column(3)]
+            logp = np.empty(len(seqs))
+            for held in batches_of(seqs):
+                logp[held] = forward(Batch([seqs[i] for i in held]), start, trans, emit)
+            own = np.array([base[s].sum() for s in seqs])
+            minus = np.array([share[s].sum() for s in seqs])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), pa.array(own), pa.array(logp - minus)], ["row", "doc_id", "held_out", "n_tokens", "own", "logp"])
 
     return run
 
