@@ -63,6 +63,38 @@ KNOWN = [
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("CC0-1.0", "Released under CC0 1.0."),
 ]
 
+# Digests of the canonical forms of whole texts too long to be kept here, each with and without what follows its terms.
+KNOWN_DIGESTS = [
+    ("Apache-2.0", "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b"),
+    ("Apache-2.0", "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe"),
+    ("Apache-2.0", "6aa661403864282a4d084f1551e8149a5f1a7b5e8b05b6db8e1a8a28d0badc64"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "58b6ebdf2bd26f81dd551d8efda909bfbc8914ce77996a5c289c28616b91ceeb"),
+    ("GFDL-1.3", "c4f8ea2b5247ab1ff721ce8255137250d4c14f50a0fb68c00fd793f496ced65e"),
+    ("GPL-1.0", "0c28ca4dd58dd03edf3afbd7bcf01857c943e8fa9c124d4ca1eaefab216d6b0f"),
+    ("GPL-1.0", "74d0cd23803c9754c36f6ca0e1af411b418ed6b6564e757472bf0d870a1b5d1b"),
+    ("GPL-1.0", "af30c0af27b90ec812acdb040f3dcc944a87cd893456690efe35063f39e3eeeb"),
+    ("GPL-2.0", "9c05d74a883c3b9a1f9c0850cd047eb9d7a3580bdda1f342f19570447984ab29"),
+    ("GPL-2.0", "1551b61aa183f987ecceedd8966ec1e9b2da3848f8862c2adedc0d82f41904ca"),
+    ("GPL-2.0", "c67cc53030ae25fe2e2f0143b59060eca5ad89da8d2beca1445641234d29fc88"),
+    ("GPL-3.0", "dfd1fc3abea1d3d88bd12db363da0b9cdb8731d6e379deb4759ae40fc0208bcb"),
+    ("GPL-3.0", "57f71ba95bda9ddb21fcd4d2b6841fdc3ef7fcebd5c12a2fd2ee5f2027869fc6"),
+    ("GPL-3.0", "5b8bbbc08610f585b26c4d45ec4c46b3a401532b9362524e72b89d9db72bcb4f"),
+    ("LGPL-2.0", "e4deecd0730802431ad09f00ae3793f3703c8e4dba639586545d9f958405614d"),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.0", "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2"),
+    ("LGPL-2.1", "d3826e4e563a04a354453ff139a32b19d6c3fe283f518eb566107c54e18cd01f"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-2.1", "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-2.0", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
+    ("MPL-2.0", "075fcdf87448c49dbad8c5f7963f0eb6907a3d8eae1b431ba2988508499ec0de"),
+]
+#: A larger table of known digests is joined by a shuffle.
+BROADCAST_KNOWN = 100_000
+
 
 def canonical(text):
     """The canonical form of a text."""
@@ -79,14 +111,16 @@ def digest(text):
 
 def known_digests(spark, known=None) -> DataFrame:
     """digest, license: one row for each canonical form."""
-    rows = spark.createDataFrame(known or KNOWN, "license string, text string")
-    return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
+    rows = spark.createDataFrame(known or KNOWN, "license string, text string").select("license", digest(F.col("text")).alias("digest"))
+    if not known:
+        rows = rows.union(spark.createDataFrame(KNOWN_DIGESTS, "license string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, digest, license of the whole text, and notices: the licences that its lines name; for each row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = F.broadcast(known)
+    known = F.broadcast(known) if known.limit(BROADCAST_KNOWN + 1).count() <= BROADCAST_KNOWN else known
     keyed = rows.select("doc_id", F.xxhash64("text").alias("text_key"), digest(F.col("text")).alias("digest"))
     line = rows.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(F.split("text", "\n", -1)).alias("line"))
     line = line.select("doc_id", "text_key", digest(F.col("line")).alias("digest"))
@@ -102,19 +136,22 @@ def op1_license_digests(spark, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), known_digests(spark))
 
 
-def _sql() -> str:
-    def form(x: str) -> str:
-        out = f"regexp_replace(translate(coalesce({x}, ''), '{UPPER}', '{LOWER}'), '{COPYRIGHT}', '', 'g')"
-        for a, b in EQUIVALENT:
-            out = f"replace({out}, '{a}', '{b}')"
-        return f"sha256(trim(regexp_replace({out}, '{MARKS}', ' ', 'g'), ' '))"
+def _form(x: str) -> str:
+    """SQL of a digest."""
+    out = f"regexp_replace(translate(coalesce({x}, ''), '{UPPER}', '{LOWER}'), '{COPYRIGHT}', '', 'g')"
+    for a, b in EQUIVALENT:
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"sha256(trim(regexp_replace({out}, '{MARKS}', ' ', 'g'), ' '))"
+
 
+def _sql() -> str:
     quoted = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
+    digests = ", ".join(f"('{d}', '{n}')" for n, d in KNOWN_DIGESTS)
     return f"""
-with k as (select {form("t")} as digest, min(n) as license from (values {quoted}) as v(n, t) group by 1),
-l as (select distinct doc_id, k.license from (select doc_id, unnest(string_split(text, chr(10))) as l from documents) x join k on k.digest = {form("l")}),
+with k as (select digest, min(n) as license from (select {_form("t")} as digest, n from (values {quoted}) as v(n, t) union all select * from (values {digests}) as w(d, n)) group by digest),
+l as (select distinct doc_id, k.license from (select doc_id, unnest(string_split(text, chr(10))) as l from documents) x join k on k.digest = {_form("l")}),
 n as (select doc_id, string_agg(license, ' ' order by license) as notices from l group by 1)
-select d.doc_id, {form("d.text")} as digest, k.license, n.notices from documents d left join k on k.digest = {form("d.text")} left join n on n.doc_id = d.doc_id
+select d.doc_id, {_form("d.text")} as digest, k.license, n.notices from documents d left join k on k.digest = {_form("d.text")} left join n on n.doc_id = d.doc_id
 """
 
 
