@@ -2,8 +2,8 @@
 
 An Aho-Corasick automaton over the magic bytes of all formats finds every candidate offset
 of a blob in one scan. A format's validator reads the structure that starts there - headers,
-chunk lengths, checksums - and says how long it is and where its samples are; candidates
-that don't hold are dropped. Regions are taken from left to right without overlap. A valid
+chunk lengths, checksums - and says which type it is, how long it is, and what its 8-bit samples are
+where it can read them (null for other valid files); candidates that don't hold are dropped. Regions are taken from left to right without overlap. A valid
 region at offset 0 corrects the declared type; others are carved as embedded media.
 
 ``store`` is the other direction: it keeps the bytes of a text as the 8-bit samples of a
@@ -31,6 +31,16 @@ OPAQUE = "application/octet-stream"
 # Media types and the magic bytes of their formats.
 MAGIC = {"audio/basic": b".snd", "audio/wav": b"RIFF", "image/bmp": b"BM", "image/png": b"\x89PNG\r\n\x1a\n"}
 TYPES = list(MAGIC)
+# Magic bytes of the formats that are only read; those of MPEG audio are the frame headers of layer 3 without a checksum.
+OTHER_MAGIC = [
+    ("image/jpeg", b"\xff\xd8\xff"), ("image/gif", b"GIF87a"), ("image/gif", b"GIF89a"), ("application/pdf", b"%PDF-"), ("application/zip", b"PK\x03\x04"), ("audio/flac", b"fLaC"),
+    ("audio/mpeg", b"ID3"), ("audio/mpeg", b"\xff\xfb"), ("audio/mpeg", b"\xff\xf3"), ("audio/ogg", b"OggS"),
+]
+BIT_RATES = {3: (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320), 2: (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)}
+SAMPLE_RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000)}
+PNG_DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
+PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+ADAM7 = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
 
 
 def payload_of(data: bytes) -> bytes:
@@ -67,37 +77,42 @@ def write_png(x: bytes) -> bytes:
 WRITERS = {"audio/basic": write_au, "audio/wav": write_wav, "image/bmp": write_bmp, "image/png": write_png}
 
 
-# --- validators: the length of the file that starts at an offset, and its samples; None if there is none ---
+# --- validators: type, length and samples (None if it has none of 8 bits) of the file that starts at an offset; None if there is none ---
 
 
-def read_wav(b: bytes, at: int):
-    if len(b) < at + 12 or b[at + 8 : at + 12] != b"WAVE":
+def read_riff(b: bytes, at: int):
+    """WAVE and WebP: a tree of chunks."""
+    if len(b) < at + 12 or b[at + 8 : at + 12] not in (b"WAVE", b"WEBP"):
         return None
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
     if end > len(b):
         return None
-    pos, form, samples = at + 12, None, None
+    pos, form, samples, kinds = at + 12, None, None, set()
     while pos + 8 <= end:
         kind, n = b[pos : pos + 4], struct.unpack_from("<I", b, pos + 4)[0]
         if pos + 8 + n > end:
             return None
+        kinds.add(kind)
         if kind == b"fmt " and n >= 16:
             form = struct.unpack_from("<HHIIHH", b, pos + 8)
         if kind == b"data":
             samples = (pos + 8, n)
         pos += 8 + n + n % 2
-    if form is None or samples is None or form[0] != 1 or form[5] != 8:
+    if b[at + 8 : at + 12] == b"WEBP":
+        return ("image/webp", end - at, None) if kinds & {b"VP8 ", b"VP8L", b"VP8X"} else None
+    if form is None or samples is None or not form[1] or not form[2]:
         return None
-    return end - at, b[samples[0] : sum(samples)]
+    return "audio/wav", end - at, b[samples[0] : sum(samples)] if (form[0], form[5]) == (1, 8) else None
 
 
 def read_au(b: bytes, at: int):
     if len(b) < at + 24:
         return None
     start, n, encoding, rate, channels = struct.unpack_from(">5I", b, at + 4)
-    if start < 24 or encoding != 2 or not rate or channels != 1 or at + start + n > len(b):
+    n = len(b) - at - start if n == 0xFFFFFFFF else n
+    if start < 24 or not 1 <= encoding <= 27 or not 0 < rate <= 768_000 or not 1 <= channels <= 64 or n < 0 or at + start + n > len(b):
         return None
-    return start + n, b[at + start : at + start + n]
+    return "audio/basic", start + n, b[at + start : at + start + n] if (encoding, channels) == (2, 1) else None
 
 
 def read_bmp(b: bytes, at: int):
@@ -105,11 +120,43 @@ def read_bmp(b: bytes, at: int):
         return None
     size, zero, start = struct.unpack_from("<III", b, at + 2)
     head, width, height, planes, bits, packed = struct.unpack_from("<IiiHHI", b, at + 14)
-    stride = (width + 3) // 4 * 4
-    if zero or head != 40 or planes != 1 or bits != 8 or packed or width < 1 or not height or start < 54 or size != start + stride * abs(height) or at + size > len(b):
+    if zero or head not in (40, 52, 56, 108, 124) or planes != 1 or bits not in (1, 4, 8, 16, 24, 32) or packed not in (0, 1, 2, 3) or width < 1 or not height or start < 14 + head or at + size > len(b):
         return None
+    stride = (width * bits + 31) // 32 * 4
+    if packed in (0, 3) and size < start + stride * abs(height) or size <= start:
+        return None
+    if bits != 8 or packed:
+        return "image/bmp", size, None
     rows = np.frombuffer(b, np.uint8, stride * abs(height), at + start).reshape(-1, stride)[:, :width]
-    return size, (rows if height < 0 else rows[::-1]).tobytes()
+    return "image/bmp", size, (rows if height < 0 else rows[::-1]).tobytes()
+
+
+def unfiltered(rows: np.ndarray):
+    """The samples of PNG rows of one byte a pixel, each row's filter first; None for an unknown filter."""
+    out = np.zeros((len(rows) + 1, rows.shape[1] - 1), np.uint8)
+    if not rows[:, 0].any():
+        return rows[:, 1:]
+    for k, row in enumerate(rows):
+        x, up = row[1:], out[k]
+        if row[0] == 0:
+            out[k + 1] = x
+        elif row[0] == 1:
+            out[k + 1] = np.cumsum(x, dtype=np.uint64).astype(np.uint8)
+        elif row[0] == 2:
+            out[k + 1] = x + up
+        elif row[0] in (3, 4):
+            left = corner = 0
+            for i, (v, above) in enumerate(zip(x.tolist(), up.tolist())):
+                if row[0] == 3:
+                    guess = (left + above) // 2
+                else:
+                    near = left + above - corner
+                    guess = min((left, above, corner), key=lambda c: abs(near - c))
+                left, corner = (v + guess) & 255, above
+                out[k + 1, i] = left
+        else:
+            return None
+    return out[1:]
 
 
 def read_png(b: bytes, at: int):
@@ -127,38 +174,166 @@ def read_png(b: bytes, at: int):
             break
     else:
         return None
-    if head is None or head[2:] != (8, 0, 0, 0, 0) or not head[0] or not head[1]:
+    if head is None or not head[0] or not head[1] or head[2] not in PNG_DEPTHS.get(head[3], ()) or head[4:6] != (0, 0) or head[6] > 1:
         return None
-    most = (head[0] + 1) * head[1]
+    width, height, bits = head[0], head[1], head[2] * PNG_CHANNELS[head[3]]
+    row = lambda w: 1 + (w * bits + 7) // 8
+    if head[6]:
+        sizes = [(-(-(width - x) // dx), -(-(height - y) // dy)) for x, y, dx, dy in ADAM7]
+        most = sum(row(w) * h for w, h in sizes if w > 0 and h > 0)
+    else:
+        most = row(width) * height
     try:
         raw = zlib.decompressobj().decompress(b"".join(data), most + 1)
     except zlib.error:
         return None
-    rows = np.frombuffer(raw, np.uint8).reshape(-1, head[0] + 1) if len(raw) == most else None
-    if rows is None or rows[:, 0].any():  # only rows without a filter are written here
+    if len(raw) != most:
+        return None
+    samples = None
+    if bits == 8 and head[3] in (0, 3) and not head[6]:
+        if (samples := unfiltered(np.frombuffer(raw, np.uint8).reshape(-1, width + 1))) is None:
+            return None
+        samples = samples.tobytes()
+    return "image/png", pos - at, samples
+
+
+def read_jpeg(b: bytes, at: int):
+    """Marker segments, and after a scan's header its data up to the next marker, until the end of the image."""
+    pos, framed = at + 2, False
+    while pos + 4 <= len(b) and b[pos] == 0xFF:
+        kind = b[pos + 1]
+        if kind == 0xFF:
+            pos += 1
+            continue
+        n = struct.unpack_from(">H", b, pos + 2)[0]
+        if n < 2 or kind in (0x00, 0x01, 0xD8) or 0xD0 <= kind <= 0xD7:
+            return None
+        framed |= 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC)
+        pos += 2 + n
+        if kind == 0xDA:
+            while (pos := b.find(b"\xff", pos)) >= 0 and pos + 1 < len(b) and (b[pos + 1] in (0x00, 0xFF) or 0xD0 <= b[pos + 1] <= 0xD7):
+                pos += 1 if b[pos + 1] == 0xFF else 2
+            if pos < 0 or pos + 1 >= len(b):
+                return None
+        if b[pos : pos + 2] == b"\xff\xd9":
+            return ("image/jpeg", pos + 2 - at, None) if framed and kind == 0xDA else None
+    return None
+
+
+def read_gif(b: bytes, at: int):
+    if len(b) < at + 13:
+        return None
+    table = lambda flags: 3 << (flags & 7) + 1 if flags & 0x80 else 0
+    pos, images = at + 13 + table(b[at + 10]), 0
+    while pos < len(b):
+        kind = b[pos]
+        if kind == 0x3B:
+            return ("image/gif", pos + 1 - at, None) if images else None
+        if kind == 0x21:
+            pos += 2
+        elif kind == 0x2C and pos + 10 < len(b):
+            images += 1
+            pos += 11 + table(b[pos + 9])
+        else:
+            return None
+        while pos < len(b) and b[pos]:
+            pos += 1 + b[pos]
+        pos += 1
+    return None
+
+
+def read_pdf(b: bytes, at: int):
+    """Up to the last end mark before another PDF starts; it must name the place of its last cross-reference."""
+    after = b.find(b"%PDF-", at + 5)
+    end = b.rfind(b"%%EOF", at, after if after >= 0 else len(b))
+    if end < 0 or not b[at + 5 : at + 6].isdigit():
+        return None
+    start = b.rfind(b"startxref", at, end)
+    place = b[start + 9 : end].split() if start >= 0 else []
+    if len(place) != 1 or not place[0].isdigit() or not int(place[0]) < end - at:
         return None
-    return pos - at, rows[:, 1:].tobytes()
+    return "application/pdf", end + 5 - at, None
 
 
-READERS = {"audio/basic": read_au, "audio/wav": read_wav, "image/bmp": read_bmp, "image/png": read_png}
+def read_zip(b: bytes, at: int):
+    """Up to the end record whose directory starts where it says and lists the entries."""
+    pos = at
+    while (pos := b.find(b"PK\x05\x06", pos)) >= 0 and pos + 22 <= len(b):
+        n, size, start, note = struct.unpack_from("<HIIH", b, pos + 10)
+        if n and at + start + size == pos and b[at + start : at + start + 4] == b"PK\x01\x02" and pos + 22 + note <= len(b):
+            return "application/zip", pos + 22 + note - at, None
+        pos += 4
+    return None
+
+
+def read_flac(b: bytes, at: int):
+    """Metadata blocks, of which the first describes the stream, and frames to the end of the blob, as frames don't say how long they are."""
+    pos, last, first = at + 4, False, True
+    while not last:
+        if pos + 4 > len(b):
+            return None
+        last, kind, n = b[pos] >> 7, b[pos] & 0x7F, int.from_bytes(b[pos + 1 : pos + 4], "big")
+        if kind == 127 or first != (kind == 0) or first and n != 34:
+            return None
+        pos, first = pos + 4 + n, False
+    return ("audio/flac", len(b) - at, None) if b[pos : pos + 2] in (b"\xff\xf8", b"\xff\xf9") else None
+
+
+def read_mp3(b: bytes, at: int):
+    """A tag, if there is one, and three or more frames, each as long as its header says."""
+    pos, frames = at, 0
+    if b[at : at + 3] == b"ID3":
+        if len(b) < at + 10 or b[at + 3] > 4 or max(b[at + 6 : at + 10]) > 127:
+            return None
+        pos += 10 + (b[at + 6] << 21 | b[at + 7] << 14 | b[at + 8] << 7 | b[at + 9])
+    while pos + 4 <= len(b) and b[pos] == 0xFF and b[pos + 1] & 0xE6 == 0xE2:
+        version, rate, sampling, pad = b[pos + 1] >> 3 & 3, b[pos + 2] >> 4, b[pos + 2] >> 2 & 3, b[pos + 2] >> 1 & 1
+        if version < 2 or not 0 < rate < 15 or sampling == 3:
+            break
+        n = (144 if version == 3 else 72) * BIT_RATES[version][rate - 1] * 1000 // SAMPLE_RATES[version][sampling] + pad
+        if pos + n > len(b):
+            break
+        pos, frames = pos + n, frames + 1
+    return ("audio/mpeg", pos - at, None) if frames >= 3 else None
+
+
+def read_ogg(b: bytes, at: int):
+    """Pages from the one that begins a stream to the one that ends it."""
+    pos = at
+    while b[pos : pos + 4] == b"OggS" and pos + 27 <= len(b) and b[pos + 4] == 0:
+        flags, n = b[pos + 5], b[pos + 26]
+        if (pos == at) != bool(flags & 2):
+            return None
+        pos += 27 + n + sum(b[pos + 27 : pos + 27 + n])
+        if pos > len(b):
+            return None
+        if flags & 4:
+            return "audio/ogg", pos - at, None
+    return None
+
+
+READERS = {
+    "audio/basic": read_au, "audio/wav": read_riff, "image/bmp": read_bmp, "image/png": read_png, "image/jpeg": read_jpeg, "image/gif": read_gif, "application/pdf": read_pdf, "application/zip": read_zip,
+    "audio/flac": read_flac, "audio/mpeg": read_mp3, "audio/ogg": read_ogg,
+}
 
 
 def automaton() -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
-    for kind, magic in MAGIC.items():
+    for kind, magic in [*MAGIC.items(), *OTHER_MAGIC]:
         out.add_word(magic.decode("latin-1"), (kind, len(magic)))
     out.make_automaton()
     return out
 
 
-def regions(blob: bytes, find: ahocorasick.Automaton) -> list[tuple[str, int, int, bytes]]:
+def regions(blob: bytes, find: ahocorasick.Automaton) -> list[tuple[str, int, int, bytes | None]]:
     """(type, offset, length, samples) of each valid file in ``blob``, from the left, without overlap."""
     out, free = [], 0
     for last, (kind, n) in find.iter(blob.decode("latin-1")):
         at = last - n + 1
         if at >= free and (found := READERS[kind](blob, at)):
-            out.append((kind, at, found[0], found[1]))
-            free = at + found[0]
+            out.append((found[0], at, *found[1:]))
+            free = at + found[1]
     return out
 
 
@@ -221,9 +396,8 @@ def _sniff(batches):
             )
 
 
-
 def sniff(media: DataFrame) -> DataFrame:
-    """The columns of ``_SNIFFED`` for ``media(doc_id, n_bytes, declared, media)``; ``samples`` are those of the first valid file, null without one."""
+    """The columns of ``_SNIFFED`` for ``media(doc_id, n_bytes, declared, media)``; ``samples`` are those of the first valid file, null without one or where it has none of 8 bits."""
     return media.select("doc_id", "n_bytes", "declared", "media").mapInArrow(_sniff, _SNIFFED)
 
 
