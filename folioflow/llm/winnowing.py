@@ -13,8 +13,9 @@ DataFrame expressions inside one row, linear in the text's length.
 
 ``with_next`` puts each row beside the next by descending id without sorting the table in
 one task: ids are dealt to ranges by quantiles, each range is a window, and the first row of
-a range is dealt to the range above as well. Rows without an id come last; rows
-with equal ids are ordered by text. Null texts are empty.
+a range is dealt to the range above as well. Rows without an id come last, by their texts'
+hashes, and are dealt to ranges of their own by these; rows with equal ids are ordered by text, in one
+range. Null texts are empty.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from folioflow.llm.common import table
 K, W = 5, 16
 PRIME, BASE = 2147483647, 1_000_003
 POSITIONS = 1 << 31
-MOST_RANGES = 65_536
+#: Bounds the broadcast table of ranges (four longs each); a shuffle task takes about ``RANGES_PER_TASK`` of them at any size.
+MOST_RANGES, RANGES_PER_TASK = 1 << 20, 16
 
 
 def fingerprint(text):
@@ -73,11 +75,16 @@ def likeness(a, b):
 
 
 def _range_of(rows: DataFrame, per_range: int):
-    """A column that deals ids to ranges, in their order, of about ``per_range`` rows."""
-    n, lo, hi = rows.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+    """A column that deals ``rows(doc_id, hash)`` to ranges, in their order, of about ``per_range`` rows, and the number of ranges.
+
+    The hash counts for rows without an id alone, whose ranges are below 0.
+    """
+    every, n, lo, hi = rows.agg(F.count("*"), F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+    per_range = max(per_range, -(-every // MOST_RANGES))
+    none = -(-(every - n) // per_range)
+    below = -1 - F.least(F.floor((F.col("hash") / 2.0**64 + 0.5) * none), F.lit(max(0, none - 1)))
     if not n or lo == hi:
-        return F.lit(0).cast("long")
-    per_range = max(per_range, -(-n // MOST_RANGES))
+        return F.when(F.col("doc_id").isNull(), below).otherwise(0).cast("long"), none + 1
     q = min(256, max(1, n // per_range))
     inner = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / q for i in range(1, q)] or [0.5], 10_000)).first()[0]))
     edges = [lo, *(x for x in inner if lo < x <= hi)]
@@ -86,7 +93,7 @@ def _range_of(rows: DataFrame, per_range: int):
     ends = F.array(*(F.lit(x).cast("long") for x in [*edges, hi + 1]))
     low, high = F.get(ends, at - 1), F.get(ends, at)
     within = F.floor((F.col("doc_id") - low) / (high - low) * parts)
-    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at * parts + F.least(within, F.lit(parts - 1))).cast("long")
+    return F.when(F.col("doc_id").isNull(), below).otherwise(at * parts + F.least(within, F.lit(parts - 1))).cast("long"), none + (len(edges) + 1) * parts
 
 
 def with_next(rows: DataFrame, per_range: int = 400) -> DataFrame:
@@ -95,18 +102,20 @@ def with_next(rows: DataFrame, per_range: int = 400) -> DataFrame:
     Texts are shuffled once: the first row of each range is dealt to the range above too, after that one's own rows.
     """
     names = [c for c in rows.columns if c != "doc_id"]
-    ids = rows.select("doc_id")
-    in_range = _range_of(ids, per_range)
-    heads = ids.select("doc_id", in_range.alias("range")).groupBy("range").agg(F.max("doc_id").alias("head"))
+    hashed = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("hash")
+    ids = rows.select("doc_id", hashed)
+    in_range, ranges = _range_of(ids, per_range)
+    heads = ids.select("doc_id", "hash", in_range.alias("range")).groupBy("range").agg(F.max("doc_id").alias("head"), F.min("hash").alias("head_hash"))
     up = Window.orderBy("range")
-    # at most MOST_RANGES + 1 rows of three longs
-    heads = F.broadcast(heads.select("head", F.coalesce(F.lead("range").over(up), F.first("range").over(up)).alias("above")))
-    ranged = rows.select("doc_id", F.struct(*names).alias("own"), in_range.alias("range")).join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    heads = F.broadcast(heads.select("head", "head_hash", F.coalesce(F.lead("range").over(up), F.first("range").over(up)).alias("above")))
+    ranged = rows.select("doc_id", F.struct(*names).alias("own"), hashed).select("doc_id", "own", "hash", in_range.alias("range"))
+    ranged = ranged.join(heads, F.col("doc_id").eqNullSafe(F.col("head")) & F.col("hash").eqNullSafe(F.col("head_hash")), "left")
     places = F.when(F.col("above").isNull(), F.array(F.struct(F.col("range").alias("at"), F.lit(False).alias("extra")))).otherwise(
         F.array(F.struct(F.col("range").alias("at"), F.lit(False).alias("extra")), F.struct(F.col("above").alias("at"), F.lit(True).alias("extra")))
     )
-    dealt = ranged.select("doc_id", "own", F.inline(places))
-    order = Window.partitionBy("at").orderBy("extra", F.col("doc_id").desc_nulls_last(), "own.text")
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ranges // RANGES_PER_TASK))
+    dealt = ranged.select("doc_id", "hash", "own", F.inline(places)).repartition(tasks, "at")
+    order = Window.partitionBy("at").orderBy("extra", F.col("doc_id").desc_nulls_last(), "hash", "own.text")
     out = dealt.withColumn("next", F.lead("own").over(order)).where("not extra")
     return out.select("doc_id", *(F.col(f"own.{c}").alias(c) for c in names), "next")
 
