@@ -8,14 +8,13 @@ mean over its characters of the difference of log probabilities; the threshold i
 that judges most labelled urls right among those that the models don't see
 (``page_id`` divisible by 5), read from a histogram of scores.
 
-Host and path are mapped to a small alphabet (digits are one symbol, rare characters
-another), so the table of distinct character runs has a bound that doesn't depend on the
-number of urls: at most ``ALPHABET ** (ORDER + 1)``. It is broadcast after its rows are
-counted, up to ``BROADCAST_ROWS``; a larger one is joined by a shuffle that Spark may split
-for hot runs. All of it is DataFrame expressions.
-
-A null url, or one without ``://``, has an empty host and path and is judged as an empty
-text. Without labelled urls of either kind every score is as the models are and the
+The models read the whole url as it is, but for A-Z in lower case, so they see digits, queries and
+letters of any script. The table of distinct character runs grows with these; it is broadcast after
+its rows are counted, up to ``BROADCAST_ROWS``; a larger one is joined by a shuffle that Spark may
+split for hot runs. All of it is DataFrame expressions.
+
+A null url, or one without ``://``, has an empty host and path and is judged by its
+characters alone, as an empty text if null. Without labelled urls of either kind every score is as the models are and the
 threshold is 0; a score at the threshold is allowed. Repeated rows get equal verdicts.
 """
 
@@ -27,7 +26,8 @@ from pyspark.sql import functions as F
 from folioflow.llm.common import ascii_lower, table, written
 
 ORDER = 4
-ALPHABET = 35
+#: The number of code points.
+ALPHABET = 0x110000
 SMOOTHING = 2.0
 STEP = 0.001
 BROADCAST_ROWS = 300_000
@@ -53,8 +53,7 @@ def fitting(rules=RULES):
 
 def runs():
     """All runs of ORDER + 1 symbols of the padded url; each stands for its last symbol after the others."""
-    text = F.regexp_replace(F.regexp_replace(ascii_lower(F.concat("host", "path")), "[0-9]", "0"), "[^a-z0/._~%-]", "*")
-    padded = F.concat(F.lit("^" * ORDER), text, F.lit("$"))
+    padded = F.concat(F.lit("^" * ORDER), ascii_lower("url"), F.lit("$"))
     return F.transform(F.array(padded), lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - ORDER), lambda i: F.substring(s, i, ORDER + 1)))[0]
 
 
@@ -135,7 +134,7 @@ def _sql() -> str:
 with p as (select page_id, coalesce(url, '') as url from pages),
 h as (select *, {low.format("regexp_extract(url, '://([^/?#]*)', 1)")} as host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) as path from p),
 f as (select *, {rule} as rule, {verdict} as v, coalesce(page_id % 5 = 0, false) as cal,
-  '{"^" * ORDER}' || regexp_replace(regexp_replace({low.format("host || path")}, '[0-9]', '0', 'g'), '[^a-z0/._~%-]', '*', 'g') || '$' as s from h),
+  '{"^" * ORDER}' || {low.format("url")} || '$' as s from h),
 g as (select page_id, url, case when not cal then v end as label, unnest(list_transform(range(1, length(s) - {ORDER} + 1), lambda i: substring(s, i, {ORDER + 1}))) as run from f),
 counted as (select run, count(*) filter (label = 'allow') as a, count(*) filter (label = 'block') as r from g group by 1),
 {", ".join(levels)},
