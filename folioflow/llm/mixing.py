@@ -6,7 +6,7 @@ probabilities: two documents exchange mass, measured in words, in a random direc
 that leaves both expectations as they are, until one of them is 0 or 1; the other goes
 on to the next duel. Every duel keeps the expected words of the pair, so the words a
 source takes differ from its target by less than one document: the last residual of the
-source, which is rounded to the nearer side.
+source, which is taken with its probability, by a hash of the seed and the document.
 
 The duels run in a reduction tree. Documents of a source are dealt to blocks of about
 ``block`` rows by a hash, so a source with a third of all rows is as many blocks as it
@@ -15,7 +15,8 @@ meet in each following level until one is left. Within a group duels go from the
 document down, which leaves a small residual. Random numbers are hashes of the seed, the
 level and the two documents, so reruns agree on any partitioning.
 
-Only the table of sources reaches the driver: a row for each source. Null texts have size
+Targets are found in one window over the table of sources, which has a row for each; only sums
+over it reach the driver. Null texts have size
 0; documents of size 0 take 0 words. A null source is a source of its own, the last.
 Repeated rows are documents of their own; they are dealt by position among their equals.
 """
@@ -36,27 +37,24 @@ CAP = 3
 BROADCAST_SOURCES = 50_000
 
 
-def weights(n: int) -> list[int]:
-    """1, 2, 3, repeating."""
-    return [i % 3 + 1 for i in range(n)]
+def targets(per: DataFrame, cap: int = CAP) -> DataFrame:
+    """``per(source, source_size)`` with ``target``: shares of the sum of sizes by weights 1, 2, 3, repeating, in order of source, null last.
 
-
-def targets(sizes: list[int], weight: list[int], cap: int = CAP) -> list[float]:
-    """Shares of ``sum(sizes)`` by weight, none above ``cap`` times its size; the excess is shared again by weight."""
-    out, free, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
-    while free:
-        total = sum(weight[i] for i in free)
-        over = [i for i in sorted(free) if left * weight[i] / total > cap * sizes[i]]
-        if not over:
-            for i in free:
-                out[i] = left * weight[i] / total
-            break
-        for i in over:
-            out[i] = float(cap * sizes[i])
-            left -= out[i]
-            free.discard(i)
-        left = max(left, 0.0)
-    return out
+    No target is above ``cap`` times its size; the excess is shared again by weight, until none is above. So all
+    shares under their caps have one amount per weight; it is found along the sources by cap per weight: the
+    first at which what the ones before leave, by the weight that is left, is not above its cap.
+    """
+    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
+    rows = written(per.withColumn("weight", (rank - 1) % 3 + 1))
+    before = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    total, weight = rows.agg(F.sum("source_size"), F.sum("weight")).first()
+    left = F.lit(float(total or 0)) - cap * F.coalesce(F.sum("source_size").over(before), F.lit(0))
+    level = left / (F.lit(weight or 1) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
+    fits = rows.select(level.alias("level"), (F.col("source_size") * cap / F.col("weight")).alias("most")).where("level <= most")
+    amount = fits.agg(F.max("level")).first()[0]
+    share = F.col("weight") * F.lit(float(amount or 0))
+    capped = (F.col("source_size") * cap).cast("double")
+    return rows.select("source", "source_size", F.least(share, capped).alias("target"), *(c for c in rows.columns if c not in ("source", "source_size", "weight")))
 
 
 def uniform(seed: int, *parts) -> float:
@@ -95,31 +93,32 @@ def _settle(seed: int, level: int):
 
 def mix(docs: DataFrame, seed: int = 7, block: int = 512, fan_in: int = 64) -> DataFrame:
     """doc_id, source, text_key, copy, size, source_size, target, copies for each row of ``docs``."""
-    spark = docs.sparkSession
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
     rows = rows.groupBy("doc_id", "source", "text_key", "size").agg(F.count("*").alias("n"))
-    rows = written(rows.select("doc_id", "source", "text_key", "size", F.xxhash64("doc_id", "text_key").alias("row_key"), F.explode(F.expr("sequence(1, cast(n as int))")).alias("copy")))
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")).collect()
-    per = sorted(per, key=lambda r: (r.source is None, r.source or ""))
-    aims = targets([r.source_size for r in per], weights(len(per)))
-    shares = spark.createDataFrame(
-        [(r.source, r.source_size, a, max(1, math.ceil(r.rows / block))) for r, a in zip(per, aims)], "_source string, source_size long, target double, blocks long"
-    )
-    shares = F.broadcast(shares) if len(per) <= BROADCAST_SOURCES else shares
+    # repeated rows are numbered in chunks, which are dealt anew before they are expanded
+    chunks = rows.select("doc_id", "source", "text_key", "size", F.xxhash64("doc_id", "text_key").alias("row_key"), "n", F.explode(F.expr("sequence(0L, (n - 1) div 4096)")).alias("chunk"))
+    chunks = chunks.repartition("row_key", "chunk")
+    copies = F.expr("sequence(chunk * 4096 + 1, least(n, (chunk + 1) * 4096))")
+    rows = written(chunks.select("doc_id", "source", "text_key", "size", "row_key", F.explode(copies).alias("copy")))
+    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("long").alias("blocks"))
+    shares = written(targets(per).withColumnRenamed("source", "_source"))
+    sources, most = shares.agg(F.count("*"), F.max("blocks")).first()
+    shares = F.broadcast(shares) if sources <= BROADCAST_SOURCES else shares
     rows = rows.join(shares, rows.source.eqNullSafe(shares["_source"])).drop("_source")
     rate = F.expr("if(source_size = 0, 0d, target / source_size)")
     rows = rows.withColumn("whole", F.floor(rate + F.lit(1e-12))).withColumn("p", F.expr("if(size = 0, 0d, greatest(0d, if(source_size = 0, 0d, target / source_size) - whole))"))
     rows = rows.withColumn("block", F.expr("pmod(xxhash64(row_key, copy), blocks)"))
-    level, most = 0, max([1, *(math.ceil(r.rows / block) for r in per)])
+    level, most = 0, most or 1
     settled, open_ = [], rows
     while True:
         dealt = open_.groupBy("source", "block").applyInPandas(_settle(seed, level), open_.schema)
         done = written(dealt)
         if most == 1:
-            settled.append(done.withColumn("p", F.floor(F.col("p") + 0.5).cast("double")))
+            luck = F.xxhash64(F.lit(seed), F.lit("last"), "row_key", "copy") / 2.0**64 + 0.5
+            settled.append(done.withColumn("p", F.when(F.col("p").isin(0.0, 1.0), F.col("p")).otherwise((luck < F.col("p")).cast("double"))))
             break
         settled.append(done.where("p = 0 or p = 1"))
         open_ = done.where("p > 0 and p < 1").withColumn("block", F.expr(f"block div {fan_in}"))
