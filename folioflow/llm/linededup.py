@@ -4,7 +4,7 @@ A window is three consecutive non-blank lines of a document, compared without th
 white space at their ends. The first occurrence of a window in the whole corpus, by
 ``doc_id`` and then by position, stays; a line is removed if a later occurrence of a
 repeated window covers it. Where a later occurrence overlaps the first one in the same
-document, it covers only the lines beyond it. Blank lines never are removed.
+document, it covers only the lines beyond it. A blank line goes if it lies inside a removed window; others stay.
 
 Hashes are two independent 64-bit values. Everything is DataFrame expressions: windows
 are made inside each row, counted with partial aggregation, and matched to the repeated
