@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.storage import discard, written  # noqa: F401  the operators take them from here
+
 #: Pattern of a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,29 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="folioflow-")
-    sc.setCheckpointDir(f"file://{own}")
-    return f"file://{own}"
-
-
-def written(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, so that no lost executor makes its lineage run again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folioflow-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    return out.select(*keys) if keys else out
-
-
 def own(df: DataFrame):
     """All columns of ``df`` as one struct, so that names of our own beside it can't clash with theirs."""
     return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("own")
