@@ -9,8 +9,10 @@ without all pairs of a group. A ball holds at most 65 distinct fingerprints, wha
 the number of documents, because equal fingerprints are merged before the shuffle.
 
 Texts of a given similarity differ in more bits than a ball of 64-bit variants can reach.
-``similar`` therefore hashes balls of several short fingerprints of word pairs, and then
-verifies colliding pairs: the shared part of both texts' sets of word shingles, all of
+``similar`` therefore hashes balls of several short fingerprints of a text's words and word pairs, drops pairs
+whose fingerprints of all tables together are as far apart as those of unrelated texts
+(``APART``; at a similarity of 0.8 some 7 % of the bits differ, of unrelated texts half),
+and then verifies the others: the shared part of both texts' sets of word shingles, all of
 them. A fingerprint's texts are compared to one of them, and the (at most ``TABLE_BITS + 1``)
 fingerprints of a ball to one of these, chosen anew by a hash in every table and ball, so
 a large group isn't expanded into pairs. Where that leaves texts of one ball in different
@@ -31,11 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import own, table, written
+from folioflow.llm.common import discard, own, table, written
 
 BITS = 64
 RADIUS = 2
-TABLES, TABLE_BITS = 5, 32
+TABLES, TABLE_BITS, KEPT_WORDS = 5, 32, 1 << 18
+#: Share of differing bits of all tables beyond which a pair of texts isn't read.
+APART = 0.1875
+#: Sets of shingles of up to this many hashes in all (16 MB) are broadcast to the pairs; larger ones are joined by shuffles.
+BROADCAST_HASHES = 2_000_000
 _WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
@@ -97,9 +103,11 @@ def components(edges: DataFrame) -> DataFrame:
         next_ = written(labels.join(heard, labels.node == heard.u, "left").select("node", F.col("root").alias("was"), F.least("root", "heard").alias("root")))
         up = next_.select(F.col("node").alias("at"), F.col("root").alias("above"))
         jumped = written(next_.join(up, next_.root == up.at, "left").select("node", F.least("root", "above").alias("root"), (F.least("root", "above") != F.col("was")).alias("moved")))
-        labels = jumped.select("node", "root")
+        discard(labels, next_)
+        labels = jumped
         if jumped.where("moved").isEmpty():
-            return labels
+            discard(both)
+            return labels.select("node", "root")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -117,20 +125,47 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return rows.join(written(of), "fp").select("doc_id", "fp", "text_key", "root", "component_id")
 
 
-def table_fingerprints(text: str | None, tables: int = TABLES, shingle: int = 2) -> list[int]:
-    """A fingerprint of ``TABLE_BITS`` bits for each table, from the distinct word pairs of a text."""
+_BYTES = TABLES * TABLE_BITS // 8
+_digests: dict[bytes, bytes] = {}
+
+
+def _digest(gram: bytes) -> bytes:
+    """A hashed bit for each bit of all tables' fingerprints."""
+    return (xxhash.xxh3_128_digest(gram, 0) + xxhash.xxh3_128_digest(gram, 1))[:_BYTES]
+
+
+def _word_digest(word: bytes) -> bytes:
+    """As ``_digest``; those of short words are kept, up to a bound."""
+    if (d := _digests.get(word)) is None:
+        d = _digest(word)
+        if len(word) <= 32:
+            if len(_digests) >= KEPT_WORDS:
+                _digests.clear()
+            _digests[word] = d
+    return d
+
+
+def _bits_set(digests: list[bytes]) -> np.ndarray:
+    """How many of the digests have each bit set."""
+    count = np.zeros(8 * _BYTES, np.int64)
+    for at in range(0, len(digests), 1 << 14):
+        h = np.frombuffer(b"".join(digests[at : at + (1 << 14)]), np.uint8)
+        count += np.unpackbits(h.reshape(-1, _BYTES), axis=1).sum(0, dtype=np.int64)
+    return count
+
+
+def table_fingerprints(text: str | None) -> list[int]:
+    """A fingerprint of ``TABLE_BITS`` bits for each of ``TABLES``, from the distinct words of a text, counted twice, and its distinct word pairs.
+
+    Words alone would put texts of the same few words together, whatever their order; pairs alone would part texts of many small edits.
+    """
     words = _WORDS.findall((text or "").encode("utf-8", "surrogatepass").lower())
     if not words:
-        return [0] * tables
-    grams = list({b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))})
-    seeds, counts = range(-(-tables * TABLE_BITS // 128)), []
-    for seed in seeds:
-        count = np.zeros(128, np.int64)
-        for at in range(0, len(grams), 1 << 14):
-            h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(g, seed) for g in grams[at : at + (1 << 14)]), np.uint8)
-            count += np.unpackbits(h.reshape(-1, 16), axis=1).sum(0, dtype=np.int64)
-        counts.append(count)
-    return np.packbits(np.concatenate(counts) * 2 > len(grams)).view("<u4")[:tables].astype(np.int64).tolist()
+        return [0] * TABLES
+    single, pairs = set(words), {a + b" " + b for a, b in zip(words, words[1:])}
+    count = 2 * _bits_set(list(map(_word_digest, single))) + _bits_set(list(map(_digest, pairs)))
+    bits = (count * 2 > 2 * len(single) + len(pairs)).reshape(TABLES, TABLE_BITS)
+    return (bits @ (1 << np.arange(TABLE_BITS))).tolist()
 
 
 def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -163,61 +198,87 @@ def _in_balls(seats: DataFrame, *keep: str) -> DataFrame:
     return seats.select(*keep, F.explode(F.expr(f"array_append(transform(sequence(0, {TABLE_BITS - 1}), i -> seat ^ shiftleft(1L, i)), seat)")).alias("ball"))
 
 
-def candidate_links(seats: DataFrame) -> DataFrame:
-    """u, v with u > v: the texts of ``seats(text_key, seat)`` with the heads of their seats, and these with the heads of their balls."""
-    heads = written(seats.groupBy("seat").agg(F.min_by("text_key", F.xxhash64("text_key", "seat")).alias("head")))
-    within = seats.join(heads, "seat").select(F.col("text_key").alias("a"), F.col("head").alias("b"))
-    balls = _in_balls(heads, "head")
+def crowded(seats: DataFrame) -> DataFrame:
+    """ball, seat: the balls that seats of more than one fingerprint are in, with these seats."""
+    balls = _in_balls(seats.select("seat").distinct(), "seat")
+    whole = Window.partitionBy("ball")
+    ends = balls.select("ball", "seat", F.min("seat").over(whole).alias("low"), F.max("seat").over(whole).alias("high"))
+    return ends.where("low < high").select("ball", "seat")
+
+
+def candidate_links(seats: DataFrame, crowd: DataFrame) -> DataFrame:
+    """u, v with u > v: the texts of ``seats(text_key, seat)`` with the heads of their seats, and these with the heads of their balls in ``crowd``."""
+    heads = written(seats.groupBy("seat").agg(F.min_by("text_key", F.xxhash64("text_key", "seat")).alias("head"), F.count("*").alias("n")))
+    within = seats.join(heads.where("n > 1").select("seat", "head"), "seat").select(F.col("text_key").alias("a"), F.col("head").alias("b"))
     top = F.first("head").over(Window.partitionBy("ball").orderBy(F.xxhash64("head", "ball"), "head"))
-    between = balls.select(F.col("head").alias("a"), top.alias("b"))
+    between = crowd.join(heads.select("seat", "head"), "seat").select(F.col("head").alias("a"), top.alias("b"))
     return within.union(between).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
-def links_across(seats: DataFrame, edges: DataFrame) -> DataFrame:
+def links_across(seats: DataFrame, crowd: DataFrame, edges: DataFrame) -> DataFrame:
     """u, v with u > v: all pairs of texts that share a ball and that ``edges(u, v)`` leaves in different groups."""
     if edges.isEmpty():
         rooted = seats.withColumn("root", F.col("text_key"))
     else:
         rooted = seats.join(components(edges), F.col("text_key") == F.col("node"), "left").select("text_key", "seat", F.coalesce("root", "text_key").alias("root"))
     rooted = written(rooted)
-    balls = _in_balls(rooted.groupBy("seat").agg(F.min("root").alias("low"), F.max("root").alias("high")), "seat", "low", "high")
-    mixed = balls.groupBy("ball").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("ball")
-    members = written(_in_balls(rooted, "text_key", "root").join(written(mixed), "ball").distinct())
-    a, b = (members.select("ball", F.col("text_key").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv")
+    shared = rooted.groupBy("seat").agg(F.count("*").alias("n")).where("n > 1").select(F.col("seat").alias("ball"), "seat")
+    members = crowd.union(shared).distinct().join(rooted, "seat").select("ball", "text_key", "root")
+    whole = Window.partitionBy("ball")
+    ends = members.select("ball", "text_key", "root", F.min("root").over(whole).alias("low"), F.max("root").over(whole).alias("high"))
+    mixed = written(ends.where("low < high").select("ball", "text_key", "root"))
+    a, b = (mixed.select("ball", F.col("text_key").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv")
     return a.join(b, "ball").where("u > v and root_u <> root_v").select("u", "v").distinct()
 
 
+def within_bits(pairs: DataFrame, lists: DataFrame, share: float) -> DataFrame:
+    """The ``pairs(u, v)`` whose fingerprints of all tables in ``lists(text_key, list)`` together differ in at most ``share`` of their bits."""
+    both = pairs.join(lists.select(F.col("text_key").alias("u"), F.col("list").alias("fu")), "u").join(lists.select(F.col("text_key").alias("v"), F.col("list").alias("fv")), "v")
+    apart = "aggregate(zip_with(fu, fv, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    return both.where(F.expr(f"{apart} <= {share * TABLE_BITS} * size(fu)")).select("u", "v")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The ``pairs(u, v)`` whose ``sets(text_key, list)`` have a Jaccard coefficient of ``similarity`` or more."""
+    if (sets.agg(F.sum(F.size("list"))).first()[0] or 0) <= BROADCAST_HASHES:
+        sets = F.broadcast(sets)
+        pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     both = pairs.join(sets.select(F.col("text_key").alias("u"), F.col("list").alias("su")), "u").join(sets.select(F.col("text_key").alias("v"), F.col("list").alias("sv")), "v")
     shared = both.select("u", "v", F.size("su").alias("nu"), F.size("sv").alias("nv"), F.size(F.array_intersect("su", "sv")).alias("n"))
     return shared.where(F.expr(f"n >= {similarity} * (nu + nv - n)")).select("u", "v")
 
 
-def all_links(seats: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """u, v: verified links of texts that share a ball, which hold every group together; ``pairs`` are their ``candidate_links``."""
-    first = written(verified(pairs, sets, similarity))
-    more = links_across(seats, first).join(pairs, ["u", "v"], "left_anti")
-    return written(first.union(verified(more, sets, similarity)))
+def all_links(seats: DataFrame, near, verify) -> DataFrame:
+    """u, v: verified links of texts that share a ball, which hold every group together.
+
+    ``near`` and ``verify`` are filters of pairs(u, v): by all fingerprints of both texts, and by the texts.
+    """
+    crowd = written(crowded(seats))
+    pairs = written(near(candidate_links(seats, crowd)))
+    first = written(verify(pairs))
+    more = written(near(links_across(seats, crowd, first).join(pairs, ["u", "v"], "left_anti")))
+    return first if more.isEmpty() else written(first.union(verify(more)))
 
 
-def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = TABLES) -> DataFrame:
+def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """doc_id, text_key, root, component_id for each row of ``docs``: groups of texts linked at ``similarity`` or more.
 
     Similarity is the Jaccard coefficient of the sets of ``shingle`` words. Equal texts are one; blank ones are alike.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
-    rows = written(texts.mapInArrow(_list_batches(lambda t: table_fingerprints(t, tables), 2), "doc_id long, text_key long, list array<long>"))
+    rows = written(texts.mapInArrow(_list_batches(table_fingerprints, 2), "doc_id long, text_key long, list array<long>"))
     least = written(rows.groupBy("text_key").agg(F.min("doc_id").alias("least_id"), F.first("list").alias("list")))
     seats = written(text_seats(least.select("text_key", "list")))
-    pairs = written(candidate_links(seats))
-    # only texts with a candidate are read again, one row of each
-    asked = pairs.select(F.col("u").alias("text_key")).union(pairs.select(F.col("v").alias("text_key"))).distinct()
-    asked = written(least.join(asked, "text_key").select(F.col("least_id").alias("_id"), F.col("text_key").alias("_key")))
-    wanted = texts.join(asked, (texts.text_key == F.col("_key")) & texts.doc_id.eqNullSafe(F.col("_id")), "left_semi").select("text_key", "text")
-    sets = written(wanted.mapInArrow(_list_batches(lambda t: shingle_hashes(t, shingle), 1), "text_key long, list array<long>"))
-    sets = sets.groupBy("text_key").agg(F.first("list").alias("list"))
-    edges = all_links(seats, pairs, sets, similarity)
+
+    def verify(pairs):
+        # only texts with a candidate are read again, one row of each
+        asked = pairs.select(F.col("u").alias("text_key")).union(pairs.select(F.col("v").alias("text_key"))).distinct()
+        asked = written(least.join(asked, "text_key").select(F.col("least_id").alias("_id"), F.col("text_key").alias("_key")))
+        wanted = texts.join(asked, (texts.text_key == F.col("_key")) & texts.doc_id.eqNullSafe(F.col("_id")), "left_semi").select("text_key", "text")
+        sets = written(wanted.mapInArrow(_list_batches(lambda t: shingle_hashes(t, shingle), 1), "text_key long, list array<long>"))
+        return verified(pairs, sets.groupBy("text_key").agg(F.first("list").alias("list")), similarity)
+
+    edges = all_links(seats, lambda pairs: within_bits(pairs, least, APART), verify)
     ids = least.select("text_key", "least_id")
     if edges.isEmpty():
         return rows.select("doc_id", "text_key").join(ids.select("text_key", F.col("text_key").alias("root"), F.col("least_id").alias("component_id")), "text_key")
@@ -242,17 +303,11 @@ def keep_one_similar(docs: DataFrame, **how) -> DataFrame:
     return _kept(docs, similar(docs, **how))
 
 
-def keep_one_of_both(docs: DataFrame, **how) -> DataFrame:
-    """The rows that both ``keep_one`` and ``keep_one_similar`` keep: of texts linked by either, the least always stays."""
-    return _kept(docs, near_duplicates(docs), similar(docs, **how))
-
-
-def _kept(docs: DataFrame, *nears: DataFrame) -> DataFrame:
+def _kept(docs: DataFrame, near: DataFrame) -> DataFrame:
     out = docs.select(own(docs), F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key")).withColumn("row", F.xxhash64("doc_id", "key"))
-    for near in nears:
-        kept = near.where("doc_id <=> component_id").groupBy("root", "component_id").agg(F.min("text_key").alias("key"))
-        kept = written(kept.select(F.xxhash64("component_id", "key").alias("row"), "key").distinct())
-        out = out.join(kept, ["row", "key"], "left_semi")
+    kept = near.where("doc_id <=> component_id").groupBy("root", "component_id").agg(F.min("text_key").alias("key"))
+    kept = written(kept.select(F.xxhash64("component_id", "key").alias("row"), "key").distinct())
+    out = out.join(kept, ["row", "key"], "left_semi")
     once = F.row_number().over(Window.partitionBy("row", "key").orderBy("row"))
     return out.withColumn("copy", once).where("copy = 1").select("own.*")
 
