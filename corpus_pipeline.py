@@ -24,13 +24,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the least id."""
-    return simhash.keep_one(docs)
-
-
-def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of ``simhash_stage``'s documents those that are also the least of their group of five words and a similarity of 0.8."""
-    return simhash.keep_one_of_both(docs)
+    """One document of each group of near-duplicates (five words, similarity 0.8): that with the least id."""
+    return simhash.keep_one_similar(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +41,7 @@ def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [
     ("toxicity", toxicity_stage),
     ("line_dedup", line_stage),
-    ("simhash", near_stage),
+    ("simhash", simhash_stage),
     ("mixing", mixing_stage),
     ("pieces", pieces_stage),
 ]
