@@ -1,10 +1,10 @@
 """Importance resampling towards a target distribution, with word tries.
 
 Features are the runs of 1 to ``ORDER`` consecutive words, hashed to buckets by the CRC of their
-text. Each task keeps a trie of the words it reads: a path is a run of words, a node holds
-how often its run occurred and the CRC of its text, from which that of a longer run goes on
-with the added bytes alone. When a trie reaches ``MOST_NODES`` nodes, and at its partition's end,
-its counts are added to the task's bucket totals (``BUCKETS`` numbers) and it starts anew, so its memory is
+text. Each task puts the words that it reads, some ``BATCH_WORDS`` at a time, into a trie: a path is a run of
+words, a node holds how often its run occurred and the CRC of its text. A child's CRC goes on from its parent's: the
+parent's state is shifted by the length of the word that is added. A level of the trie is three arrays over its nodes, which are found by
+parent and word. When a trie is full, its counts are added to the task's bucket totals (``BUCKETS`` numbers), so memory is
 bounded and no run is lost. The totals of all tasks are summed by a shuffle; what the driver and the
 broadcast hold is one number for each bucket, whatever the size of the corpus.
 
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import LOWER, UPPER, table, written
 
-BUCKETS, ORDER, MOST_NODES = 10_000, 2, 400_000
+BUCKETS, ORDER = 10_000, 2
+BATCH_WORDS, KEPT_WORDS, LONG_WORD = 1 << 19, 1 << 19, 64
 LEAST_WORDS, PERCENT, SEED = 20, 25, 7
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -42,64 +43,91 @@ def words(text: str | None) -> list[bytes]:
     return _WORDS.findall((text or "").encode("utf-8", "surrogatepass").lower())
 
 
-class Trie:
-    """Runs of words: a node is [crc, value, children by word]; ``value`` gives that of a new node from its crc."""
-
-    def __init__(self, value, order: int = ORDER):
-        self.value, self.order, self.nodes, self.root = value, order, 0, {}
-
-    def _new(self, crc: int) -> list:
-        self.nodes += 1
-        return [crc, self.value(crc), None]
-
-    def paths(self, found: list[bytes]):
-        """The nodes of all runs of ``found``, one for each run, by their starts."""
-        root, n, order = self.root, len(found), self.order
-        for i, word in enumerate(found):
-            node = root.get(word)
-            if node is None:
-                node = root[word] = self._new(zlib.crc32(word))
-            yield node
-            for j in range(i + 1, min(i + order, n)):
-                below, word = node[2], found[j]
-                if below is None:
-                    below = node[2] = {}
-                child = below.get(word)
-                if child is None:
-                    child = below[word] = self._new(zlib.crc32(word, zlib.crc32(b" ", node[0])))
-                node = child
-                yield node
-
-    def all_nodes(self):
-        held = list(self.root.values())
-        while held:
-            node = held.pop()
-            yield node
-            if node[2]:
-                held.extend(node[2].values())
-
-    def clear(self) -> None:
-        self.root, self.nodes = {}, 0
-
-
-def bucket_counts(texts: DataFrame, buckets: int = BUCKETS, order: int = ORDER, most_nodes: int = MOST_NODES) -> DataFrame:
+def _byte_table() -> np.ndarray:
+    """The remainders of all bytes, by the polynomial of CRC-32."""
+    out = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        out = np.where(out & 1, (out >> 1) ^ np.uint32(0xEDB88320), out >> 1)
+    return out
+
+
+_BYTES = _byte_table()
+
+
+class Lexicon:
+    """Numbers of words, with the CRC and the length of each."""
+
+    def __init__(self):
+        self.of: dict[bytes, int] = {}
+        self.texts: list[bytes] = []
+        self.crc, self.length = np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def numbers(self, found: list[bytes]) -> np.ndarray:
+        """The number of each word; new words get the next ones."""
+        if len(self.texts) > KEPT_WORDS:
+            self.__init__()
+        for w in set(found).difference(self.of):
+            self.of[w] = len(self.texts)
+            self.texts.append(w)
+        new = self.texts[len(self.crc) :]
+        self.crc = np.concatenate([self.crc, np.fromiter(map(zlib.crc32, new), np.uint32, len(new))])
+        self.length = np.concatenate([self.length, np.fromiter(map(len, new), np.int64, len(new))])
+        return np.fromiter(map(self.of.__getitem__, found), np.int64, len(found))
+
+    def follow(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The CRC of each text with CRC ``state``, followed by a space and a word."""
+        out = _BYTES[(state ^ 0xFFFFFFFF ^ 0x20) & 0xFF] ^ ((state ^ np.uint32(0xFFFFFFFF)) >> 8) ^ np.uint32(0xFFFFFFFF)
+        length, spaced = self.length[word], out.copy()
+        for i in range(int(min(length.max(initial=0), LONG_WORD))):
+            on = np.flatnonzero(length > i)
+            out[on] = (out[on] >> 8) ^ _BYTES[out[on] & 0xFF]
+        out ^= self.crc[word]
+        for i in np.flatnonzero(length > LONG_WORD):
+            out[i] = zlib.crc32(self.texts[word[i]], int(spaced[i]))
+        return out
+
+
+def trie(lexicon: Lexicon, word: np.ndarray, doc: np.ndarray, order: int = ORDER):
+    """For each level of the trie of all runs of ``word`` inside a ``doc``: the CRC of each node, and the node and the first place of each run."""
+    used, node = np.unique(word, return_inverse=True)
+    state, place = lexicon.crc[used], np.arange(len(word))
+    yield state, node, place
+    for k in range(1, order):
+        place = np.flatnonzero(doc[k:] == doc[: len(doc) - k]) if len(doc) > k else np.empty(0, np.int64)
+        # runs of k words that go on; their nodes are by place, as all earlier places have one
+        before = np.full(len(word), -1)
+        before[last_place if k > 1 else np.arange(len(word))] = node
+        added = word[place + k]
+        nodes, node = np.unique(before[place] * np.int64(len(lexicon.texts)) + added, return_inverse=True)
+        state = lexicon.follow(state[nodes // len(lexicon.texts)], nodes % len(lexicon.texts))
+        last_place = place
+        yield state, node, place
+
+
+def _batches_of(texts, lexicon: Lexicon):
+    """(rows, their numbers of words, the words, the row of each word) of as many rows as have some ``BATCH_WORDS`` words, one at least."""
+    rows, lens, held, size = [], [], [], 0
+    for row, text in texts:
+        found = words(text)
+        rows.append(row)
+        lens.append(len(found))
+        held.extend(found)
+        size += len(found)
+        if size >= BATCH_WORDS or len(rows) >= 10_000:
+            yield rows, np.array(lens), lexicon.numbers(held), np.repeat(np.arange(len(rows)), lens)
+            rows, lens, held, size = [], [], [], 0
+    if rows:
+        yield rows, np.array(lens), lexicon.numbers(held), np.repeat(np.arange(len(rows)), lens)
+
+
+def bucket_counts(texts: DataFrame, buckets: int = BUCKETS, order: int = ORDER) -> DataFrame:
     """bucket, n: how many features of ``texts(text)`` are in each bucket that has any."""
 
     def run(batches):
-        totals, trie = np.zeros(buckets, np.int64), Trie(lambda crc: 0, order)
-
-        def merge() -> None:
-            crc, n = (np.fromiter((node[i] for node in trie.all_nodes()), np.int64, trie.nodes) for i in (0, 1))
-            np.add.at(totals, crc % buckets, n)
-            trie.clear()
-
-        for b in batches:
-            for text in b.column(0):
-                for node in trie.paths(words(text.as_py())):
-                    node[1] += 1
-                if trie.nodes >= most_nodes:
-                    merge()
-        merge()
+        totals, lexicon = np.zeros(buckets, np.int64), Lexicon()
+        for _, _, word, doc in _batches_of(((None, t.as_py()) for b in batches for t in b.column(0)), lexicon):
+            for state, node, _ in trie(lexicon, word, doc, order):
+                totals += np.bincount(state % np.uint32(buckets), np.bincount(node, minlength=len(state)), buckets).astype(np.int64)
         used = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(totals[used], pa.int64())], ["bucket", "n"])
 
@@ -114,24 +142,21 @@ def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS, order: i
     return [math.floor(1000 * math.log(odds(b))) for b in range(buckets)]
 
 
-def weighed(docs: DataFrame, gain: list[int], order: int = ORDER, most_nodes: int = MOST_NODES) -> DataFrame:
+def weighed(docs: DataFrame, gain: list[int], order: int = ORDER) -> DataFrame:
     """doc_id, n_words, n_features, weight of each row: the floored mean of its features' gains."""
     held = docs.sparkSession.sparkContext.broadcast(gain)
 
     def run(batches):
-        of, buckets = held.value, len(held.value)
-        trie = Trie(lambda crc: of[crc % buckets], order)
-        for b in batches:
-            n_words, n_features, weight = [], [], []
-            for text in b.column(1):
-                found = words(text.as_py())
-                walked = [node[1] for node in trie.paths(found)]
-                n_words.append(len(found))
-                n_features.append(len(walked))
-                weight.append(sum(walked) // len(walked) if walked else 0)
-                if trie.nodes >= most_nodes:
-                    trie.clear()
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n_words, n_features, weight))], ["doc_id", "n_words", "n_features", "weight"])
+        gains_of, lexicon = np.array(held.value, np.int64), Lexicon()
+        rows = ((i, t) for b in batches for i, t in zip(b.column(0).to_pylist(), (x.as_py() for x in b.column(1))))
+        for ids, n_words, word, doc in _batches_of(rows, lexicon):
+            n_features, total = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            for state, node, place in trie(lexicon, word, doc, order):
+                at = gains_of[state % np.uint32(len(gains_of))]
+                n_features += np.bincount(doc[place], minlength=len(ids))
+                np.add.at(total, doc[place], at[node])
+            weight = np.where(n_features > 0, total // np.maximum(n_features, 1), 0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, pa.int64()) for x in (n_words, n_features, weight))], ["doc_id", "n_words", "n_features", "weight"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
