@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import collocations, hmm, licenses, linededup, media, mixing, pieces, resampling, simhash, toxicity, urlfilter, winnowing
+from folioflow.llm import collocations, hmm, jaccard, licenses, linededup, media, mixing, pieces, resampling, simhash, toxicity, urlfilter, winnowing
 
 
 def queries() -> dict:
@@ -17,10 +17,11 @@ def queries() -> dict:
         "op8_url_lm": urlfilter.op8_url_lm,
         "op9_merge_dropout": pieces.op9_merge_dropout,
         "op10_simhash_balls": simhash.op10_simhash_balls,
+        "op11_jaccard_product": jaccard.op11_jaccard_product,
         "op12_trie_resampling": resampling.op12_trie_resampling,
         "op13_collocations": collocations.op13_collocations,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_license_digests": licenses.SQL, "op4_line_windows": linededup.SQL, "op8_url_lm": urlfilter.SQL, "op12_trie_resampling": resampling.SQL, "op13_collocations": collocations.SQL}
+    return {"op1_license_digests": licenses.SQL, "op4_line_windows": linededup.SQL, "op8_url_lm": urlfilter.SQL, "op11_jaccard_product": jaccard.SQL, "op12_trie_resampling": resampling.SQL, "op13_collocations": collocations.SQL}
