@@ -55,15 +55,29 @@ def to_hex(color: Column) -> Column:
     return F.format_string("#%02x%02x%02x", *(F.get(color, F.lit(i)) for i in range(3)))
 
 
+def _plain(value: Column) -> Column:
+    """A number as text, without a fraction of zero."""
+    return F.regexp_replace(value.cast("string"), r"\.0$", "")
+
+
 def gradient_angle(angle: Column) -> Column:
-    """90 - angle, brought into -360..360; C13."""
+    """90 - angle, brought between -360 and 360; C13."""
     turned = 90 - angle
-    return F.when(turned > 360, turned - 360).when(turned < -360, turned + 360).otherwise(turned)
+    return F.when(turned >= 360, turned - 360).when(turned <= -360, turned + 360).otherwise(turned)
+
+
+def _stops(stops: Column) -> Column:
+    return F.array_join(F.transform(stops, lambda s: F.concat(F.lit(", "), s.rgb, F.lit(" "), _plain(s.location), F.lit("%"))), "")
 
 
 def gradient(angle: Column, stops: Column) -> Column:
     """``linear-gradient`` of ``stops``, an array of structs of rgb (hex) and location; C13."""
-    return F.concat(F.lit("linear-gradient("), gradient_angle(angle).cast("string"), F.lit("deg, "), F.array_join(F.transform(stops, lambda s: F.concat(s.rgb, F.lit(" "), s.location.cast("string"), F.lit("%"))), ", "), F.lit(")"))
+    return F.concat(F.lit("linear-gradient("), _plain(gradient_angle(angle)), F.lit("deg"), _stops(stops), F.lit(")"))
+
+
+def radial_gradient(stops: Column) -> Column:
+    """A gradient from the middle; C13."""
+    return F.concat(F.lit("radial-gradient(circle closest-side"), _stops(stops), F.lit(")"))
 
 
 def indexed(value: Column) -> Column:

@@ -47,10 +47,14 @@ def with_stylesheet(html: Column, href: str) -> Column:
     return F.when(F.contains(html, F.lit(href)), html).otherwise(F.regexp_replace(html, "(?i)</head>", link + "</head>"))
 
 
+# Characters that a CSS class name can't have.
+ILLEGAL = "\0\n\r\t\\ ~`!@#$%^&*()+={}[]<>|?/:;,.•"
+
+
 def class_name(style: Column, suffix: str) -> Column:
-    """A CSS class name from a style's name: words capitalised and joined, then the suffix; C28."""
-    bare = F.regexp_replace(F.replace(style, F.lit("$ID"), F.lit("")), "[^A-Za-z0-9 _-]", "")
-    joined = F.array_join(F.transform(F.split(bare, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), "")
+    """A CSS class name from a style's name: its words, between illegal characters, capitalised and joined, then the suffix; C28."""
+    words = F.split(F.translate(F.replace(style, F.lit("$ID"), F.lit("")), ILLEGAL, " " * len(ILLEGAL)), " ")
+    joined = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), "")
     named = F.concat(joined, F.lit(suffix))
     return F.when(named.rlike("^[0-9]"), F.concat(F.lit(suffix.lstrip("_")[:1]), named)).otherwise(named)
 

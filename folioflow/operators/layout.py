@@ -18,12 +18,17 @@ def first_match(left: DataFrame, right: DataFrame, on: Column, keys: list[str],
 def pages_of(elements: DataFrame, pages: DataFrame) -> DataFrame:
     """The first page of an element's spread whose rectangle has the element's centre; J14.
 
-    elements: spread, element, x, y. pages: spread, page, ord, top, left, bottom, right. An
-    equality on the spread keeps it a hash join; a spread has few pages. An element on no page
-    is not returned.
+    elements: spread, element, x, y. pages: spread, page, ord, top, left, bottom, right. A spread is cut into
+    squares as large as its largest page, so that a page lies on four of them at most and an element is compared with the
+    pages on its own square alone. An element on no page is not returned.
     """
+    side = F.max(F.greatest(F.col("right") - F.col("left"), F.col("bottom") - F.col("top"), F.lit(1.0))).over(Window.partitionBy("spread"))
+    cut = lambda c, size: F.floor(F.col(c) / F.col(size)).cast("long")
+    tiled = pages.withColumn("_side", side).withColumn("_col", F.explode(F.sequence(cut("left", "_side"), cut("right", "_side")))).withColumn("_row", F.explode(F.sequence(cut("top", "_side"), cut("bottom", "_side"))))
+    sides = tiled.groupBy(F.col("spread")).agg(F.max("_side").alias("_side"))
+    binned = elements.join(sides, "spread").withColumn("_col", cut("x", "_side")).withColumn("_row", cut("y", "_side")).drop("_side")
     inside = F.col("x").between(F.col("left"), F.col("right")) & F.col("y").between(F.col("top"), F.col("bottom"))
-    hits = elements.join(pages, "spread").where(inside)
+    hits = binned.join(tiled.drop("_side"), ["spread", "_col", "_row"]).where(inside)
     return hits.groupBy("spread", "element").agg(F.min_by("page", "ord").alias("page"))
 
 

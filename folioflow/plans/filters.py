@@ -60,6 +60,6 @@ def style_ancestry(spark, sf_dir):
     select style, concat_ws(';', 'letter-spacing:' || regexp_replace(cast(t::double / 1000.0::double as varchar), '[.]0$', '') || 'em', 'text-indent:' || regexp_replace(cast(round(f::double, 1) as varchar), '[.]0$', '') || 'px', case when h = 'false' then '-webkit-hyphens:none' end, 'opacity:' || regexp_replace(cast(round(o::double / 100.0::double, 1) as varchar), '[.]0$', '')) as css from s""",
 )
 def decoded_styles(spark, sf_dir):
-    pairs = "map('Opacity', if(p_size % 3 = 0, cast(p_size as string), null), 'Tracking', if(p_size % 4 = 0, cast(p_size as string), null), 'FirstLineIndent', if(p_size % 5 = 0, cast(cast(p_size as double) / 4 as string), null), 'Hyphenation', if(p_size % 2 = 0, 'false', null))"
+    pairs = "map('TransparencySetting::BlendingSetting->Opacity', if(p_size % 3 = 0, cast(p_size as string), null), 'Tracking', if(p_size % 4 = 0, cast(p_size as string), null), 'FirstLineIndent', if(p_size % 5 = 0, cast(cast(p_size as double) / 4 as string), null), 'Hyphenation', if(p_size % 2 = 0, 'false', null))"
     declared = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey as style", "if(p_partkey > 0, p_partkey div 5, null) as based_on", f"map_filter({pairs}, (k, v) -> v is not null) as props")
     return decoders.rules(styles.flattened(declared), [], "style", "props")

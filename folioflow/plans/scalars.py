@@ -78,7 +78,7 @@ scalar("C11_tint", _PART, lambda: F.to_json(colors.tint(F.array(c("a").cast("int
 scalar("C12_rgb_to_hex", _PART, lambda: colors.to_hex(F.array(c("a").cast("int"), c("b").cast("int"), c("c").cast("int"))), "printf('#%02x%02x%02x', a, b, c)")
 scalar(
     "C13_gradient", _PART, lambda: colors.gradient(c("a") * 9 - 450, F.array(F.struct(F.lit("#000000").alias("rgb"), F.lit(0).alias("location")), F.struct(F.lit("#ff0000").alias("rgb"), c("n").alias("location")))),
-    "'linear-gradient(' || (case when 540 - a * 9 > 360 then 180 - a * 9 when 540 - a * 9 < -360 then 900 - a * 9 else 540 - a * 9 end) || 'deg, #000000 0%, #ff0000 ' || n || '%)'",
+    "'linear-gradient(' || (case when 540 - a * 9 >= 360 then 180 - a * 9 when 540 - a * 9 <= -360 then 900 - a * 9 else 540 - a * 9 end) || 'deg, #000000 0%, #ff0000 ' || n || '%)'",
 )
 scalar(
     "C14_indexed_color", _PART, lambda: colors.indexed(F.when(c("a") % 3 == 0, (c("n") % 20).cast("string")).when(c("a") % 3 == 1, F.concat(F.lit("#0"), c("a").cast("string"))).otherwise(c("brand"))),

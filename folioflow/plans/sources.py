@@ -170,7 +170,7 @@ def _package(spark, sf_dir):
         _joined("n_nationkey", F.concat(F.lit('<FontFamily Name="'), name, F.lit('"><Font PostScriptName="'), name, F.lit('-Bold" FontStyleName="Bold"/></FontFamily>'))).alias("fonts"),
         _joined("n_nationkey", F.concat(F.lit('<XMLElement MarkupTag="XMLTag/'), F.when(F.col("n_nationkey") % 2 == 0, "Hidden").otherwise("p"), F.lit('" XMLContent="u'), key, F.lit('"><XMLElement MarkupTag="XMLTag/p" XMLContent="v'), key, F.lit('"/></XMLElement>'))).alias("backing"),
         _joined("n_nationkey", attr("Layer", Self=F.concat(F.lit("l"), key), Visible=F.when(F.col("n_nationkey") % 3 == 0, "true").otherwise("false"))).alias("layers"),
-        _joined("n_nationkey", F.concat(F.lit('<ParagraphStyleGroup><ParagraphStyle Self="P/'), key, F.lit('" BasedOn="P/0" PointSize="'), key, F.lit('"/></ParagraphStyleGroup>'))).alias("styles"),
+        _joined("n_nationkey", F.concat(F.lit('<ParagraphStyleGroup><ParagraphStyle Self="ParagraphStyle/'), key, F.lit('" PointSize="'), key, F.lit('"><Properties><BasedOn type="string">0</BasedOn></Properties></ParagraphStyle></ParagraphStyleGroup>'))).alias("styles"),
     )
     wrap = lambda tag, column: F.concat(F.lit(f"<{tag}>"), F.col(column), F.lit(f"</{tag}>"))
     parts = [("XML/Tags.xml", wrap("T", "tags")), ("Resources/Graphic.xml", wrap("G", "colors")), ("Resources/Fonts.xml", wrap("F", "fonts")), ("XML/BackingStory.xml", wrap("B", "backing")), ("designmap.xml", wrap("Document", "layers")), ("Resources/Styles.xml", wrap("S", "styles"))]
@@ -192,7 +192,7 @@ def palette(spark, sf_dir):
     return idml.palette(_package(spark, sf_dir))
 
 
-@query("S26_declared_styles", "select n_regionkey::varchar as path, 'P/' || n_nationkey as style, 'P/0' as based_on, n_nationkey::varchar as size from nation")
+@query("S26_declared_styles", "select n_regionkey::varchar as path, 'ParagraphStyle/' || n_nationkey as style, 'ParagraphStyle/0' as based_on, n_nationkey::varchar as size from nation")
 def declared_styles(spark, sf_dir):
     return idml.declared_styles(_package(spark, sf_dir)).select("path", "style", "based_on", F.col("props")["PointSize"].alias("size"))
 

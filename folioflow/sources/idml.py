@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.functions import colors
-from folioflow.sources.xml import nodes
+from folioflow.functions import colors, css, decoders, text
+from folioflow.operators import paths, styles
+from folioflow.sources.xml import ALL, nodes
+from folioflow.storage import written
 
 
 def _named(members: DataFrame, pattern: str) -> DataFrame:
@@ -48,6 +50,72 @@ def palette(members: DataFrame) -> DataFrame:
     return base.unionByName(tinted).select("path", "self", colors.to_hex(F.col("rgb")).alias("hex"))
 
 
+def _graphic(members: DataFrame) -> DataFrame:
+    return _named(members, r"^Resources/Graphic\.xml$").select("path", "node_id", "parent_id", "tag", "attrs")
+
+
+def swatches(members: DataFrame) -> DataFrame:
+    """path, swatches: all colours, tints and gradients of a package by name, as :data:`folioflow.functions.decoders.SWATCH`; S25.
+
+    Colours come first, then tints in document order, each of a colour or an earlier tint (one without its base is left out), then
+    gradients, whose stops name either; a stop of another kind has no colour. Of two with one name the last counts. A package's
+    swatches are one map: they are as many as a designer's panel holds.
+    """
+    tree = written(_graphic(members))
+    at = lambda name: F.try_element_at("attrs", F.lit(name))
+    rgb = colors.to_rgb(at("Space"), at("ColorValue"))
+    color = tree.where("tag = 'Color'").groupBy("path", at("Self").alias("self")).agg(F.max_by(rgb, "node_id").alias("rgb")).where("self is not null")
+    color = color.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("self", "rgb"))).alias("colors"))
+    percent = F.coalesce(at("TintValue").try_cast("double"), F.lit(0.0))
+    tints = tree.where("tag = 'Tint'").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("node_id", at("Self").alias("self"), at("BaseColor").alias("base"), percent.alias("percent")))).alias("tints"))
+    ref = at("StopColor")
+    stops = tree.where("tag = 'GradientStop'").select("path", F.col("parent_id").alias("of"), F.struct("node_id", ref.alias("ref"), F.round(F.coalesce(at("Location").try_cast("double"), F.lit(0.0)), 1).alias("location")).alias("stop"))
+    stops = stops.groupBy("path", "of").agg(F.array_sort(F.collect_list("stop")).alias("stops"))
+    kinds = tree.where("tag = 'Gradient'").select("path", F.col("node_id").alias("of"), at("Self").alias("self"), at("Type").alias("kind")).join(stops, ["path", "of"], "left").where("self is not null")
+    kinds = kinds.groupBy("path", "self").agg(F.max_by(F.struct("kind", "stops"), "of").alias("g")).groupBy("path").agg(F.collect_list(F.struct("self", "g.kind", "g.stops")).alias("gradients"))
+    rows = tree.select("path").distinct().join(color, "path", "left").join(tints, "path", "left").join(kinds, "path", "left")
+    none = F.create_map().cast("map<string, array<int>>")
+
+    def tinted(known, t):
+        made = F.create_map(t.self, colors.tint(F.try_element_at(known, t.base), t.percent))
+        return F.when(t.self.isNotNull() & F.map_contains_key(known, F.coalesce(t.base, F.lit(""))), F.map_concat(F.map_filter(known, lambda k, v: k != t.self), made)).otherwise(known)
+
+    known = F.aggregate(F.coalesce("tints", F.array().cast("array<struct<node_id: int, self: string, base: string, percent: double>>")), F.coalesce("colors", none), tinted)
+    rows = rows.withColumn("known", known)
+    black = F.array(F.lit(0), F.lit(0), F.lit(0))
+    hex_of = lambda ref: F.when(F.substring_index(ref, "/", 1).isin("Color", "Ink", "MixedInk", "Tint"), colors.to_hex(F.coalesce(F.try_element_at(F.col("known"), ref), black))).otherwise("")
+    flat = F.transform_values("known", lambda k, v: F.struct(v.alias("rgb"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("array<struct<rgb: string, location: double>>").alias("stops")))
+    shade = lambda g: F.struct(F.lit(None).cast("array<int>").alias("rgb"), g.kind.alias("kind"), F.transform(g.stops, lambda s: F.struct(hex_of(F.coalesce(s.ref, F.lit(""))).alias("rgb"), s.location.alias("location"))).alias("stops"))
+    shades = F.map_from_entries(F.transform("gradients", lambda g: F.struct(g.self, shade(g))))
+    both = F.when(F.col("gradients").isNull(), flat).otherwise(F.map_concat(F.map_filter(flat, lambda k, v: ~F.array_contains(F.transform("gradients", lambda g: g.self), k)), shades))
+    return rows.select("path", both.alias("swatches"))
+
+
+def layer_map(members: DataFrame) -> DataFrame:
+    """path, layers: z and visible of a package's layers by name; J18."""
+    rows = layers(members).groupBy("path", "layer").agg(F.max_by(F.struct("z", "visible"), "z").alias("at")).where("layer is not null")
+    return rows.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("layer", "at"))).alias("layers"))
+
+
+def style_rules(members: DataFrame, inherited: bool = True) -> DataFrame:
+    """path, style, ord, target, selector, property, value: the CSS rules of all declared styles, with what they inherit; D1, A12."""
+    declared = written(declared_styles(members))
+    props = styles.flattened(declared, ["path"]) if inherited else declared.select("path", "style", "props")
+    rows = props.join(declared.select("path", "style", "kind"), ["path", "style"]).join(swatches(members), "path", "left").join(layer_map(members), "path", "left")
+    return decoders.rule_rows(rows, ["path"], "style", kind=F.col("kind"), swatches=F.col("swatches"), layers=F.col("layers"))
+
+
+def style_sheets(members: DataFrame, inherited: bool = True) -> DataFrame:
+    """path, style, css of each declared style; K11."""
+    declared = declared_styles(members)
+    kinds = list(decoders.SUFFIX.items())
+    suffix = css.mapped(F.col("kind"), dict(kinds), "")
+    names = declared.select("path", "style", "kind", F.coalesce("name", F.lit("")).alias("name"), suffix.alias("suffix"))
+    rules = style_rules(members, inherited).join(names, ["path", "style"])
+    of = F.coalesce(*(F.when(F.col("kind") == k, text.class_name(F.col("name"), x)) for k, x in kinds))
+    return decoders.style_sheets(rules, ["path"], "style", of)
+
+
 def fonts(members: DataFrame) -> DataFrame:
     """path, family, font, style; S27."""
     tree = _named(members, r"^Resources/Fonts\.xml$")
@@ -55,11 +123,23 @@ def fonts(members: DataFrame) -> DataFrame:
     return tree.where("tag = 'Font'").join(family, ["path", "parent_id"]).select("path", "family", F.col("attrs")["PostScriptName"].alias("font"), F.col("attrs")["FontStyleName"].alias("style"))
 
 
+#: Kinds of declared styles.
+STYLES = ("CharacterStyle", "ParagraphStyle", "ObjectStyle", "TableStyle", "CellStyle")
+
+
 def declared_styles(members: DataFrame) -> DataFrame:
-    """path, style, based_on, props of each declared style of the five groups; S26."""
-    tree = _named(members, r"^Resources/Styles\.xml$").where("tag rlike '^(Character|Paragraph|Object|Table|Cell)Style$'")
-    props = F.map_filter("attrs", lambda k, v: ~k.isin("Self", "Name", "BasedOn"))
-    return tree.select("path", F.col("attrs")["Self"].alias("style"), F.col("attrs")["BasedOn"].alias("based_on"), props.alias("props"))
+    """path, style, kind, name, based_on, props of each declared style of the five kinds; S26.
+
+    props: the paths of its attributes and of the elements below it, with their values, in document order. A parent's name
+    without a kind in front is one of the style's own kind; no parent is null.
+    """
+    tree = nodes(members.where(F.col("member").rlike(r"^Resources/Styles\.xml$")), ALL)
+    rows = paths.path_maps(paths.path_entries(tree, F.col("tag").isin(*STYLES)))
+    get = lambda name: F.try_element_at("props", F.lit(name))
+    above = F.nullif(get("Properties::BasedOn"), F.lit(""))
+    above = F.when(F.startswith(above, F.col("kind")), above).otherwise(F.concat("kind", F.lit("/"), above))
+    props = F.map_filter("props", lambda k, v: ~k.isin("Self", "Name", "Properties::BasedOn"))
+    return rows.select("path", get("Self").alias("style"), "kind", get("Name").alias("name"), above.alias("based_on"), props.alias("props"))
 
 
 def story_text(members: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "path string, member string, node_id int, parent_id int, ord int, depth int, last int, tag string, attrs map<string,string>, text string, pieces array<string>, content string, error string"
@@ -20,6 +20,18 @@ def _local(name: str) -> str:
     return name.rpartition("}")[2]
 
 
+#: For ``whole``: the texts of all elements.
+ALL = ("*",)
+
+
+def _attrs(e: ET.Element) -> dict[str, str]:
+    """Attributes by local name; of those that share one, that without a prefix counts, or else the first."""
+    out = {k: v for k, v in e.attrib.items() if k[:1] != "{"}
+    for k, v in e.attrib.items():
+        out.setdefault(_local(k), v)
+    return out
+
+
 def nodes_of(content: bytes, whole: tuple[str, ...] = ()):
     """(node, parent, place among its siblings, depth, last node below, local tag, local attributes, own text, its pieces, all text) in document order.
 
@@ -34,7 +46,7 @@ def nodes_of(content: bytes, whole: tuple[str, ...] = ()):
     while stack:
         e, parent, place, depth = stack.pop()
         pieces, tag = [e.text or "", *(c.tail or "" for c in e)], _local(e.tag)
-        yield n, parent, place, depth, n + below[e], tag, {_local(k): v for k, v in e.attrib.items()}, "".join(pieces), pieces, "".join(e.itertext()) if tag in whole else None
+        yield n, parent, place, depth, n + below[e], tag, _attrs(e), "".join(pieces), pieces, "".join(e.itertext()) if tag in whole or whole == ALL else None
         stack.extend((c, n, k, depth + 1) for k, c in reversed(list(enumerate(e))))
         n += 1
 
@@ -61,11 +73,13 @@ def nodes(members: DataFrame, whole: tuple[str, ...] = ()) -> DataFrame:
     return members.where("content is not null").select("path", "member", "content").mapInPandas(run, SCHEMA)
 
 
-def owned(tree: DataFrame, owner: str, name: str | None = None, keys: tuple[str, ...] = ("path", "member")) -> DataFrame:
-    """Adds the outermost node of tag ``owner`` at or above each node, null outside of any."""
+def owned(tree: DataFrame, owner: str | Column, name: str | None = None, keys: tuple[str, ...] = ("path", "member")) -> DataFrame:
+    """Adds the outermost node of tag ``owner``, or for which ``owner`` holds, at or above each node, null outside of any."""
     w = Window.partitionBy(*keys).orderBy("node_id")
-    end = F.max(F.when(F.col("tag") == owner, F.col("last"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    name = name or owner
+    owner = F.col("tag") == owner if isinstance(owner, str) else owner
+    end = F.max(F.when(owner, F.col("last"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     tree = tree.withColumn("_end", end)
-    opens = (F.col("tag") == owner) & (F.col("_end").isNull() | (F.col("node_id") > F.col("_end")))
+    opens = owner & (F.col("_end").isNull() | (F.col("node_id") > F.col("_end")))
     tree = tree.withColumn("_own", F.last(F.when(opens, F.struct("node_id", "last")), ignorenulls=True).over(w))
-    return tree.withColumn(name or owner, F.when(F.col("node_id") <= F.col("_own.last"), F.col("_own.node_id"))).drop("_end", "_own")
+    return tree.withColumn(name, F.when(F.col("node_id") <= F.col("_own.last"), F.col("_own.node_id"))).drop("_end", "_own")
