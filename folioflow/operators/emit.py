@@ -19,7 +19,7 @@ def _joined(order: Column, text: Column, between: str = "") -> Column:
 
 
 def serialized(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` and html of each tree of ``nodes``: pre, depth, tag, attrs (a map) and text in document order; K9.
+    """``keys`` and html of each tree of ``nodes``: pre, depth, tag (null for a text alone), attrs (a map) and text in document order; K9.
 
     A node's end tag comes before the next node that isn't deeper, deeper nodes' first. That node is found for all
     depths at once, by a window for each depth over the nodes at or above it, so the work is linear in nodes times depths.
@@ -29,9 +29,9 @@ def serialized(nodes: DataFrame, keys: list[str]) -> DataFrame:
     after = F.lead("pre").over(Window.partitionBy(*keys, "_level").orderBy("pre"))
     ends = levels.withColumn("_after", after).where(F.col("_level") == F.col("depth"))
     token = lambda at, rank, depth, text: F.struct(at.cast("long").alias("o"), F.lit(rank).alias("r"), depth.cast("int").alias("d"), text.alias("t")).alias("_token")
-    ends = ends.select(*keys, token(F.coalesce("_after", F.lit((1 << 63) - 1)), 0, -F.col("depth"), F.concat(F.lit("</"), F.col("tag"), F.lit(">"))))
+    ends = ends.where("tag is not null").select(*keys, token(F.coalesce("_after", F.lit((1 << 63) - 1)), 0, -F.col("depth"), F.concat(F.lit("</"), F.col("tag"), F.lit(">"))))
     attrs = attributes(F.col("attrs"))
-    opening = F.concat(F.lit("<"), F.col("tag"), F.when(attrs != "", F.concat(F.lit(" "), attrs)).otherwise(""), F.lit(">"), F.coalesce("text", F.lit("")))
+    opening = F.concat(F.coalesce(F.concat(F.lit("<"), F.col("tag"), F.when(attrs != "", F.concat(F.lit(" "), attrs)).otherwise(""), F.lit(">")), F.lit("")), F.coalesce("text", F.lit("")))
     starts = nodes.select(*keys, token(F.col("pre"), 1, F.lit(0), opening))
     return starts.union(ends).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_token")), lambda s: s.t), "").alias("html"))
 
