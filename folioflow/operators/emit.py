@@ -49,21 +49,53 @@ def paragraphs(content: DataFrame, keys: list[str], order: list, is_break: Colum
 
 
 def tables(cells: DataFrame, keys: list[str], headers: int, footers: int) -> DataFrame:
-    """``keys`` and html of each table of ``cells``: row, col, rowspan, colspan, text; P9, P18.
+    """``keys`` and html of each table of ``cells``: row, col, rowspan, colspan, text and, if there is one, style; P9, P18.
 
-    Cells of header rows are headings; spans are written where they are 0 or above 1. Rows are put together first.
+    Cells of header rows are headings; spans are written where they are 0 or above 1. ``text`` is markup.
     """
-    rows = cells.select(*keys, "row").distinct()
-    rows = runs.row_roles(rows, keys, ["row"], headers, footers)
-    part = F.when(F.col("role") == "header", "thead").when(F.col("role") == "footer", "tfoot").otherwise("tbody")
-    rows = rows.select(*keys, "row", part.alias("part"), "opens", "closes")
+    style = F.coalesce(F.concat(F.lit(' style="'), F.nullif("style", F.lit("")), F.lit('"')), F.lit("")) if "style" in cells.columns else F.lit("")
+    nth = F.dense_rank().over(Window.partitionBy(*keys).orderBy("row"))
+    rows = cells.withColumn("_n", nth).withColumn("_all", F.max("_n").over(Window.partitionBy(*keys)))
+    role = F.when(F.col("_n") <= headers, "thead").when(F.col("_n") > F.col("_all") - footers, "tfoot").otherwise("tbody")
+    tag = F.when(role == "thead", "th").otherwise("td")
     spans = [F.when((F.col(n) == 0) | (F.col(n) > 1), F.concat(F.lit(f' {n}="'), F.col(n).cast("string"), F.lit('"'))).otherwise("") for n in ("rowspan", "colspan")]
-    lines = cells.groupBy(*keys, "row").agg(_joined(F.col("col"), F.concat(F.lit("<@"), *spans, F.lit(">"), F.col("text"), F.lit("</@>"))).alias("_cells"))
-    # the mark stands for the cell's tag until the row's part is known
-    kind = F.when(F.col("part") == "thead", "th").otherwise("td")
-    cells_of = F.replace(F.replace(F.col("_cells"), F.lit("<@"), F.concat(F.lit("<"), kind)), F.lit("</@>"), F.concat(F.lit("</"), kind, F.lit(">")))
-    line = F.concat(F.when(F.col("opens"), F.concat(F.lit("<"), F.col("part"), F.lit(">"))).otherwise(""), F.lit("<tr>"), cells_of, F.lit("</tr>"), F.when(F.col("closes"), F.concat(F.lit("</"), F.col("part"), F.lit(">"))).otherwise(""))
-    return lines.join(rows, [*keys, "row"]).groupBy(*keys).agg(F.concat(F.lit("<table>"), _joined(F.col("row"), line), F.lit("</table>")).alias("html"))
+    cell = F.concat(F.lit("<"), tag, *spans, style, F.lit(">"), F.col("text"), F.lit("</"), tag, F.lit(">"))
+    lines = rows.select(*keys, "row", "col", role.alias("part"), cell.alias("cell")).groupBy(*keys, "row", "part").agg(_joined(F.struct("col", "cell"), F.col("cell")).alias("cells"))
+    edge = Window.partitionBy(*keys, "part")
+    lines = lines.withColumns({"opens": F.col("row") == F.min("row").over(edge), "closes": F.col("row") == F.max("row").over(edge)})
+    mark = lambda on, text: F.when(F.col(on), F.concat(F.lit(text), F.col("part"), F.lit(">"))).otherwise("")
+    line = F.concat(mark("opens", "<"), F.lit("<tr>"), F.col("cells"), F.lit("</tr>"), mark("closes", "</"))
+    return lines.groupBy(*keys).agg(F.concat(F.lit("<table>"), _joined(F.col("row"), line), F.lit("</table>")).alias("html"))
+
+
+#: Levels of nested lists that the source format has.
+LEVELS = 9
+
+
+def nested_lists(items: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``keys``, start (the first item's ``order``) and html of each list of ``items``: level (from 0), tag (ul or ol) and html; W5, P8.
+
+    An item lies in the nearest item before it that has a lower level, so its depth is the number of levels below its own
+    that are still open there. Neighbours in one item make one list as long as their tags agree. All from windows: the last place of
+    each level before an item tells which levels are open, the last tag at each depth what has to be closed.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = items.withColumn("level", F.least(F.greatest(F.coalesce("level", F.lit(0)), F.lit(0)), F.lit(LEVELS - 1))).withColumn("_n", F.row_number().over(w))
+    rows = rows.withColumns({f"_at{k}": F.coalesce(F.max(F.when(F.col("level") == k, F.col("_n"))).over(before), F.lit(0)) for k in range(LEVELS)})
+    # a lower level is open if it came after all that are lower still
+    lower = lambda k: F.greatest(F.lit(0), F.lit(0), *(F.col(f"_at{j}") for j in range(k)))
+    rows = rows.withColumn("_depth", sum((F.when((F.col("level") > k) & (F.col(f"_at{k}") > lower(k)), 1).otherwise(0) for k in range(LEVELS)), F.lit(0)))
+    rows = rows.withColumns({f"_tag{d}": F.last(F.when(F.col("_depth") == d, F.col("tag")), ignorenulls=True).over(before) for d in range(LEVELS)} | {"_was": F.lag("_depth").over(w), "_next": F.lead("_depth").over(w)})
+    ended = lambda d, tag: F.concat(F.lit("</li></"), tag, F.lit(">"))
+    closing = [F.when((F.col("_was") >= d) & (F.col("_depth") < d), ended(d, F.col(f"_tag{d}"))).otherwise("") for d in range(LEVELS - 1, 0, -1)]
+    sibling = F.coalesce(*(F.when(F.col("_depth") == d, F.col(f"_tag{d}")) for d in range(LEVELS)))
+    opened = F.concat(F.lit("<"), F.col("tag"), F.lit(">"))
+    begin = F.when(F.col("_was").isNull() | (F.col("_depth") > F.col("_was")), opened).when(sibling == F.col("tag"), F.lit("</li>")).otherwise(F.concat(ended(0, sibling), opened))
+    # the last item closes all that is open: its own list and those around it
+    around = [F.when(F.col("_next").isNull() & (F.col("_depth") >= d), ended(d, F.when(F.col("_depth") == d, F.col("tag")).otherwise(F.col(f"_tag{d}")))).otherwise("") for d in range(LEVELS - 1, -1, -1)]
+    text = F.concat(*closing, begin, F.lit("<li>"), F.col("html"), *around)
+    return rows.groupBy(*keys).agg(F.min(order).alias("start"), _joined(F.col(order), text).alias("html"))
 
 
 def fragments(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
