@@ -61,13 +61,15 @@ def above(nodes: DataFrame, value: Column, both: Callable[[Column, Column], Colu
 
 def with_descendant(nodes: DataFrame, hit: Column, name: str = "has", keys: list[str] = []) -> DataFrame:  # noqa: B006
     """``keys``, node and ``name``: whether a node below each node is a ``hit``; A17."""
-    have, most = _pointers(nodes, keys)
-    marks = written(nodes.where(hit).where(_parent().isNotNull()).select(*keys, F.col("parent").alias("node")).distinct())
+    # a struct of the keys joins nulls with nulls, as in ``folded``
+    nodes = nodes.withColumn("_key", F.struct(*keys) if keys else F.struct(F.lit(0).alias("none")))
+    have, most = _pointers(nodes, ["_key"])
+    marks = written(nodes.where(hit).where(_parent().isNotNull()).select("_key", F.col("parent").alias("node")).distinct())
     while _rounds(have, most):
-        more = marks.join(have, [*keys, "node"]).where(F.col("_up").isNotNull()).select(*keys, F.col("_up").alias("node"))
+        more = marks.join(have, ["_key", "node"]).where(F.col("_up").isNotNull()).select("_key", F.col("_up").alias("node"))
         next_marks = written(marks.union(more).distinct())
-        up = have.select(*keys, F.col("node").alias("_up"), F.col("_up").alias("_above"))
-        next_ = written(have.join(up, [*keys, "_up"], "left").select(*keys, "node", F.col("_above").alias("_up")))
+        up = have.select("_key", F.col("node").alias("_up"), F.col("_up").alias("_above"))
+        next_ = written(have.join(up, ["_key", "_up"], "left").select("_key", "node", F.col("_above").alias("_up")))
         discard(have, marks)
         have, marks, most = next_, next_marks, most - 1
-    return nodes.select(*keys, "node").join(marks.withColumn(name, F.lit(True)), [*keys, "node"], "left").select(*keys, "node", F.coalesce(name, F.lit(False)).alias(name))
+    return nodes.select(*keys, "_key", "node").join(marks.withColumn(name, F.lit(True)), ["_key", "node"], "left").select(*keys, "node", F.coalesce(name, F.lit(False)).alias(name))

@@ -10,7 +10,8 @@ SILENT = r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->
 INLINE = r"(?i)</?(?:a|abbr|b|big|cite|code|dfn|em|font|i|kbd|mark|q|s|samp|small|span|strike|strong|sub|sup|tt|u|var)(?:\s[^>]*)?/?>"
 BREAK = r"(?i)<br\s*/?>"
 #: A tag and the text up to the next one, in what ``flowing`` leaves.
-BLOCKS = r"<(/?[A-Za-z][A-Za-z0-9]*)[^>]*>([^<]+)"
+#: A tag ends after its quoted values, or, where quotes don't match, at the first ``>``; a ``<`` that starts no tag is text, as is what comes before the first tag.
+BLOCKS = r"""(?:^(?=\s*[^<\s])|<(/?[A-Za-z][A-Za-z0-9]*)(?>(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+>|[^>]*>))(?=[^<]|<(?![/A-Za-z!?]))([^<]*+(?:<(?![/A-Za-z!?])[^<]*+)*+)"""
 TAGS = r"<(/?)([A-Za-z][A-Za-z0-9]*)[^>]*>"
 VOID = ("br", "meta", "img", "hr", "input", "link")
 

@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.operators import lookup
@@ -98,14 +98,18 @@ def nav(members: DataFrame) -> DataFrame:
     """path, ord, level, id, label, href of each entry of the EPUB 3 table of contents; S11.
 
     Lists nest as ol in li, two levels of depth each. An entry is the first link of its item, with the whole
-    text inside it; those without label or href are left out.
+    text inside it; those without label or href are left out, with all entries below them.
     """
     tree = nodes(contents_files(members).where("kind = 'nav'"), ("a",))
     tops = tree.where((F.col("tag") == "nav") & F.array_contains(F.split(F.coalesce(_attr("type"), F.lit("")), r"\s+"), "toc"))
     tops = tops.select("path", F.col("node_id").alias("top"), F.col("last").alias("end"), F.col("depth").alias("top_depth"))
     items = tree.where("tag = 'li'").join(tops, "path").where("node_id > top and node_id <= end")
-    items = items.select("path", "node_id", ((F.col("depth") - F.col("top_depth")) / 2 - 1).cast("int").alias("level"), F.coalesce(_attr("id"), F.lit("")).alias("id"))
+    items = items.select("path", "node_id", "last", ((F.col("depth") - F.col("top_depth")) / 2 - 1).cast("int").alias("level"), F.coalesce(_attr("id"), F.lit("")).alias("id"))
     links = tree.where("tag = 'a'").select("path", F.col("parent_id").alias("item"), "node_id", "content", _attr("href").alias("href"))
     links = lookup.first_of(links, ["path", "item"], ["node_id"], ["content", "href"])
     rows = lookup.looked_up(items, links, {"path": "path", "node_id": "item"}, {"content": None, "href": None})
-    return rows.select("path", F.col("node_id").alias("ord"), "level", "id", F.trim("content").alias("label"), "href").where("label <> '' and trim(href) <> ''")
+    bad = F.coalesce(F.trim("content") == "", F.lit(True)) | F.coalesce(F.trim("href") == "", F.lit(True))
+    # entries are in preorder: what lies before the furthest end of a bad one is below it
+    end = F.max(F.when(bad, F.col("last"))).over(Window.partitionBy("path").orderBy("node_id"))
+    rows = rows.withColumn("end", end).where("end is null or node_id > end")
+    return rows.select("path", F.col("node_id").alias("ord"), "level", "id", F.trim("content").alias("label"), "href")

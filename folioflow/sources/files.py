@@ -14,6 +14,9 @@ ASSETS = {"images/": ("png", "jpg", "jpeg", "gif", "svg"), "fonts/": ("otf", "tt
 SOURCES = {"epub": ("epub",), "word": ("docx", "doc"), "idml": ("idml",), "pdf": ("pdf",), "images": ("png", "jpg", "jpeg", "gif", "tif", "tiff", "bmp")}
 
 
+_KEY = "key"
+
+
 def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"\.([^./]*)$", 1)
 
@@ -75,10 +78,11 @@ def images(files: DataFrame) -> DataFrame:
 
 
 def pdf_info(text: Column) -> Column:
-    """The keys and values of a PDF tool's listing, split at the first colon; S17."""
+    """The keys and values of a PDF tool's listing, split at the first colon; of a repeated key the first; S17."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit(":")))
-    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, "^([^:]*):", 1)), F.trim(F.regexp_extract(x, "^[^:]*:(.*)$", 1))))
-    return F.map_from_entries(pairs)
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, "^([^:]*):", 1)).alias(_KEY), F.trim(F.regexp_extract(x, "^[^:]*:(.*)$", 1)).alias("value")))
+    keys = F.transform(pairs, lambda p: p[_KEY])
+    return F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(keys, p[_KEY]) == i + 1))
 
 
 def empty_book(spark: SparkSession) -> DataFrame:

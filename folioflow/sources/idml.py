@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import colors, css, decoders, text
@@ -142,16 +142,17 @@ def declared_styles(members: DataFrame) -> DataFrame:
     return rows.select("path", get("Self").alias("style"), "kind", get("Name").alias("name"), above.alias("based_on"), props.alias("props"))
 
 
-def story_text(members: DataFrame) -> DataFrame:
-    """path, story, text: the contents of each story in order, without deleted text; S23, F7, J11."""
-    from pyspark.sql import Window
+def _under(tree: DataFrame, mark) -> DataFrame:
+    """``tree`` with under: whether a node is, or is below, one for which ``mark`` holds. Subtrees are intervals in preorder, so the furthest end seen so far tells."""
+    w = Window.partitionBy("path", "member").orderBy("node_id")
+    return tree.withColumn("under", F.coalesce(F.max(F.when(mark, F.col("last"))).over(w) >= F.col("node_id"), F.lit(False)))
+
 
+def story_text(members: DataFrame) -> DataFrame:
+    """path, story, text: the contents of each story in order, without deleted text and what is changed inside of it; S23, F7, J11."""
     tree = _named(members, r"^Stories/Story_.*\.xml$")
-    w = Window.partitionBy("path", "member").orderBy("node_id")
-    # a node lies in the last change before it that is no deeper: document order is preorder
-    gone = F.last(F.when(F.col("tag") == "Change", F.struct(F.col("depth"), F.col("attrs")["ChangeType"].alias("kind"))), ignorenulls=True).over(w)
-    shut = F.min(F.when(F.col("tag") != "Change", F.col("depth"))).over(w.rowsBetween(0, 0))
-    rows = tree.withColumn("change", gone).withColumn("shut", shut).where("tag = 'Content' and not coalesce(change.kind = 'DeletedText' and shut > change.depth, false)")
+    gone = (F.col("tag") == "Change") & (F.try_element_at("attrs", F.lit("ChangeType")) == "DeletedText")
+    rows = _under(tree, gone).where("tag = 'Content' and not under")
     parts = F.array_sort(F.collect_list(F.struct("node_id", "text")))
     return rows.groupBy("path", F.regexp_extract("member", r"Story_(.*)\.xml$", 1).alias("story")).agg(F.array_join(F.transform(parts, lambda s: s.text), "").alias("text"))
 
@@ -165,8 +166,5 @@ def page_count(members: DataFrame) -> DataFrame:
 def hidden_ids(members: DataFrame, marker: str = "Hidden") -> DataFrame:
     """path, id of each node at or below a hidden marker in the backing story; S22, F5."""
     tree = _named(members, r"^XML/BackingStory\.xml$")
-    top = tree.where(F.contains(F.col("attrs")["MarkupTag"], F.lit(marker))).select("path", F.col("node_id").alias("top"), F.col("depth").alias("top_depth"))
-    ends = tree.select("path", F.col("node_id").alias("n"), F.col("depth").alias("d")).join(top, "path").where("n > top and d <= top_depth")
-    ends = ends.groupBy("path", "top").agg(F.min("n").alias("end"))
-    spans = top.join(ends, ["path", "top"], "left").select("path", "top", F.coalesce("end", F.lit(1 << 30)).alias("end"))
-    return tree.join(spans, "path").where("node_id >= top and node_id < end and attrs['XMLContent'] is not null").select("path", F.col("attrs")["XMLContent"].alias("id")).distinct()
+    rows = _under(tree, F.contains(F.try_element_at("attrs", F.lit("MarkupTag")), F.lit(marker))).where("under and attrs['XMLContent'] is not null")
+    return rows.select("path", F.col("attrs")["XMLContent"].alias("id")).distinct()
