@@ -31,50 +31,59 @@ def _member(rows, name: str, xml):
 _CONTAINER = '<container xmlns="urn:c"><rootfiles><rootfile full-path="no.opf" media-type="text/plain"/><rootfile full-path="OEBPS/book.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
 
 
+#: Books of fifty customers, and the book of each customer and supplier; in SQL and as columns.
+_BOOKS = "(select distinct 'b' || (c_custkey // 50) as path, c_custkey // 50 as book from customer)"
+
+
+def _with_book(rows, key: str, size: int = 50):
+    book = F.floor(F.col(key) / size)
+    return rows.withColumn("book", book).withColumn("path", F.concat(F.lit("b"), book.cast("string")))
+
+
 def _books(spark, sf_dir):
-    """An EPUB for each nation: its customers are the files, the spine has them backwards, suppliers are entries of both tables of contents."""
-    customer, supplier, nation = (_t(spark, sf_dir, n) for n in ("customer", "supplier", "nation"))
+    """An EPUB for fifty customers: they are the files, the spine has them backwards, four suppliers are entries of both tables of contents."""
+    customer, supplier = _with_book(_t(spark, sf_dir, "customer"), "c_custkey"), _with_book(_t(spark, sf_dir, "supplier"), "s_suppkey", 4)
     c, s = F.col("c_custkey").cast("string"), F.col("s_suppkey").cast("string")
-    files = customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(
+    files = customer.groupBy("path", "book").agg(
         _joined("c_custkey", F.concat(F.lit('<opf:item id="i'), (F.col("c_custkey") % 1000).cast("string"), F.lit('" href="c'), c, F.lit('.xhtml" media-type="application/xhtml+xml"/>'))).alias("items"),
         F.array_join(F.reverse(F.transform(F.array_sort(F.collect_list("c_custkey")), lambda x: F.concat(F.lit('<opf:itemref idref="i'), (x % 1000).cast("string"), F.lit('"/>')))), "").alias("refs"),
     )
     label = F.concat(_escaped(F.col("s_name")), F.lit(" &amp; co"))
-    entries = supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(
+    entries = supplier.groupBy("book").agg(
         _joined("s_suppkey", F.concat(F.lit('<navPoint id="p'), s, F.lit('"><navLabel><text xml:lang="en">'), label, F.lit('</text></navLabel><content src="c'), s, F.lit('.xhtml"/></navPoint><!-- <navPoint/> -->'))).alias("points"),
         _joined("s_suppkey", F.concat(F.lit('<li id="p'), s, F.lit('"><a href="c'), s, F.lit('.xhtml"><b>'), label, F.lit("</b></a></li><!-- <li/> -->"))).alias("links"),
     )
-    rows = nation.join(files, "n_nationkey", "left").join(entries, "n_nationkey", "left").na.fill("").withColumn("path", F.col("n_name"))
+    rows = files.join(entries, "book", "left").na.fill("")
     opf = F.concat(
-        F.lit('<?xml version="1.0"?><opf:package xmlns:opf="urn:o" xmlns:dc="urn:d" version="3.0"><opf:metadata><dc:title>'), "n_name", F.lit(" &lt;1&gt;</dc:title><dc:title>Other</dc:title><dc:identifier>x</dc:identifier><dc:identifier id=\"ISBN\">978"), F.col("n_nationkey").cast("string"),
+        F.lit('<?xml version="1.0"?><opf:package xmlns:opf="urn:o" xmlns:dc="urn:d" version="3.0"><opf:metadata><dc:title>'), "path", F.lit(" &lt;1&gt;</dc:title><dc:title>Other</dc:title><dc:identifier>x</dc:identifier><dc:identifier id=\"ISBN\">978"), F.col("book").cast("string"),
         F.lit("</dc:identifier></opf:metadata><opf:manifest>"), "items", F.lit('<opf:item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/><opf:item id="nav" href="contents.xhtml" media-type="application/xhtml+xml" properties="scripted nav"/></opf:manifest><opf:spine>'), "refs", F.lit("</opf:spine></opf:package>"),
     )
-    ncx = F.concat(F.lit('<ncx xmlns="urn:n"><navMap><navPoint id="top"><navLabel><text>'), "n_name", F.lit('</text></navLabel><content src="top.xhtml"/>'), "points", F.lit("</navPoint></navMap></ncx>"))
+    ncx = F.concat(F.lit('<ncx xmlns="urn:n"><navMap><navPoint id="top"><navLabel><text>'), "path", F.lit('</text></navLabel><content src="top.xhtml"/>'), "points", F.lit("</navPoint></navMap></ncx>"))
     nav = F.concat(
-        F.lit('<html xmlns="urn:h" xmlns:epub="urn:e"><body><nav epub:type="page-list"><ol><li><a href="x">X</a></li></ol></nav><nav epub:type="toc"><ol><li id="top"><a href="top.xhtml">'), "n_name", F.lit("</a><ol>"), "links", F.lit('</ol></li><li><a href="e"></a></li></ol></nav></body></html>'),
+        F.lit('<html xmlns="urn:h" xmlns:epub="urn:e"><body><nav epub:type="page-list"><ol><li><a href="x">X</a></li></ol></nav><nav epub:type="toc"><ol><li id="top"><a href="top.xhtml">'), "path", F.lit("</a><ol>"), "links", F.lit('</ol></li><li><a href="e"></a></li></ol></nav></body></html>'),
     )
     parts = [("META-INF/container.xml", F.lit(_CONTAINER)), ("OEBPS/book.opf", opf), ("OEBPS/toc.ncx", ncx), ("OEBPS/contents.xhtml", nav)]
-    out = [_member(rows, name, xml) for name, xml in parts]
-    return out[0].union(out[1]).union(out[2]).union(out[3])
+    made = F.array(*(F.struct(F.lit(name).alias("member"), F.encode(xml, "UTF-8").alias("content")) for name, xml in parts))
+    return rows.select("path", F.inline(made))
 
 
-_ITEMS = "(select n_name as path, c_custkey, 'i' || (c_custkey % 1000) as id, 'c' || c_custkey || '.xhtml' as href, row_number() over (partition by n_name order by c_custkey) - 1 as ord, row_number() over (partition by n_name order by c_custkey desc) as place from nation join customer on c_nationkey = n_nationkey)"
+_ITEMS = "(select 'b' || (c_custkey // 50) as path, c_custkey, 'i' || (c_custkey % 1000) as id, 'c' || c_custkey || '.xhtml' as href, row_number() over (partition by c_custkey // 50 order by c_custkey) - 1 as ord, row_number() over (partition by c_custkey // 50 order by c_custkey desc) as place from customer)"
 
 
-@query("S5_package_paths", "select n_name as path, 'OEBPS/book.opf' as opf from nation")
+@query("S5_package_paths", f"select path, 'OEBPS/book.opf' as opf from {_BOOKS}")
 def package_paths(spark, sf_dir):
     return epub.package_paths(_books(spark, sf_dir))
 
 
-@query("S6_versions", "select n_name as path, 3 as version from nation")
+@query("S6_versions", f"select path, 3 as version from {_BOOKS}")
 def versions(spark, sf_dir):
     return epub.versions(epub.packages(_books(spark, sf_dir)))
 
 
 @query(
     "S7_manifest",
-    f"select path, cast(ord as int) as ord, id, href, 'application/xhtml+xml' as media_type from {_ITEMS} union all select n_name, cast(count(c_custkey) as int), 'ncx', 'toc.ncx', 'application/x-dtbncx+xml' from nation left join customer on c_nationkey = n_nationkey group by n_name "
-    "union all select n_name, cast(count(c_custkey) as int) + 1, 'nav', 'contents.xhtml', 'application/xhtml+xml' from nation left join customer on c_nationkey = n_nationkey group by n_name",
+    f"select path, cast(ord as int) as ord, id, href, 'application/xhtml+xml' as media_type from {_ITEMS} union all select path, cast(count(*) as int), 'ncx', 'toc.ncx', 'application/x-dtbncx+xml' from {_ITEMS} group by path "
+    f"union all select path, cast(count(*) as int) + 1, 'nav', 'contents.xhtml', 'application/xhtml+xml' from {_ITEMS} group by path",
 )
 def manifest(spark, sf_dir):
     return epub.manifest(epub.packages(_books(spark, sf_dir)))
@@ -85,12 +94,12 @@ def spine_files(spark, sf_dir):
     return epub.spine_files(epub.packages(_books(spark, sf_dir)))
 
 
-@query("S9_metadata", "select n_name as path, n_name || ' <1>' as title, cast(null as varchar) as publisher, cast(null as varchar) as language, '978' || n_nationkey as isbn from nation")
+@query("S9_metadata", f"select path, path || ' <1>' as title, cast(null as varchar) as publisher, cast(null as varchar) as language, '978' || book as isbn from {_BOOKS}")
 def metadata(spark, sf_dir):
     return epub.metadata(epub.packages(_books(spark, sf_dir)))
 
 
-_CONTENTS = "select n_name as path, 0 as level, 'top' as id, n_name as label, 'top.xhtml' as href from nation union all select n_name, 1, 'p' || s_suppkey, s_name || ' & co', 'c' || s_suppkey || '.xhtml' from nation join supplier on s_nationkey = n_nationkey"
+_CONTENTS = f"select path, 0 as level, 'top' as id, path as label, 'top.xhtml' as href from {_BOOKS} union all select path, 1, 'p' || s_suppkey, s_name || ' & co', 'c' || s_suppkey || '.xhtml' from {_BOOKS} join supplier on s_suppkey // 4 = book"
 
 
 @query("S10_ncx_contents", _CONTENTS)
@@ -103,7 +112,7 @@ def nav_contents(spark, sf_dir):
     return epub.nav(_books(spark, sf_dir)).drop("ord")
 
 
-@query("S12_contents_files", "select n_name as path, unnest(['OEBPS/toc.ncx', 'OEBPS/contents.xhtml']) as member, unnest(['ncx', 'nav']) as kind from nation")
+@query("S12_contents_files", f"select path, unnest(['OEBPS/toc.ncx', 'OEBPS/contents.xhtml']) as member, unnest(['ncx', 'nav']) as kind from {_BOOKS}")
 def contents_files(spark, sf_dir):
     return epub.contents_files(_books(spark, sf_dir)).select("path", "member", "kind")
 
@@ -147,14 +156,14 @@ def style_properties(spark, sf_dir):
 
 @query(
     "P9_word_tables",
-    """select n_name as path, '<table><tbody>' || string_agg('<tr><td' || case when c_custkey % 3 = 1 then ' colspan="2"' else '' end || '>' || c_custkey || '<span style="font-style:italic">x</span></td><td>' || c_mktsegment || '</td></tr>', '' order by c_custkey) || '</tbody></table>' as html from nation join customer on c_nationkey = n_nationkey group by n_name""",
+    """select 'b' || (c_custkey // 50) as path, '<table><tbody>' || string_agg('<tr><td' || case when c_custkey % 3 = 1 then ' colspan="2"' else '' end || '>' || c_custkey || '<span style="font-style:italic">x</span></td><td>' || c_mktsegment || '</td></tr>', '' order by c_custkey) || '</tbody></table>' as html from customer group by c_custkey // 50""",
 )
 def word_tables(spark, sf_dir):
-    customer, nation = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation")
+    customer = _with_book(_t(spark, sf_dir, "customer"), "c_custkey")
     run = lambda text, props="": F.concat(F.lit(f"<w:p><w:r>{props}<w:t>"), text, F.lit("</w:t></w:r></w:p>"))
     cell = F.concat(F.lit("<w:tc><w:tcPr>"), F.when(F.col("c_custkey") % 3 == 1, '<w:gridSpan w:val="2"/>').otherwise(""), F.lit("</w:tcPr>"), run(F.col("c_custkey").cast("string")), run(F.lit("x"), "<w:rPr><w:i/></w:rPr>"), F.lit("</w:tc>"))
     row = F.concat(F.lit("<w:tr>"), cell, F.lit("<w:tc>"), run(F.col("c_mktsegment")), F.lit("</w:tc></w:tr>"))
-    docs = customer.join(nation, customer.c_nationkey == nation.n_nationkey).groupBy(F.col("n_name").alias("path")).agg(_joined("c_custkey", row).alias("rows"))
+    docs = customer.groupBy("path").agg(_joined("c_custkey", row).alias("rows"))
     members = _member(docs, "word/document.xml", F.concat(F.lit(f"<w:document {_W}><w:body><w:tbl>"), "rows", F.lit("</w:tbl></w:body></w:document>")))
     return docx.body_tables(members, docx.body_paragraphs(members)).select("path", "html")
 
@@ -222,15 +231,14 @@ def page_count(spark, sf_dir):
     return idml.page_count(_package(spark, sf_dir))
 
 
-@query("S3_archive_members", "select n_name as path, 'OEBPS/c' || c_custkey || '.txt' as member, c_name as text from nation join customer on c_nationkey = n_nationkey")
+@query("S3_archive_members", "select 'b' || (c_custkey // 50) as path, 'OEBPS/c' || c_custkey || '.txt' as member, c_name as text from customer")
 def archive_members(spark, sf_dir):
     import io
     import zipfile
 
     import pandas as pd
 
-    customer, nation = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation")
-    rows = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(F.col("n_name").alias("path"), F.concat(F.lit("OEBPS/c"), F.col("c_custkey").cast("string"), F.lit(".txt")).alias("member"), "c_name")
+    rows = _with_book(_t(spark, sf_dir, "customer"), "c_custkey").select("path", F.concat(F.lit("OEBPS/c"), F.col("c_custkey").cast("string"), F.lit(".txt")).alias("member"), "c_name")
 
     def packed(book: pd.DataFrame) -> pd.DataFrame:
         out = io.BytesIO()
@@ -245,13 +253,13 @@ def archive_members(spark, sf_dir):
 
 @query(
     "K12_pictures",
-    """select n_name as path, cast(row_number() over (partition by n_name order by c_custkey) as int) as ord, 'p' || c_custkey || ext as name, case when c_custkey % 3 = 0 then 'T' || case when c_custkey % 2 = 0 then ': D' else '' end when c_custkey % 2 = 0 then 'D' else '' end as alt,
+    """select 'b' || (c_custkey // 50) as path, cast(row_number() over (partition by c_custkey // 50 order by c_custkey) as int) as ord, 'p' || c_custkey || ext as name, case when c_custkey % 3 = 0 then 'T' || case when c_custkey % 2 = 0 then ': D' else '' end when c_custkey % 2 = 0 then 'D' else '' end as alt,
     case when ext = '.emf' then '<p>The picture p' || c_custkey || '.emf has a format that can''t be shown.</p>' else '<figure><img style="width: ' || regexp_replace(cast(round(c_custkey * 1000 / 914400.0::double, 4) as varchar), '[.]0$', '') || 'in; height: 2in; display: initial" src="../images/p' || c_custkey || '.png" alt="' ||
-    case when c_custkey % 3 = 0 then 'T' || case when c_custkey % 2 = 0 then ': D' else '' end when c_custkey % 2 = 0 then 'D' else '' end || '" title="' || case when c_custkey % 3 = 0 then 'T' || case when c_custkey % 2 = 0 then ': D' else '' end when c_custkey % 2 = 0 then 'D' else '' end || '" id="image_p' || c_custkey || '.png_' || row_number() over (partition by n_name order by c_custkey) || '"></figure>' end as html
-    from (select *, case when c_custkey % 7 = 0 then '.emf' else '.png' end as ext from customer) join nation on c_nationkey = n_nationkey""",
+    case when c_custkey % 3 = 0 then 'T' || case when c_custkey % 2 = 0 then ': D' else '' end when c_custkey % 2 = 0 then 'D' else '' end || '" title="' || case when c_custkey % 3 = 0 then 'T' || case when c_custkey % 2 = 0 then ': D' else '' end when c_custkey % 2 = 0 then 'D' else '' end || '" id="image_p' || c_custkey || '.png_' || row_number() over (partition by c_custkey // 50 order by c_custkey) || '"></figure>' end as html
+    from (select *, case when c_custkey % 7 = 0 then '.emf' else '.png' end as ext from customer)""",
 )
 def pictures(spark, sf_dir):
-    customer, nation = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation")
+    customer = _with_book(_t(spark, sf_dir, "customer"), "c_custkey")
     key = F.col("c_custkey").cast("string")
     ext = F.when(F.col("c_custkey") % 7 == 0, ".emf").otherwise(".png")
     drawing = F.concat(
@@ -259,7 +267,7 @@ def pictures(spark, sf_dir):
         F.lit('/><a:blip r:embed="r'), key, F.lit('"/></w:drawing></w:r></w:p>'),
     )
     link = F.concat(F.lit('<Relationship Id="r'), key, F.lit('" Target="media/p'), key, ext, F.lit('"/>'))
-    docs = customer.join(nation, customer.c_nationkey == nation.n_nationkey).groupBy(F.col("n_name").alias("path")).agg(_joined("c_custkey", drawing).alias("body"), _joined("c_custkey", link).alias("links"))
+    docs = customer.groupBy("path").agg(_joined("c_custkey", drawing).alias("body"), _joined("c_custkey", link).alias("links"))
     document = F.concat(F.lit(f'<w:document {_W} xmlns:wp="urn:p" xmlns:a="urn:a" xmlns:r="urn:r"><w:body>'), "body", F.lit("</w:body></w:document>"))
     members = _member(docs, "word/document.xml", document).union(_member(docs, "word/_rels/document.xml.rels", F.concat(F.lit("<Relationships>"), "links", F.lit("</Relationships>"))))
     return docx.pictures(members).select("path", "ord", "name", "alt", "html")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import lookup
 from folioflow.sources.xml import nodes, owned
+from folioflow.storage import written
 
 PACKAGE, NCX = "application/oebps-package+xml", "application/x-dtbncx+xml"
 
@@ -26,11 +27,11 @@ def package_paths(members: DataFrame) -> DataFrame:
 
 
 def packages(members: DataFrame) -> DataFrame:
-    """path, base and the nodes of each package document."""
+    """path, base and the nodes of each package document, as a written table: all that is read from it takes one parse."""
     docs = members.where(F.col("member").rlike(r"\.opf$"))
     named = docs.join(package_paths(members), "path").where(F.col("member") == F.col("opf"))
     rows = nodes(named, ("title", "publisher", "language", "identifier"))
-    return rows.withColumn("base", F.regexp_extract("member", "^(.*/)?[^/]*$", 1))
+    return written(rows.withColumn("base", F.regexp_extract("member", "^(.*/)?[^/]*$", 1)))
 
 
 def versions(pkg: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def ncx(members: DataFrame) -> DataFrame:
 
     Points nest in each other, so a point's level is its depth below the map. A label is the whole text of its text element.
     """
-    tree = owned(nodes(contents_files(members).where("kind = 'ncx'"), ("text",)), "navMap").where("navMap is not null")
+    tree = written(owned(nodes(contents_files(members).where("kind = 'ncx'"), ("text",)), "navMap").where("navMap is not null"))
     top = tree.where("tag = 'navMap'").select("path", F.col("node_id").alias("navMap"), F.col("depth").alias("top"))
     points = tree.where("tag = 'navPoint'").join(top, ["path", "navMap"]).select("path", "node_id", (F.col("depth") - F.col("top") - 1).alias("level"), F.coalesce(_attr("id"), F.lit("")).alias("id"))
     texts = tree.where("tag = 'text'").select("path", F.col("parent_id").alias("up"), "node_id", "content")
@@ -100,7 +101,7 @@ def nav(members: DataFrame) -> DataFrame:
     Lists nest as ol in li, two levels of depth each. An entry is the first link of its item, with the whole
     text inside it; those without label or href are left out, with all entries below them.
     """
-    tree = nodes(contents_files(members).where("kind = 'nav'"), ("a",))
+    tree = written(nodes(contents_files(members).where("kind = 'nav'"), ("a",)))
     tops = tree.where((F.col("tag") == "nav") & F.array_contains(F.split(F.coalesce(_attr("type"), F.lit("")), r"\s+"), "toc"))
     tops = tops.select("path", F.col("node_id").alias("top"), F.col("last").alias("end"), F.col("depth").alias("top_depth"))
     items = tree.where("tag = 'li'").join(tops, "path").where("node_id > top and node_id <= end")
