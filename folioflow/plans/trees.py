@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioflow.operators import emit, reparent
+from folioflow.operators import emit, reparent, tagging
 from folioflow.plans.layouts import _tag
 from folioflow.plans.sources import _joined, _member, _t
 from folioflow.registry import query
@@ -26,3 +26,24 @@ def rebuilt_trees(spark, sf_dir):
     docs = rows.groupBy("path").agg(_joined("turn", turn).alias("xml"))
     tree = reparent.rebuilt(xml.nodes(_member(docs, "page", F.concat(F.lit("<x>"), "xml", F.lit("</x>")))), ["path"])
     return emit.serialized(reparent.in_preorder(tree, ["path"]), ["path"])
+
+
+_GRAMMAR = [("chapter", [], ["list", "p", "note"], [], False), ("list", [], ["li"], [], True), ("li", ["list"], [], [], False), ("p", [], [], [], False), ("note", [], [], ["title"], False), ("title", ["note"], [], [], False)]
+
+
+@query(
+    "P23_tagged_paths",
+    """with g as (select *, sum(case when event_type = 'signup' then 1 else 0 end) over w as c, case when count(*) filter (event_type = 'error') over w > 0 then 'backmatter' else 'bodymatter' end as m, max(case when event_type = 'signup' then event_id end) over w as up from events window w as (partition by user_id order by event_id))
+    select user_id, event_id as node, case event_type when 'signup' then 'chapter' when 'click' then 'li' when 'view' then 'p' else 'title' end as tag, case when event_type = 'view' then 'lead' end as class, 'n' || event_id as hash,
+      'body.' || m || '#b-' || m || ' section.chapter#c-' || m || ' section.' || m || '#m-' || m || case when event_type = 'signup' or up is null then '' else ' chapter#n' || up end || case event_type when 'click' then ' list#' || case when up is null then 'n' || event_id || '-0' else 's' || up || '.list' end when 'purchase' then ' note#n' || event_id || '-0' else '' end as parents,
+      event_type = 'signup' and exists (select 1 from g h where h.user_id = g.user_id and h.up = g.event_id and h.event_type in ('click', 'view', 'purchase')) as container from g where event_type <> 'error'""",
+)
+def tagged_paths(spark, sf_dir):
+    """Users' events as marks: a signup begins a chapter with what follows, clicks are items without their list, purchases titles without their note, and an error begins the back matter."""
+    from pyspark.sql import Window
+
+    rows = _t(spark, sf_dir, "events")
+    up = F.max(F.when(F.col("event_type") == "signup", F.col("event_id"))).over(Window.partitionBy("user_id").orderBy("event_id"))
+    marks = F.create_map(*(F.lit(x) for kv in {"signup": "XMLTag/chapter", "click": "XMLTag/li", "view": "XMLTag/p.lead", "purchase": "XMLTag/title", "error": "XMLTag/section.backmatter"}.items() for x in kv))
+    nodes = rows.select("user_id", F.col("event_id").alias("node"), F.when(F.col("event_type") != "signup", up).alias("parent"), F.element_at(marks, F.col("event_type")).alias("mark"))
+    return tagging.placed(nodes, spark.createDataFrame(_GRAMMAR, tagging.GRAMMAR), ["user_id"])
