@@ -16,7 +16,8 @@ and then verifies the others: the shared part of both texts' sets of word shingl
 them. A fingerprint's texts are compared to one of them, and the (at most ``TABLE_BITS + 1``)
 fingerprints of a ball to one of these, chosen anew by a hash in every table and ball, so
 a large group isn't expanded into pairs. Where that leaves texts of one ball in different
-groups, all pairs of the ball across those groups are verified too, so no link is lost.
+groups, these texts are compared by the blocked product of their sets of shingles (:mod:`folioflow.llm.jaccard`), which finds
+all links among them without listing pairs, so no link of a ball is lost.
 
 Null and blank texts have fingerprint zero and are linked like any other. Repeated
 rows share a fingerprint. A null ``doc_id`` is ignored as a component's least id; a
@@ -33,7 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.llm import jaccard
 from folioflow.llm.common import discard, own, table, written
+from folioflow.llm.components import components
 
 BITS = 64
 RADIUS = 2
@@ -90,26 +93,6 @@ def ball_edges(fps: DataFrame) -> DataFrame:
     return near.where(f"fp > least and bit_count(fp ^ least) <= {RADIUS}").select(F.col("fp").alias("u"), F.col("least").alias("v"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root: the least node that each node of ``edges(u, v)`` reaches.
-
-    Each round takes the least root among the neighbours and then the root's root; every
-    round is written to the shared folder, so it neither grows the lineage nor the driver.
-    """
-    both = written(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("root")))
-    while True:
-        heard = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("root").alias("heard"))
-        next_ = written(labels.join(heard, labels.node == heard.u, "left").select("node", F.col("root").alias("was"), F.least("root", "heard").alias("root")))
-        up = next_.select(F.col("node").alias("at"), F.col("root").alias("above"))
-        jumped = written(next_.join(up, next_.root == up.at, "left").select("node", F.least("root", "above").alias("root"), (F.least("root", "above") != F.col("was")).alias("moved")))
-        discard(labels, next_)
-        labels = jumped
-        if jumped.where("moved").isEmpty():
-            discard(both)
-            return labels.select("node", "root")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp, text_key, root, component_id for each row of ``docs``; root: the group's least fingerprint."""
     rows = written(fingerprints(docs, shingle))
@@ -215,20 +198,18 @@ def candidate_links(seats: DataFrame, crowd: DataFrame) -> DataFrame:
     return within.union(between).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
-def links_across(seats: DataFrame, crowd: DataFrame, edges: DataFrame) -> DataFrame:
-    """u, v with u > v: all pairs of texts that share a ball and that ``edges(u, v)`` leaves in different groups."""
+def mixed_texts(seats: DataFrame, crowd: DataFrame, edges: DataFrame) -> DataFrame:
+    """text_key: the texts in balls whose texts ``edges(u, v)`` leaves in different groups."""
     if edges.isEmpty():
         rooted = seats.withColumn("root", F.col("text_key"))
     else:
         rooted = seats.join(components(edges), F.col("text_key") == F.col("node"), "left").select("text_key", "seat", F.coalesce("root", "text_key").alias("root"))
     rooted = written(rooted)
-    shared = rooted.groupBy("seat").agg(F.count("*").alias("n")).where("n > 1").select(F.col("seat").alias("ball"), "seat")
-    members = crowd.union(shared).distinct().join(rooted, "seat").select("ball", "text_key", "root")
-    whole = Window.partitionBy("ball")
-    ends = members.select("ball", "text_key", "root", F.min("root").over(whole).alias("low"), F.max("root").over(whole).alias("high"))
-    mixed = written(ends.where("low < high").select("ball", "text_key", "root"))
-    a, b = (mixed.select("ball", F.col("text_key").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv")
-    return a.join(b, "ball").where("u > v and root_u <> root_v").select("u", "v").distinct()
+    # a seat that several texts have is a ball of its own; the ends of a ball's roots tell whether they differ
+    ends = rooted.groupBy("seat").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    balls = crowd.join(ends, "seat").groupBy("ball").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("ball")
+    mixed = crowd.join(balls, "ball").select("seat").union(ends.where("low < high").select("seat")).distinct()
+    return rooted.join(mixed, "seat", "left_semi").select("text_key").distinct()
 
 
 def within_bits(pairs: DataFrame, lists: DataFrame, share: float) -> DataFrame:
@@ -248,16 +229,15 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return shared.where(F.expr(f"n >= {similarity} * (nu + nv - n)")).select("u", "v")
 
 
-def all_links(seats: DataFrame, near, verify) -> DataFrame:
+def all_links(seats: DataFrame, near, verify, compare) -> DataFrame:
     """u, v: verified links of texts that share a ball, which hold every group together.
 
-    ``near`` and ``verify`` are filters of pairs(u, v): by all fingerprints of both texts, and by the texts.
+    ``near`` and ``verify`` are filters of pairs(u, v): by all fingerprints of both texts, and by the texts; ``compare`` gives the links among texts(text_key).
     """
     crowd = written(crowded(seats))
-    pairs = written(near(candidate_links(seats, crowd)))
-    first = written(verify(pairs))
-    more = written(near(links_across(seats, crowd, first).join(pairs, ["u", "v"], "left_anti")))
-    return first if more.isEmpty() else written(first.union(verify(more)))
+    first = written(verify(written(near(candidate_links(seats, crowd)))))
+    mixed = written(mixed_texts(seats, crowd, first))
+    return first if mixed.isEmpty() else written(first.union(compare(mixed)))
 
 
 def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -278,7 +258,13 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataF
         sets = written(wanted.mapInArrow(_list_batches(lambda t: shingle_hashes(t, shingle), 1), "text_key long, list array<long>"))
         return verified(pairs, sets.groupBy("text_key").agg(F.first("list").alias("list")), similarity)
 
-    edges = all_links(seats, lambda pairs: within_bits(pairs, least, APART), verify)
+    def compare(mixed):
+        # one row of each text
+        asked = mixed.join(least, "text_key").select(F.col("least_id").alias("_id"), F.col("text_key").alias("_key"))
+        wanted = docs.join(written(asked), (text_key() == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi").select("doc_id", "text")
+        return jaccard.text_links(wanted, shingle, round(100 * similarity))
+
+    edges = all_links(seats, lambda pairs: within_bits(pairs, least, APART), verify, compare)
     ids = least.select("text_key", "least_id")
     if edges.isEmpty():
         return rows.select("doc_id", "text_key").join(ids.select("text_key", F.col("text_key").alias("root"), F.col("least_id").alias("component_id")), "text_key")
