@@ -1,8 +1,8 @@
 """License scans by canonical digests.
 
-A text's canonical form has A-Z lower-cased, copyright lines dropped, equivalent spellings
-made one, and every run of ASCII punctuation and white space (and of common typographic
-marks) made one space. Its SHA-256 is looked up among the digests of known licence texts by
+A text's canonical form has A-Z lower-cased, copyright lines dropped, every run of ASCII
+punctuation and white space (and of common typographic marks) made one space, and then equivalent spellings
+made one, so that neither line breaks nor hyphens hide them. A copyright notice ends at its line's end. The form's SHA-256 is looked up among the digests of known licence texts by
 a hash join; the known texts are a short fixed list, so they are broadcast. The same lookup
 runs over each line of a document as a text of its own, which finds licence notices.
 
@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import LOWER, UPPER, ascii_lower, table
 
-# Spellings that licence texts use for one another.
+# Spellings that licence texts use for one another, as they are after punctuation and white space have become one space.
 EQUIVALENT = [
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("behaviour", "behavior"), ("cancelled", "canceled"), ("catalogue", "catalog"), ("centre", "center"),
     ("copyright owner", "copyright holder"), ("favour", "favor"), ("fulfilment", "fulfillment"), ("initialis", "initializ"), ("judgement", "judgment"), ("labelling", "labeling"),
-    ("licence", "license"), ("licencing", "licensing"), ("noncommercial", "non-commercial"), ("optimis", "optimiz"), ("organis", "organiz"), ("per cent", "percent"),
-    ("programme", "program"), ("realis", "realiz"), ("recognis", "recogniz"), ("sub-licen", "sublicen"), ("sub licen", "sublicen"), ("utilis", "utiliz"), ("whilst", "while"), ("wilful", "willful"), ("https://", "http://"),
+    ("licence", "license"), ("licencing", "licensing"), ("optimis", "optimiz"), ("organis", "organiz"), ("per cent", "percent"),
+    ("programme", "program"), ("realis", "realiz"), ("recognis", "recogniz"), ("utilis", "utiliz"), ("whilst", "while"), ("wilful", "willful"), ("noncommercial", "non commercial"), ("sub licen", "sublicen"), ("https ", "http "),
 ]
 COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|\{|\[|<|[0-9]|by |holders?:)|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*"
 MARKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”‘’«»–—•·©]+"
@@ -98,10 +98,10 @@ BROADCAST_KNOWN = 100_000
 
 def canonical(text):
     """The canonical form of a text."""
-    out = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), COPYRIGHT, "")
+    out = F.regexp_replace(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), COPYRIGHT, ""), MARKS, " ")
     for a, b in EQUIVALENT:
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(out, MARKS, " "))
+    return F.trim(out)
 
 
 def digest(text):
@@ -138,10 +138,10 @@ def op1_license_digests(spark, sf_dir: str) -> DataFrame:
 
 def _form(x: str) -> str:
     """SQL of a digest."""
-    out = f"regexp_replace(translate(coalesce({x}, ''), '{UPPER}', '{LOWER}'), '{COPYRIGHT}', '', 'g')"
+    out = f"regexp_replace(regexp_replace(translate(coalesce({x}, ''), '{UPPER}', '{LOWER}'), '{COPYRIGHT}', '', 'g'), '{MARKS}', ' ', 'g')"
     for a, b in EQUIVALENT:
         out = f"replace({out}, '{a}', '{b}')"
-    return f"sha256(trim(regexp_replace({out}, '{MARKS}', ' ', 'g'), ' '))"
+    return f"sha256(trim({out}, ' '))"
 
 
 def _sql() -> str:

@@ -89,6 +89,32 @@ def test_long_licenses_are_known_by_their_digests(spark):
     assert [got[2 * i] for i in range(5)] == ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0"] and not any(got[2 * i + 1] for i in range(5))
 
 
+def test_spellings_across_spaces_and_hyphens(spark):
+    rows = [f"the {x}COPYRIGHT{y}OWNER took 5 per{y}cent of sub-licensed, non{z}commercial work at https://a.b" for x in ("", " ") for y in (" ", "\n", "  ", "-") for z in ("", "-", "\n")]
+    df = spark.createDataFrame([(x,) for x in rows], "text string")
+    assert df.select(licenses.digest(F.col("text")).alias("d")).distinct().count() == 1
+
+
+def test_rewrapped_licenses_keep_their_digests(spark):
+    import os
+    import textwrap
+
+    folder = "/usr/share/common-licenses"
+    if not os.path.isdir(folder):
+        pytest.skip("no licence texts here")
+    notice = re.compile(licenses.COPYRIGHT)
+    rows = []
+    for name in sorted({os.path.realpath(f"{folder}/{x}") for x in os.listdir(folder)}):
+        text = open(name, encoding="utf-8").read()
+        rows.append((name, 0, text))
+        for width in (60, 72, 80, 100):
+            # a paragraph with a copyright notice stays as it is: a notice ends at its line's end
+            parts = [p if notice.search(p.lower()) else textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n")]
+            rows.append((name, width, "\n\n".join(parts)))
+    got = spark.createDataFrame(rows, "name string, width int, text string").select("name", licenses.digest(F.col("text")).alias("d")).distinct()
+    assert got.count() == got.select("name").distinct().count() >= 13
+
+
 def test_licenses_odd(spark, odd, none):
     known = licenses.known_digests(spark)
     got = licenses.scan(odd, known).collect()
@@ -753,8 +779,38 @@ def test_similar_links_texts_that_are_no_heads(spark):
     texts = spark.createDataFrame([(k, [7 if k < 4 else 1 << 20 | k % 2]) for k in sets], "text_key long, list array<long>")
     seats = simhash.text_seats(texts)
     lists = spark.createDataFrame(list(sets.items()), "text_key long, list array<long>")
-    links = simhash.all_links(seats, lambda pairs: pairs, lambda pairs: simhash.verified(pairs, lists, 0.8))
-    assert {(r.u, r.v) for r in links.collect()} == {(1, 0), (3, 2), (5, 4), (7, 6)}
+    asked = []
+
+    def compare(mixed):
+        asked.extend(r.text_key for r in mixed.collect())
+        pairs = mixed.select(F.col("text_key").alias("u")).join(mixed.select(F.col("text_key").alias("v")), F.col("u") > F.col("v"))
+        return simhash.verified(pairs, lists, 0.8)
+
+    links = simhash.all_links(seats, lambda pairs: pairs, lambda pairs: simhash.verified(pairs, lists, 0.8), compare)
+    assert {(r.u, r.v) for r in links.collect()} == {(1, 0), (3, 2), (5, 4), (7, 6)} and sorted(asked) == list(range(8))
+
+
+def test_similar_compares_a_crowd_below_the_similarity(spark):
+    """Many texts that are alike, but not enough, share balls; the few that are enough alike are still found."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for at in r.sample(range(60), 4):
+            w[at] = f"e{i}-{at}"
+        rows.append((i, " ".join(w)))
+    # a copy with one word changed at the end of every tenth text
+    rows += [(1000 + i, t.rsplit(" ", 1)[0] + " end") for i, t in rows[::10]]
+    docs = frame(spark, [(i, t, "en", "a", 0) for i, t in rows])
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(56)} for i, t in rows}
+    want = {}
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                want[j] = min(want.get(j, j), i)
+    got = {x.doc_id: x.component_id for x in simhash.similar(docs).collect()}
+    assert len(want) >= 12 and all(got[j] <= i for j, i in want.items()) and sum(got[j] == j for j in got if j not in want) == len(got) - len(want)
 
 
 def test_pipeline_drops_edited_copies(spark):
