@@ -185,3 +185,21 @@ def master_items(spark, sf_dir):
     tree = spreads.spread_nodes(_spread_members(spark, sf_dir))
     pages = spreads.pages(tree)
     return spreads.page_items(pages, spreads.page_of_items(spreads.items(tree), pages)).select("path", "page", "level", "item")
+
+
+def _map_members(spark, sf_dir):
+    """A design map for fifty customers: a story and a link for each."""
+    rows = _customers(spark, sf_dir)
+    k = F.col("k").cast("string")
+    part = F.concat(F.lit('<idPkg:Story src="Stories/Story_u'), k, F.lit('.xml"/><Hyperlink Self="h'), k, F.lit('" Source="s'), k, F.lit('" Destination="d'), F.col("n").cast("string"), F.lit('"/>'))
+    return _wrapped(rows, "k", "designmap.xml", part, "Document")
+
+
+@query("S19_parts", "select (c_custkey // 50)::varchar as path, cast(row_number() over (partition by c_custkey // 50 order by c_custkey) * 2 - 1 as int) as ord, 'Story' as kind, 'Stories/Story_u' || c_custkey || '.xml' as src from customer")
+def parts(spark, sf_dir):
+    return idml.design_map(_map_members(spark, sf_dir))
+
+
+@query("S19_links", "select (c_custkey // 50)::varchar as path, 's' || c_custkey as source, 'd' || (c_custkey // 10 % 3 + 1) as destination from customer")
+def links(spark, sf_dir):
+    return idml.hyperlinks(_map_members(spark, sf_dir))

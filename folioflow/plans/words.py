@@ -69,3 +69,53 @@ def merged_cells(spark, sf_dir):
     rows = _docs(_rows(spark, sf_dir), F.concat(F.lit("<w:tr>"), first, middle, cell(F.lit("z"), '<w:shd w:fill="00FF00"/>'), F.lit("</w:tr>")), "tbl")
     tree = docx.body(rows)
     return docx.body_tables(rows, docx.body_paragraphs(rows, tree), tree).select("path", "html")
+
+
+@query(
+    "P10_drop_downs",
+    f"""with {_K} select d::varchar as path, 1::bigint as page_no, string_agg('<p>' || k || '<select><option value="0"' || case when k % 3 = 0 then ' selected="selected"' else '' end || '>a &amp; b</option><option value="1"' || case when k % 3 = 1 then ' selected="selected"' else '' end || '>c' || k || '</option></select></p>', '' order by k) as html from k group by d""",
+)
+def drop_downs(spark, sf_dir):
+    """A control with two entries in each paragraph, of which one, the other or none is shown."""
+    item = lambda name, value: F.concat(F.lit('<w:listItem w:displayText="'), name, F.lit(f'" w:value="{value}"/>'))
+    other = F.concat(F.lit("c"), "t")
+    shown = F.when(F.col("k") % 3 == 0, "a &amp; b").when(F.col("k") % 3 == 1, other).otherwise("?")
+    control = F.concat(F.lit("<w:sdt><w:sdtPr><w:dropDownList>"), item(F.lit("a &amp; b"), 0), item(other, 1), F.lit("</w:dropDownList></w:sdtPr><w:sdtContent>"), _run(shown), F.lit("</w:sdtContent></w:sdt>"))
+    rows = _docs(_rows(spark, sf_dir), _tag("w:p", F.concat(_run(F.col("t")), control)))
+    return docx.body_pages(rows).select("path", "page_no", "html")
+
+
+@query(
+    "P17_word_links",
+    f"""with {_K}, a as (select *, case when k % 2 = 0 then '<a href="http://x.y/?a=1&amp;b=' || k || '">' else '<a href="#p' || k || '">' end as a from k)
+    select d::varchar as path, 1::bigint as page_no, string_agg('<p>' || a || k || '</a>' || a || '<span style="font-weight:bold">!</span></a></p>', '' order by k) as html from a group by d""",
+)
+def word_links(spark, sf_dir):
+    """Links to other places, through a document's relationships, and to places in it; each has a plain and a bold run."""
+    rows = _rows(spark, sf_dir)
+    runs = F.concat(_run(F.col("t")), F.lit("<w:r><w:rPr><w:b/></w:rPr><w:t>!</w:t></w:r>"))
+    link = F.when(F.col("k") % 2 == 0, F.concat(F.lit('<w:hyperlink r:id="r'), "t", F.lit('">'))).otherwise(F.concat(F.lit('<w:hyperlink w:anchor="p'), "t", F.lit('">')))
+    body = _docs(rows, _tag("w:p", F.concat(link, runs, F.lit("</w:hyperlink>"))))
+    # the prefix of relationships is declared where the document is
+    body = body.withColumn("content", F.encode(F.replace(F.decode("content", "UTF-8"), F.lit("<w:document "), F.lit('<w:document xmlns:r="urn:r" ')), "UTF-8"))
+    rel = F.concat(F.lit('<Relationship Id="r'), "t", F.lit('" Type="h" Target="http://x.y/?a=1&amp;b='), "t", F.lit('"/>'))
+    rels = rows.where("k % 2 = 0").groupBy("path").agg(_joined("k", rel).alias("xml"))
+    body = body.union(_member(rels, "word/_rels/document.xml.rels", F.concat(F.lit("<Relationships>"), "xml", F.lit("</Relationships>"))))
+    return docx.body_pages(body).select("path", "page_no", "html")
+
+
+@query(
+    "S29_paragraph_properties",
+    f"""with {_K} select d::varchar as path, 'S' || k as style, case when k % 48 > 0 then 'S' || (k - 1) end as based_on, 'margin-top:' || cast(round(k / 11.0::double) as int) || 'px;margin-bottom:0px' || case when k % 3 = 0 then ';text-align:justify' when k % 3 = 1 then ';text-align:right' else '' end || ';text-indent:' || cast(round(case when k % 2 = 0 then 110 else k end / 11.0::double) as int) || 'px' as css from k""",
+)
+def paragraph_properties(spark, sf_dir):
+    """Styles with spacing, alignment and indents, where a first line's indent of 0 is the left one."""
+    rows = _rows(spark, sf_dir)
+    based = F.when(F.col("k") % 48 > 0, F.concat(F.lit('<w:basedOn w:val="S'), (F.col("k") - 1).cast("string"), F.lit('"/>'))).otherwise("")
+    props = F.concat(
+        F.lit('<w:pPr><w:spacing w:before="'), "t", F.lit('" w:after="0"/>'), F.when(F.col("k") % 3 == 0, '<w:jc w:val="both"/>').when(F.col("k") % 3 == 1, '<w:jc w:val="end"/>').otherwise(""),
+        F.lit('<w:ind w:left="'), F.when(F.col("k") % 2 == 0, "110").otherwise(F.col("t")), F.lit('" w:firstLine="0"/></w:pPr>'),
+    )
+    style = F.concat(F.lit('<w:style w:type="paragraph" w:styleId="S'), "t", F.lit('">'), based, props, F.lit("</w:style>"))
+    docs = rows.groupBy("path").agg(_joined("k", style).alias("xml"))
+    return docx.style_properties(_member(docs, "word/styles.xml", F.concat(F.lit(f"<w:styles {_W}>"), "xml", F.lit("</w:styles>"))))

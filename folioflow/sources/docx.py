@@ -168,15 +168,23 @@ def numbered_paragraphs(paras: DataFrame, members: DataFrame) -> DataFrame:
 
     A style without a numbering takes that of the nearest style it is based on; a number of 0 is none.
     """
-    declared = written(style_table(members))
+    declared = written(style_table(members).select("path", "style", "based_on", "num_id", "level"))
+    if declared.where("num_id is not null").isEmpty():
+        return _with_formats(paras, members)
     own = F.when(F.col("num_id").isNotNull(), F.struct("num_id", F.coalesce("level", F.lit(0)).alias("level")))
     nearest = closure.folded(declared.withColumnsRenamed({"style": "node", "based_on": "parent"}), own, F.coalesce, "numbering", ["path"])
     nearest = nearest.where("numbering is not null").groupBy("path", F.col("node").alias("style")).agg(F.min("numbering.num_id").alias("style_num"), F.min("numbering.level").alias("style_level"))
     rows = lookup.looked_up(paras, nearest, {"path": "path", "style": "style"}, {"style_num": None, "style_level": None})
-    rows = rows.withColumn("level", F.coalesce("level", F.when(F.col("num_id").isNull(), F.col("style_level")), F.lit(0))).withColumn("num_id", F.coalesce("num_id", "style_num"))
+    rows = rows.withColumn("level", F.coalesce("level", F.when(F.col("num_id").isNull(), F.col("style_level")))).withColumn("num_id", F.coalesce("num_id", "style_num"))
+    return _with_formats(rows.drop("style_num", "style_level"), members)
+
+
+def _with_formats(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Adds tag (ul, ol, or null for no list) by the format of each paragraph's number and level."""
+    rows = rows.withColumn("level", F.coalesce("level", F.lit(0)))
     formats = numbering(members).groupBy("path", "num_id", "level").agg(F.min("format").alias("format"))
     rows = lookup.looked_up(rows, formats, {"path": "path", "num_id": "num_id", "level": "level"}, {"format": "decimal"})
-    return rows.withColumn("tag", F.when(F.col("num_id") >= 1, F.when(F.col("format") == "bullet", "ul").otherwise("ol"))).drop("style_num", "style_level", "format")
+    return rows.withColumn("tag", F.when(F.col("num_id") >= 1, F.when(F.col("format") == "bullet", "ul").otherwise("ol"))).drop("format")
 
 
 def body_lists(rows: DataFrame, keys: list[str]) -> DataFrame:
