@@ -203,3 +203,21 @@ def parts(spark, sf_dir):
 @query("S19_links", "select (c_custkey // 50)::varchar as path, 's' || c_custkey as source, 'd' || (c_custkey // 10 % 3 + 1) as destination from customer")
 def links(spark, sf_dir):
     return idml.hyperlinks(_map_members(spark, sf_dir))
+
+
+@query(
+    "P16_story_paragraphs",
+    """select (k0 // 50)::varchar as path, 'u' || (k0 // 10) as story, cast(k0 % 10 // 2 as bigint) as paragraph, 'ParagraphStyle/P' || (k0 % 3) as style, '<p class="P' || (k0 % 3) || 'Para">' || html || '</p>' as html
+    from (select min(c_custkey) as k0, string_agg('<span class="C' || (c_custkey % 2) || 'Char">' || c_custkey || ' &lt;' || c_mktsegment || '&gt;</span>', '' order by c_custkey) as html from customer group by c_custkey // 2)""",
+)
+def story_paragraphs(spark, sf_dir):
+    """A story for ten customers, two to a paragraph, each with a deleted text after it."""
+    rows = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("m"))
+    k = F.col("k")
+    text = _tag("Content", F.concat(k.cast("string"), F.lit(" &lt;"), "m", F.lit("&gt;")))
+    gone = _tag("Change", _tag("Content", "gone"), ChangeType="DeletedText")
+    run = _tag("CharacterStyleRange", F.concat(text, gone, F.when(k % 2 == 1, "<Br/>").otherwise("")), AppliedCharacterStyle=F.concat(F.lit("CharacterStyle/C"), (k % 2).cast("string")))
+    part = _tag("ParagraphStyleRange", run, AppliedParagraphStyle=F.concat(F.lit("ParagraphStyle/P"), (k % 3).cast("string")))
+    stories = rows.groupBy(F.floor(k / 50).cast("string").alias("path"), F.floor(k / 10).cast("string").alias("s")).agg(_joined("k", part).alias("xml"))
+    members = stories.select("path", F.concat(F.lit("Stories/Story_u"), "s", F.lit(".xml")).alias("member"), F.encode(F.concat(F.lit(f"<idPkg:Story {_NS}><Story>"), "xml", F.lit("</Story></idPkg:Story>")), "UTF-8").alias("content"))
+    return idml.story_paragraphs(members)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import colors, css, decoders, text
-from folioflow.operators import paths, styles
-from folioflow.sources.xml import ALL, nodes
+from folioflow.operators import paths, runs, styles
+from folioflow.sources.xml import ALL, nodes, owned
 from folioflow.storage import written
 
 
@@ -157,6 +157,51 @@ def story_text(members: DataFrame) -> DataFrame:
     return rows.groupBy("path", F.regexp_extract("member", r"Story_(.*)\.xml$", 1).alias("story")).agg(F.array_join(F.transform(parts, lambda s: s.text), "").alias("text"))
 
 
+RANGES = ("ParagraphStyleRange", "CharacterStyleRange")
+
+
+def story_paragraphs(members: DataFrame) -> DataFrame:
+    """path, story, paragraph (from 0), style (applied to it, or null) and html of each paragraph of each story, without deleted text; P16, D37.
+
+    A paragraph goes on up to a break. Neighbouring texts of one character style are one span; classes are those of ``style_sheets``.
+    """
+    tree = _named(members, r"^Stories/Story_.*\.xml$").where("node_id is not null")
+    gone = (F.col("tag") == "Change") & (F.try_element_at("attrs", F.lit("ChangeType")) == "DeletedText")
+    rows = _under(tree, gone)
+    for tag in RANGES:
+        rows = owned(rows, tag)
+    style = lambda tag, name: F.last(F.when((F.col("tag") == tag) & (F.col("node_id") == F.col(tag)), F.struct(F.try_element_at("attrs", F.lit(name)).alias("ref"))), ignorenulls=True)
+    w = Window.partitionBy("path", "member").orderBy("node_id")
+    rows = rows.withColumn("paragraph_style", F.when(F.col(RANGES[0]).isNotNull(), style(RANGES[0], "AppliedParagraphStyle").over(w).ref)).withColumn("character_style", F.when(F.col(RANGES[1]).isNotNull(), style(RANGES[1], "AppliedCharacterStyle").over(w).ref))
+    rows = rows.where("tag in ('Content', 'Br') and not under").select("path", F.regexp_extract("member", r"Story_(.*)\.xml$", 1).alias("story"), "node_id", "tag", "text", "paragraph_style", "character_style")
+    of = Window.partitionBy("path", "story").orderBy("node_id")
+    rows = rows.withColumn("paragraph", F.coalesce(F.sum(F.when(F.col("tag") == "Br", 1).otherwise(0)).over(of.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    spans = runs.merged(rows.where("tag = 'Content'"), ["path", "story", "paragraph"], ["node_id"], F.col("character_style"), text.escape(F.col("text")))
+    name = style_class(F.col("style"))
+    span = F.when(F.coalesce(name, F.lit("")) == "", F.col("text")).otherwise(F.concat(F.lit('<span class="'), name, F.lit('">'), "text", F.lit("</span>")))
+    held = F.array_sort(F.collect_list(F.struct("run", span.alias("t"))))
+    inside = spans.groupBy("path", "story", "paragraph").agg(F.array_join(F.transform(held, lambda s: s.t), "").alias("inside"))
+    styled = rows.groupBy("path", "story", "paragraph").agg(F.min_by("paragraph_style", "node_id").alias("style"))
+    rows = styled.join(inside, ["path", "story", "paragraph"], "left")
+    name = style_class(F.col("style"))
+    open_ = F.concat(F.lit("<p"), F.coalesce(F.concat(F.lit(' class="'), F.nullif(name, F.lit("")), F.lit('"')), F.lit("")), F.lit(">"))
+    return rows.select("path", "story", "paragraph", "style", F.concat(open_, F.coalesce(F.nullif("inside", F.lit("")), F.lit("&#160;")), F.lit("</p>")).alias("html"))
+
+
+def style_class(ref) -> Column:
+    """The class name of a style by its reference, ``Kind/name``; none for no style; C28, J26."""
+    kind = F.substring_index(ref, "/", 1)
+    name = F.replace(F.substr(ref, F.length(kind) + 2), F.lit("%3a"), F.lit(":"))
+    plain = F.coalesce(ref, F.lit("")).rlike(r"^$|\$ID/\[No ")
+    return F.when(~plain, F.coalesce(*(F.when(kind == k, text.class_name(name, x)) for k, x in decoders.SUFFIX.items())))
+
+
+def story_html(members: DataFrame) -> DataFrame:
+    """path, story, html: the paragraphs of each story."""
+    held = F.array_sort(F.collect_list(F.struct("paragraph", "html")))
+    return story_paragraphs(members).groupBy("path", "story").agg(F.array_join(F.transform(held, lambda s: s.html), "").alias("html"))
+
+
 def page_count(members: DataFrame) -> DataFrame:
     """path, pages: before any spread is parsed whole; S30, A1."""
     rows = _named(members, r"^Spreads/.*\.xml$").where("tag = 'Spread' and attrs['PageCount'] is not null")

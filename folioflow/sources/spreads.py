@@ -76,18 +76,18 @@ def _boxes(tree: DataFrame) -> DataFrame:
 
 
 def items(tree: DataFrame) -> DataFrame:
-    """path, member, spread, node, parent (an item, or null), level (0 on the spread), item (its name), tag, layer, visible, transform, world and box of each item; S23.
+    """path, member, spread, node, parent (an item, or null), level (0 on the spread), item (its name), tag, story (of a frame), layer, visible, transform, world and box of each item; S23.
 
     Items lie directly on a spread or in another item. ``world`` is the composition of the transforms up to the spread.
     A box is in the item's own coordinates; a group's is that around its members, level by level from the inside; A3.
     """
     found = tree.where(F.col("tag").isin(*ITEMS))
-    found = found.select(*KEYS, "spread", F.col("node_id").alias("node"), F.col("parent_id").alias("parent"), "depth", "spread_node", _attr("Self").alias("item"), "tag", _attr("ItemLayer").alias("layer"), (F.lower(F.coalesce(_attr("Visible"), F.lit("true"))) == "true").alias("visible"), _matrix(_attr("ItemTransform")).alias("transform"))
+    found = found.select(*KEYS, "spread", F.col("node_id").alias("node"), F.col("parent_id").alias("parent"), "depth", "spread_node", _attr("Self").alias("item"), "tag", _attr("ParentStory").alias("story"), _attr("ItemLayer").alias("layer"), (F.lower(F.coalesce(_attr("Visible"), F.lit("true"))) == "true").alias("visible"), _matrix(_attr("ItemTransform")).alias("transform"))
     up = found.select(*KEYS, F.col("node").alias("parent"), F.lit(True).alias("nested"))
     found = found.join(up, [*KEYS, "parent"], "left").where("nested or parent = spread_node")
     top = tree.where("node_id = spread_node").select(*KEYS, "spread_node", F.col("depth").alias("top"))
     found = found.join(top, [*KEYS, "spread_node"]).withColumn("parent", F.when(F.col("nested"), F.col("parent"))).withColumn("level", F.col("depth") - F.col("top") - 1)
-    rows = written(found.join(_boxes(tree), [*KEYS, "node"], "left").select(*KEYS, "spread", "node", "parent", "level", "item", "tag", "layer", "visible", "transform", "box"))
+    rows = written(found.join(_boxes(tree), [*KEYS, "node"], "left").select(*KEYS, "spread", "node", "parent", "level", "item", "tag", "story", "layer", "visible", "transform", "box"))
     deepest = rows.agg(F.max("level")).first()[0] or 0
     for level in range(deepest - 1, -1, -1):
         part = rows.where(F.col("level") == level + 1).select(*KEYS, F.col("parent").alias("node"), geometry.transformed(F.col("box"), F.col("transform")).alias("b")).where("b.top is not null")
