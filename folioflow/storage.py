@@ -49,6 +49,18 @@ def discard(*tables: DataFrame) -> None:
             _delete(path)
 
 
+def held() -> set[str]:
+    """The ``written`` tables that are there."""
+    return set(_held)
+
+
+def discard_since(before: set[str], *keep: DataFrame) -> None:
+    """Deletes the ``written`` tables made since ``before`` (what ``held`` gave then) but for those in ``keep``."""
+    kept = {getattr(df, "_folioflow_path", None) for df in keep}
+    for path in set(_held) - before - kept:
+        _delete(path)
+
+
 def _delete(path: str) -> None:
     jvm = _held.pop(path)._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
