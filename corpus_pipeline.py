@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioflow.llm import linededup, mixing, pieces, simhash, toxicity
-from folioflow.llm.common import table, written
+from folioflow.llm.common import table
+from folioflow.storage import discard, discard_since, held, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage keeps for itself, and what it has read, is deleted when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        before = held()
+        out = written(stage(spark, docs, sf_dir))
+        discard_since(before, out)
+        discard(docs)
+        docs = out
     return docs
