@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.operators import closure
+from folioflow.functions.text import escape
+from folioflow.operators import closure, reparent
 from folioflow.storage import written
 
 # Tags that are passed over, and the parts of a book by the tags that begin them.
@@ -109,3 +110,16 @@ def placed(nodes: DataFrame, grammar: DataFrame, keys: list[str]) -> DataFrame:
     bottom = [F.concat(F.lit("body."), "matter", F.lit("#b-"), "matter"), F.concat(F.lit("section.chapter#c-"), "matter"), F.concat(F.lit("section."), "matter", F.lit("#m-"), "matter")]
     parents = F.concat_ws(" ", *bottom, F.slice("chain", 1, F.size("chain") - 1))
     return out.select(*keys, "node", F.substring_index("tag", ".", 1).alias("tag"), F.nullif(F.substr("tag", F.length(F.substring_index("tag", ".", 1)) + 2), F.lit("")).alias("class"), "hash", parents.alias("parents"), "container")
+
+
+def marked(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``keys`` and html: a page of marked elements in order, which :func:`folioflow.operators.reparent.rebuilt` takes; P25.
+
+    ``rows``: ``keys``, node, tag, class, hash, parents and container as from ``placed``, ``order`` and text. Containers are steps of paths and
+    no elements. An element is a division, whose id is its hash; what is in it is text.
+    """
+    attr = lambda name, value: F.coalesce(F.concat(F.lit(f' {name}="'), F.replace(escape(value), F.lit('"'), F.lit("&quot;")), F.lit('"')), F.lit(""))
+    head = F.concat(F.lit("<div"), attr("id", F.concat(F.lit("pxe-"), "hash")), attr(reparent.PARENTS, F.col("parents")), attr(reparent.TAG, F.col("tag")), attr(reparent.CLASS, F.col("class")), attr(reparent.HASH, F.col("hash")), F.lit(">"))
+    div = F.concat(head, escape(F.coalesce("text", F.lit(""))), F.lit("</div>"))
+    held = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), div.alias("t"))))
+    return rows.where("not container").groupBy(*keys).agg(F.concat(F.lit("<x>"), F.array_join(F.transform(held, lambda e: e.t), ""), F.lit("</x>")).alias("html"))

@@ -62,3 +62,26 @@ def page_lifecycle(spark, sf_dir):
     kind = F.when(F.col("event_type") == "error", "break").otherwise("text")
     rows = _t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("book"), "event_id", "ts", kind.alias("kind"), F.when(kind == "text", F.col("event_id").cast("string")).alias("html"))
     return lifecycle.pages(rows, 86400)
+
+
+@query(
+    "P25_books_of_marks",
+    """with e as (select conv_id, turn, role, sum(case when role = 'system' then 1 else 0 end) over (partition by conv_id order by turn) as c, max(case when role = 'system' then turn end) over (partition by conv_id order by turn) as up from conversations),
+    item as (select conv_id, up, min(turn) as n, '<list>' || string_agg('<li id="pxe-n' || turn || '">' || turn || '</li>', '' order by turn) || '</list>' as html from e where role = 'assistant' group by conv_id, up),
+    lead as (select conv_id, up, turn as n, '<p class="lead" id="pxe-n' || turn || '">' || turn || '</p>' as html from e where role = 'user'),
+    chap as (select conv_id, up, min(n) as n, '<chapter>' || string_agg(html, '' order by n) || '</chapter>' as html from (select * from item union all select * from lead) group by conv_id, up
+      union all select conv_id, up, up, '<chapter id="pxe-n' || up || '">' || up || '</chapter>' from e where up is not null group by conv_id, up having count(*) = 1)
+    select conv_id::varchar as path, '<body class="bodymatter"><section class="chapter"><section class="bodymatter">' || string_agg(html, '' order by n) || '</section></section></body>' as html from chap where up is not null group by conv_id""",
+)
+def books_of_marks(spark, sf_dir):
+    """Conversations as marks: placed by the grammar, written as pages of marked elements, and rebuilt from these. A system's turn begins a chapter; assistants' turns are items, whose list the grammar adds."""
+    from pyspark.sql import Window
+
+    rows = _t(spark, sf_dir, "conversations")
+    up = F.max(F.when(F.col("role") == "system", F.col("turn"))).over(Window.partitionBy("conv_id").orderBy("turn"))
+    mark = F.when(F.col("role") == "system", "XMLTag/chapter").when(F.col("role") == "assistant", "XMLTag/li").otherwise("XMLTag/p.lead")
+    rows = rows.withColumn("up", up).where("up is not null").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("node"), F.when(F.col("role") != "system", F.col("up")).alias("parent"), mark.alias("mark"))
+    placed = tagging.placed(rows, spark.createDataFrame(_GRAMMAR, tagging.GRAMMAR), ["path"])
+    pages = tagging.marked(placed.withColumn("text", F.col("node").cast("string")), ["path"], "node")
+    tree = reparent.rebuilt(xml.nodes(pages.select("path", F.lit("page").alias("member"), F.encode("html", "UTF-8").alias("content"))), ["path"])
+    return emit.serialized(reparent.in_preorder(tree, ["path"]), ["path"])
