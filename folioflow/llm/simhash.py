@@ -45,6 +45,8 @@ TABLES, TABLE_BITS, KEPT_WORDS = 5, 32, 1 << 18
 APART = 0.1875
 #: Sets of shingles of up to this many hashes in all (16 MB) are broadcast to the pairs; larger ones are joined by shuffles.
 BROADCAST_HASHES = 2_000_000
+#: The keys of up to this many texts (16 bytes each) are broadcast to find them; for more, all texts are shuffled.
+BROADCAST_KEYS = 1 << 20
 _WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
@@ -250,19 +252,22 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataF
     least = written(rows.groupBy("text_key").agg(F.min("doc_id").alias("least_id"), F.first("list").alias("list")))
     seats = written(text_seats(least.select("text_key", "list")))
 
+    def of(keys):
+        """text_key and text of one row of each text in ``keys(text_key)``."""
+        asked = written(least.join(keys, "text_key").select(F.col("least_id").alias("_id"), F.col("text_key").alias("_key")))
+        # only these texts are moved: up to a number of them, their keys go to the texts
+        few = F.broadcast(asked) if asked.count() <= BROADCAST_KEYS else asked
+        wanted = texts.join(few, (texts.text_key == F.col("_key")) & texts.doc_id.eqNullSafe(F.col("_id")), "left_semi")
+        return wanted.select("doc_id", "text_key", "text")
+
     def verify(pairs):
-        # only texts with a candidate are read again, one row of each
         asked = pairs.select(F.col("u").alias("text_key")).union(pairs.select(F.col("v").alias("text_key"))).distinct()
-        asked = written(least.join(asked, "text_key").select(F.col("least_id").alias("_id"), F.col("text_key").alias("_key")))
-        wanted = texts.join(asked, (texts.text_key == F.col("_key")) & texts.doc_id.eqNullSafe(F.col("_id")), "left_semi").select("text_key", "text")
-        sets = written(wanted.mapInArrow(_list_batches(lambda t: shingle_hashes(t, shingle), 1), "text_key long, list array<long>"))
+        sets = written(of(asked).select("text_key", "text").mapInArrow(_list_batches(lambda t: shingle_hashes(t, shingle), 1), "text_key long, list array<long>"))
         return verified(pairs, sets.groupBy("text_key").agg(F.first("list").alias("list")), similarity)
 
     def compare(mixed):
-        # one row of each text
-        asked = mixed.join(least, "text_key").select(F.col("least_id").alias("_id"), F.col("text_key").alias("_key"))
-        wanted = docs.join(written(asked), (text_key() == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi").select("doc_id", "text")
-        return jaccard.text_links(wanted, shingle, round(100 * similarity))
+        # read three times, so written once
+        return jaccard.text_links(written(of(mixed).select("doc_id", "text")), shingle, round(100 * similarity))
 
     edges = all_links(seats, lambda pairs: within_bits(pairs, least, APART), verify, compare)
     ids = least.select("text_key", "least_id")

@@ -55,13 +55,13 @@ def tagged_paths(spark, sf_dir):
     """with e as (select *, lag(ts) over w as before from events window w as (partition by user_id order by ts, event_id)), s as (select *, sum(case when before is null or ts - before > interval 86400 seconds then 1 else 0 end) over (partition by user_id order by ts, event_id) as s from e),
     b as (select *, coalesce(sum(case when event_type = 'error' then 1 else 0 end) over (partition by user_id, s order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as b, count(*) filter (event_type = 'error') over (partition by user_id, s) as breaks from s),
     p as (select user_id, s, b, min(ts) as started, max(ts) as ended, count(*) as parts, case when b < any_value(breaks) then 'break' else 'gap' end as closed, string_agg(event_id::varchar, '' order by ts, event_id) as html from b where event_type <> 'error' group by user_id, s, b)
-    select user_id::varchar as book, started, ended, cast(row_number() over (partition by user_id, s order by b) as int) as page_no, cast(parts as int) as parts, closed, html from p""",
+    select user_id::varchar as book, epoch_us(ended) - epoch_us(started) as lasted, cast(row_number() over (partition by user_id, s order by b) as int) as page_no, cast(parts as int) as parts, closed, html from p""",
 )
 def page_lifecycle(spark, sf_dir):
     """Users' events as fragments, errors as breaks; a day's silence ends a session."""
     kind = F.when(F.col("event_type") == "error", "break").otherwise("text")
     rows = _t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("book"), "event_id", "ts", kind.alias("kind"), F.when(kind == "text", F.col("event_id").cast("string")).alias("html"))
-    return lifecycle.pages(rows, 86400)
+    return lifecycle.pages(rows, 86400).select("book", F.expr("timestampdiff(microsecond, started, ended)").alias("lasted"), "page_no", "parts", "closed", "html")
 
 
 @query(

@@ -163,26 +163,31 @@ def _joined(order: str, text) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))), lambda s: s.t), "")
 
 
-def numbered_paragraphs(paras: DataFrame, members: DataFrame) -> DataFrame:
+def _lists(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Declared styles, and formats of numbers by level, as written tables: what tells lists from other paragraphs."""
+    declared = written(style_table(members).select("path", "style", "based_on", "name", "num_id", "level"))
+    return declared, written(numbering(members).groupBy("path", "num_id", "level").agg(F.min("format").alias("format")))
+
+
+def numbered_paragraphs(paras: DataFrame, members: DataFrame, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``paras`` with the numbering of their styles where they have none of their own, and tag (ul, ol, or null for no list); P12, J15.
 
     A style without a numbering takes that of the nearest style it is based on; a number of 0 is none.
     """
-    declared = written(style_table(members).select("path", "style", "based_on", "num_id", "level"))
+    declared, formats = known or _lists(members)
     if declared.where("num_id is not null").isEmpty():
-        return _with_formats(paras, members)
+        return _with_formats(paras, formats)
     own = F.when(F.col("num_id").isNotNull(), F.struct("num_id", F.coalesce("level", F.lit(0)).alias("level")))
     nearest = closure.folded(declared.withColumnsRenamed({"style": "node", "based_on": "parent"}), own, F.coalesce, "numbering", ["path"])
     nearest = nearest.where("numbering is not null").groupBy("path", F.col("node").alias("style")).agg(F.min("numbering.num_id").alias("style_num"), F.min("numbering.level").alias("style_level"))
     rows = lookup.looked_up(paras, nearest, {"path": "path", "style": "style"}, {"style_num": None, "style_level": None})
     rows = rows.withColumn("level", F.coalesce("level", F.when(F.col("num_id").isNull(), F.col("style_level")))).withColumn("num_id", F.coalesce("num_id", "style_num"))
-    return _with_formats(rows.drop("style_num", "style_level"), members)
+    return _with_formats(rows.drop("style_num", "style_level"), formats)
 
 
-def _with_formats(rows: DataFrame, members: DataFrame) -> DataFrame:
+def _with_formats(rows: DataFrame, formats: DataFrame) -> DataFrame:
     """Adds tag (ul, ol, or null for no list) by the format of each paragraph's number and level."""
     rows = rows.withColumn("level", F.coalesce("level", F.lit(0)))
-    formats = numbering(members).groupBy("path", "num_id", "level").agg(F.min("format").alias("format"))
     rows = lookup.looked_up(rows, formats, {"path": "path", "num_id": "num_id", "level": "level"}, {"format": "decimal"})
     return rows.withColumn("tag", F.when(F.col("num_id") >= 1, F.when(F.col("format") == "bullet", "ul").otherwise("ol"))).drop("format")
 
@@ -259,10 +264,10 @@ def body_cells(members: DataFrame, tree: DataFrame) -> DataFrame:
     return cells.select("path", "tbl", "tr", "tc", "row", "col", "rowspan", "colspan", style.alias("style"))
 
 
-def body_tables(members: DataFrame, paras: DataFrame, tree: DataFrame | None = None) -> DataFrame:
+def body_tables(members: DataFrame, paras: DataFrame, tree: DataFrame | None = None, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """path, tbl and html of each table of the body; its cells hold their paragraphs' texts and lists; P9, P18. ``paras``: ``body_paragraphs``."""
     tree = body(members) if tree is None else tree
-    inside = numbered_paragraphs(paras.where("tc is not null"), members)
+    inside = numbered_paragraphs(paras.where("tc is not null"), members, known)
     plain = inside.where("tag is null").select("path", "tc", "p", "html")
     listed = body_lists(inside, ["path", "tc"]).select("path", "tc", "p", "html")
     texts = plain.unionByName(listed).groupBy("path", "tc").agg(_joined("p", "html").alias("text"))
@@ -277,15 +282,18 @@ def body_blocks(members: DataFrame) -> DataFrame:
     """
     tree = body(members)
     paras = written(body_paragraphs(members, tree))
-    flow = numbered_paragraphs(paras.where("tbl is null"), members).withColumnRenamed("tag", "list")
-    names = lookup.first_of(style_table(members), ["path", "style"], ["name"], ["name"])
+    known = _lists(members)
+    flow = numbered_paragraphs(paras.where("tbl is null"), members, known).withColumnRenamed("tag", "list")
+    names = lookup.first_of(known[0], ["path", "style"], ["name"], ["name"])
     flow = lookup.looked_up(flow, names, {"path": "path", "style": "style"}, {"name": F.regexp_replace("style", "^Heading ?([1-6])$", "heading $1")})
     heading = F.when(F.lower("name").rlike("^heading [1-6]$"), css_of.heading(F.lower("name")))
     listed = body_lists(flow.withColumnRenamed("list", "tag"), ["path"])
     listed = listed.select("path", F.col("p").alias("ord"), F.lit("list").alias("kind"), F.lit(None).cast("string").alias("tag"), "breaks", "html")
     plain = flow.where("list is null").withColumn("tag", F.coalesce(heading, F.lit("p")))
     plain = plain.select("path", F.col("p").alias("ord"), F.when(F.col("tag") == "p", "paragraph").otherwise("heading").alias("kind"), "tag", "breaks", F.concat(F.lit("<"), "tag", F.lit(">"), "html", F.lit("</"), "tag", F.lit(">")).alias("html"))
-    tables = body_tables(members, paras, tree).select("path", F.col("tbl").alias("ord"), F.lit("table").alias("kind"), F.lit(None).cast("string").alias("tag"), F.lit(False).alias("breaks"), "html")
+    if paras.where("tc is not null").isEmpty():
+        return plain.unionByName(listed)
+    tables = body_tables(members, paras, tree, known).select("path", F.col("tbl").alias("ord"), F.lit("table").alias("kind"), F.lit(None).cast("string").alias("tag"), F.lit(False).alias("breaks"), "html")
     return plain.unionByName(listed).unionByName(tables)
 
 
