@@ -40,7 +40,7 @@ from folioflow.llm.components import components
 
 BITS = 64
 RADIUS = 2
-TABLES, TABLE_BITS, KEPT_WORDS = 5, 32, 1 << 18
+TABLES, TABLE_BITS, KEPT_WORDS = 5, 32, 1 << 16
 #: Share of differing bits of all tables beyond which a pair of texts isn't read.
 APART = 0.1875
 #: Sets of shingles of up to this many hashes in all (16 MB) are broadcast to the pairs; larger ones are joined by shuffles.
