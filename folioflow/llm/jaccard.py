@@ -36,7 +36,7 @@ from folioflow.llm.common import discard, table, written
 from folioflow.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
-BUCKETS, ENTRIES, KEPT_WORDS, KEPT_KEYS = 1 << 18, 1 << 20, 1 << 19, 1 << 19
+BUCKETS, ENTRIES, KEPT_WORDS, KEPT_KEYS = 1 << 18, 1 << 20, 1 << 17, 1 << 18
 #: Columns of which fewer rows are known to have them are put together in one task each.
 HOT = 1 << 20
 #: Up to this many sets are broadcast to their texts with their blocks (some 100 bytes each); for more, up to the second number, the 8-byte hashes of
