@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import colors, css, decoders, text
 from folioflow.operators import paths, runs, styles
 from folioflow.sources.xml import ALL, nodes, owned
-from folioflow.storage import written
+from folioflow.storage import spread, written
 
 
 def _named(members: DataFrame, pattern: str) -> DataFrame:
@@ -81,7 +81,8 @@ def swatches(members: DataFrame) -> DataFrame:
         return F.when(t.self.isNotNull() & F.map_contains_key(known, F.coalesce(t.base, F.lit(""))), F.map_concat(F.map_filter(known, lambda k, v: k != t.self), made)).otherwise(known)
 
     known = F.aggregate(F.coalesce("tints", F.array().cast("array<struct<node_id: int, self: string, base: string, percent: double>>")), F.coalesce("colors", none), tinted)
-    rows = rows.withColumn("known", known)
+    # written, as a filter on what is made of it would fold all tints again for each stop
+    rows = written(spread(rows, "path").select("path", "gradients", known.alias("known")))
     black = F.array(F.lit(0), F.lit(0), F.lit(0))
     hex_of = lambda ref: F.when(F.substring_index(ref, "/", 1).isin("Color", "Ink", "MixedInk", "Tint"), colors.to_hex(F.coalesce(F.try_element_at(F.col("known"), ref), black))).otherwise("")
     flat = F.transform_values("known", lambda k, v: F.struct(v.alias("rgb"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("array<struct<rgb: string, location: double>>").alias("stops")))

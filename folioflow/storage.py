@@ -41,6 +41,12 @@ def written(df: DataFrame, *keys: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over two partitions for each core, by ``keys``. Tables of few bytes are read, and merged after a shuffle, as one
+    partition; that is one task, however long their rows take to work on."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes ``written`` tables that nothing reads any more."""
     for df in tables:

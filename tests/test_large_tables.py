@@ -1,9 +1,11 @@
-"""What only shows in larger tables: numbers past their padding."""
+"""What only shows in larger tables: numbers past their padding, maps that are made again and again."""
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from folioflow import registry
+from folioflow.sources import idml
 from tests.same import agrees
 
 
@@ -11,3 +13,12 @@ def test_page_numbers_past_their_padding(spark, tmp_path):
     keys = [1, 4, 999_999, 1_000_001, 1_234_567, 12_345_678]
     pq.write_table(pa.table({"p_partkey": pa.array(keys, pa.int64()), "p_size": pa.array(range(len(keys)), pa.int32())}), f"{tmp_path}/part.parquet")
     agrees(spark, registry.queries()["S16_page_files"], registry.oracle_sql()["S16_page_files"], str(tmp_path))
+
+
+def test_tints_are_folded_once(spark):
+    graphic = '<G><Color Self="Color/a" Space="RGB" ColorValue="0 0 0"/>' + "".join(f'<Tint Self="Tint/{i}" BaseColor="{"Color/a" if i == 0 else f"Tint/{i - 1}"}" TintValue="100"/>' for i in range(30)) + '<Gradient Self="Gradient/g" Type="Linear"><GradientStop StopColor="Tint/29" Location="0"/></Gradient></G>'
+    held = idml.swatches(spark.createDataFrame([("a", "Resources/Graphic.xml", bytearray(graphic.encode()))], "path string, member string, content binary"))
+    rows = held.select("path", F.explode("swatches").alias("self", "swatch")).where("swatch.kind is not null")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan
+    assert [(r.self, r.swatch.stops[0].rgb) for r in rows.collect()] == [("Gradient/g", "#000000")]
