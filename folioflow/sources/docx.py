@@ -12,28 +12,27 @@ from pyspark.sql import functions as F
 from folioflow.functions import css as css_of
 from folioflow.functions.word import cell_width
 from folioflow.operators import closure, emit, lookup, runs
-from folioflow.sources.xml import nodes, owned
+from folioflow.sources.xml import nodes, owned, tagged
 from folioflow.storage import written
 
 OWNERS = ("tbl", "tr", "tc", "p", "r", "hyperlink")
 
 
-def document_nodes(members: DataFrame) -> DataFrame:
-    return nodes(members.where("member = 'word/document.xml'"))
+def document_nodes(members: DataFrame, owners: dict = {}) -> DataFrame:  # noqa: B006
+    return nodes(members.where("member = 'word/document.xml'"), owners=owners)
+
+
+def _drops(e) -> bool:
+    """Whether an element is a drop-down control: its properties hold a list."""
+    return any(tagged("sdtPr")(c) and any(tagged("dropDownList")(x) or tagged("comboBox")(x) for x in c) for c in e)
 
 
 def body(members: DataFrame) -> DataFrame:
     """The nodes of each document, with the outermost table, row and cell, paragraph, run and link that each is in, and ``choice``, the drop-down control; P8."""
     if "hyperlink" in members.columns:
         return members
-    tree = written(document_nodes(members).where("node_id is not null").select("path", "member", "node_id", "parent_id", "depth", "last", "tag", "attrs", "text"))
-    for owner in OWNERS:
-        tree = owned(tree, owner)
-    # a control is a drop-down if its properties hold a list
-    lists_ = tree.where("tag in ('dropDownList', 'comboBox')").select("path", F.col("parent_id").alias("up"))
-    controls = tree.where("tag = 'sdtPr'").select("path", F.col("node_id").alias("up"), F.col("parent_id").alias("node_id")).join(lists_, ["path", "up"]).select("path", "node_id", F.lit(True).alias("drops")).distinct()
-    tree = owned(tree.join(controls, ["path", "node_id"], "left"), F.coalesce("drops", F.lit(False)), "choice")
-    return written(tree.drop("drops", "member"))
+    tree = document_nodes(members, {**{name: tagged(name) for name in OWNERS}, "choice": _drops}).where("node_id is not null")
+    return written(tree.select("path", "node_id", "parent_id", "depth", "last", "tag", "attrs", "text", *OWNERS, "choice"))
 
 
 def paragraphs(members: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import geometry
 from folioflow.operators import closure, layout
-from folioflow.sources.xml import nodes, owned
+from folioflow.sources.xml import _attrs, nodes, tagged
 from folioflow.storage import discard, written
 
 KEYS = ["path", "member"]
@@ -24,9 +24,8 @@ def _attr(name: str) -> Column:
 
 def spread_nodes(members: DataFrame) -> DataFrame:
     """The nodes inside each spread and master spread of packages, with spread_node and spread (its name), as a written table."""
-    tree = nodes(members.where(F.col("member").rlike(r"^(Master)?Spreads/.*\.xml$")))
-    named = F.col("tag").isin("Spread", "MasterSpread") & _attr("Self").isNotNull()
-    inside = owned(tree, named, "spread_node").where("spread_node is not null")
+    named = lambda e: (tagged("Spread")(e) or tagged("MasterSpread")(e)) and "Self" in _attrs(e)
+    inside = nodes(members.where(F.col("member").rlike(r"^(Master)?Spreads/.*\.xml$")), owners={"spread_node": named}).where("spread_node is not null")
     name = F.first(F.when(F.col("node_id") == F.col("spread_node"), _attr("Self")), ignorenulls=True).over(Window.partitionBy(*KEYS, "spread_node"))
     return written(inside.select(*KEYS, "node_id", "parent_id", "depth", "last", "tag", "attrs", "spread_node", name.alias("spread")))
 

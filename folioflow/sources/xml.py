@@ -1,19 +1,25 @@
 """XML members as flattened trees: one row for each element, in document order.
 
 Parsing is the one step that Spark's functions can't express for trees of any depth, so it
-runs in Python, a member at a time, in batches that are bounded by nodes.
+runs in Python, a member at a time. Its rows go out in batches that are bounded by nodes, whether one
+member fills several or many members share one.
 """
 
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.storage import spread
+
 SCHEMA = "path string, member string, node_id int, parent_id int, ord int, depth int, last int, tag string, attrs map<string,string>, text string, pieces array<string>, content string, error string"
-_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+_TYPES = {"string": pa.string(), "int": pa.int32(), "map<string,string>": pa.map_(pa.string(), pa.string()), "array<string>": pa.list_(pa.string())}
+#: The most nodes of a batch.
+BATCH = 5000
 
 
 def _local(name: str) -> str:
@@ -32,45 +38,60 @@ def _attrs(e: ET.Element) -> dict[str, str]:
     return out
 
 
-def nodes_of(content: bytes, whole: tuple[str, ...] = ()):
-    """(node, parent, place among its siblings, depth, last node below, local tag, local attributes, own text, its pieces, all text) in document order.
+def tagged(name: str) -> Callable[[ET.Element], bool]:
+    """For ``owners``: whether an element has a local tag."""
+    return lambda e: _local(e.tag) == name
+
+
+def nodes_of(content: bytes, whole: tuple[str, ...] = (), owners: tuple[Callable[[ET.Element], bool], ...] = ()):
+    """(node, parent, place among its siblings, depth, last node below, local tag, local attributes, own text, its pieces, all text, and an owner for each of ``owners``) in document order.
 
     Pieces are the texts before the first child and after each child. All text, that of the elements below
-    included, is read for the tags in ``whole`` alone.
+    included, is read for the tags in ``whole`` alone. An owner is the outermost node for which it holds, at or above the node.
     """
     root = ET.fromstring(content)
     below = {}
     for e in reversed(list(root.iter())):
         below[e] = sum(below[c] + 1 for c in e)
-    stack, n = [(root, -1, 0, 0)], 0
+    stack, n = [(root, -1, 0, 0, (None,) * len(owners))], 0
     while stack:
-        e, parent, place, depth = stack.pop()
+        e, parent, place, depth, own = stack.pop()
+        own = tuple(n if at is None and holds(e) else at for at, holds in zip(own, owners))
         pieces, tag = [e.text or "", *(c.tail or "" for c in e)], _local(e.tag)
-        yield n, parent, place, depth, n + below[e], tag, _attrs(e), "".join(pieces), pieces, "".join(e.itertext()) if tag in whole or whole == ALL else None
-        stack.extend((c, n, k, depth + 1) for k, c in reversed(list(enumerate(e))))
+        yield n, parent, place, depth, n + below[e], tag, _attrs(e), "".join(pieces), pieces, "".join(e.itertext()) if tag in whole or whole == ALL else None, *own
+        stack.extend((c, n, k, depth + 1, own) for k, c in reversed(list(enumerate(e))))
         n += 1
 
 
-def nodes(members: DataFrame, whole: tuple[str, ...] = ()) -> DataFrame:
-    """The nodes of each XML member of ``members(path, member, content)``; one that can't be read has a single row, of nulls and its ``error``."""
+def nodes(members: DataFrame, whole: tuple[str, ...] = (), owners: dict[str, Callable[[ET.Element], bool]] = {}) -> DataFrame:  # noqa: B006
+    """The nodes of each XML member of ``members(path, member, content)``; one that can't be read has a single row, of nulls and its ``error``.
+
+    Each of ``owners`` is a column more: as ``owned``, but seen while parsing.
+    """
+    schema = ", ".join([SCHEMA, *(f"{name} int" for name in owners)])
+    columns = [(name, _TYPES[kind]) for name, kind in (c.split() for c in schema.split(", "))]
+
+    def batch(held: list[tuple]) -> pa.RecordBatch:
+        plain = lambda v, kind: [x if x is None else list(x.items()) for x in v] if pa.types.is_map(kind) else v
+        return pa.RecordBatch.from_arrays([pa.array(plain(v, kind), kind) for v, (_, kind) in zip(zip(*held), columns)], [name for name, _ in columns])
 
     def run(batches):
+        held = []
         for rows in batches:
-            for path, member, content in zip(rows["path"], rows["member"], rows["content"]):
-                held = []
+            for path, member, content in zip(*rows.columns):
+                path, member = path.as_py(), member.as_py()
                 try:
-                    for node in nodes_of(bytes(content), whole):
-                        held.append((path, member, *node, None))
-                        if len(held) == 5000:
-                            yield pd.DataFrame(held, columns=_NAMES)
+                    for node in nodes_of(content.as_py(), whole, tuple(owners.values())):
+                        held.append((path, member, *node[:10], None, *node[10:]))
+                        if len(held) == BATCH:
+                            yield batch(held)
                             held = []
                 except ET.ParseError as e:
-                    held = [(path, member, *[None] * (len(_NAMES) - 3), str(e))]
-                if held:
-                    out = pd.DataFrame(held, columns=_NAMES)
-                    yield out.astype({c: "Int32" for c in ("node_id", "parent_id", "ord", "depth", "last")})
+                    held.append((path, member, *[None] * 10, str(e), *[None] * len(owners)))
+        if held:
+            yield batch(held)
 
-    return members.where("content is not null").select("path", "member", "content").mapInPandas(run, SCHEMA)
+    return spread(members.where("content is not null").select("path", "member", "content"), "path", "member").mapInArrow(run, schema)
 
 
 def owned(tree: DataFrame, owner: str | Column, name: str | None = None, keys: tuple[str, ...] = ("path", "member")) -> DataFrame:
