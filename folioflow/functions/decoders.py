@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions import colors, css
+from folioflow.storage import spread
 
 #: Kinds of selectors: ``.name``, ``.name:selector``, ``selector.name`` and ``.name selector``.
 TARGETS = ("own", "pseudo", "tag", "child")
@@ -407,7 +408,8 @@ def rule_rows(styles: DataFrame, keys: list[str], name: str, props: str = "props
             if declared or target in ("own", "tag"):
                 rules.append((last, 100 * (n + 1) + i, *((target, selector) if declared else ("own", "")), p, F.when(last > 0, value)))
     made = F.array(*(F.struct(last.alias("last"), F.lit(i).alias("ord"), F.lit(t).alias("target"), F.lit(q).alias("selector"), F.lit(p).alias("property"), v.alias("value")) for last, i, t, q, p, v in rules))
-    rows = styles.select(*keys, name, F.inline(F.filter(made, lambda r: r.value.isNotNull())))
+    # a few hundred expressions a row, for rows of few bytes
+    rows = spread(styles, *keys, name).select(*keys, name, F.inline(F.filter(made, lambda r: r.value.isNotNull())))
     rows = rows.groupBy(*keys, name, "target", "selector", "property").agg(F.max_by(F.struct("value", "ord"), F.struct("last", "ord")).alias("won"))
     whole = rows.groupBy(*keys, name).agg(F.array_sort(F.collect_list(F.struct(F.col("won.ord").alias("ord"), "target", "selector", "property", F.col("won.value").alias("value")))).alias("rules"))
     sides = [f"border-{e}" for e in ("top", "right", "bottom", "left")]

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.storage import discard, written
+from folioflow.storage import discard, spread, written
 
 
 def _parent() -> Column:
@@ -22,7 +22,7 @@ def _parent() -> Column:
 
 
 def _pointers(nodes: DataFrame, keys: list[str], *more: Column):
-    have = written(nodes.select(*keys, "node", _parent().alias("_up"), *more))
+    have = written(spread(nodes.select(*keys, "node", _parent().alias("_up"), *more), *keys, "node"))
     return have, math.ceil(math.log2(have.count() + 1)) + 1
 
 
