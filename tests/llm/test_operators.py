@@ -419,6 +419,29 @@ def test_toxicity_is_a_function_of_the_text(spark):
     assert all(len(x) == 1 for x in by.values()) and all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got)
 
 
+def test_toxicity_reads_all_labelled_rows(spark, monkeypatch):
+    # a word of toxic texts is in so few of them that a sample misses some words
+    rows = [(i, f"say mark{i // 24}x now" if i % 2 else f"say plain{i // 24}x now", "en", "s", 1) for i in range(12_000)]
+    left = [zlib.crc32(str(i).encode()) % 5 for i in range(12_000)]
+    seen = {}
+    for name in ("set_log_odds", "calibrate"):
+        monkeypatch.setattr(toxicity, name, lambda model, *a, name=name, f=getattr(toxicity, name): (seen.__setitem__(name, a), f(model, *a)))
+    got = toxicity.score(frame(spark, rows + rows[:50]), labels(spark, [(i, 1, i % 2) for i in range(12_000)])).where("held_out").collect()
+    df, n = seen["set_log_odds"]
+    assert n.tolist() == [sum(k > 1 and i % 2 == y for i, k in enumerate(left)) for y in (0, 1)]
+    say = toxicity.rows_of(toxicity.hashes("say", {}))
+    assert all(df[k, say[k][0]].tolist() == n.tolist() for k in range(2))
+    assert seen["calibrate"][0][:, 2:].sum(0).tolist() == [sum(k == 1 and i % 2 == y for i, k in enumerate(left)) for y in (0, 1)]
+    assert sum((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got) > 0.99 * len(got)
+
+
+def test_toxicity_model_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TEXTS", 40)
+    docs, marks = frame(spark, [(i, f"word{i % 7} other{i % 11}", "en", "s", 1) for i in range(400)]), labels(spark, [(i, 1, int(i % 7 == 3)) for i in range(400)])
+    one, two = (toxicity.train(d, marks) for d in (docs.coalesce(1), docs.repartition(5)))
+    assert all((a == b).all() for a, b in zip([one.e, one.thresholds, *one.small()], [two.e, two.thresholds, *two.small()]))
+
+
 # --- mixing ---
 
 
