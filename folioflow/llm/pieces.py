@@ -12,7 +12,8 @@ becomes bytes too, so every text decodes to itself.
 No piece has a space after another character, so merges never cross from a word into the
 next one's spaces: a text is cut there (and at line ends, which have no piece) into chunks
 without changing the result. A chunk's segmentation depends on nothing but the chunk and which
-of its candidates are skipped, so short chunks are kept by these in a bounded memo.
+of its candidates are skipped, so short chunks are kept by these in a bounded memo. Those that it
+lacks go through their agendas together, a candidate of each at a time, in arrays.
 
 Null texts are encoded as the empty text, which has no tokens. One row at a time, without a
 shuffle. The model's path is a parameter and must be there on every executor.
@@ -20,6 +21,7 @@ shuffle. The model's path is a parameter and must be there on every executor.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import os
@@ -40,9 +42,26 @@ SPACE, LITERAL = "▁", "
 #: Odd multipliers that spread a chunk's number and a skip's over 64 bits.
 MIX, MASK = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD), 2**64 - 1
 NO_PIECE, NEVER, LONG, SHORT, KEPT_SKIPS = 0xFFFF, 1 << 62, 64, 32, 2
+#: Texts of about so many characters are encoded together; chunks go through their agendas together by lengths.
+TOGETHER, LENGTHS, NONE = 400_000, (4, 6, 8, 10, 12, 16, 24, SHORT), np.int32(2**31 - 1)
 _CHUNKS = re.compile(r" *[^ \n]+| +|\n+")
 
 
+def pair_tables(pairs: dict[int, int], bits: int = 20) -> list[tuple]:
+    """Multipliers and hash tables of keys and values; a table has the keys that had no place in those before."""
+    keys, values, out = np.fromiter(pairs, np.uint32, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)), []
+    while len(keys) or not out:
+        by = np.uint32((MIX[len(out) % 3] >> 32) + 2 * len(out) & 0xFFFFFFFF | 1)
+        at = keys * by >> np.uint32(32 - bits)
+        # no pair has two NO_PIECE
+        k, v = np.full(1 << bits, 0xFFFFFFFF, np.uint32), np.full(1 << bits, NONE, np.int32)
+        k[at], v[at] = keys, values
+        out.append((by, k, v, np.uint32(32 - bits)))
+        rest = k[at] != keys
+        keys, values, bits = keys[rest], values[rest], 17
+    return out
+
+
 class Encoder:
     def __init__(self, path: str = MODEL, dropout: float = 0.1, seed: int = 1, memo_rows: int = 400_000):
         from sentencepiece import SentencePieceProcessor
@@ -74,14 +93,20 @@ class Encoder:
         if len(self.bytes_of) >= NO_PIECE:
             raise ValueError("the model has too many pieces")
         self.pairs = {ids[p[:k]] << 16 | ids[p[k:]]: order[p] << 16 | i for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
+        self.char_ids = np.full(0x110000, NO_PIECE, np.uint32)
+        for c, i in self.of_char.items():
+            self.char_ids[ord(c)] = i
+        if len(order) >= 1 << 15:
+            raise ValueError("the model has too many pieces")
+        self.tables = pair_tables(self.pairs)
         # [ids as bytes, candidates, {next skip: the like} or None] of chunks without a skip; and the memo before, from which what is still used moves over
         self.memo: dict[str, list] = {}
         self.older: dict[str, list] = {}
         self.held = 0
 
-    def gaps(self, keys: np.ndarray, skip: int) -> np.ndarray:
-        """For each key, the number of candidates that aren't skipped between a chunk's skips ``skip - 1`` and ``skip``."""
-        x = keys + np.uint64((skip + 1) * MIX[1] & MASK)
+    def gaps(self, keys: np.ndarray, skip) -> np.ndarray:
+        """For each key, the number of candidates that aren't skipped between a chunk's skips ``skip - 1`` and ``skip`` (one for all, or each key's)."""
+        x = keys + (np.asarray(skip, np.uint64)[None] + np.uint64(1)).ravel() * np.uint64(MIX[1])
         x = (x ^ x >> np.uint64(33)) * np.uint64(MIX[2])
         x = (x ^ x >> np.uint64(33)) * np.uint64(MIX[0])
         return len(self.ahead) - np.searchsorted(self.ahead, x ^ x >> np.uint64(33), "right")
@@ -175,59 +200,160 @@ class Encoder:
         at = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed)
         return np.uint64(at) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(MIX[0])
 
+    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``pairs`` of arrays of pieces; NONE for no pair."""
+        key, out = left << np.uint32(16) | right, None
+        for by, k, v, shift in self.tables:
+            at = key * by >> shift
+            out = np.where(k.take(at) == key, v.take(at), NONE if out is None else out)
+        return out
+
+    def agendas(self, chunks: list[str], keys: np.ndarray, first: np.ndarray, kept: int) -> list[list]:
+        """For each of many chunks of up to SHORT characters what ``agenda`` gives: its ids as bytes, how many candidates came (-1: it had more than ``kept`` skips), None."""
+        out: list = [None] * len(chunks)
+        lens = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        kind = np.searchsorted(LENGTHS, lens)
+        for k in np.unique(kind):
+            for at in np.array_split(w := np.flatnonzero(kind == k), -(-len(w) // 8192)):
+                for i, x in zip(at.tolist(), self._agendas([chunks[i] for i in at], lens[at], LENGTHS[k] + 2, keys[at], first[at], kept)):
+                    out[i] = x
+        return out
+
+    def _agendas(self, chunks, lens, width, keys, first, skips_kept):
+        n, none = len(chunks), np.uint32(NO_PIECE)
+        # a row has a cell without a piece at either end
+        inside = np.arange(width) - 1
+        inside = (inside >= 0) & (inside < lens[:, None])
+        ids = np.full((n, width), none)
+        ids[inside] = self.char_ids[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        odd = np.flatnonzero(((ids == none) & inside).any(1))
+        best_of = np.full((n, width), NONE)
+        best_of[:, :-1] = self.merged(ids[:, :-1], ids[:, 1:])
+        agenda, ids, alive = best_of.ravel(), ids.ravel(), inside.ravel()
+        after, before = np.arange(1, n * width + 1), np.arange(-1, n * width - 1)
+        came, skips, rows = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n)
+        skip = first.copy()
+        while len(rows):
+            p = rows * width + best_of.take(rows, 0).argmin(1)
+            best = agenda[p]
+            if not (more := best != NONE).all():
+                rows, p, best = rows[more], p[more], best[more]
+            came[rows] += 1
+            if (drop := came[rows] > skip[rows]).any():
+                agenda[p[drop]] = NONE
+                d = rows[drop]
+                skips[d] += 1
+                skip[d] += 1 + self.gaps(keys[d], skips[d])
+                p, best = p[~drop], best[~drop]
+            j, h = after[p], before[p]
+            k = after[j]
+            ids[p] = made = (best & 0xFFFF).astype(np.uint32)
+            alive[j], agenda[j] = False, NONE
+            after[p], before[k] = k, p
+            agenda[p], agenda[h] = self.merged(made, ids[k]), self.merged(ids[h], made)
+        ends = np.concatenate([[0], 4 * np.cumsum(alive.reshape(n, width).sum(1))]).tolist()
+        whole = ids[alive].astype(np.int32).tobytes()
+        # closed by no candidates where more skips came than are kept
+        out = [[whole[a:b], c, None] for a, b, c in zip(ends, ends[1:], np.where(skips > skips_kept, -1, came).tolist())]
+        for i in odd.tolist():
+            cells = [(at, int(ids[i * width + 1 + at])) for at in range(len(chunks[i])) if alive[i * width + 1 + at]]
+            out[i][0] = array("i", [x for at, c in cells for x in ([c] if c != NO_PIECE else [self.byte[b] for b in chunks[i][at].encode("utf-8", "surrogatepass")])]).tobytes()
+        return out
+
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
-        chunks = _CHUNKS.findall(" " + text)
-        keys = self.keys(text, len(chunks))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text, texts of about ``TOGETHER`` characters at a time."""
+        out, held, n = [], [], 0
+        for i, t in enumerate(texts):
+            held.append(t)
+            n += len(t or "")
+            if n >= TOGETHER or i + 1 == len(texts):
+                # no cycles are made here, and looking for them would go through the whole memo
+                paused = gc.isenabled()
+                gc.disable()
+                try:
+                    out += self._encode_all(held)
+                finally:
+                    if paused:
+                        gc.enable()
+                held, n = [], 0
+        return out
+
+    def _encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        cut = [_CHUNKS.findall(" " + t) if t else [] for t in texts]
+        chunks = [c for part in cut for c in part]
+        keys = np.concatenate([np.empty(0, np.uint64), *(self.keys(t, len(part)) for t, part in zip(texts, cut) if t)])
         at = self.gaps(keys, 0) if self.drops else np.full(len(chunks), NEVER)
         found = list(map(self.memo.get, chunks))
         if None in found:
-            found = [self.missed(chunks[k], int(keys[k]), int(at[k])) if x is None else x for k, x in enumerate(found)]
+            self.find(chunks, keys, at, found)
         parts = [x[0] for x in found]
         if self.drops:
             # those with another skip before their last candidate go on to what is kept for it
             open_ = np.flatnonzero(at < np.fromiter([x[1] for x in found], np.int64, len(found)))
-            at = at[open_]
+            first = at = at[open_]
             for skip in range(KEPT_SKIPS + 1):
+                came, late = np.zeros(len(open_), np.int64), []
+                for i, (k, a) in enumerate(zip(open_.tolist(), at.tolist())):
+                    if (below := found[k][2]) and (x := below.get(a)):
+                        found[k], parts[k], came[i] = x, x[0], x[1]
+                    else:
+                        late.append(i)
+                if late:
+                    which = open_[late]
+                    made = self.agendas([chunks[k] for k in which.tolist()], keys[which], first[late], skip + 1)
+                    for k, a, x in zip(which.tolist(), at[late].tolist(), made):
+                        parts[k] = x[0]
+                        if skip < KEPT_SKIPS and x[1] >= 0:
+                            if (above := found[k])[2] is None:
+                                above[2] = {}
+                            if a not in above[2]:
+                                above[2][a] = x
+                                self.held += 1
+                at = at + 1 + self.gaps(keys[open_], skip + 1)
+                more = at < came
+                open_, at, first = open_[more], at[more], first[more]
                 if not len(open_):
                     break
-                first, nodes = at if not skip else first[more], []
-                for k, a, f in zip(open_.tolist(), at.tolist(), first.tolist()):
-                    if not (below := found[k][2]) or (x := below.get(a)) is None:
-                        x = self.kept(chunks[k], int(keys[k]), f, found[k], skip + 1, a)
-                    found[k], parts[k] = x, x[0]
-                    nodes.append(x[1])
-                at = at + 1 + self.gaps(keys[open_], skip + 1)
-                more = at < np.array(nodes)
-                open_, at = open_[more], at[more]
-        return np.frombuffer(b"".join(parts), np.int32)
-
-    def missed(self, chunk: str, key: int, first: int) -> list:
-        """What the newer memo doesn't have: the chunk without a skip, or, closed by no candidates, with all skips of ``key``."""
-        if (x := self.memo.get(chunk)) is not None:
-            return x
-        if (x := self.older.get(chunk)) is None:
-            ids, came, skipped = self.agenda(chunk, key, first)
-            x = [array("i", ids).tobytes(), 0 if skipped else came, None]
-            if skipped or len(chunk) > SHORT:
-                return x
+        out, done = [], 0
+        for part in cut:
+            out.append(np.frombuffer(b"".join(parts[done : done + len(part)]), np.int32))
+            done += len(part)
+        return out
+
+    def find(self, chunks: list[str], keys: np.ndarray, at: np.ndarray, found: list) -> None:
+        """Fills in what the newer memo doesn't have: chunks without a skip, or, closed by no candidates, long ones with all skips of their keys."""
+        late: dict = {}
+        for k, x in enumerate(found):
+            if x is None:
+                c = chunks[k]
+                if len(c) > SHORT:
+                    found[k] = [array("i", self.cut(c, int(keys[k]))).tobytes(), 0, None]
+                elif (x := self.memo.get(c)) is not None:
+                    found[k] = x
+                elif (x := self.older.get(c)) is not None:
+                    found[k] = x
+                    self.keep(c, x)
+                else:
+                    late.setdefault(c, []).append(k)
+        # a chunk that comes once here takes its own skips, and is kept where it has none
+        rows = [ks[0] for ks in late.values()]
+        alone = np.fromiter([len(ks) == 1 for ks in late.values()], bool, len(rows))
+        made = self.agendas(list(late), keys[rows], np.where(alone, at[rows], NEVER), 0) if rows else []
+        for (c, ks), x in zip(late.items(), made):
+            for k in ks:
+                found[k] = x
+            if x[1] >= 0:
+                self.keep(c, x)
+
+    def keep(self, chunk: str, x: list) -> None:
+        """Puts a chunk into the newer memo, which becomes the older one when it is full."""
         if self.held >= self.memo_rows:
             self.older, self.memo, self.held = self.memo, {}, 0
         self.memo[chunk] = x
-        self.held += 1 + sum(1 + len(y[2] or ()) for y in (x[2] or {}).values())
-        return x
-
-    def kept(self, chunk: str, key: int, first: int, above: list, skips: int, at: int) -> list:
-        """As ``missed``, for a chunk whose skip ``skips`` comes at ``at``; ``above`` is what is kept without that one."""
-        ids, came, skipped = self.agenda(chunk, key, first)
-        x = [array("i", ids).tobytes(), 0 if len(skipped) > skips else came, None]
-        if len(skipped) == skips <= KEPT_SKIPS and len(chunk) <= SHORT:
-            if above[2] is None:
-                above[2] = {}
-            above[2][at] = x
-            self.held += 1
-        return x
+        self.held += 1 + sum(1 + len(y[2] or ()) for y in x[2].values()) if x[2] else 1
 
     def decoded(self, ids) -> bytes:
         """The UTF-8 bytes of the text that was encoded."""
@@ -255,10 +381,9 @@ def _encode(how: dict, columns: int):
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                ids, whole, sha = [], [], []
-                for t in part.column(columns):
-                    text = t.as_py() or ""
-                    ids.append(i := enc.encode(text))
+                texts = [t or "" for t in part.column(columns).to_pylist()]
+                ids, whole, sha = enc.encode_all(texts), [], []
+                for text, i in zip(texts, ids):
                     back = enc.decoded(i)
                     whole.append(back == text.encode("utf-8", "surrogatepass"))
                     sha.append(hashlib.sha256(back).hexdigest())

@@ -653,6 +653,22 @@ def test_pieces_with_dropout_against_brute_force(docs, dropout):
     assert seen > 2000
 
 
+def test_pieces_go_through_their_agendas_together():
+    rng = random.Random(8)
+    for dropout in (0.0, 0.1, 0.5, 1.0):
+        e = pieces.Encoder(dropout=dropout)
+        chunks = ["".join(rng.choice(" aeinrstl\u00e9\u65e5\U0001f642\u2581x") for _ in range(rng.randrange(1, pieces.SHORT + 1))) for _ in range(300)] + [" the", "\n\n", "a"]
+        keys = np.array([rng.randrange(2**64) for _ in chunks], np.uint64)
+        first = e.gaps(keys, 0) if e.drops else np.full(len(chunks), pieces.NEVER)
+        for c, k, f, got in zip(chunks, keys.tolist(), first.tolist(), e.agendas(chunks, keys, first, 1)):
+            ids, came, skipped = e.agenda(c, k, f)
+            assert np.frombuffer(got[0], np.int32).tolist() == ids and got[1] == (-1 if len(skipped) > 1 else came)
+        # a text's company doesn't matter
+        texts = [" ".join(rng.choice(["the", "unbelievable", "x" * 70, "\u65e5\u672c", "of", "reads"]) for _ in range(rng.randrange(60))) for _ in range(40)] + [None, ""]
+        alone = pieces.Encoder(dropout=dropout)
+        assert [i.tolist() for i in e.encode_all(texts)] == [alone.encode(t).tolist() for t in texts]
+
+
 def test_pieces_vary_each_occurrence_of_a_word():
     e, word = pieces.Encoder(), " unbelievably"
     texts = [f"text {i}:" + word * 40 for i in range(100)]
