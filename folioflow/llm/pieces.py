@@ -21,12 +21,10 @@ shuffle. The model's path is a parameter and must be there on every executor.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import os
 import re
-from array import array
 from bisect import bisect_right
 
 import numpy as np
@@ -35,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import table
+from folioflow.llm.common import small_batches, table
 
 MODEL = os.environ.get("FOLIOFLOW_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE, LITERAL = "▁", "￿▁"
@@ -44,6 +42,9 @@ MIX, MASK = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD), 2**64
 NO_PIECE, NEVER, LONG, SHORT, KEPT_SKIPS = 0xFFFF, 1 << 62, 64, 32, 2
 #: Texts of about so many characters are encoded together; chunks go through their agendas together by lengths.
 TOGETHER, LENGTHS, NONE = 400_000, (4, 6, 8, 10, 12, 16, 24, SHORT), np.int32(2**31 - 1)
+#: Multipliers by a character's place in its chunk, for hashes of chunks.
+PLACES = np.random.default_rng(1).integers(0, 2**63, SHORT + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: What ``_encode_all`` cuts texts into.
 _CHUNKS = re.compile(r" *[^ \n]+| +|\n+")
 
 
@@ -63,11 +64,11 @@ def pair_tables(pairs: dict[int, int], bits: int = 20) -> list[tuple]:
 
 
 class Encoder:
-    def __init__(self, path: str = MODEL, dropout: float = 0.1, seed: int = 1, memo_rows: int = 400_000):
+    def __init__(self, path: str = MODEL, dropout: float = 0.1, seed: int = 1, memo_rows: int = 600_000):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
-        self.seed, self.memo_rows = seed, memo_rows
+        self.seed = seed
         #: Ascending shares of 2**64: a hash below n of them stands for n candidates that aren't skipped before one that is.
         self.drops, ahead = 1 - dropout < 1, np.empty(0, np.uint64)
         if self.drops and dropout < 1:
@@ -99,10 +100,14 @@ class Encoder:
         if len(order) >= 1 << 15:
             raise ValueError("the model has too many pieces")
         self.tables = pair_tables(self.pairs)
-        # [ids as bytes, candidates, {next skip: the like} or None] of chunks without a skip; and the memo before, from which what is still used moves over
-        self.memo: dict[str, list] = {}
-        self.older: dict[str, list] = {}
-        self.held = 0
+        self.piece_n = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
+        self.piece_at, self.piece_bytes = np.cumsum(self.piece_n) - self.piece_n, np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.memo_rows = memo_rows
+        self.forget()
+
+    def forget(self) -> None:
+        """Begins a new memo."""
+        self.memo = Memo(self.memo_rows)
 
     def gaps(self, keys: np.ndarray, skip) -> np.ndarray:
         """For each key, the number of candidates that aren't skipped between a chunk's skips ``skip - 1`` and ``skip`` (one for all, or each key's)."""
@@ -208,25 +213,33 @@ class Encoder:
             out = np.where(k.take(at) == key, v.take(at), NONE if out is None else out)
         return out
 
-    def agendas(self, chunks: list[str], keys: np.ndarray, first: np.ndarray, kept: int) -> list[list]:
-        """For each of many chunks of up to SHORT characters what ``agenda`` gives: its ids as bytes, how many candidates came (-1: it had more than ``kept`` skips), None."""
-        out: list = [None] * len(chunks)
+    def agendas(self, chunks: list[str], keys: np.ndarray, first: np.ndarray, kept: int) -> list[tuple]:
+        """For each of many chunks of up to SHORT characters what ``agenda`` gives: its ids as bytes, and how many candidates came (-1: it had more than ``kept`` skips)."""
         lens = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        tokens, at, n, came = self.settled(codes("".join(chunks)), np.cumsum(lens) - lens, lens, keys, first, np.full(len(chunks), kept))
+        return [(tokens[a : a + k].tobytes(), c) for a, k, c in zip(at.tolist(), n.tolist(), came.tolist())]
+
+    def settled(self, text: np.ndarray, starts: np.ndarray, lens: np.ndarray, keys: np.ndarray, first: np.ndarray, kept: np.ndarray) -> tuple:
+        """``agendas`` of chunks of ``text``: ids of all, where each chunk's begin, how many it has, and how many candidates came."""
+        begins, n, came = np.zeros((3, len(lens)), np.int64)
+        tokens, done = [np.empty(0, np.int32)], 0
         kind = np.searchsorted(LENGTHS, lens)
         for k in np.unique(kind):
             for at in np.array_split(w := np.flatnonzero(kind == k), -(-len(w) // 8192)):
-                for i, x in zip(at.tolist(), self._agendas([chunks[i] for i in at], lens[at], LENGTHS[k] + 2, keys[at], first[at], kept)):
-                    out[i] = x
-        return out
-
-    def _agendas(self, chunks, lens, width, keys, first, skips_kept):
-        n, none = len(chunks), np.uint32(NO_PIECE)
+                ids, n[at], came[at] = self._settled(text, starts[at], lens[at], LENGTHS[k] + 2, keys[at], first[at], kept[at])
+                begins[at] = done + np.cumsum(n[at]) - n[at]
+                tokens.append(ids)
+                done += len(ids)
+        return np.concatenate(tokens), begins, n, came
+
+    def _settled(self, text, starts, lens, width, keys, first, kept):
+        n, none = len(lens), np.uint32(NO_PIECE)
         # a row has a cell without a piece at either end
         inside = np.arange(width) - 1
         inside = (inside >= 0) & (inside < lens[:, None])
-        ids = np.full((n, width), none)
-        ids[inside] = self.char_ids[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        odd = np.flatnonzero(((ids == none) & inside).any(1))
+        chars = np.zeros((n, width), np.uint32)
+        chars[inside] = text[ranges(starts, lens)]
+        ids = np.where(inside, self.char_ids[chars], none)
         best_of = np.full((n, width), NONE)
         best_of[:, :-1] = self.merged(ids[:, :-1], ids[:, 1:])
         agenda, ids, alive = best_of.ravel(), ids.ravel(), inside.ravel()
@@ -251,14 +264,21 @@ class Encoder:
             alive[j], agenda[j] = False, NONE
             after[p], before[k] = k, p
             agenda[p], agenda[h] = self.merged(made, ids[k]), self.merged(ids[h], made)
-        ends = np.concatenate([[0], 4 * np.cumsum(alive.reshape(n, width).sum(1))]).tolist()
-        whole = ids[alive].astype(np.int32).tobytes()
         # closed by no candidates where more skips came than are kept
-        out = [[whole[a:b], c, None] for a, b, c in zip(ends, ends[1:], np.where(skips > skips_kept, -1, came).tolist())]
-        for i in odd.tolist():
-            cells = [(at, int(ids[i * width + 1 + at])) for at in range(len(chunks[i])) if alive[i * width + 1 + at]]
-            out[i][0] = array("i", [x for at, c in cells for x in ([c] if c != NO_PIECE else [self.byte[b] for b in chunks[i][at].encode("utf-8", "surrogatepass")])]).tobytes()
-        return out
+        came[skips > kept] = -1
+        whole, count = ids[alive].astype(np.int32), alive.reshape(n, width).sum(1)
+        if len(odd := np.flatnonzero(whole == NO_PIECE)):
+            # characters without a piece become bytes
+            at, left = np.flatnonzero(alive)[odd], chars.ravel()[alive][odd]
+            size = 1 + (left >= 0x80) + (left >= 0x800) + (left >= 0x10000)
+            np.add.at(count, at // width, size - 1)
+            many = np.ones(len(whole), np.int64)
+            many[odd] = size
+            place, whole = (np.cumsum(many) - many)[odd], np.repeat(whole, many)
+            for c in np.unique(left):
+                for i, x in enumerate(chr(c).encode("utf-8", "surrogatepass")):
+                    whole[place[left == c] + i] = self.byte[x]
+        return whole, count, came
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
@@ -270,104 +290,185 @@ class Encoder:
             held.append(t)
             n += len(t or "")
             if n >= TOGETHER or i + 1 == len(texts):
-                # no cycles are made here, and looking for them would go through the whole memo
-                paused = gc.isenabled()
-                gc.disable()
-                try:
-                    out += self._encode_all(held)
-                finally:
-                    if paused:
-                        gc.enable()
+                out += self._encode_all(held)
                 held, n = [], 0
         return out
 
     def _encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [_CHUNKS.findall(" " + t) if t else [] for t in texts]
-        chunks = [c for part in cut for c in part]
-        keys = np.concatenate([np.empty(0, np.uint64), *(self.keys(t, len(part)) for t, part in zip(texts, cut) if t)])
-        at = self.gaps(keys, 0) if self.drops else np.full(len(chunks), NEVER)
-        found = list(map(self.memo.get, chunks))
-        if None in found:
-            self.find(chunks, keys, at, found)
-        parts = [x[0] for x in found]
-        if self.drops:
-            # those with another skip before their last candidate go on to what is kept for it
-            open_ = np.flatnonzero(at < np.fromiter([x[1] for x in found], np.int64, len(found)))
-            first = at = at[open_]
-            for skip in range(KEPT_SKIPS + 1):
-                came, late = np.zeros(len(open_), np.int64), []
-                for i, (k, a) in enumerate(zip(open_.tolist(), at.tolist())):
-                    if (below := found[k][2]) and (x := below.get(a)):
-                        found[k], parts[k], came[i] = x, x[0], x[1]
-                    else:
-                        late.append(i)
-                if late:
-                    which = open_[late]
-                    made = self.agendas([chunks[k] for k in which.tolist()], keys[which], first[late], skip + 1)
-                    for k, a, x in zip(which.tolist(), at[late].tolist(), made):
-                        parts[k] = x[0]
-                        if skip < KEPT_SKIPS and x[1] >= 0:
-                            if (above := found[k])[2] is None:
-                                above[2] = {}
-                            if a not in above[2]:
-                                above[2][a] = x
-                                self.held += 1
-                at = at + 1 + self.gaps(keys[open_], skip + 1)
-                more = at < came
-                open_, at, first = open_[more], at[more], first[more]
-                if not len(open_):
-                    break
-        out, done = [], 0
-        for part in cut:
-            out.append(np.frombuffer(b"".join(parts[done : done + len(part)]), np.int32))
-            done += len(part)
-        return out
-
-    def find(self, chunks: list[str], keys: np.ndarray, at: np.ndarray, found: list) -> None:
-        """Fills in what the newer memo doesn't have: chunks without a skip, or, closed by no candidates, long ones with all skips of their keys."""
-        late: dict = {}
-        for k, x in enumerate(found):
-            if x is None:
-                c = chunks[k]
-                if len(c) > SHORT:
-                    found[k] = [array("i", self.cut(c, int(keys[k]))).tobytes(), 0, None]
-                elif (x := self.memo.get(c)) is not None:
-                    found[k] = x
-                elif (x := self.older.get(c)) is not None:
-                    found[k] = x
-                    self.keep(c, x)
-                else:
-                    late.setdefault(c, []).append(k)
-        # a chunk that comes once here takes its own skips, and is kept where it has none
-        rows = [ks[0] for ks in late.values()]
-        alone = np.fromiter([len(ks) == 1 for ks in late.values()], bool, len(rows))
-        made = self.agendas(list(late), keys[rows], np.where(alone, at[rows], NEVER), 0) if rows else []
-        for (c, ks), x in zip(late.items(), made):
-            for k in ks:
-                found[k] = x
-            if x[1] >= 0:
-                self.keep(c, x)
-
-    def keep(self, chunk: str, x: list) -> None:
-        """Puts a chunk into the newer memo, which becomes the older one when it is full."""
-        if self.held >= self.memo_rows:
-            self.older, self.memo, self.held = self.memo, {}, 0
-        self.memo[chunk] = x
-        self.held += 1 + sum(1 + len(y[2] or ()) for y in x[2].values()) if x[2] else 1
+        text = codes("".join([" " + t for t in texts if t]))
+        sizes = np.fromiter([len(t) + 1 if t else 0 for t in texts], np.int64, len(texts))
+        # a chunk begins with a text, or where spaces, line ends and others change, but for others after spaces
+        kind = np.where(text == 10, np.uint8(2), text != 32)
+        begins = np.ones(len(text), bool)
+        begins[1:] = (kind[1:] != kind[:-1]) & ((kind[1:] != 1) | (kind[:-1] != 0))
+        begins[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        starts = np.flatnonzero(begins)
+        lens, n_chunks = np.diff(starts, append=len(text)), np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)])))
+        keys = np.concatenate([np.empty(0, np.uint64), *(self.keys(t, n) for t, n in zip(texts, n_chunks.tolist()) if t)])
+        at = self.gaps(keys, 0) if self.drops else np.full(len(starts), NEVER)
+        place = np.arange(len(text)) - np.repeat(starts, lens)
+        hashes = np.add.reduceat((text + np.uint64(1)) * PLACES[np.minimum(place, SHORT)], starts) if len(starts) else np.empty(0, np.uint64)
+        row = self.memo.rows(text, starts, lens, hashes, np.zeros(len(starts), np.int64))
+        # of each chunk's ids where they begin, behind those of the memo if they are new, and how many; of its candidates how many came
+        begin, n, came = self.memo.begin[row], self.memo.n[row].astype(np.int64), self.memo.came[row].astype(np.int64)
+        new, put, used = [], [], self.memo.used[1]
+
+        def settle(of, which, first, kept, skips, keep):
+            """``settled`` of the chunks ``which`` for those in ``of``, a row of indices for each; to be kept if nothing was skipped that isn't kept."""
+            nonlocal used
+            ids, b, k, c = self.settled(text, starts[which], lens[which], keys[which], first, kept)
+            begin[of[0]], n[of[0]], came[of[0]] = (b + used)[of[1]], k[of[1]], c[of[1]]
+            keep &= c >= 0
+            put.append([x[keep] for x in (which, skips, b + used, k, c)])
+            new.append(ids)
+            used += len(ids)
+
+        late = row < 0
+        for i in np.flatnonzero(late & (lens > SHORT)).tolist():
+            # with all skips of its key
+            ids = self.cut(text[starts[i] : starts[i] + lens[i]].tobytes().decode("utf-32-le", "surrogatepass"), int(keys[i]))
+            begin[i], n[i], came[i] = used, len(ids), 0
+            new.append(np.array(ids, np.int32))
+            used += len(ids)
+        if len(late := np.flatnonzero(late & (lens <= SHORT))):
+            _, first, which, times = np.unique(hashes[late], return_index=True, return_inverse=True, return_counts=True)
+            # of other characters by the same hash
+            other = np.flatnonzero(~same(text, starts[late], lens[late], text, starts[late[first]][which], lens[late[first]][which]))
+            which[other] = len(first) + np.arange(len(other))
+            first, times = late[np.concatenate([first, other])], np.concatenate([times, np.ones(len(other), np.int64)])
+            # a chunk that comes once here takes its own skips, and is kept where it has none
+            none = np.zeros(len(first), np.int64)
+            settle((late, which), first, np.where(times == 1, at[first], NEVER), none, none, np.ones(len(first), bool))
+        # those with another skip before their last candidate go on to what is kept for it
+        open_ = np.flatnonzero(at < came)
+        first = at = at[open_]
+        skips, rest = np.zeros(len(open_), np.int64), []
+        for level in range(1, KEPT_SKIPS + 2):
+            if not len(open_):
+                break
+            skips = skips * 4096 + at + 1
+            row = self.memo.rows(text, starts[open_], lens[open_], hashes[open_], skips) if level <= KEPT_SKIPS else np.full(len(open_), -1)
+            late = row < 0
+            rest.append([open_[late], first[late], np.full(late.sum(), level), skips[late]])
+            open_, first, skips, at, row = (x[~late] for x in (open_, first, skips, at, row))
+            begin[open_], n[open_] = self.memo.begin[row], self.memo.n[row]
+            at = at + 1 + self.gaps(keys[open_], level)
+            more = at < self.memo.came[row]
+            open_, first, skips, at = (x[more] for x in (open_, first, skips, at))
+        if rest:
+            which, first, level, skips = map(np.concatenate, zip(*rest))
+            settle((which, np.arange(len(which))), which, first, level, skips, level <= KEPT_SKIPS)
+        ids = np.concatenate([self.memo.ids[: self.memo.used[1]], *new])[ranges(begin, n)]
+        if put:
+            which, skips, b, k, c = map(np.concatenate, zip(*put))
+            self.memo.keep(text, starts[which], lens[which], hashes[which], skips, np.concatenate(new), b - self.memo.used[1], k, c)
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(n_chunks)][:-1] if len(texts) else []
+        return np.split(ids, ends) if len(texts) else []
+
+    def decoded_all(self, parts: list) -> list[bytes]:
+        """The UTF-8 bytes of the texts that were encoded."""
+        ids = np.concatenate([np.empty(0, np.int32), *parts]).astype(np.int64)
+        n = self.piece_n[ids]
+        whole = self.piece_bytes[ranges(self.piece_at[ids], n)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, parts)])].tolist()
+        return [whole[a + 1 : b] for a, b in zip(ends, ends[1:])]
 
     def decoded(self, ids) -> bytes:
-        """The UTF-8 bytes of the text that was encoded."""
-        return b"".join(map(self.bytes_of.__getitem__, np.asarray(ids).tolist()))[1:]
+        """``decoded_all`` of one text."""
+        return self.decoded_all([np.asarray(ids, np.int32)])[0]
 
     def decode(self, ids) -> str:
         return self.decoded(ids).decode("utf-8", "surrogatepass")
 
 
+def codes(text: str) -> np.ndarray:
+    """The code points of a text."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its length, one after another."""
+    ends = np.cumsum(lens)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lens, lens)
+
+
+def same(a: np.ndarray, a_starts: np.ndarray, a_lens: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_lens: np.ndarray) -> np.ndarray:
+    """Whether each part of ``a`` equals that of ``b``; none is empty."""
+    out = a_lens == b_lens
+    at = np.flatnonzero(out)
+    if len(at):
+        n = a_lens[at]
+        out[at] = np.logical_and.reduceat(a[ranges(a_starts[at], n)] == b[ranges(b_starts[at], n)], np.cumsum(n) - n)
+    return out
+
+
+class Memo:
+    """What came of chunks with given skips, in arrays: a row for each, found by its hash and told by its characters and skips.
+
+    When it is full, the older half of its rows goes.
+    """
+
+    def __init__(self, rows: int):
+        self.size, self.shift = rows, np.uint64(64 - max(10, (2 * rows).bit_length()))
+        self.slot = np.full(1 << 64 - int(self.shift), -1, np.int32)
+        # a row more, for those that aren't there
+        self.hash, self.skips = np.zeros(rows + 1, np.uint64), np.full(rows + 1, -1, np.int32)
+        self.at, self.begin = np.zeros(rows + 1, np.int64), np.zeros(rows + 1, np.int64)
+        self.len, self.n, self.came = np.zeros(rows + 1, np.int16), np.zeros(rows + 1, np.int16), np.zeros(rows + 1, np.int16)
+        self.chars, self.ids = np.empty(8 * rows, np.uint32), np.empty(4 * rows, np.int32)
+        #: Characters, ids and rows so far.
+        self.used = [0, 0, 0]
+
+    def slots(self, hashes: np.ndarray, skips: np.ndarray) -> np.ndarray:
+        x = (hashes + skips.astype(np.uint64) * np.uint64(MIX[1])) * np.uint64(MIX[0])
+        return (x ^ x >> np.uint64(32)) * np.uint64(MIX[2]) >> self.shift
+
+    def rows(self, text: np.ndarray, starts: np.ndarray, lens: np.ndarray, hashes: np.ndarray, skips: np.ndarray) -> np.ndarray:
+        """The rows of chunks of ``text``, -1 where there is none."""
+        row = self.slot[self.slots(hashes, skips)]
+        at = np.flatnonzero((self.skips[row] == skips) & (self.len[row] == lens))
+        row_at = row[at]
+        out = np.full(len(row), -1, np.int64)
+        good = same(text, starts[at], lens[at], self.chars, self.at[row_at], lens[at])
+        out[at[good]] = row_at[good]
+        return out
+
+    def keep(self, text: np.ndarray, starts: np.ndarray, lens: np.ndarray, hashes: np.ndarray, skips: np.ndarray, ids: np.ndarray, begin: np.ndarray, n: np.ndarray, came: np.ndarray) -> None:
+        """Adds rows, one for each slot."""
+        _, one = np.unique(self.slots(hashes, skips), return_index=True)
+        for part in np.array_split(one, 1 + len(one) * 8 // self.size):
+            c, k = int(lens[part].sum()), int(n[part].sum())
+            if max(c - len(self.chars) // 2, k - len(self.ids) // 2, len(part) - self.size // 2) > 0:
+                continue
+            while self.used[0] + c > len(self.chars) or self.used[1] + k > len(self.ids) or self.used[2] + len(part) > self.size:
+                self.halve()
+            chars_used, ids_used, used = self.used
+            to = slice(used, used + len(part))
+            self.chars[chars_used : chars_used + c] = text[ranges(starts[part], lens[part])]
+            self.ids[ids_used : ids_used + k] = ids[ranges(begin[part], n[part])]
+            self.at[to], self.begin[to] = chars_used + np.cumsum(lens[part]) - lens[part], ids_used + np.cumsum(n[part]) - n[part]
+            self.hash[to], self.skips[to], self.len[to], self.n[to], self.came[to] = hashes[part], skips[part], lens[part], n[part], came[part]
+            self.slot[self.slots(hashes[part], skips[part])] = np.arange(used, used + len(part))
+            self.used = [chars_used + c, ids_used + k, used + len(part)]
+
+    def halve(self) -> None:
+        """The newer half of the rows moves to the front."""
+        used, half = self.used[2], (self.used[2] + 1) // 2
+        chars_at, ids_at = (int(x[half]) if half < used else end for x, end in ((self.at, self.used[0]), (self.begin, self.used[1])))
+        for x, a, b in ((self.chars, chars_at, self.used[0]), (self.ids, ids_at, self.used[1]), *((x, half, used) for x in (self.hash, self.skips, self.at, self.begin, self.len, self.n, self.came))):
+            x[: b - a] = x[a:b].copy()
+        self.used = [self.used[0] - chars_at, self.used[1] - ids_at, used - half]
+        self.at[: used - half] -= chars_at
+        self.begin[: used - half] -= ids_at
+        self.slot[:] = -1
+        self.slot[self.slots(self.hash[: used - half], self.skips[: used - half].astype(np.int64))] = np.arange(used - half)
+
+
 _held: dict = {}
 
 
 def encoder(**how) -> Encoder:
-    """The encoder of this process for these parameters; its memo outlives a task."""
+    """The encoder of this process for these parameters; its tables outlive a task."""
     key = tuple(sorted(how.items()))
     if key not in _held:
         _held.clear()
@@ -378,27 +479,32 @@ def encoder(**how) -> Encoder:
 def _encode(how: dict, columns: int):
     def run(batches):
         enc = encoder(**how)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                texts = [t or "" for t in part.column(columns).to_pylist()]
-                ids, whole, sha = enc.encode_all(texts), [], []
-                for text, i in zip(texts, ids):
-                    back = enc.decoded(i)
-                    whole.append(back == text.encode("utf-8", "surrogatepass"))
-                    sha.append(hashlib.sha256(back).hexdigest())
-                offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:columns], pa.array([len(i) for i in ids], pa.int64()), lists, pa.array(sha), pa.array(whole)],
-                    [*part.schema.names[:columns], "n_tokens", "tokens", "decoded_sha256", "lossless"],
-                )
+        try:
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
+                    texts = [t or "" for t in part.column(columns).to_pylist()]
+                    ids, whole, sha = enc.encode_all(texts), [], []
+                    for text, back in zip(texts, enc.decoded_all(ids)):
+                        whole.append(back == text.encode("utf-8", "surrogatepass"))
+                        sha.append(hashlib.sha256(back).hexdigest())
+                    offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns[:columns], pa.array([len(i) for i in ids], pa.int64()), lists, pa.array(sha), pa.array(whole)],
+                        [*part.schema.names[:columns], "n_tokens", "tokens", "decoded_sha256", "lossless"],
+                    )
+        finally:
+            # a worker that waits, or goes on with something else, holds no memo
+            enc.forget()
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
 def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), **how) -> DataFrame:
     """``keep``, n_tokens, tokens, and of the text decoded from the tokens its SHA-256 and whether it equals the text."""
+    small_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(_encode(how, len(keep)), f"{kept}, n_tokens long, tokens array<int>, decoded_sha256 string, lossless boolean")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm import jaccard
-from folioflow.llm.common import discard, own, table, written
+from folioflow.llm.common import discard, own, small_batches, table, written
 from folioflow.llm.components import components
 
 BITS = 64
@@ -305,5 +305,6 @@ def _kept(docs: DataFrame, near: DataFrame) -> DataFrame:
 
 def op10_simhash_balls(spark, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of all documents."""
+    small_batches(docs.sparkSession)
     near = near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import crc_of_id, discard, own, table, written
+from folioflow.llm.common import crc_of_id, discard, own, small_batches, table, written
 
 BITS, HALF, WIDTHS, FILTERS = 17, 8, (1, 2, 3), 12
 ROWS = 1 << BITS
@@ -489,6 +489,7 @@ def score(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that score under 0.5."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **how))
     carried = docs.select(own(docs), F.col("text").cast("string").alias("text"))
     schema = carried.select("own", F.lit(0.0).alias("score")).schema

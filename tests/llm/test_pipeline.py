@@ -1,3 +1,5 @@
+import pyarrow as pa
+
 import corpus_pipeline
 from folioflow.llm import linededup, mixing, pieces, simhash, toxicity
 from tests.conftest import DATA
@@ -39,3 +41,10 @@ def test_stages_take_odd_rows(spark):
             out = stage(spark, out, f"{DATA}/sf0.001").cache()
             assert name == "pieces" or out.columns == docs.columns
         assert out.where("not lossless").count() == 0 and (out.count() > 0) == (given is docs)
+
+
+def test_batches_of_long_texts_are_small(spark):
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id as doc_id", "repeat('many words ', 400) as text", "'en' as lang", "'s' as source", "4400L as n_chars")
+    corpus_pipeline.pieces_stage(spark, docs, DATA)
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()
+    assert sum(r.n for r in sizes) > 16 << 20 and max(r.n for r in sizes) < 6 << 20
