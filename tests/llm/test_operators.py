@@ -686,6 +686,27 @@ def test_pieces_vary_each_occurrence_of_a_word():
     assert abs(skipped / came - 0.1) < 0.01
 
 
+def test_pieces_memo_is_small_and_changes_nothing(monkeypatch):
+    import tracemalloc
+
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("aeinrstl\u00e9\u65e5\u2581", k=rng.randrange(1, 12))) for _ in range(200)) + " the" * 20 for _ in range(100)]
+    want = [i.tolist() for i in pieces.Encoder().encode_all(texts)]
+    assert [i.tolist() for i in pieces.Encoder(memo_rows=64).encode_all(texts)] == want
+    # where all hashes of a length are equal, characters decide
+    if hasattr(pieces, "PLACES"):
+        with monkeypatch.context() as m:
+            m.setattr(pieces, "PLACES", np.zeros_like(pieces.PLACES))
+            assert [i.tolist() for i in pieces.Encoder().encode_all(texts[:20])] == want[:20]
+    e = pieces.Encoder()
+    tracemalloc.start()
+    try:
+        e.encode_all([" ".join(f"{k:x}" for k in range(at, at + 5000)) for at in range(1 << 24, (1 << 24) + 300_000, 5000)])
+        assert tracemalloc.get_traced_memory()[0] < 48 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_pieces_odd(spark, odd, none):
     got = pieces.encode(odd).collect()
     assert len(got) == len(ODD) and all(r.lossless and r.n_tokens == len(r.tokens) for r in got)
