@@ -102,7 +102,12 @@ class Encoder:
         self.tables = pair_tables(self.pairs)
         self.piece_n = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
         self.piece_at, self.piece_bytes = np.cumsum(self.piece_n) - self.piece_n, np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        self.memo = Memo(memo_rows)
+        self.memo_rows = memo_rows
+        self.forget()
+
+    def forget(self) -> None:
+        """Begins a new memo."""
+        self.memo = Memo(self.memo_rows)
 
     def gaps(self, keys: np.ndarray, skip) -> np.ndarray:
         """For each key, the number of candidates that aren't skipped between a chunk's skips ``skip - 1`` and ``skip`` (one for all, or each key's)."""
@@ -459,9 +464,21 @@ class Memo:
         self.slot[self.slots(self.hash[: used - half], self.skips[: used - half].astype(np.int64))] = np.arange(used - half)
 
 
+_held: dict = {}
+
+
+def encoder(**how) -> Encoder:
+    """The encoder of this process for these parameters; its tables outlive a task."""
+    key = tuple(sorted(how.items()))
+    if key not in _held:
+        _held.clear()
+        _held[key] = Encoder(**how)
+    return _held[key]
+
+
 def _encode(how: dict, columns: int):
     def run(batches):
-        enc = Encoder(**how)
+        enc = encoder(**how)
         try:
             for b in batches:
                 for at in range(0, b.num_rows, 256):
@@ -478,8 +495,8 @@ def _encode(how: dict, columns: int):
                         [*part.schema.names[:columns], "n_tokens", "tokens", "decoded_sha256", "lossless"],
                     )
         finally:
-            # a worker that waits, or goes on with something else, holds no tables and no memo
-            del enc
+            # a worker that waits, or goes on with something else, holds no memo
+            enc.forget()
             pa.default_memory_pool().release_unused()
 
     return run
