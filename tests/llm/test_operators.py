@@ -764,6 +764,12 @@ def test_chains_of_fingerprints_are_one_component(spark):
             assert (roots[a] == roots[b]) == (labels_.get(fps[a], fps[a]) == labels_.get(fps[b], fps[b]))
 
 
+def test_simhash_query(spark, docs):
+    path = "/root/testdata/sf0.001"
+    want = {r.doc_id: (f"{r.fp % 2**64:016x}", r.component_id) for r in simhash.near_duplicates(spark.read.parquet(f"{path}/documents.parquet")).collect()}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op10_simhash_balls(spark, path).collect()} == want != {}
+
+
 def test_simhash_odd(spark, odd, none):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id in (1, 2, 10)} == {1}
