@@ -17,7 +17,10 @@ them. A fingerprint's texts are compared to one of them, and the (at most ``TABL
 fingerprints of a ball to one of these, chosen anew by a hash in every table and ball, so
 a large group isn't expanded into pairs. Where that leaves texts of one ball in different
 groups, these texts are compared by the blocked product of their sets of shingles (:mod:`folioflow.llm.jaccard`), which finds
-all links among them without listing pairs, so no link of a ball is lost.
+all links among them without listing pairs, so no link of a ball is lost. Unrelated texts meet in a ball by chance, and the more texts there are, the more
+of them do: their number grows with the square of the number of texts. So a text goes to the product only where it may be linked. In a ball with at most ``FEW``
+texts outside its largest group, these are held against the ball's other groups by a bound that no linked pair passes: the bits in which the parities of two hashed sets differ
+are at most as many as the shingles that only one of them has. The texts of any other ball are all compared.
 
 Null and blank texts have fingerprint zero and are linked like any other. Repeated
 rows share a fingerprint. A null ``doc_id`` is ignored as a component's least id; a
@@ -43,8 +46,10 @@ RADIUS = 2
 TABLES, TABLE_BITS, KEPT_WORDS = 5, 32, 1 << 16
 #: Share of differing bits of all tables beyond which a pair of texts isn't read.
 APART = 0.1875
-#: Sets of shingles of up to this many hashes in all (16 MB) are broadcast to the pairs; larger ones are joined by shuffles.
-BROADCAST_HASHES = 2_000_000
+#: Texts outside a ball's largest group up to which they are paired with the ball's others, to see whether they may be linked.
+FEW = 8
+#: Sets of shingles of up to this many hashes in all (1 MB) are broadcast to the pairs; larger ones are joined by shuffles, as a broadcast is held several times by the driver.
+BROADCAST_HASHES = 1 << 17
 #: The keys of up to this many texts (16 bytes each) are broadcast to find them; for more, all texts are shuffled.
 BROADCAST_KEYS = 1 << 20
 _WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -161,6 +166,33 @@ def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), np.uint64, len(grams)).view(np.int64)
 
 
+def parities(grams: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 buckets, or twice as many up to the number of shingles: whether an odd number of the set's shingles is in it."""
+    size = 64 << max(0, (len(grams) - 1).bit_length() - 6)
+    odd = np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
+def _sketch_batches(shingle: int):
+    """Adds the fingerprints, the number of shingles and their parities of the text, which is the last column, to the first two columns."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                lists, n, bits = [], [], []
+                for t in part.column(2):
+                    text = t.as_py()
+                    grams = jaccard.shingle_set(text, shingle)
+                    lists.append(table_fingerprints(text))
+                    n.append(len(grams))
+                    bits.append(parities(grams))
+                made = [pa.array(lists, pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *made], ["doc_id", "text_key", "list", "n", "bits"])
+
+    return run
+
+
 def _list_batches(of, keys: int):
     """Adds a list of longs, ``of`` the text that is the last column, to the first ``keys`` columns."""
 
@@ -201,18 +233,45 @@ def candidate_links(seats: DataFrame, crowd: DataFrame) -> DataFrame:
     return within.union(between).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
-def mixed_texts(seats: DataFrame, crowd: DataFrame, edges: DataFrame) -> DataFrame:
-    """text_key: the texts in balls whose texts ``edges(u, v)`` leaves in different groups."""
+def mixed_texts(seats: DataFrame, crowd: DataFrame, edges: DataFrame, may=None) -> DataFrame:
+    """text_key: the texts in balls whose texts ``edges(u, v)`` leaves in different groups.
+
+    With ``may``, a filter of pairs(u, v) that keeps all links: of balls with at most ``FEW`` texts outside their largest group, only the texts of pairs that it keeps.
+    """
     if edges.isEmpty():
         rooted = seats.withColumn("root", F.col("text_key"))
     else:
         rooted = seats.join(components(edges), F.col("text_key") == F.col("node"), "left").select("text_key", "seat", F.coalesce("root", "text_key").alias("root"))
     rooted = written(rooted)
     # a seat that several texts have is a ball of its own; the ends of a ball's roots tell whether they differ
-    ends = rooted.groupBy("seat").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    balls = crowd.join(ends, "seat").groupBy("ball").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("ball")
-    mixed = crowd.join(balls, "ball").select("seat").union(ends.where("low < high").select("seat")).distinct()
-    return rooted.join(mixed, "seat", "left_semi").select("text_key").distinct()
+    ends = rooted.groupBy("seat", "root").agg(F.count("*").alias("n")).groupBy("seat")
+    ends = written(ends.agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")))
+    within = written(crowd.select("ball", "seat").union(ends.where("low < high").select(F.col("seat").alias("ball"), "seat")).distinct())
+    per = within.join(ends, "seat").groupBy("ball", F.col("most.root").alias("root"))
+    per = per.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.sum("most.n").alias("most"))
+    balls = per.groupBy("ball").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.max(F.struct("most", "root")).alias("most"))
+    balls = written(within.join(balls.where("low < high").select("ball", F.col("most.root").alias("largest"), (F.col("n") - F.col("most.most")).alias("others")), "ball"))
+    few = F.lit(False) if may is None else F.col("others") <= FEW
+    texts = rooted.join(balls.where(~few).select("seat").distinct(), "seat", "left_semi").select("text_key").distinct()
+    if may is None:
+        return texts
+    members = written(balls.where(few).select("ball", "seat", "largest").join(rooted, "seat").select("ball", "text_key", "root", "largest"))
+    others = members.where("root <> largest").select("ball", F.col("text_key").alias("a"), F.col("root").alias("of_a"))
+    pairs = others.join(members.select("ball", F.col("text_key").alias("b"), F.col("root").alias("of_b")), "ball").where("of_a <> of_b")
+    pairs = written(may(written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())))
+    return texts.union(pairs.select(F.col("u").alias("text_key"))).union(pairs.select(F.col("v").alias("text_key"))).distinct()
+
+
+def may_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs(u, v)`` without those whose ``sketches(text_key, n, bits)`` rule out a Jaccard coefficient of ``percent`` hundredths."""
+    of = lambda x: sketches.select(F.col("text_key").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v")
+    # the longer parities are folded to the shorter; further apart, sizes alone decide
+    both = both.select("u", "v", (F.col("nu") + F.col("nv")).alias("n"), F.abs(F.col("nu") - F.col("nv")).alias("more"), F.expr("if(size(bu) > size(bv), bu, bv)").alias("x"), F.expr("if(size(bu) > size(bv), bv, bu)").alias("y"))
+    bits = "aggregate({}, 0, (s, x) -> s + bit_count(x))".format
+    apart = f"""case when size(x) = size(y) then {bits("zip_with(x, y, (p, q) -> p ^ q)")}
+        when size(x) = 2 * size(y) then {bits("transform(y, (q, i) -> q ^ x[i] ^ x[i + size(y)])")} else 0 end"""
+    return both.where(F.expr(f"{100 + percent} * greatest(more, {apart}) <= {100 - percent} * n")).select("u", "v")
 
 
 def within_bits(pairs: DataFrame, lists: DataFrame, share: float) -> DataFrame:
@@ -232,14 +291,14 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return shared.where(F.expr(f"n >= {similarity} * (nu + nv - n)")).select("u", "v")
 
 
-def all_links(seats: DataFrame, near, verify, compare) -> DataFrame:
+def all_links(seats: DataFrame, near, verify, compare, may=None) -> DataFrame:
     """u, v: verified links of texts that share a ball, which hold every group together.
 
-    ``near`` and ``verify`` are filters of pairs(u, v): by all fingerprints of both texts, and by the texts; ``compare`` gives the links among texts(text_key).
+    ``near`` and ``verify`` are filters of pairs(u, v): by all fingerprints of both texts, and by the texts; ``compare`` gives the links among texts(text_key); for ``may`` see ``mixed_texts``.
     """
     crowd = written(crowded(seats))
     first = written(verify(written(near(candidate_links(seats, crowd)))))
-    mixed = written(mixed_texts(seats, crowd, first))
+    mixed = written(mixed_texts(seats, crowd, first, may))
     return first if mixed.isEmpty() else written(first.union(compare(mixed)))
 
 
@@ -250,8 +309,9 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataF
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
-    rows = written(texts.mapInArrow(_list_batches(table_fingerprints, 2), "doc_id long, text_key long, list array<long>"))
-    least = written(rows.groupBy("text_key").agg(F.min("doc_id").alias("least_id"), F.first("list").alias("list")))
+    percent = round(100 * similarity)
+    rows = written(texts.mapInArrow(_sketch_batches(shingle), "doc_id long, text_key long, list array<long>, n long, bits array<long>"))
+    least = written(rows.groupBy("text_key").agg(F.min("doc_id").alias("least_id"), *(F.first(c).alias(c) for c in ("list", "n", "bits"))))
     seats = written(text_seats(least.select("text_key", "list")))
 
     def of(keys):
@@ -264,14 +324,15 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataF
 
     def verify(pairs):
         asked = pairs.select(F.col("u").alias("text_key")).union(pairs.select(F.col("v").alias("text_key"))).distinct()
-        sets = written(of(asked).select("text_key", "text").mapInArrow(_list_batches(lambda t: shingle_hashes(t, shingle), 1), "text_key long, list array<long>"))
-        return verified(pairs, sets.groupBy("text_key").agg(F.first("list").alias("list")), similarity)
+        sets = of(asked).select("text_key", "text").mapInArrow(_list_batches(lambda t: shingle_hashes(t, shingle), 1), "text_key long, list array<long>")
+        # written when rows of one text are one, so that a join with them can divide the many pairs of a head
+        return verified(pairs, written(sets.groupBy("text_key").agg(F.first("list").alias("list"))), similarity)
 
     def compare(mixed):
         # read three times, so written once
-        return jaccard.text_links(written(of(mixed).select("doc_id", "text")), shingle, round(100 * similarity))
+        return jaccard.text_links(written(of(mixed).select("doc_id", "text")), shingle, percent)
 
-    edges = all_links(seats, lambda pairs: within_bits(pairs, least, APART), verify, compare)
+    edges = all_links(seats, lambda pairs: within_bits(pairs, least, APART), verify, compare, lambda pairs: may_link(pairs, least, percent))
     ids = least.select("text_key", "least_id")
     if edges.isEmpty():
         return rows.select("doc_id", "text_key").join(ids.select("text_key", F.col("text_key").alias("root"), F.col("least_id").alias("component_id")), "text_key")

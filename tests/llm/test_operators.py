@@ -856,6 +856,36 @@ def test_similar_links_texts_that_are_no_heads(spark):
     assert {(r.u, r.v) for r in links.collect()} == {(1, 0), (3, 2), (5, 4), (7, 6)} and sorted(asked) == list(range(8))
 
 
+def test_texts_that_meet_by_chance_are_not_compared(spark):
+    """Of pairs of texts that share a seat, only those that may be linked are asked for, in seats with and without a large group."""
+    r = random.Random(6)
+    texts = {}
+    for k in range(0, 200, 2):
+        w = [f"w{r.randrange(5000)}" for _ in range(r.choice([1, 6, 60, 130, 300]))]
+        texts[k], texts[k + 1] = " ".join(w), " ".join([*w[:-1], "end"]) if k % 20 == 0 else " ".join(r.choices(w, k=len(w) + 1))
+    sets = {k: set(simhash.jaccard.shingle_set(t, 5).tolist()) for k, t in texts.items()}
+    linked = {(k + 1, k) for k in range(0, 200, 2) if 100 * len(sets[k] & sets[k + 1]) >= 80 * len(sets[k] | sets[k + 1])}
+    sketches = spark.createDataFrame([(k, len(sets[k]), simhash.parities(np.array(sorted(sets[k]), np.uint64)).tolist()) for k in texts], "text_key long, n long, bits array<long>")
+    every = spark.createDataFrame([(a, b) for a in texts for b in texts if a > b], "u long, v long")
+    kept = {(x.u, x.v) for x in simhash.may_link(every, sketches, 80).collect()}
+    true = {(a, b) for a in texts for b in texts if a > b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert linked <= true <= kept and 0 < len(linked) < 20 and len(kept) < len(true) + 40
+    # two texts a seat, and one seat of a large group with another text
+    own = [r.getrandbits(32) for _ in range(100)]
+    seats = spark.createDataFrame([(k, own[k // 2]) for k in texts] + [(1000 + i, 5) for i in range(30)] + [(0, 5)], "text_key long, seat long")
+    edges = spark.createDataFrame([(1000 + i, 1000) for i in range(1, 30)], "u long, v long")
+    crowd = simhash.crowded(seats)
+    asked, whole = [], {x.text_key for x in simhash.mixed_texts(seats, crowd, edges).collect()}
+
+    def may(pairs):
+        asked.extend((x.u, x.v) for x in pairs.collect())
+        return pairs.where("v < 1000 and u < 1000").join(every, ["u", "v"]).transform(lambda p: simhash.may_link(p, sketches, 80))
+
+    got = {x.text_key for x in simhash.mixed_texts(seats, crowd, edges, may).collect()}
+    assert {(k + 1, k) for k in range(0, 200, 2)} | {(1000 + i, 0) for i in range(30)} <= set(asked) and len(whole) == 230
+    assert {k for pair in linked for k in pair} <= got and len(got) < 60
+
+
 def test_similar_compares_a_crowd_below_the_similarity(spark):
     """Many texts that are alike, but not enough, share balls; the few that are enough alike are still found."""
     r = random.Random(5)
