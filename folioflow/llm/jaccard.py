@@ -77,7 +77,12 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     words = _WORDS.findall((text or "").encode("utf-8", "surrogatepass").lower())
     if not words:
         return np.empty(0, np.uint64)
-    w, k = _word_hashes(words), min(shingle, len(words))
+    return shingles_of(_word_hashes(words), shingle)
+
+
+def shingles_of(w: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of the shingles of a text's words, one or more, by the words' hashes; ascending."""
+    k = min(shingle, len(w))
     n = len(w) - k + 1
     h = np.full(n, k, np.uint64)
     for j in range(k):

@@ -146,17 +146,24 @@ def _bits_set(digests: list[bytes]) -> np.ndarray:
 
 
 def table_fingerprints(text: str | None) -> list[int]:
-    """A fingerprint of ``TABLE_BITS`` bits for each of ``TABLES``, from the distinct words of a text, counted twice, and its distinct word pairs.
+    return sketch(text)[0]
+
+
+def sketch(text: str | None, shingle: int = 5) -> tuple[list[int], np.ndarray]:
+    """The text's fingerprints and the distinct hashes of its shingles, both from the words' digests.
+
+    A fingerprint of ``TABLE_BITS`` bits for each of ``TABLES``, from the distinct words of a text, counted twice, and its distinct word pairs.
 
     Words alone would put texts of the same few words together, whatever their order; pairs alone would part texts of many small edits.
     """
     words = _WORDS.findall((text or "").encode("utf-8", "surrogatepass").lower())
     if not words:
-        return [0] * TABLES
-    single, pairs = set(words), {a + b" " + b for a, b in zip(words, words[1:])}
-    count = 2 * _bits_set(list(map(_word_digest, single))) + _bits_set(list(map(_digest, pairs)))
+        return [0] * TABLES, np.empty(0, np.uint64)
+    single, pairs = {w: _word_digest(w) for w in set(words)}, {a + b" " + b for a, b in zip(words, words[1:])}
+    count = 2 * _bits_set(list(single.values())) + _bits_set(list(map(_digest, pairs)))
     bits = (count * 2 > 2 * len(single) + len(pairs)).reshape(TABLES, TABLE_BITS)
-    return (bits @ (1 << np.arange(TABLE_BITS))).tolist()
+    hashes = np.frombuffer(b"".join([single[w][:8] for w in words]), "<u8")
+    return (bits @ (1 << np.arange(TABLE_BITS))).tolist(), jaccard.shingles_of(hashes, shingle)
 
 
 def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -182,13 +189,14 @@ def _sketch_batches(shingle: int):
                 part = b.slice(at, 500)
                 lists, n, bits = [], [], []
                 for t in part.column(2):
-                    text = t.as_py()
-                    grams = jaccard.shingle_set(text, shingle)
-                    lists.append(table_fingerprints(text))
+                    of, grams = sketch(t.as_py(), shingle)
+                    lists.append(of)
                     n.append(len(grams))
                     bits.append(parities(grams))
                 made = [pa.array(lists, pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], *made], ["doc_id", "text_key", "list", "n", "bits"])
+        # later stages run in the same processes
+        _digests.clear()
 
     return run
 
