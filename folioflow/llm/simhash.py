@@ -225,11 +225,12 @@ def _in_balls(seats: DataFrame, *keep: str) -> DataFrame:
 
 
 def crowded(seats: DataFrame) -> DataFrame:
-    """ball, seat: the balls that seats of more than one fingerprint are in, with these seats."""
+    """ball, seat: the balls that seats of more than one fingerprint are in, with these seats; of two balls of the same two seats, one."""
     balls = _in_balls(seats.select("seat").distinct(), "seat")
     whole = Window.partitionBy("ball")
-    ends = balls.select("ball", "seat", F.min("seat").over(whole).alias("low"), F.max("seat").over(whole).alias("high"))
-    return ends.where("low < high").select("ball", "seat")
+    ends = balls.select("ball", "seat", F.min("seat").over(whole).alias("low"), F.max("seat").over(whole).alias("high"), F.count("*").over(whole).alias("n"))
+    # two seats share two balls; where one holds no others, the lesser is enough, or the one that does
+    return ends.where("low < high and (n > 2 or ball < low ^ high ^ ball)").select("ball", "seat")
 
 
 def candidate_links(seats: DataFrame, crowd: DataFrame) -> DataFrame:
